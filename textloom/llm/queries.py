@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bitplane, decontaminate, packing
+from textloom.llm import bitplane, decontaminate, packing, quality_rules, secrets, url_graph, warc
 from textloom.llm.common import fresh_path
 
 
@@ -25,6 +25,25 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+def op6_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
 def op9_token_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     bitplane.write_token_files(table(spark, sf_dir, "documents"), path)
@@ -36,7 +55,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op9_token_bitplanes, op10_nnls_packing)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
 
 
 #: Word pattern of decontamination: anything but ASCII characters other than 0-9 and a-z.
