@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bitplane, decontaminate, packing, quality_rules, secrets, url_graph, warc
+from textloom.llm import bitplane, decontaminate, ngram_join, packing, quality_rules, secrets, url_graph, warc
 from textloom.llm.common import fresh_path
 
 
@@ -25,6 +25,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
 
 
 #: Word pattern of decontamination: anything but ASCII characters other than 0-9 and a-z.
