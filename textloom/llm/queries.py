@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bitplane, decontaminate, ngram_join, packing, quality_rules, secrets, url_graph, warc
+from textloom.llm import bitplane, decontaminate, line_dedup, ngram_join, packing, quality_rules, secrets, url_graph, warc
 from textloom.llm.common import fresh_path
 
 
@@ -43,6 +43,11 @@ def op6_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_exact").alias("n_exact"), F.col("ld_near").alias("n_near"), "text")
+
+
 def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.withColumn("failed_rules", F.array_join("failed_rules", ","))
@@ -59,7 +64,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op7_line_dedup, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
 
 
 #: Word pattern of decontamination: anything but ASCII characters other than 0-9 and a-z.
