@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bitplane, decontaminate, line_dedup, ngram_join, packing, quality_rules, secrets, url_graph, warc
+from textloom.llm import bitplane, decontaminate, line_dedup, ngram_join, packing, quality_bayes, quality_rules, secrets, url_graph, warc
 from textloom.llm.common import fresh_path
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out.select("doc_id", *[F.round(f"qb_{c}", 6).alias(f"p_{c}") for c in ("document", "host", "path", "bad")], F.col("qb_kept").alias("kept"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_matches(docs, benchmark)
@@ -64,7 +69,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op7_line_dedup, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
+    return {f.__name__: f for f in (op1_hierarchical_quality, op2_benchmark_decontamination, op3_ngram_jaccard, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op7_line_dedup, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
 
 
 #: Word pattern of decontamination: anything but ASCII characters other than 0-9 and a-z.
