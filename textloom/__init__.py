@@ -1,0 +1 @@
+"""Text retrieval and theme analytics on Spark DataFrames."""
