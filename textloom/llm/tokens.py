@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
+
+import numpy as np
 
 #: Two white-space characters in a row, or one at the end: then a piece may not start at each space.
 _RUN = re.compile(r"\s\s|\s\Z")
+_SPACE = re.compile(r"\s")
 #: A token never spans a white-space character that follows another character.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: Longer pieces are encoded but not kept.
 _KEEP_CHARS = 64
+#: Punctuation after a letter starts a token. Letters up to here are letters in every Unicode version.
+_TAIL, _LATIN_END = ".,!?;:#$%&*|", "\u0250"
+#: New pieces that are encoded as one text.
+_JOINED = 20_000
 
 
 def default_path() -> str:
@@ -21,29 +26,30 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _bytes(ids: list[int]) -> bytes:
-    a = array("I", ids)
-    if sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
-
-
 class PieceEncoder:
     """Encodes texts with a byte-level BPE file whose pre-tokeniser starts a token at a white-space
     character that follows a non-space one. So the ids of a text are those of its pieces, joined, and a
     piece met before needs no second encoding. Results are little-endian unsigned 32-bit ids.
 
-    ``capacity``: pieces that are kept at most (some 200 bytes each); beyond that the store starts anew.
+    New pieces without white space inside are encoded together, a line each: a line feed between two
+    other characters is a token of its own, at which the ids are cut apart again.
+
+    ``capacity``: new pieces after which those not met since the last turn are forgotten (so at most twice
+    as many are kept, of some 200 bytes each).
     """
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._capacity = capacity
+        feed = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._feed = feed[0] if len(feed) == 1 else None
+        self._tails: dict[str, bytes] = {}
         self._plain: dict[str, bytes] = {}
         self._spaced: dict[str, bytes] = {}  # by the piece without the space before it
+        self._old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without special tokens; a null text has none."""
@@ -63,9 +69,10 @@ class PieceEncoder:
                 spaced.update(rest)
                 split.append(([first], rest))
         if len(self._plain) + len(self._spaced) > self._capacity:
-            self._plain, self._spaced = {}, {}
-        long_plain = self._learn(plain, self._plain, "")
-        long_spaced = self._learn(spaced, self._spaced, " ")
+            self._old = (self._plain, self._spaced)
+            self._plain, self._spaced, self._tails = {}, {}, {}
+        long_plain = self._learn(plain, self._plain, self._old[0], "")
+        long_spaced = self._learn(spaced, self._spaced, self._old[1], " ")
         out = []
         for head, tail in split:
             out.append(b"".join(map(self._plain.__getitem__, head)) + b"".join(map(self._spaced.__getitem__, tail)))
@@ -75,10 +82,46 @@ class PieceEncoder:
             del self._spaced[p]
         return out
 
-    def _learn(self, pieces: set[str], known: dict[str, bytes], before: str) -> list[str]:
-        new = list(pieces - known.keys())
-        found = self._tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)
-        known.update((p, _bytes(e.ids)) for p, e in zip(new, found, strict=True))
+    def _learn(self, pieces: set[str], known: dict[str, bytes], old: dict[str, bytes], before: str) -> list[str]:
+        """Makes all pieces known; returns those too long to keep."""
+        new = [p for p in pieces if p not in known]
+        if old:
+            met = [p for p in new if p in old]
+            known.update(zip(met, map(old.__getitem__, met), strict=True))
+            new = [p for p in new if p not in old]
+        tails: list[tuple[str, str]] = []
+        lines: set[str] = set()
+        if self._feed is not None:
+            for p in new:
+                if p.isalnum():
+                    lines.add(p)
+                elif p:
+                    core = p.rstrip(_TAIL)
+                    if core and core is not p and core[-1] < _LATIN_END and core[-1].isalpha():
+                        tails.append((p, core))
+                        p = core
+                    if p.isalnum() or not _SPACE.search(p):
+                        lines.add(p)
+        todo = [p for p in lines if p not in known]
+        for at in range(0, len(todo), _JOINED):
+            some = todo[at : at + _JOINED]
+            text = before + f"\n{before}".join(some)
+            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(ids == self._feed) * 4).tolist()
+            if len(cuts) != len(some) - 1:
+                raise ValueError("this tokenizer joins line feeds with other characters")
+            octets = ids.tobytes()
+            known.update(zip(some, [octets[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(octets)], strict=True)], strict=True))
+        for p, core in tails:
+            if core in known:
+                tail = p[len(core) :]
+                if tail not in self._tails:
+                    self._tails[tail] = np.array(self._tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+                known[p] = known[core] + self._tails[tail]
+        other = [p for p in new if p not in known]
+        if other:
+            found = self._tokenizer.encode_batch_fast([before + p for p in other], add_special_tokens=False)
+            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, found, strict=True))
         return [p for p in new if len(p) > _KEEP_CHARS]
 
 
