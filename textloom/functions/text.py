@@ -41,13 +41,22 @@ def theme_sentences(c: Column) -> Column:
     return sentences(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside a lambda of a higher-order function an expression would
+    be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 _CHUNK = "struct<text:string,start_sentence_idx:int,end_sentence_idx:int,sentence_count:int>"
 
 
 def windows(parts: Column, size: int, overlap: int) -> Column:
     """Sliding windows over an array of sentences: structs of text, first and last index, and count. Fewer
     sentences than ``size`` make one window; the last one may be short."""
-    step = size - min(overlap, max(0, size - 1))
+    return let(parts, lambda p: _windows(p, size, size - min(overlap, max(0, size - 1))))
+
+
+def _windows(parts: Column, size: int, step: int) -> Column:
     n = F.size(parts)
     count = F.when(n < size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
 
@@ -67,8 +76,7 @@ def chunks(c: Column, size: int = 1, overlap: int = 0, min_length: int = MIN_SEN
 def chunks_or_whole(c: Column, size: int = 1, overlap: int = 0, min_length: int = MIN_SENTENCE) -> Column:
     """``chunks``; a text without sentences is one chunk as it is."""
     whole = F.array(F.struct(F.coalesce(c, F.lit("")).alias("text"), F.lit(0).alias("start_sentence_idx"), F.lit(0).alias("end_sentence_idx"), F.lit(1).alias("sentence_count")))
-    found = chunks(c, size, overlap, min_length)
-    return F.when(F.size(found) == 0, whole).otherwise(found)
+    return let(chunks(c, size, overlap, min_length), lambda found: F.when(F.size(found) == 0, whole).otherwise(found))
 
 
 def multi_level_chunks(c: Column, small: int = 2, large: int = 4, overlap: int = 1) -> Column:
@@ -85,6 +93,10 @@ def chunk_of(i: Column, n: Column) -> Column:
 def chunks_2_3(parts: Column, limit: int | None = MAX_CHUNKS) -> Column:
     """Disjoint chunks of two or three sentences (one if there is only one): text, first and last index,
     count. At most ``limit`` chunks."""
+    return let(parts, lambda p: _chunks_2_3(p, limit))
+
+
+def _chunks_2_3(parts: Column, limit: int | None) -> Column:
     n = F.size(parts)
     rest = n % 3
     twos = (rest == 1) & (n >= 4)
