@@ -236,31 +236,47 @@ def cut_spans(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def cleaned(text: bytes, automaton: SuffixAutomaton) -> tuple[bytes, int]:
+    """The text without hit spans, again until no window is left, and how many words that took."""
+    lost = 0
+    while spans := automaton.search(words_of(text))[0]:
+        text = cut_spans(text, spans)
+        lost += sum(b - a for a, b in spans)
+    return text, lost
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", max_coverage: float = 0.5, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without the benchmark's passages, in the columns of ``docs``.
 
-    Hit spans are cut out of the text, again until no window is left. A document of whose words more than
-    ``max_coverage`` are hit goes. ``chars_col``, if present, is set to the new length where text was cut.
-    Documents without hits, null and empty texts stay as they are."""
+    Hit spans are cut out of the text, again until no window is left. A document that loses more than
+    ``max_coverage`` of its words goes. ``chars_col``, if present, is set to the new length where text was
+    cut. Documents without hits, null and empty texts stay as they are. One pass over the rows for each
+    block of items, without a shuffle."""
     sc = docs.sparkSession.sparkContext
-    columns = docs.columns
-    found = find_matches(docs, benchmark, text_col, window=window, block_words=block_words)
-    found = found.where((F.col("dc_words") == 0) | (hit_words(F.col("dc_spans")) <= max_coverage * F.col("dc_words")))
-    out = found
-    for automaton in automata(benchmark, window=window, block_words=block_words):
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"), F.lit(None).cast("long").alias("words"), F.lit(0).cast("long").alias("lost"))
+    row = out.schema["row"].dataType.simpleString()
+    for k, automaton in enumerate(automata(benchmark, window=window, block_words=block_words)):
         shared = sc.broadcast(automaton)
 
-        @F.pandas_udf("binary")
-        def clean(texts, shared=shared):
-            def one(text: bytes) -> bytes:
-                while (spans := shared.value.search(words_of(text))[0]):
-                    text = cut_spans(text, spans)
-                return text
-
-            return texts.map(one)
-
-        # Hits of other blocks that a cut may join are cut by those blocks' rounds over all their windows.
-        out = out.withColumn(text_col, F.when(F.size("dc_spans") > 0, clean(F.col(text_col).cast("binary")).cast("string")).otherwise(F.col(text_col)))
-    if chars_col in columns:
-        out = out.withColumn(chars_col, F.when(F.size("dc_spans") > 0, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(*columns)
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    texts, words, lost = [], [], []
+                    for text, n, before in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                        new, cut = (None, 0) if text is None else cleaned(text, shared.value)
+                        texts.append(new)
+                        words.append(len(words_of(text or b"")) if n is None else n)
+                        lost.append(before + cut)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(words, pa.int64()), pa.array(lost, pa.int64())], ["row", "text", "words", "lost"])
+
+        out = (materialize(out, "decontaminate") if k else out).mapInArrow(scan, f"row {row}, text binary, words long, lost long")
+    hit = F.col("lost") > 0
+    out = out.where(~hit | (F.col("lost") <= max_coverage * F.col("words"))).withColumn("text", F.col("text").cast("string"))
+
+    def cell(c: str) -> F.Column:
+        old = F.col("row")[c]
+        new = F.col("text") if c == text_col else F.length("text").cast(docs.schema[c].dataType) if c == chars_col else None
+        return (old if new is None else F.when(hit, new).otherwise(old)).alias(c)
+
+    return out.select(*map(cell, docs.columns))

@@ -119,18 +119,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in id and text count as one document and are treated alike; a null id comes last."""
     found = materialize(find_duplicate_lines(docs, id_col, text_col, min_chars, short), "line-places")
     rows = found.limit(BROADCAST_ROWS + 1).count()
-    lost = found.groupBy("doc").agg(F.collect_set("pos").alias("__lost"), F.count_if("near").alias("__near")).withColumnRenamed("doc", "__doc")
+    lost = found.groupBy("doc").agg(F.collect_set("pos").alias("lost"), F.count_if("near").alias("near"))
     columns = [c for c in docs.columns if c not in COUNTS]
     text = F.col(text_col).cast("string")
-    out = docs.withColumn("__doc", F.xxhash64(F.col(id_col).cast("long"), text)).join(F.broadcast(lost) if rows <= BROADCAST_ROWS else lost, "__doc", "left")
-    out = out.withColumn("__all", F.split(text, "\n", -1))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__lost"), lambda i: F.col("__all")[i])
-    out = out.withColumn("__kept", F.when(F.col("__lost").isNotNull(), kept))
-    some = F.exists("__kept", lambda x: F.length(F.trim(x, F.lit(" \t\r"))) >= min_chars)
-    changed = F.col("__lost").isNotNull()
-    new = F.when(changed, F.when(some, F.array_join("__kept", "\n")).otherwise(F.lit(""))).otherwise(F.col(text_col))
-    out = out.withColumns({text_col: new, "ld_lines": F.when(F.col("__all").isNull(), 0).otherwise(F.size("__all")).cast("long"), "ld_near": F.coalesce("__near", F.lit(0)).cast("long")})
-    out = out.withColumn("ld_exact", F.when(changed, F.size("__lost") - F.col("ld_near")).otherwise(0).cast("long"))
-    if chars_col in columns:
-        out = out.withColumn(chars_col, F.when(changed, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(*columns, *COUNTS)
+    # the row is one column meanwhile, so its names cannot clash with ours
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col).cast("long"), text).alias("doc"), F.split(text, "\n", -1).alias("lines"))
+    out = out.join(F.broadcast(lost) if rows <= BROADCAST_ROWS else lost, "doc", "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost"), lambda i: F.col("lines")[i])
+    changed = F.col("lost").isNotNull()
+    out = out.withColumn("kept", F.when(changed, kept))
+    some = F.exists("kept", lambda x: F.length(F.trim(x, F.lit(" \t\r"))) >= min_chars)
+    out = out.withColumn("new", F.when(changed, F.when(some, F.array_join("kept", "\n")).otherwise(F.lit(""))).otherwise(F.col("row")[text_col]))
+
+    def cell(c: str) -> Column:
+        old = F.col("row")[c]
+        if c == text_col:
+            return F.col("new").alias(c)
+        return (F.when(changed, F.length("new").cast(docs.schema[c].dataType)).otherwise(old) if c == chars_col else old).alias(c)
+
+    total = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("ld_lines")
+    near = F.coalesce("near", F.lit(0)).cast("long")
+    exact = F.when(changed, F.size("lost") - near).otherwise(0).cast("long")
+    return out.select(*map(cell, columns), total, exact.alias("ld_exact"), near.alias("ld_near"))

@@ -3,11 +3,12 @@
 Documents with equal sets are one node. A pair of linked nodes shares one of the rarest n // 4 + 1 shingles
 of either set, in any order of shingles that holds for all; the order here is by a count sketch of the whole
 corpus, so passages that many documents share come last and make no candidates by themselves. Nodes that
-share such a key form a block. Each block first links its nodes to a pivot (within a task, then across
-tasks), which settles groups of copies in linear work. Only where a block is left with nodes of different
-components are pairs compared: shingles hash into groups, a node's group counts are a point, and an R-tree
-over the points gives the pairs whose summed coordinate minima allow the overlap; nodes of the block's
-largest component are compared with the others only. Surviving pairs are verified on whole sets.
+share such a key form a block. Each block first links its nodes to a pivot (within a task, across tasks,
+then to other pivots where components are left), which settles groups of copies in linear work. Only where a
+block is left with nodes of different components are pairs compared: shingles hash into groups, a node's
+group counts are a point, and an R-tree over the points gives the pairs whose summed coordinate minima allow
+the overlap; nodes of the block's largest component are compared with the others only. Surviving pairs are
+verified on whole sets.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ SHINGLE = 5
 SKETCH_BITS = 20
 _SKETCH_BLOCK = 1 << 16
 #: Groups that shingles are hashed into: coordinates of a point.
-GROUPS = 32
+GROUPS = 128
+_FULL = 65_535
 #: Keys that a task gathers before it looks for shared ones: 64 MB.
 LOCAL_KEYS = 4_000_000
 #: Rows of a side that are compared in one go; larger blocks are cut into a grid.
 PIECE = 4_096
+#: Rounds in which unresolved blocks are linked to other pivots before pairs are compared.
+PIVOT_TURNS = 2
 _WORDS_KEPT = 400_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -76,6 +80,17 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _point(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), _FULL).astype("<u2").tobytes()
+
+
+def _coordinates(points) -> np.ndarray:
+    """Points as rows of an array; a full coordinate bounds nothing."""
+    out = np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    out[out == _FULL] = 1 << 40
+    return out
+
+
 def linked(size_a, size_b, both):
     return 7 * both >= 3 * (size_a + size_b)
 
@@ -136,7 +151,7 @@ def _profiles(texts: DataFrame) -> DataFrame:
                     s = shingle_set(text)
                     n.append(len(s))
                     node.append(_node(s) if len(s) else None)
-                    point.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() if len(s) else None)
+                    point.append(_point(s) if len(s) else None)
                     seen.append(_bucket(s))
                 sketch += np.bincount(np.concatenate(seen), minlength=1 << SKETCH_BITS)
                 none = pa.nulls(len(n), pa.int32())
@@ -165,29 +180,29 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
 
 
 def _keys(texts: DataFrame, sketch) -> DataFrame:
-    """kind, key, node, pivot. Kind 0: a task's first node of a key (pivot: itself; many: if it has more).
-    Kind 1: its other nodes of that key, with the first one as pivot. So a key has at most one row of
-    kind 0 for each gathering of a task, however many documents share it."""
+    """kind, key, node, n, pivot, pivot_n, many. Kind 0: a task's first node of a key (no pivot; many: if it
+    has more). Kind 1: its other nodes of that key, with the first one as pivot. So a key has at most one
+    row of kind 0 for each gathering of a task, however many documents share it."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held_k, held_n, size = sketch.value, [], [], 0
+        counts, held_k, held_n, held_s, size = sketch.value, [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, node = np.concatenate(held_k).astype(np.int64), np.concatenate(held_n)
+            key, node, n = np.concatenate(held_k).astype(np.int64), np.concatenate(held_n), np.concatenate(held_s)
             by = np.lexsort((node, key))
-            key, node = key[by], node[by]
+            key, node, n = key[by], node[by], n[by]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[new], node[new]
+            key, node, n = key[new], node[new], n[new]
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
             starts = np.flatnonzero(first)
             sizes = np.diff(np.append(starts, len(key)))
-            pivot, many = np.repeat(node[starts], sizes), np.repeat(sizes > 1, sizes)
-            kind = (~first).astype(np.int8)
+            pivot, pivot_n, many = np.repeat(node[starts], sizes), np.repeat(n[starts], sizes), np.repeat(sizes > 1, sizes)
             for at in range(0, len(key), 50_000):
-                to = at + 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(kind[at:to]), pa.array(key[at:to]), pa.array(node[at:to]), pa.array(pivot[at:to]), pa.array(many[at:to])], ["kind", "key", "node", "pivot", "many"])
+                cut = slice(at, at + 50_000)
+                none = first[cut]
+                yield pa.RecordBatch.from_arrays([pa.array((~none).astype(np.int8)), pa.array(key[cut]), pa.array(node[cut]), pa.array(n[cut]), pa.array(pivot[cut], mask=none), pa.array(pivot_n[cut], mask=none), pa.array(many[cut])], ["kind", "key", "node", "n", "pivot", "pivot_n", "many"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -197,14 +212,15 @@ def _keys(texts: DataFrame, sketch) -> DataFrame:
                         rare = s[np.argsort(counts[_bucket(s)], kind="stable")[: len(s) // 4 + 1]]
                         held_k.append(rare)
                         held_n.append(np.full(len(rare), _node(s), np.int64))
+                        held_s.append(np.full(len(rare), len(s), np.int64))
                         size += len(rare)
                         if size >= LOCAL_KEYS:
                             yield from flush()
-                            held_k, held_n, size = [], [], 0
+                            held_k, held_n, held_s, size = [], [], [], 0
         if held_k:
             yield from flush()
 
-    return texts.mapInArrow(keys, "kind tinyint, key long, node long, pivot long, many boolean")
+    return texts.mapInArrow(keys, "kind tinyint, key long, node long, n long, pivot long, pivot_n long, many boolean")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -217,15 +233,15 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node long, elements binary")
 
 
-def _verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked: first by the bound on points, then on whole sets."""
+def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are linked: first by the bound on points, then on whole sets, which are
+    made anew for documents that are still in question only."""
 
     @F.pandas_udf("boolean")
-    def allowed(na: pd.Series, pa_: pd.Series, nb: pd.Series, pb: pd.Series) -> pd.Series:
+    def allowed(na: pd.Series, p: pd.Series, nb: pd.Series, q: pd.Series) -> pd.Series:
         if not len(na):
             return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(p), "<u4").reshape(-1, GROUPS) for p in (pa_, pb))
-        return pd.Series(linked(na.to_numpy(), nb.to_numpy(), np.minimum(a, b).sum(1).astype(np.int64)))
+        return pd.Series(linked(na.to_numpy(), nb.to_numpy(), np.minimum(_coordinates(p), _coordinates(q)).sum(1)))
 
     @F.pandas_udf("boolean")
     def same(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -236,23 +252,53 @@ def _verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame
             out.append(bool(linked(len(x), len(y), int((merged[1:] == merged[:-1]).sum()))))
         return pd.Series(out, dtype=bool)
 
-    p = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    q = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    near = pairs.join(p, "a").join(q, "b").where(allowed("na", "pa", "nb", "pb")).select("a", "b")
-    near = materialize(near, "near-pairs")
+    p = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("p"))
+    q = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("q"))
+    near = materialize(pairs.join(p, "a").join(q, "b").where(allowed("na", "p", "nb", "q")).select("a", "b"), "near-pairs")
+    nodes = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+    ids = materialize(points.join(nodes, "node").select(F.col("rep").alias("id")), "near-ids")
+    source = texts.join(small_or_shuffled(ids.where("id is not null").distinct()), "id", "left_semi")
+    if not ids.where("id is null").isEmpty():
+        source = source.unionByName(texts.where("id is null"))
+    sets = materialize(_sets(source).join(small_or_shuffled(nodes), "node", "left_semi"), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return near.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b")
+    return near.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b").distinct()
+
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links. Only components that these links join are looked at."""
+    of = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    joins = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = components(joins.where("a <> b").distinct()).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node"))
+    out = labels.unionByName(nodes).join(small_or_shuffled(new), "label", "left")
+    return materialize(out.select("node", F.coalesce("new", "label").alias("label")), "node-labels")
 
-def _block_pairs(members: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label of blocks that hold nodes of different components, and more than two: both of a
+    block of two have been compared. ``members``: key, node, in which a row may come twice."""
+    rows = members.select("key", "node").join(small_or_shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high and c > 2")
+    keys = small_or_shuffled(materialize(keys.select("key"), "unresolved"))
+    return materialize(rows.join(keys, "key", "left_semi").distinct(), "unresolved-blocks")
+
+
+def _pivot_pairs(blocks: DataFrame, turn: int) -> DataFrame:
+    """Each node of a block with a pivot that differs by block and turn, if it is of another component."""
+    pivots = blocks.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
+    pairs = blocks.join(pivots, "key").where(F.col("label") != F.col("p.label"))
+    return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (a < b) of different components within a block that the bound on points allows.
 
-    ``members``: key, node. Blocks with the same nodes count once. A block's rows are cut into pieces, and
-    those outside its largest component also into chunks; each (piece, chunk) is compared by itself."""
-    same = members.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor("node").alias("x")).where("c > 2")
-    keys = same.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key")
-    rows = members.join(keys, "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = materialize(rows, "blocks")
+    ``blocks``: key, node, label. Blocks with the same nodes count once. A block's rows are cut into pieces,
+    and those outside its largest component also into chunks; each (piece, chunk) is compared by itself."""
+    same = blocks.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor("node").alias("x")).where("c > 2")
+    keys = materialize(same.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "block-keys")
+    rows = blocks.join(small_or_shuffled(keys), "key", "left_semi")
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     mixed = mixed.select("key", F.col("top.label").alias("major"), F.ceil(F.col("all") / PIECE).alias("p"), F.ceil((F.col("all") - F.col("top.c")) / PIECE).alias("q"))
@@ -268,10 +314,10 @@ def _block_pairs(members: DataFrame, labels: DataFrame, points: DataFrame) -> Da
         l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         a, b = [], []
         if len(l) and len(r):
-            tree = CountTree(l["n"].to_numpy(), np.frombuffer(b"".join(l["point"]), "<u4").reshape(-1, GROUPS).astype(np.int64))
+            tree = CountTree(l["n"].to_numpy(), _coordinates(l["point"]))
             nodes, marks = l["node"].to_numpy(), l["label"].to_numpy()
-            for node, label, n, point in zip(r["node"], r["label"], r["n"], r["point"], strict=True):
-                hit = tree.query(n, np.frombuffer(point, "<u4").astype(np.int64))
+            for node, label, n, point in zip(r["node"], r["label"], r["n"], _coordinates(r["point"]), strict=True):
+                hit = tree.query(n, point)
                 hit = nodes[hit[marks[hit] != label]]
                 a.append(np.minimum(hit, node))
                 b.append(np.maximum(hit, node))
@@ -311,24 +357,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = _keys(texts, counts)
     of_key = Window.partitionBy("key", F.when(F.col("kind") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("node").bitwiseOR(F.lit(1).cast("long"))))
-    keys = keys.withColumns({"tasks": F.count("*").over(of_key), "first": F.min("node").over(of_key)}).where("kind = 1 or many or tasks > 1")
-    shared = materialize(keys.select("key", "node", F.when(F.col("kind") == 0, F.col("first")).otherwise(F.col("pivot")).alias("pivot")), "keys")
-
-    needed = materialize(shared.select("node").distinct(), "needed")
-    ids = materialize(points.join(needed, "node").select(F.col("rep").alias("id")).where("id is not null"), "needed-ids")
-    source = texts.join(small_or_shuffled(ids), "id", "left_semi")
-    if not points.where("rep is null").isEmpty():
-        source = source.unionByName(texts.where("id is null"))
-    sets = materialize(_sets(source).join(small_or_shuffled(needed), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    star = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = materialize(_verified(star, points, sets), "star-links")
-    labels = components(links)
-    pairs = _block_pairs(shared.select("key", "node").distinct(), labels.select("node", "label"), points)
-    more = materialize(_verified(pairs.join(links, ["a", "b"], "left_anti"), points, sets), "block-links")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(more), "all-links")
-        labels = components(links)
+    keys = keys.withColumns({"tasks": F.count("*").over(of_key), "first": F.min(F.struct("node", "n")).over(of_key)}).where("kind = 1 or many or tasks > 1")
+    shared = keys.select("key", "node", "n", F.coalesce("pivot", "first.node").alias("pivot"), F.coalesce("pivot_n", "first.n").alias("pivot_n"))
+    shared = materialize(shared, "keys")
+
+    star = shared.where("node <> pivot and 4 * n >= 3 * pivot_n and 4 * pivot_n >= 3 * n")
+    star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = materialize(_verified(star, points, texts), "star-links")
+    labels = materialize(components(links), "node-labels")
+    blocks = shared
+    for turn in range(PIVOT_TURNS + 1):
+        blocks = _unresolved(blocks, labels)
+        if blocks.isEmpty():
+            break
+        pairs = _pivot_pairs(blocks, turn) if turn < PIVOT_TURNS else _block_pairs(blocks, points)
+        more = materialize(_verified(pairs, points, texts), "more-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = _relabelled(labels, more)
+    links = links.distinct()
 
     named = points.select("node", "rep").join(labels, "node")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component"))

@@ -164,7 +164,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     before the shuffle, and come back by a join with one narrow row per site."""
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     model = train(docs, labels, id_col, text_col, max_train)
-    texts = docs.select(*columns, F.col(text_col).alias("__text"), F.col(host_col).cast("string").alias("__host"), F.col(path_col).cast("string").alias("__path"))
+    # the row is one column meanwhile, so its names cannot clash with ours
+    texts = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.col(text_col).alias("__text"), F.col(host_col).cast("string").alias("__host"), F.col(path_col).cast("string").alias("__path"))
     scored = materialize(score(texts, model, "__text").drop("__text"), "scored")
     p = 1 / (1 + F.exp(-F.col("qb_odds")))
     site = [F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(c) for c in ("__host", "__path")]
@@ -192,4 +193,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     other = (F.greatest(F.col("s") - p, F.lit(0.0)) + k_path * F.col("qb_host")) / (F.col("n") - 1 + k_path)
     combined = F.col("qb_odds") + _logit(other) - _logit(F.lit(m))
     out = out.withColumns({"qb_document": p, "qb_path": other, "qb_bad": 1 / (1 + F.exp(-combined))})
-    return out.withColumn("qb_kept", F.coalesce(F.col("qb_bad") < threshold, F.lit(False)) if model else F.col("qb_odds").isNotNull()).select(*columns, *ADDED)
+    return out.withColumn("qb_kept", F.coalesce(F.col("qb_bad") < threshold, F.lit(False)) if model else F.col("qb_odds").isNotNull()).select(*[F.col("row")[c].alias(c) for c in columns], *ADDED)
