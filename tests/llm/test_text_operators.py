@@ -211,7 +211,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
 
 def test_tree_bound_loses_nothing():
     rnd = np.random.default_rng(3)
-    points = rnd.integers(0, 6, (500, ngram_join.GROUPS))
+    points = rnd.integers(0, 6, (500, 128))
     points[250:] = np.maximum(points[:250] + rnd.integers(-1, 2, points[:250].shape) * (rnd.random(points[:250].shape) < 0.1), 0)
     sizes = points.sum(1)
     tree = ngram_join.CountTree(sizes, points)
@@ -221,6 +221,17 @@ def test_tree_bound_loses_nothing():
         assert sorted(tree.query(int(sizes[k]), points[k])) == wanted.tolist()
 
 
+def test_points_bound_real_overlaps():
+    rnd = np.random.default_rng(5)
+    import pandas as pd
+
+    pool = rnd.integers(0, 2**63, 4000).astype(np.uint64)
+    sets = [np.unique(rnd.choice(pool, int(n))) for n in rnd.integers(1, 3000, 60)] + [np.full(1, 7, np.uint64)]
+    pairs = [(x, y) for x in sets for y in sets]
+    bound = ngram_join._bounds(pd.Series([ngram_join._point(x) for x, _ in pairs]), pd.Series([ngram_join._point(y) for _, y in pairs]))
+    assert all(b >= len(np.intersect1d(x, y)) for b, (x, y) in zip(bound, pairs, strict=True))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

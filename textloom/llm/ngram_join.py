@@ -28,12 +28,14 @@ from textloom.llm.components import components
 
 SHINGLE = 5
 #: Jaccard of at least 3/4: 7 * intersection >= 3 * (sum of the sizes).
-#: Buckets of the count sketch, 2 ** SKETCH_BITS: 4 MB whatever the corpus holds.
-SKETCH_BITS = 20
+#: Buckets of the count sketch, 2 ** SKETCH_BITS: 16 MB whatever the corpus holds.
+SKETCH_BITS = 22
 _SKETCH_BLOCK = 1 << 16
-#: Groups that shingles are hashed into: coordinates of a point.
-GROUPS = 128
-_FULL = 65_535
+#: Groups that shingles are hashed into, the coordinates of a point: a power of two, a quarter of the set's size
+#: or up to twice that, as chance overlap of group counts is told from real overlap only by some few a group.
+#: A point with twice the groups folds onto one with fewer by adding its halves.
+LEAST_GROUPS, MOST_GROUPS = 32, 1 << 16
+_FULL = 255
 #: Keys that a task gathers before it looks for shared ones: 64 MB.
 LOCAL_KEYS = 4_000_000
 #: Rows of a side that are compared in one go; larger blocks are cut into a grid.
@@ -81,16 +83,33 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def _point(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), _FULL).astype("<u2").tobytes()
+    groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (max(1, len(s) // 4) - 1).bit_length()))
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), _FULL).astype("u1").tobytes()
 
 
 def _coordinates(points) -> np.ndarray:
-    """Points as rows of an array; a full coordinate bounds nothing."""
-    out = np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    """Points of one length as rows of an array; a full coordinate bounds nothing."""
+    points = list(points)
+    out = np.frombuffer(b"".join(points), "u1").reshape(len(points), -1).astype(np.int64)
     out[out == _FULL] = 1 << 40
     return out
 
 
+def _folded(points: np.ndarray, groups: int) -> np.ndarray:
+    return points.reshape(len(points), -1, groups).sum(1)
+
+
+def _bounds(ps: pd.Series, qs: pd.Series) -> np.ndarray:
+    """The most that each pair of points can overlap."""
+    out = np.zeros(len(ps), np.int64)
+    for (a, b), at in pd.Series(range(len(ps))).groupby([ps.map(len).to_numpy(), qs.map(len).to_numpy()]):
+        for k in range(0, len(at), 256):
+            i = at.to_numpy()[k : k + 256]
+            groups = min(a, b)
+            out[i] = np.minimum(_folded(_coordinates(ps.iloc[i]), groups), _folded(_coordinates(qs.iloc[i]), groups)).sum(1)
+    return out
+
+
 def linked(size_a, size_b, both):
     return 7 * both >= 3 * (size_a + size_b)
 
@@ -100,6 +119,8 @@ class CountTree:
     the overlap of a query with any of them is at most the sum of the smaller coordinates."""
 
     LEAF, FAN = 32, 8
+    #: Groups of the points before folding, if they were not folded.
+    own = 0
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray):
         spread = points.std(0).argmax() if len(points) else 0
@@ -165,7 +186,7 @@ def _profiles(texts: DataFrame) -> DataFrame:
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
-    """The corpus' counts: the tasks' blocks are summed on the executors; 4 MB reach the driver."""
+    """The corpus' counts: the tasks' blocks are summed on the executors; 16 MB reach the driver."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(_SKETCH_BLOCK, np.int64)
@@ -241,7 +262,7 @@ def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
     def allowed(na: pd.Series, p: pd.Series, nb: pd.Series, q: pd.Series) -> pd.Series:
         if not len(na):
             return pd.Series([], dtype=bool)
-        return pd.Series(linked(na.to_numpy(), nb.to_numpy(), np.minimum(_coordinates(p), _coordinates(q)).sum(1)))
+        return pd.Series(linked(na.to_numpy(), nb.to_numpy(), _bounds(p, q)))
 
     @F.pandas_udf("boolean")
     def same(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -313,14 +334,27 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
         pdf = pd.concat(cell) if len(cell) > 1 else cell[0]
         l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         a, b = [], []
-        if len(l) and len(r):
-            tree = CountTree(l["n"].to_numpy(), _coordinates(l["point"]))
-            nodes, marks = l["node"].to_numpy(), l["label"].to_numpy()
-            for node, label, n, point in zip(r["node"], r["label"], r["n"], _coordinates(r["point"]), strict=True):
-                hit = tree.query(n, point)
-                hit = nodes[hit[marks[hit] != label]]
-                a.append(np.minimum(hit, node))
-                b.append(np.maximum(hit, node))
+        trees: dict[int, list[tuple[CountTree, np.ndarray, np.ndarray]]] = {}
+        for groups, some in l.groupby(l["point"].map(len)):
+            points, sizes = _coordinates(some["point"]), some["n"].to_numpy()
+            entry = some["node"].to_numpy(), some["label"].to_numpy()
+            tree = CountTree(sizes, points)
+            tree.own = groups
+            trees.setdefault(groups, []).append((tree, *entry))
+            if groups > LEAST_GROUPS:  # sizes a third apart differ by one halving at most
+                trees.setdefault(groups // 2, []).append((CountTree(sizes, _folded(points, groups // 2)), *entry))
+        for groups, some in r.groupby(r["point"].map(len)):
+            points = _coordinates(some["point"])
+            views = [(points, trees.get(groups, []))]
+            if groups > LEAST_GROUPS:
+                views.append((_folded(points, groups // 2), [t for t in trees.get(groups // 2, []) if t[0].own == groups // 2]))
+            for view, found in views:
+                for node, label, n, point in zip(some["node"], some["label"], some["n"], view, strict=True):
+                    for tree, nodes, marks in found:
+                        hit = tree.query(n, point)
+                        hit = nodes[hit[marks[hit] != label]]
+                        a.append(np.minimum(hit, node))
+                        b.append(np.maximum(hit, node))
         pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())], ["a", "b"])
 
@@ -342,7 +376,8 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, n_shingles, component_id (smallest id that links reach, itself included)
-    and ``links``, the number of links found between different sets while settling its component.
+    and ``links_found``: how many links between different sets it took to settle its component (not all that
+    there are: pairs of one component are not compared again).
 
     Null, empty and blank texts have an empty set, link with nothing and are their own component. Rows with
     equal ids keep a row each. Rows with a null id take part, but never name a component. All work grows
@@ -383,4 +418,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.join(smallest, "label").join(degree, "node").select("node", "component", "links")
     alone = points.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     out = rows.select("id", "n", "node").join(alone, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links_found"))

@@ -31,7 +31,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("links_found")
 
 
 def op4_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +98,57 @@ FROM docs LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+ORACLE_OP3 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(b) FROM reach WHERE a = d.doc_id)) AS component_id
+FROM docs d LEFT JOIN sizes s USING (doc_id)
+"""
+
+
+def _oracle_op4() -> str:
+    """The walks' rounds one by one."""
+    host = lambda url: rf"translate(regexp_extract(CASE WHEN contains({url}, '://') THEN substring({url}, strpos({url}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', {len(r)})" for v, r in url_graph.RULES)
+    d, rounds = url_graph.DAMPING, []
+    for k in range(1, url_graph.ROUNDS + 1):
+        rounds.append(f"x{k} AS (SELECT walk, host, sum(x) AS x FROM (SELECT * FROM x0 UNION ALL SELECT e.walk, e.b, {d} * w * x FROM x{k - 1} s JOIN edges e ON e.walk = s.walk AND e.a = s.host) GROUP BY 1, 2)")
+    link = url_graph._LINK.replace("'", "''")
+    return rf"""
+WITH p AS (SELECT page_id, html, coalesce({host('url')}, '') AS host,
+    coalesce(regexp_extract(CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(verdict, rule, rhost, rpath, size) AS (VALUES {rules}),
+found AS (SELECT page_id, host, path, arg_max(rule, size) AS rule, arg_max(verdict, size) AS verdict
+  FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+targets AS (SELECT host AS src, {host("CASE WHEN starts_with(t, '//') THEN 'http:' || t ELSE t END")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS t FROM p)),
+links AS (SELECT src, dst, count(*) AS n FROM targets WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+directed AS (SELECT 'trust' AS walk, src AS a, dst AS b, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+edges AS (SELECT walk, a, b, n / CAST(sum(n) OVER (PARTITION BY walk, a) AS DOUBLE) AS w FROM directed),
+shares AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS blocked FROM found WHERE host <> '' GROUP BY host),
+x0 AS (SELECT 'trust' AS walk, host, {1 - d} * allowed AS x FROM shares WHERE allowed > 0 UNION ALL SELECT 'distrust', host, {1 - d} * blocked FROM shares WHERE blocked > 0),
+{", ".join(rounds)},
+mass AS (SELECT host, sum(CASE WHEN walk = 'distrust' THEN x ELSE -x END) / {1 - d} AS m FROM x{url_graph.ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m > {url_graph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(m, 9) AS host_mass
+FROM found LEFT JOIN mass USING (host)
+"""
+
+
+#: Base32 of a SHA-1: five hexadecimal digits are four characters.
+ORACLE_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS sha, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substring(sha, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM s)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[j // 4 + 1] >> CAST(15 - 5 * (j % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": ORACLE_OP2}
+    return {"op2_benchmark_decontamination": ORACLE_OP2, "op3_ngram_jaccard": ORACLE_OP3, "op4_link_graph_filter": _oracle_op4(), "op5_warc_segments": ORACLE_OP5}
