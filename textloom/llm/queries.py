@@ -150,5 +150,39 @@ FROM d
 """
 
 
+def _oracle_op8() -> str:
+    """Cutoffs by the exact distribution, from logarithms of binomial coefficients."""
+    names = list(quality_rules.rules())
+    alpha, delta, scale = quality_rules.MAX_FALSE_REJECTION / len(names), quality_rules.DELTA, quality_rules.SCALE
+    ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE CAST(floor({scale} * {a} / CAST({b} AS DOUBLE)) AS BIGINT) END"
+    value = {"symbols": f"least({ratio('n_symbols', 'word_chars')}, {scale})", "duplicate_lines": ratio("n_dup_lines", "n_lines"), "repeated_words": ratio("n_repeat_words", "n_words")}
+    value["long_words"] = f"CAST(floor(least(({ratio('word_chars', 'n_words')}) / 100.0, {scale})) AS BIGINT)"
+    value["short_words"] = f"-({value['long_words']})"
+    values = ", ".join(f"{value[n]} AS {n}" for n in names)
+    failed = ", ".join(f"CASE WHEN {n} > cut_{n} THEN '{n}' END" for n in names)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT rid, i, [w[i], w[i + 1], w[i + 2]] AS g FROM w, unnest(range(1, len(w) - 1)) AS r(i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
+base AS (SELECT rid, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {values} FROM base),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0),
+holdout AS (UNPIVOT (SELECT rid, stratum, {", ".join(names)} FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)) ON {", ".join(names)} INTO NAME rule VALUE v),
+tests AS (SELECT {len(names)} * count(DISTINCT stratum) AS m FROM holdout),
+sizes AS (SELECT stratum, rule, count(*) AS n FROM holdout GROUP BY 1, 2),
+terms AS (SELECT stratum, rule, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})) AS p FROM sizes, unnest(range(0, CAST(floor(n * {alpha}) AS BIGINT) + 1)) AS r(j)),
+sums AS (SELECT stratum, rule, j, sum(p) OVER (PARTITION BY stratum, rule ORDER BY j) AS s FROM terms),
+allowed AS (SELECT stratum, rule, coalesce(max(j) FILTER (s <= {delta} / m), -1) AS k FROM sums, tests GROUP BY 1, 2),
+above AS (SELECT stratum, rule, v, coalesce(sum(count(*)) OVER (PARTITION BY stratum, rule ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM holdout GROUP BY 1, 2, 3),
+cut AS (SELECT stratum, {", ".join(f"min(v) FILTER (rule = '{n}' AND a <= k) AS cut_{n}" for n in names)} FROM above JOIN allowed USING (stratum, rule) GROUP BY stratum),
+result AS (SELECT j.*, list_filter([{failed}], lambda x: x IS NOT NULL) AS f FROM judged j LEFT JOIN cut USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(f) = 0 AS kept, array_to_string(f, ',') AS failed_rules FROM result
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": ORACLE_OP2, "op3_ngram_jaccard": ORACLE_OP3, "op4_link_graph_filter": _oracle_op4(), "op5_warc_segments": ORACLE_OP5}
+    return {"op2_benchmark_decontamination": ORACLE_OP2, "op3_ngram_jaccard": ORACLE_OP3, "op4_link_graph_filter": _oracle_op4(), "op5_warc_segments": ORACLE_OP5, "op8_risk_controlled_rules": _oracle_op8()}
