@@ -116,7 +116,7 @@ def test_binomial_bound_is_exact(spark):
 
 def test_cutoffs_bound_false_rejections(spark):
     rnd = np.random.default_rng(1)
-    names = list(quality_rules.rules())
+    names = quality_rules.RULES
     rows = [("=en", *[int(x) for x in rnd.integers(0, 5000, len(names))]) for _ in range(6000)] + [("=xx", *[1] * len(names)) for _ in range(20)]
     holdout = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{n} long" for n in names))
     cut = {r.stratum: r for r in quality_rules.certified_cutoffs(holdout).collect()}

@@ -82,10 +82,15 @@ def _ratio(a: str, b: str) -> Column:
     return F.coalesce(F.floor(F.lit(SCALE) * F.col(a) / F.nullif(F.col(b), F.lit(0))), F.lit(0)).cast("long")
 
 
+#: Names of the rules, in the order in which failed ones are listed.
+RULES = ["symbols", "duplicate_lines", "repeated_words", "long_words", "short_words"]
+
+
 def rules() -> dict[str, Column]:
-    """A document is the worse, the larger a rule's value is."""
+    """Values by rule: a document is the worse, the larger one is."""
     word = F.least(_ratio("word_chars", "n_words") / 100, F.lit(SCALE)).cast("long")  # hundredths of a character
-    return {"symbols": F.least(_ratio("n_symbols", "word_chars"), F.lit(SCALE)), "duplicate_lines": _ratio("n_dup_lines", "n_lines"), "repeated_words": _ratio("n_repeat_words", "n_words"), "long_words": word, "short_words": -word}
+    values = [F.least(_ratio("n_symbols", "word_chars"), F.lit(SCALE)), _ratio("n_dup_lines", "n_lines"), _ratio("n_repeat_words", "n_words"), word, -word]
+    return dict(zip(RULES, values, strict=True))
 
 
 def allowed_above(n: Column, alpha: float, log_delta: Column) -> Column:
@@ -108,7 +113,7 @@ def certified_cutoffs(holdout: DataFrame, max_false_rejection: float = MAX_FALSE
 
     Counts per value come first, so a hot stratum meets in one task only as its distinct values, of which
     a rule has some 20,001 at most."""
-    names = list(rules())
+    names = RULES
     long = holdout.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in names])).alias("x")).select("stratum", "x.rule", "x.value")
     counts = materialize(long.groupBy("stratum", "rule", "value").agg(F.count("*").alias("n")), "holdout")
     tests = counts.select("stratum").distinct().count() * len(names)
@@ -127,7 +132,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     all say quality 1 and not toxic (null: unknown, not a holdout). A null stratum is a stratum of its own. A null id
     is judged too, but never a holdout. Empty tables give an empty result or, without labels, the base
     verdict."""
-    names = list(rules())
+    names = RULES
     stats = with_base_stats(docs.select(F.col(id_col).alias("__id"), F.col(stratum_col).cast("string").alias("__s"), F.col(text_col).alias("__text")), "__text").drop("__text")
     stats = stats.withColumn("stratum", F.coalesce(F.concat(F.lit("="), "__s"), F.lit(""))).withColumn("base_failed", base_failed()).withColumns(rules())
     stats = materialize(stats.drop("__s"), "stats")

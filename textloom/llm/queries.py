@@ -152,7 +152,7 @@ FROM d
 
 def _oracle_op8() -> str:
     """Cutoffs by the exact distribution, from logarithms of binomial coefficients."""
-    names = list(quality_rules.rules())
+    names = quality_rules.RULES
     alpha, delta, scale = quality_rules.MAX_FALSE_REJECTION / len(names), quality_rules.DELTA, quality_rules.SCALE
     ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE CAST(floor({scale} * {a} / CAST({b} AS DOUBLE)) AS BIGINT) END"
     value = {"symbols": f"least({ratio('n_symbols', 'word_chars')}, {scale})", "duplicate_lines": ratio("n_dup_lines", "n_lines"), "repeated_words": ratio("n_repeat_words", "n_words")}
