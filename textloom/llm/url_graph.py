@@ -73,7 +73,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     if not edges.isEmpty():
         start = state
         for k in range(1, rounds + 1):
-            sent = state.join(edges, (state.walk == edges.walk) & (state.host == edges.a)).select(edges.walk, F.col("b").alias("host"), (damping * F.col("w") * F.col("x")).alias("x"))
+            sent = state.join(edges.withColumnRenamed("a", "host"), ["walk", "host"]).select("walk", F.col("b").alias("host"), (damping * F.col("w") * F.col("x")).alias("x"))
             state = start.unionByName(sent).groupBy("walk", "host").agg(F.sum("x").alias("x"))
             if k % CUT_EVERY == 0:
                 state = materialize(state, "host-ranks")
