@@ -30,12 +30,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Of rows with that id, those of one text."""
-    found = ngram_join.near_duplicates(docs)
+    """One document of each group: that with the smallest id. Rows alike in id and text become one. Rows
+    without an id stay."""
+    found = materialize(ngram_join.near_duplicates(docs), "near")
     # The ids that go are fewer than the documents, and narrow.
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     gone = small_or_shuffled(materialize(gone, "gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
