@@ -128,6 +128,7 @@ def write_token_files(
                 at += len(texts)
         if doc_ids:
             yield row()
+        tok.rest()
 
     keyed = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     tie = F.xxhash64("__text")

@@ -173,6 +173,7 @@ def pack(
                 at += len(texts)
         if held:
             yield from block()
+        tok.rest()
 
     keyed = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return keyed.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))

@@ -38,7 +38,7 @@ class PieceEncoder:
     as many are kept, of some 200 bytes each).
     """
 
-    def __init__(self, path: str, capacity: int = 700_000):
+    def __init__(self, path: str, capacity: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -82,6 +82,10 @@ class PieceEncoder:
             del self._spaced[p]
         return out
 
+    def rest(self) -> None:
+        """To be called at a task's end: a worker lives on, and shares its executor's memory with other steps."""
+        self._old = ({}, {})
+
     def _learn(self, pieces: set[str], known: dict[str, bytes], old: dict[str, bytes], before: str) -> list[str]:
         """Makes all pieces known; returns those too long to keep."""
         new = [p for p in pieces if p not in known]
