@@ -211,7 +211,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
 
 def test_tree_bound_loses_nothing():
     rnd = np.random.default_rng(3)
-    points = rnd.integers(0, 6, (500, 128))
+    points = rnd.integers(0, 6, (500, 128)).astype(np.int64)
     points[250:] = np.maximum(points[:250] + rnd.integers(-1, 2, points[:250].shape) * (rnd.random(points[:250].shape) < 0.1), 0)
     sizes = points.sum(1)
     tree = ngram_join.CountTree(sizes, points)

@@ -31,18 +31,18 @@ SHINGLE = 5
 #: Buckets of the count sketch, 2 ** SKETCH_BITS: 16 MB whatever the corpus holds.
 SKETCH_BITS = 22
 _SKETCH_BLOCK = 1 << 16
-#: Groups that shingles are hashed into, the coordinates of a point: a power of two, a quarter of the set's size
-#: or up to twice that, as chance overlap of group counts is told from real overlap only by some few a group.
-#: A point with twice the groups folds onto one with fewer by adding its halves.
-LEAST_GROUPS, MOST_GROUPS = 32, 1 << 16
+#: Groups that shingles are hashed into, the coordinates of a point: a power of two, the set's size or up to
+#: twice that, as chance overlap of group counts is told from real overlap only by a few a group. A point with
+#: twice the groups folds onto one with fewer by adding its halves; the tree holds points folded by COARSE.
+LEAST_GROUPS, MOST_GROUPS, COARSE = 32, 1 << 14, 4
 _FULL = 255
-#: Keys that a task gathers before it looks for shared ones: 64 MB.
-LOCAL_KEYS = 4_000_000
+#: Keys that a task gathers before it looks for shared ones: 24 MB.
+LOCAL_KEYS = 1_000_000
 #: Rows of a side that are compared in one go; larger blocks are cut into a grid.
 PIECE = 4_096
 #: Rounds in which unresolved blocks are linked to other pivots before pairs are compared.
 PIVOT_TURNS = 2
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -83,30 +83,34 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def _point(s: np.ndarray) -> bytes:
-    groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (max(1, len(s) // 4) - 1).bit_length()))
+    groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (len(s) - 1).bit_length()))
     return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), _FULL).astype("u1").tobytes()
 
 
 def _coordinates(points) -> np.ndarray:
-    """Points of one length as rows of an array; a full coordinate bounds nothing."""
+    """Points of one length as rows of an array."""
     points = list(points)
-    out = np.frombuffer(b"".join(points), "u1").reshape(len(points), -1).astype(np.int64)
-    out[out == _FULL] = 1 << 40
-    return out
+    return np.frombuffer(b"".join(points), "u1").reshape(len(points), -1)
 
 
 def _folded(points: np.ndarray, groups: int) -> np.ndarray:
-    return points.reshape(len(points), -1, groups).sum(1)
+    return points if points.shape[1] == groups else points.reshape(len(points), -1, groups).sum(1, dtype=np.uint32)
+
+
+def _overlap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The most that sets can overlap: summed coordinate minima. Only sets of millions fill a coordinate."""
+    return np.minimum(p, q).sum(-1, dtype=np.int64)
 
 
 def _bounds(ps: pd.Series, qs: pd.Series) -> np.ndarray:
-    """The most that each pair of points can overlap."""
+    """The most that each pair of points can overlap. A point with a full coordinate bounds nothing."""
     out = np.zeros(len(ps), np.int64)
     for (a, b), at in pd.Series(range(len(ps))).groupby([ps.map(len).to_numpy(), qs.map(len).to_numpy()]):
         for k in range(0, len(at), 256):
             i = at.to_numpy()[k : k + 256]
-            groups = min(a, b)
-            out[i] = np.minimum(_folded(_coordinates(ps.iloc[i]), groups), _folded(_coordinates(qs.iloc[i]), groups)).sum(1)
+            groups, p, q = min(a, b), _coordinates(ps.iloc[i]), _coordinates(qs.iloc[i])
+            full = (p == _FULL).any(1) | (q == _FULL).any(1)
+            out[i] = np.where(full, 1 << 60, _overlap(_folded(p, groups), _folded(q, groups)))
     return out
 
 
@@ -119,11 +123,9 @@ class CountTree:
     the overlap of a query with any of them is at most the sum of the smaller coordinates."""
 
     LEAF, FAN = 32, 8
-    #: Groups of the points before folding, if they were not folded.
-    own = 0
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        spread = points.std(0).argmax() if len(points) else 0
+        spread = points[:256].std(0).argmax() if len(points) else 0
         self.order = np.lexsort((points[:, spread], sizes))
         self.sizes, self.points = sizes[self.order], points[self.order]
         self.levels = []
@@ -140,7 +142,7 @@ class CountTree:
     def _may(size: int, point: np.ndarray, tops: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Which boxes may hold a linked point, sizes from low to high."""
         fits = (4 * high >= 3 * size) & (3 * low <= 4 * size)
-        return fits & linked(size, low, np.minimum(point, tops).sum(1))
+        return fits & linked(size, low, _overlap(point, tops))
 
     def query(self, size: int, point: np.ndarray) -> np.ndarray:
         """Positions, in the order given, of points that the bound allows to be linked."""
@@ -163,7 +165,7 @@ def _profiles(texts: DataFrame) -> DataFrame:
     """A row per document (id, n, node, point), and the task's part of the count sketch in blocks."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
@@ -174,11 +176,11 @@ def _profiles(texts: DataFrame) -> DataFrame:
                     node.append(_node(s) if len(s) else None)
                     point.append(_point(s) if len(s) else None)
                     seen.append(_bucket(s))
-                sketch += np.bincount(np.concatenate(seen), minlength=1 << SKETCH_BITS)
+                np.add.at(sketch, np.concatenate(seen), 1)
                 none = pa.nulls(len(n), pa.int32())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()), none, pa.nulls(len(n), pa.binary())], ["id", "n", "node", "point", "block", "counts"])
         if sketch.any():
-            blobs = [zlib.compress(sketch[i : i + _SKETCH_BLOCK].astype("<u4").tobytes(), 1) for i in range(0, len(sketch), _SKETCH_BLOCK)]
+            blobs = [zlib.compress(sketch[i : i + _SKETCH_BLOCK].astype("<u4", copy=False).tobytes(), 1) for i in range(0, len(sketch), _SKETCH_BLOCK)]
             k = len(blobs)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], ["id", "n", "node", "point", "block", "counts"])
 
@@ -334,27 +336,26 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
         pdf = pd.concat(cell) if len(cell) > 1 else cell[0]
         l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         a, b = [], []
-        trees: dict[int, list[tuple[CountTree, np.ndarray, np.ndarray]]] = {}
-        for groups, some in l.groupby(l["point"].map(len)):
-            points, sizes = _coordinates(some["point"]), some["n"].to_numpy()
-            entry = some["node"].to_numpy(), some["label"].to_numpy()
-            tree = CountTree(sizes, points)
-            tree.own = groups
-            trees.setdefault(groups, []).append((tree, *entry))
-            if groups > LEAST_GROUPS:  # sizes a third apart differ by one halving at most
-                trees.setdefault(groups // 2, []).append((CountTree(sizes, _folded(points, groups // 2)), *entry))
-        for groups, some in r.groupby(r["point"].map(len)):
-            points = _coordinates(some["point"])
-            views = [(points, trees.get(groups, []))]
-            if groups > LEAST_GROUPS:
-                views.append((_folded(points, groups // 2), [t for t in trees.get(groups // 2, []) if t[0].own == groups // 2]))
-            for view, found in views:
-                for node, label, n, point in zip(some["node"], some["label"], some["n"], view, strict=True):
-                    for tree, nodes, marks in found:
-                        hit = tree.query(n, point)
-                        hit = nodes[hit[marks[hit] != label]]
-                        a.append(np.minimum(hit, node))
-                        b.append(np.maximum(hit, node))
+        # Sides by their number of groups; sizes a third apart differ by one halving at most. Points with a full
+        # coordinate are compared with all.
+        left = {g: some for g, some in l.groupby(l["point"].map(len))}
+        for own, some in r.groupby(r["point"].map(len)):
+            for other in (own // 2, own, own * 2):
+                if other not in left:
+                    continue
+                against, groups = left[other], min(own, other)
+                fine, mine = _folded(_coordinates(against["point"]), groups), _folded(_coordinates(some["point"]), groups)
+                sizes, nodes, marks = against["n"].to_numpy(), against["node"].to_numpy(), against["label"].to_numpy()
+                full = (_coordinates(against["point"]) == _FULL).any(1)
+                coarse = max(LEAST_GROUPS, groups // COARSE)
+                tree, views = CountTree(sizes, _folded(fine, coarse)), _folded(mine, coarse)
+                for node, label, n, point, view, raw in zip(some["node"], some["label"], some["n"], mine, views, some["point"], strict=True):
+                    hit = np.arange(len(sizes)) if _FULL in raw else np.union1d(tree.query(n, view), np.flatnonzero(full))
+                    hit = hit[marks[hit] != label]
+                    if _FULL not in raw:
+                        hit = hit[full[hit] | linked(n, sizes[hit], _overlap(point, fine[hit]))]
+                    a.append(np.minimum(nodes[hit], node))
+                    b.append(np.maximum(nodes[hit], node))
         pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())], ["a", "b"])
 
