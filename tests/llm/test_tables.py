@@ -65,3 +65,15 @@ def test_empty_tables(spark, docs, labels, benchmark):
     path = fresh_path(spark, "test")
     warc.write_archive(pages, path)
     assert warc.read_archive(spark, path).count() == 0
+
+
+def test_release_deletes_what_was_made(spark):
+    from pathlib import Path
+
+    from textloom.llm import common
+
+    path = Path(common.fresh_path(spark, "test").removeprefix("file://"))
+    common.materialize(spark.range(3), "test").count()
+    path.mkdir()
+    common.release(spark)
+    assert not path.exists() and not list(path.parent.glob("textloom-test-*"))

@@ -16,6 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 1_000_000
 
 _own_dirs: dict[int, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which ``release`` will delete."""
+    _made.append(f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,11 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path in any file system that Spark can reach."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+def release(spark: SparkSession) -> None:
+    """Delete all that this driver has put into the shared folder, in any file system that Spark can reach.
+    To be called when results that were made from it have been written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        target.getFileSystem(conf).delete(target, True)
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
