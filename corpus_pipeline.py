@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import WORD
 from textloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_bayes
 from textloom.llm.common import materialize, small_or_shuffled
 
@@ -24,9 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those that lose all they have go."""
+    """Documents without repeated lines; those that lose lines and have no line with a word left go."""
     clean = line_dedup.dedup_lines(docs)
-    return clean.where("text <> '' or ld_exact + ld_near = 0").select(*docs.columns)
+    return clean.where((F.col("ld_exact") + F.col("ld_near") == 0) | F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,14 @@ def test_lines_match_brute_force(spark):
         assert got[d].text == wanted and got[d].ld_exact + got[d].ld_near == len(lines) - len(kept), (d, before)
 
 
+def test_short_lines_outlive_a_repeated_one(spark):
+    header = "Licensed under the terms of the header"
+    rows = [(1, f"{header}\none\ntwo"), (2, f"{header}\n一二三\n\n  four"), (3, header), (4, f"{header}\n--")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: (r.text, r.n_chars, r.ld_lines, r.ld_exact) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1]), 3, 0), 2: ("一二三\n\n  four", 11, 4, 1), 3: ("", 0, 1, 1), 4: ("--", 2, 2, 1)}
+
+
 def brute_components(rows):
     sets = {}
     for d, t in rows:

@@ -114,9 +114,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the lines that an earlier line makes superfluous, and ld_lines (lines before),
     ld_exact and ld_near (lines dropped). Columns of these names are replaced.
 
-    A document that loses lines and keeps none of ``min_chars`` or more becomes empty: what is left of it is
-    scraps. ``chars_col``, if present, follows the text. Null texts stay null and have no lines. Rows equal
-    in id and text count as one document and are treated alike; a null id comes last."""
+    Every other line stays as it is, those below ``min_chars`` included: they were not compared. ``chars_col``,
+    if present, follows the text. Null texts stay null and have no lines. Rows equal in id and text count as
+    one document and are treated alike; a null id comes last."""
     found = materialize(find_duplicate_lines(docs, id_col, text_col, min_chars, short), "line-places")
     rows = found.limit(BROADCAST_ROWS + 1).count()
     lost = found.groupBy("doc").agg(F.collect_set("pos").alias("lost"), F.count_if("near").alias("near"))
@@ -127,9 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.join(F.broadcast(lost) if rows <= BROADCAST_ROWS else lost, "doc", "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost"), lambda i: F.col("lines")[i])
     changed = F.col("lost").isNotNull()
-    out = out.withColumn("kept", F.when(changed, kept))
-    some = F.exists("kept", lambda x: F.length(F.trim(x, F.lit(" \t\r"))) >= min_chars)
-    out = out.withColumn("new", F.when(changed, F.when(some, F.array_join("kept", "\n")).otherwise(F.lit(""))).otherwise(F.col("row")[text_col]))
+    out = out.withColumn("new", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("row")[text_col]))
 
     def cell(c: str) -> Column:
         old = F.col("row")[c]
