@@ -123,6 +123,25 @@ def test_engine(spark):
     assert [r.value for r in engine.metadata_values("lang").collect()] == ["de", "en"]
 
 
+def test_no_limit_is_no_cut(spark):
+    n = 10_050
+    hits = spark.range(n).select(F.col("id"), F.col("id").alias("doc_id"), ((F.col("id") * 7919 % 997) / 997).alias("score"))
+    wanted = [r.id for r in sorted(hits.collect(), key=lambda r: (-r.score, r.id))]
+    assert fulltext.top(hits, None).count() == n
+    assert [r.id for r in vector.top_k(hits, None).orderBy("rank").collect()] == wanted
+    assert vector.top_k(hits, None, threshold=0.25).count() == hits.where("score >= 0.25").count()
+    lists = vector.ranked_lists(hits.withColumn("query_no", F.lit(0)), None)
+    assert [(r.id, r.rank) for r in lists.orderBy("rank").collect()] == [(x, k) for k, x in enumerate(wanted, 1)]
+    assert [r.id for r in vector.fused(lists).orderBy("rank").collect()] == wanted
+
+
+def test_hits_of_other_languages_take_no_place(spark):
+    docs = spark.range(10_000, 20_100).select(F.col("id").alias("doc_id"), F.lit("The same old cat.").alias("text"), F.when(F.col("id") < 20_050, "de").otherwise("en").alias("lang"))
+    hits, histogram = TextEngine(spark, docs).search_api("cat", "hybrid", 0.1, {"lang": "en"})
+    assert {r.doc_id for r in hits.select("doc_id").collect()} == {str(k) for k in range(20_050, 20_100)}
+    assert histogram.agg(F.sum("participants")).first()[0] == 50
+
+
 def test_stream_matches_batch(spark, tmp_path):
     from textloom.operators.index import build_postings, term_rows
     from textloom.streaming.ingest import stream_postings

@@ -87,6 +87,17 @@ def with_normalized_scores(hits: DataFrame, query: str) -> DataFrame:
     return hits.join(F.broadcast(top)).withColumn("normalized_score", normalized_score(F.col("search_type"), F.col("score"), F.col("__max"), F.col("text"), query)).drop("__max")
 
 
+def _semantic_score() -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))
+
+
+def semantic_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
+    """What ``score_threshold`` does to semantic hits, whose scores do not depend on other hits."""
+    if not threshold or threshold <= 0:
+        return hits
+    return hits.where((F.col("search_type") != "semantic") | (_semantic_score() >= threshold))
+
+
 def score_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
     """Hits whose score, semantic as it is and full-text as a share of the largest, reaches the threshold; in
     every search mode. No threshold, or one of 0, keeps all."""
@@ -94,7 +105,7 @@ def score_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
         return hits
     top = hits.agg(F.coalesce(F.max(F.when(F.col("search_type") == "fulltext", F.col("score"))), F.lit(0.0)).alias("__max"))
     share = F.when(F.col("__max") > 0, F.col("score") / F.col("__max")).otherwise(0.0)
-    value = F.when(F.col("search_type") == "fulltext", share).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
+    value = F.when(F.col("search_type") == "fulltext", share).otherwise(_semantic_score())
     return hits.join(F.broadcast(top)).where(value >= threshold).drop("__max")
 
 
@@ -110,3 +121,11 @@ def ranked(df: DataFrame, *order: Column, by: list[str] | None = None, name: str
     """With 1, 2, 3... in an order, within groups if given."""
     window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     return df.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("long"))
+
+
+def best(df: DataFrame, *order: Column, limit: int | None = None, name: str = "rank") -> DataFrame:
+    """The first ``limit`` rows in an order with 1, 2, 3... Without a limit all rows, with numbers that grow in
+    the order but have gaps: they are given out in the tasks of the sort, so none holds all rows."""
+    if limit is None:
+        return df.orderBy(*order).withColumn(name, F.monotonically_increasing_id() + 1)
+    return ranked(df.orderBy(*order).limit(limit), *order, name=name)

@@ -14,8 +14,6 @@ from textloom.functions.stem import porter
 from textloom.operators.index import MIN_TOKEN, Index
 
 K1, B = 1.2, 0.75
-#: Hits of a search without a limit.
-UNLIMITED = 10_000
 
 
 def query_terms(query: str, analyzer: str = "plain") -> list[str]:
@@ -44,8 +42,9 @@ def search_terms(index: Index, terms: list[str], require_all: bool = True) -> Da
 
 
 def top(hits: DataFrame, limit: int | None) -> DataFrame:
-    """The best hits; ties by id. Sort and limit stay together, so each task keeps ``limit`` rows."""
-    return hits.orderBy(F.desc("score"), "doc_id").limit(UNLIMITED if limit is None else limit)
+    """The best hits, ties by id; without a limit all of them, in no order. Sort and limit stay together, so
+    each task keeps ``limit`` rows."""
+    return hits if limit is None else hits.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 # Query syntax: AND, OR, NOT, brackets, "phrases", pre*, wi?d*, fuzzy~2, field:term, boost^2; words alone are AND-ed.
@@ -254,6 +253,6 @@ def search(index: Index, query: str, limit: int | None = None, fallback: bool =
         both = exact.unionByName(fuzzy)
         best = F.max_by(F.struct("score", "matched", "match_type"), F.struct("score", (F.col("match_type") == "exact").alias("e")))
         out = both.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*")
-    from textloom.functions.present import ranked
+    from textloom.functions.present import best as best_rows
 
-    return ranked(top(out, limit), F.desc("score"), F.col("doc_id"))
+    return best_rows(out, F.desc("score"), F.col("doc_id"), limit=limit)

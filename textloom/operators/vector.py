@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OVER_FETCH, UNLIMITED, DEFAULT_LIMIT = 5, 10_000, 10
+OVER_FETCH, DEFAULT_LIMIT = 5, 10
 RRF_K = 40
 
 
@@ -33,18 +33,34 @@ def query_similarities(vectors: DataFrame, queries: DataFrame, column: str = "em
 
 def top_k(scored: DataFrame, limit: int | None = DEFAULT_LIMIT, id_col: str = "id", threshold: float | None = None) -> DataFrame:
     """The best rows with their rank; a threshold drops rows afterwards, and ranks keep their gaps. A limit of
-    0 means the default, none means 10,000."""
-    from textloom.functions.present import ranked
+    0 means the default. Without a limit all rows that reach the threshold."""
+    from textloom.functions.present import best
 
-    n = UNLIMITED if limit is None else limit or DEFAULT_LIMIT
-    out = ranked(scored.orderBy(F.desc("score"), id_col).limit(n), F.desc("score"), F.col(id_col))
-    return out.where(F.col("score") >= threshold) if threshold else out
+    order, reached = [F.desc("score"), F.col(id_col)], F.col("score") >= (threshold or 0.0)
+    if limit is None:
+        return best(scored.where(reached) if threshold else scored, *order)
+    out = best(scored, *order, limit=limit or DEFAULT_LIMIT)
+    return out.where(reached) if threshold else out
 
 
-def ranked_lists(scored: DataFrame, depth: int, id_col: str = "id") -> DataFrame:
-    """The best ``depth`` rows of each query with their rank."""
-    order = Window.partitionBy("query_no").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= depth)
+#: Rows of one query are ranked in ranges of scores of this width.
+SCORE_STEP = 0.001
+
+
+def ranked_lists(scored: DataFrame, depth: int | None, id_col: str = "id") -> DataFrame:
+    """The best ``depth`` rows of each query with their rank; without a depth all rows. Those are ranked within
+    ranges of scores, behind the rows of the ranges above, so no task holds all rows of a query."""
+    if depth is not None:
+        order = Window.partitionBy("query_no").orderBy(F.desc("score"), id_col)
+        return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= depth)
+    cut = F.coalesce(F.floor(F.col("score") / SCORE_STEP), F.lit(-1 << 40)).alias("__cut")
+    rows = scored.select("*", cut)
+    counts = rows.groupBy("query_no", "__cut").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("query_no").orderBy(F.desc("__cut")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("query_no", "__cut", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("__before"))
+    order = Window.partitionBy("query_no", "__cut").orderBy(F.desc("score"), id_col)
+    rows = rows.withColumn("__k", F.row_number().over(order)).join(before, ["query_no", "__cut"])
+    return rows.select(*scored.columns, (F.col("__before") + F.col("__k")).cast("long").alias("rank"))
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int = RRF_K, id_col: str = "id") -> DataFrame:
@@ -55,10 +71,10 @@ def reciprocal_rank_fusion(lists: DataFrame, k: int = RRF_K, id_col: str = "id")
 
 
 def fused(lists: DataFrame, limit: int | None = None, k: int = RRF_K, id_col: str = "id") -> DataFrame:
-    from textloom.functions.present import ranked
+    """Fused rows with their rank; without a limit all of them."""
+    from textloom.functions.present import best
 
-    out = reciprocal_rank_fusion(lists, k, id_col).orderBy(F.desc("rrf"), "first_seen", id_col).limit(UNLIMITED if limit is None else limit)
-    return ranked(out, F.desc("rrf"), F.col("first_seen"), F.col(id_col)).drop("first_seen")
+    return best(reciprocal_rank_fusion(lists, k, id_col), F.desc("rrf"), F.col("first_seen"), F.col(id_col), limit=limit).drop("first_seen")
 
 
 def aggregate_chunks(hits: DataFrame, how: str = "best", doc_col: str = "doc_id", chunk_col: str = "id") -> DataFrame:

@@ -108,7 +108,7 @@ class TextEngine:
     def search_semantic(self, query: str, limit: int | None = None, threshold: float | None = None, aggregate: str = "none") -> tuple[DataFrame, str]:
         phrases, how = expansion_phrases(query, self.expander)
         vectors = [(k, [float(x) for x in v]) for k, v in enumerate(self.embedder.encode(phrases))]
-        fetch = vector.UNLIMITED if limit is None else (limit or vector.DEFAULT_LIMIT) * (1 if aggregate == "none" else vector.OVER_FETCH)
+        fetch = None if limit is None else (limit or vector.DEFAULT_LIMIT) * (1 if aggregate == "none" else vector.OVER_FETCH)
         columns = self.chunks.select("id", "doc_id", "text", "embedding")
         if len(vectors) == 1:
             hits = vector.top_k(vector.similarities(columns, vectors[0][1]).drop("embedding"), fetch, threshold=threshold)
@@ -119,13 +119,14 @@ class TextEngine:
             hits = hits.where(F.col("score") >= threshold) if threshold else hits
         if aggregate != "none":
             found = vector.aggregate_chunks(hits, aggregate).withColumnRenamed("chunk", "id")
-            best = found.orderBy(F.desc("score"), "doc_id").limit(vector.UNLIMITED if limit is None else limit or vector.DEFAULT_LIMIT)
-            hits = P.ranked(best, F.desc("score"), F.col("doc_id")).join(columns.select("id", "text"), "id")
+            n = None if limit is None else limit or vector.DEFAULT_LIMIT
+            hits = P.best(found, F.desc("score"), F.col("doc_id"), limit=n).join(columns.select("id", "text"), "id")
         return hits.select("id", "doc_id", "text", "score", F.col("rank").alias("ordinal"), F.lit(aggregate == "none").alias("is_chunk")), how
 
     def search(self, query: str, search_type: str = "hybrid", limit: int | None = None, threshold: float | None = None, filters: dict[str, Any] | None = None, filter_stage: str = "post") -> SearchResult:
         """Engines, merge, limit, documents, then filters, excerpts that start with metadata, and the threshold:
-        so fewer than ``limit`` rows can be left. ``filter_stage="pre"`` filters documents before the search.
+        so fewer than ``limit`` rows can be left. Without a limit nothing is cut, and ``rank`` has gaps.
+        ``filter_stage="pre"`` filters documents before the search.
         A failing engine leaves its error in the status and the other's hits in the result."""
         engine = self
         if filters and filter_stage == "pre":
@@ -152,9 +153,9 @@ class TextEngine:
             hits, order = some_full.withColumns({"search_type": F.lit("fulltext"), "is_chunk": F.lit(False)}), [F.desc("score"), F.col("id")]
         else:
             hits, order = (semantic if semantic is not None else empty).withColumn("search_type", F.lit("semantic")), [F.col("ordinal")]
-        if limit is not None:
-            hits = hits.orderBy(*order).limit(limit)
-        hits = P.ranked(hits, *order)
+        if limit is None:
+            hits = P.semantic_threshold(hits, threshold)  # no hit takes another's place, so before the documents
+        hits = P.best(hits, *order, limit=limit)
         meta = self.docs.withColumn("doc_id", F.col("doc_id").cast("string")).withColumnRenamed("text", "full_text")
         hits = hits.join(meta, "doc_id", "left")
         if filter_stage == "post":
