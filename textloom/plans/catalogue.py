@@ -99,7 +99,7 @@ def chunks_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ascii_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("“"), F.left("text", F.lit(200)), F.lit("”–—’"))
+    text = F.concat(F.lit("“"), F.col("text"), F.lit("”–—’"))
     return documents(spark, sf_dir).select("doc_id", T.ascii_safe(text).alias("safe"))
 
 
