@@ -14,3 +14,15 @@ def tables(spark, folder, **rows):
 def test_ascii_safe_reads_past_200_characters(spark, tmp_path):
     path = tables(spark, tmp_path, documents=([(1, "x" * 250 + "“a”…")], "doc_id long, text string"))
     assert catalogue.queries()["ascii_safe"](spark, path).first().safe == '"' + "x" * 250 + '"a"..."--\''
+
+
+def test_vector_searches_take_every_query_and_every_row(spark, tmp_path):
+    rows = [(k, [1.0, k / 1000], k % 3) for k in range(160)]
+    path = tables(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    found = {name: catalogue.queries()[name](spark, path) for name in ("cosine_threshold", "cosine_topk", "agg_best", "agg_avg_top3", "agg_sum")}
+    counts = {name: {r.query_no: r["count"] for r in df.groupBy("query_no").count().collect()} for name, df in found.items()}
+    each = lambda n: {0: n, 50: n, 100: n, 150: n}
+    assert counts == {"cosine_threshold": each(160), "cosine_topk": each(10), "agg_best": each(3), "agg_avg_top3": each(3), "agg_sum": each(3)}
+    assert sorted(r["rank"] for r in found["cosine_threshold"].where("query_no = 50").collect()) == list(range(1, 161))
+    # the lists of 150 and 100 have rows that those of 0 to 2 do not
+    assert {50, 100, 150} <= {r.id for r in catalogue.queries()["rrf_fusion"](spark, path).collect()}

@@ -26,11 +26,26 @@ def similarities(vectors: DataFrame, query: list[float], column: str = "embeddin
 
 
 def query_similarities(vectors: DataFrame, queries: DataFrame, column: str = "embedding") -> DataFrame:
-    """``vectors`` with each query (query_no, query_vector) and ``score``. Queries are the phrases of one
-    request, a handful, so they are broadcast."""
+    """``vectors`` with each query (query_no, query_vector) and ``score``. Queries are broadcast: the phrases of
+    one request, a handful, or a block of ``in_blocks``."""
     return vectors.join(F.broadcast(queries)).withColumn("score", F.round(cosine(F.col(column), F.col("query_vector")), 6)).drop("query_vector")
 
 
+#: Query vectors of a block.
+BLOCK = 4096
+
+
+def in_blocks(vectors: DataFrame, queries: DataFrame, column: str = "embedding") -> DataFrame:
+    """``query_similarities`` of any number of queries, in blocks of about BLOCK, each a broadcast of its own."""
+    n = max(1, -(-queries.count() // BLOCK))
+    out = None
+    for k in range(n):
+        block = queries.where(F.pmod(F.xxhash64("query_no"), F.lit(n)) == k) if n > 1 else queries
+        some = query_similarities(vectors, block, column)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 def top_k(scored: DataFrame, limit: int | None = DEFAULT_LIMIT, id_col: str = "id", threshold: float | None = None) -> DataFrame:
     """The best rows with their rank; a threshold drops rows afterwards, and ranks keep their gaps. A limit of
     0 means the default. Without a limit all rows that reach the threshold."""
@@ -77,22 +92,22 @@ def fused(lists: DataFrame, limit: int | None = None, k: int = RRF_K, id_col: st
     return best(reciprocal_rank_fusion(lists, k, id_col), F.desc("rrf"), F.col("first_seen"), F.col(id_col), limit=limit).drop("first_seen")
 
 
-def aggregate_chunks(hits: DataFrame, how: str = "best", doc_col: str = "doc_id", chunk_col: str = "id") -> DataFrame:
-    """Chunk hits by document: ``best`` (or ``max``) keeps the best chunk, ``avg_top3`` and ``sum`` its mean or
+def aggregate_chunks(hits: DataFrame, how: str = "best", doc_col: str = "doc_id", chunk_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Chunk hits by document, and by the columns ``by`` (of a query): ``best`` (or ``max``) keeps the best chunk, ``avg_top3`` and ``sum`` its mean or
     sum; ``none`` changes nothing. Raises for any other name. Returns doc, chunk (the best one), score,
     matching_chunks."""
     if how == "none":
-        return hits.select(F.col(doc_col), F.col(chunk_col).alias("chunk"), "score", F.lit(1).cast("long").alias("matching_chunks"))
+        return hits.select(*by, F.col(doc_col), F.col(chunk_col).alias("chunk"), "score", F.lit(1).cast("long").alias("matching_chunks"))
     best = F.max_by(chunk_col, F.struct("score", -F.col(chunk_col)) if dict(hits.dtypes)[chunk_col] in ("bigint", "int") else F.col("score")).alias("chunk")
     count = F.count("*").alias("matching_chunks")
     if how in ("best", "max"):
-        return hits.groupBy(doc_col).agg(best, F.max("score").alias("score"), count)
+        return hits.groupBy(*by, doc_col).agg(best, F.max("score").alias("score"), count)
     if how == "sum":
-        return hits.groupBy(doc_col).agg(best, F.round(F.sum("score"), 6).alias("score"), count)
+        return hits.groupBy(*by, doc_col).agg(best, F.round(F.sum("score"), 6).alias("score"), count)
     if how == "avg_top3":
-        order = Window.partitionBy(doc_col).orderBy(F.desc("score"), chunk_col)
+        order = Window.partitionBy(*by, doc_col).orderBy(F.desc("score"), chunk_col)
         numbered = hits.withColumn("__k", F.row_number().over(order))
-        return numbered.groupBy(doc_col).agg(F.max(F.when(F.col("__k") == 1, F.col(chunk_col))).alias("chunk"), F.round(F.avg(F.when(F.col("__k") <= 3, F.col("score"))), 6).alias("score"), count)
+        return numbered.groupBy(*by, doc_col).agg(F.max(F.when(F.col("__k") == 1, F.col(chunk_col))).alias("chunk"), F.round(F.avg(F.when(F.col("__k") <= 3, F.col("score"))), 6).alias("score"), count)
     raise ValueError(f"unknown aggregation: {how}")
 
 

@@ -45,9 +45,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def vector_of(spark: SparkSession, sf_dir: str, k: int) -> list[float]:
-    row = vectors(spark, sf_dir).where(F.col("id") == k).select("embedding").first()
-    return list(row.embedding) if row else [0.0] * 64
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their score (and query_no) for each query vector: those whose id 50 divides."""
+    rows = vectors(spark, sf_dir)
+    return vector.in_blocks(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector")))
 
 
 # sources and splitting
@@ -180,25 +181,23 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.top_k(vector.similarities(vectors(spark, sf_dir), vector_of(spark, sf_dir, 0)), 10).select("id", "score", "rank")
+    return vector.ranked_lists(searches(spark, sf_dir), 10).select("query_no", "id", "score", "rank")
 
 
 @query
 def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.top_k(vector.similarities(vectors(spark, sf_dir), vector_of(spark, sf_dir, 0)), 100, threshold=0.2).select("id", "score", "rank")
+    return vector.ranked_lists(searches(spark, sf_dir).where("score >= 0.2"), None).select("query_no", "id", "score", "rank")
 
 
 @query
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = spark.createDataFrame([(k, vector_of(spark, sf_dir, k)) for k in range(3)], "query_no int, query_vector array<double>")
-    lists = vector.ranked_lists(vector.query_similarities(vectors(spark, sf_dir), queries), 50)
+    lists = vector.ranked_lists(searches(spark, sf_dir), 50)
     return vector.reciprocal_rank_fusion(lists).select("id", "rrf", "score")
 
 
 def _aggregated(how: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = vector.similarities(vectors(spark, sf_dir), vector_of(spark, sf_dir, 0))
-        return vector.aggregate_chunks(hits, how, "label").select("label", "score", "matching_chunks")
+        return vector.aggregate_chunks(searches(spark, sf_dir), how, "label", by=("query_no",)).select("query_no", "label", "score", "matching_chunks")
 
     return run
 
