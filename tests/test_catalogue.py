@@ -26,3 +26,10 @@ def test_vector_searches_take_every_query_and_every_row(spark, tmp_path):
     assert sorted(r["rank"] for r in found["cosine_threshold"].where("query_no = 50").collect()) == list(range(1, 161))
     # the lists of 150 and 100 have rows that those of 0 to 2 do not
     assert {50, 100, 150} <= {r.id for r in catalogue.queries()["rrf_fusion"](spark, path).collect()}
+
+
+def test_every_chunk_gets_its_full_text(spark, tmp_path):
+    texts = {1: "One sentence only here.", 2: "A first sentence. A second sentence. A third sentence.", 3: "?"}
+    path = tables(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))
+    got = {r.id: r.n_chars for r in catalogue.queries()["full_text_enrich"](spark, path).collect()}
+    assert got == {f"{d}_chunk_{k}": len(texts[d]) for d, n in ((1, 1), (2, 3), (3, 1)) for k in range(n)}

@@ -332,7 +332,7 @@ def text_source_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def full_text_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    chunks = chunk_table(docs).where("chunk_index = 1").withColumn("participant", F.col("doc_id")).withColumn("doc_id", F.when(F.col("doc_id").cast("long") % 2 == 0, F.col("doc_id")).otherwise(F.concat(F.lit("?"), "doc_id")))
+    chunks = chunk_table(docs).withColumn("participant", F.col("doc_id")).withColumn("doc_id", F.when(F.col("doc_id").cast("long") % 2 == 0, F.col("doc_id")).otherwise(F.concat(F.lit("?"), "doc_id")))
     known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").cast("string").alias("participant"))
     return hybrid.with_full_text(chunks, known, ["participant"]).select("id", F.length("full_text").cast("long").alias("n_chars"))
 
