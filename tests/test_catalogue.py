@@ -33,3 +33,11 @@ def test_every_chunk_gets_its_full_text(spark, tmp_path):
     path = tables(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))
     got = {r.id: r.n_chars for r in catalogue.queries()["full_text_enrich"](spark, path).collect()}
     assert got == {f"{d}_chunk_{k}": len(texts[d]) for d, n in ((1, 1), (2, 3), (3, 1)) for k in range(n)}
+
+
+def test_chunks_and_bullets_cover_long_documents(spark, tmp_path):
+    text = " ".join(f"This is sentence {k}." for k in range(201))
+    path = tables(spark, tmp_path, documents=([(1, text)], "doc_id long, text string"))
+    rows = catalogue.queries()["chunks_2_3"](spark, path).orderBy("chunk_no").collect()
+    assert len(rows) == 67 and " ".join(r.text for r in rows) == text
+    assert catalogue.queries()["bullet_rows"](spark, path).agg(F.sum("sentence_count")).first()[0] == 201

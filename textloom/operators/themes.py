@@ -39,11 +39,12 @@ def clamped_int(c: Column, low: int, high: int) -> Column:
     return F.coalesce(F.least(F.greatest(c.cast("string").try_cast("int"), F.lit(low)), F.lit(high)), F.lit(low))
 
 
-def bullets(quotes: DataFrame) -> DataFrame:
+def bullets(quotes: DataFrame, limit: int | None = T.MAX_CHUNKS) -> DataFrame:
     """One bullet per chunk of two or three sentences of a document's joined quotes (doc_id, quotes): doc_id,
-    bullet_no, bullet_id, bullet, source_text, sentence range, quote (the first)."""
+    bullet_no, bullet_id, bullet, source_text, sentence range, quote (the first). At most ``limit`` a document:
+    what a model call may see."""
     joined = quotes.where(F.size("quotes") > 0).select("doc_id", F.array_join("quotes", " ").alias("t"), F.get("quotes", F.lit(0)).alias("quote"))
-    rows = joined.select("doc_id", "quote", F.posexplode(T.chunks_2_3(T.theme_sentences(F.col("t")))).alias("bullet_no", "c"))
+    rows = joined.select("doc_id", "quote", F.posexplode(T.chunks_2_3(T.theme_sentences(F.col("t")), limit)).alias("bullet_no", "c"))
     bullet_id = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("bullet_no").cast("string")), 256)
     return rows.select("doc_id", "bullet_no", bullet_id.alias("bullet_id"), excerpt(F.col("c.text")).alias("bullet"), F.col("c.text").alias("source_text"), "c.start_sentence_idx", "c.end_sentence_idx", "c.sentence_count", "quote")
 

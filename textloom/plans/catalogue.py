@@ -94,7 +94,7 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunks_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks_2_3(T.theme_sentences(F.col("text")))).alias("chunk_no", "c"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks_2_3(T.theme_sentences(F.col("text")), None)).alias("chunk_no", "c"))
     return rows.select("doc_id", "chunk_no", "c.*")
 
 
@@ -431,7 +431,7 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bullet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = documents(spark, sf_dir).select("doc_id", T.sentences(F.col("text"), T.MIN_SENTENCE).alias("quotes"))
-    return themes.bullets(quotes).select("doc_id", "bullet_no", "bullet", "sentence_count")
+    return themes.bullets(quotes, None).select("doc_id", "bullet_no", "bullet", "sentence_count")
 
 
 # whole runs
