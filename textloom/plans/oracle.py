@@ -64,7 +64,7 @@ def _pieces(text: str, source: str) -> str:
     spaced = rf"regexp_replace({text}, '\s+', ' ', 'g')"
     return f"""parts AS (SELECT doc_id, {_sentences(spaced)} AS s FROM {source}),
 numbered AS (SELECT doc_id, i, s[i + 1] AS t, CASE WHEN len(s) % 3 = 1 AND len(s) >= 4 AND i >= len(s) - 4 THEN (len(s) - 4) // 3 + (i - (len(s) - 4)) // 2 ELSE i // 3 END AS k FROM parts, unnest(range(0, len(s))) AS r(i)),
-pieces AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, string_agg(t, ' ' ORDER BY i) AS text, CAST(min(i) AS INTEGER) AS start_sentence_idx, CAST(max(i) AS INTEGER) AS end_sentence_idx, CAST(count(*) AS INTEGER) AS sentence_count FROM numbered WHERE k < 50 GROUP BY doc_id, k)"""
+pieces AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, string_agg(t, ' ' ORDER BY i) AS text, CAST(min(i) AS INTEGER) AS start_sentence_idx, CAST(max(i) AS INTEGER) AS end_sentence_idx, CAST(count(*) AS INTEGER) AS sentence_count FROM numbered GROUP BY doc_id, k)"""
 
 
 def _found(where: str, having: str = "") -> str:
@@ -75,12 +75,18 @@ def _top(where: str, having: str = "") -> str:
     return f"SELECT * FROM ({_found(where, having)}) ORDER BY score DESC, doc_id LIMIT 50"
 
 
-def _cosine(k: int) -> str:
-    return f"round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {k})), 6)"
+#: Every vector with its score for each query vector: those whose id 50 divides.
+SEARCHES = """scored AS (SELECT q.vec_id AS query_no, e.vec_id AS id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q)"""
+
+
+def _searched(where: str) -> str:
+    ranked = "SELECT query_no, id, score, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, id) AS rank"
+    return f"WITH {SEARCHES} SELECT * FROM ({ranked} FROM scored) WHERE {where}"
 
 
 def _by_label(value: str) -> str:
-    return f"WITH s AS (SELECT label, {_cosine(0)} AS score, vec_id FROM embeddings e), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) SELECT label, {value} AS score, count(*) AS matching_chunks FROM r GROUP BY label"
+    return f"WITH {SEARCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_no, label ORDER BY score DESC, id) AS k FROM scored) SELECT query_no, label, {value} AS score, count(*) AS matching_chunks FROM r GROUP BY query_no, label"
 
 
 def _excerpt(x: str) -> str:
@@ -144,7 +150,6 @@ SELECT doc_id, CASE WHEN len(found) > 0 THEN array_to_string(found[1:5], ' ') WH
 def oracle_sql() -> dict[str, str]:
     entire = "['entire', 'entires', 'moron', 'morons']"
     profile = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM labelled" for c in ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"))
-    rrf = " UNION ALL ".join(f"SELECT vec_id AS id, {_cosine(k)} AS score, row_number() OVER (ORDER BY {_cosine(k)} DESC, vec_id) AS r FROM embeddings e" for k in range(3))
     out = {
         "doc_assembly": f"WITH {ANSWERS} SELECT CAST(conv_id AS VARCHAR) AS id, concat_ws(' ', q1, q2, q3, q4, q5) AS text, conv_id AS row_index, CAST(1 + (q1 IS NOT NULL)::INT + (q2 IS NOT NULL)::INT + (q3 IS NOT NULL)::INT + (q4 IS NOT NULL)::INT + (q5 IS NOT NULL)::INT AS BIGINT) AS n_metadata FROM answers",
         "data_profile_nulls": f"WITH {LABELLED} {profile}",
@@ -155,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "multi_level_chunks": f"SELECT doc_id, count(*) AS n_chunks, CAST(sum(sentence_count) AS BIGINT) AS n_sentences, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT * FROM ({_chunks(2, 1)}) UNION ALL SELECT * FROM ({_chunks(4, 1)})) GROUP BY doc_id",
         "chunk_records": f"WITH {_windows(1, 0)} SELECT doc_id || '_chunk_' || chunk_index AS id, CAST(doc_id AS VARCHAR) AS doc_id, chunk_index, s[a + 1] AS text, true AS is_chunk FROM windows UNION ALL SELECT doc_id || '_chunk_0', CAST(doc_id AS VARCHAR), 0, text, true FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM windows)",
         "chunks_2_3": f"WITH {_pieces('text', 'documents')} SELECT * FROM pieces",
-        "ascii_safe": "SELECT doc_id, replace(replace(translate('“' || left(text, 200) || '”–—’', '‘’“”–—', '''''\"\"--'), '…', '...'), chr(160), ' ') AS safe FROM documents",
+        "ascii_safe": "SELECT doc_id, replace(replace(translate('“' || text || '”–—’', '‘’“”–—', '''''\"\"--'), '…', '...'), chr(160), ' ') AS safe FROM documents",
         "text_batches": "SELECT doc_id, doc_id // 6 AS batch FROM documents",
         "postings_build": f"WITH {INDEX} SELECT term, doc_id, tf FROM postings",
         "term_stats": f"WITH {INDEX} SELECT term, df FROM terms",
@@ -170,9 +175,9 @@ def oracle_sql() -> dict[str, str]:
         "fuzzy_fallback": f"WITH {INDEX}, near AS (SELECT term FROM terms WHERE levenshtein(term, 'disgustingg') <= 2), f AS (SELECT doc_id, round(sum(s), 6) AS score FROM bm25 JOIN near USING (term) GROUP BY doc_id) SELECT doc_id, score, CAST(1 AS BIGINT) AS matched, 'fuzzy' AS match_type, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f ORDER BY score DESC, doc_id LIMIT 200",
         "term_variants": f"WITH t AS (SELECT DISTINCT term FROM (SELECT unnest({_tokens('text')}) AS term FROM benchmark) WHERE length(term) >= 3) SELECT term, array_to_string(list_sort(list_distinct({_variants('term')})), ',') AS variants FROM t",
         "query_terms": f"SELECT item_id, array_to_string(list_filter({_tokens('text')}, lambda t: length(t) >= 3 AND NOT list_contains({_list(STOP_WORDS)}, t)), ' ') AS terms FROM benchmark",
-        "cosine_topk": f"SELECT vec_id AS id, {_cosine(0)} AS score, row_number() OVER (ORDER BY {_cosine(0)} DESC, vec_id) AS rank FROM embeddings e ORDER BY rank LIMIT 10",
-        "cosine_threshold": f"SELECT * FROM (SELECT vec_id AS id, {_cosine(0)} AS score, row_number() OVER (ORDER BY {_cosine(0)} DESC, vec_id) AS rank FROM embeddings e) WHERE rank <= 100 AND score >= 0.2",
-        "rrf_fusion": f"WITH lists AS ({rrf}) SELECT id, round(sum(1 / (40.0 + r)), 9) AS rrf, max(score) AS score FROM lists WHERE r <= 50 GROUP BY id",
+        "cosine_topk": _searched("rank <= 10"),
+        "cosine_threshold": _searched("score >= 0.2"),
+        "rrf_fusion": f"SELECT id, round(sum(1 / (40.0 + rank)), 9) AS rrf, max(score) AS score FROM ({_searched('rank <= 50')}) GROUP BY id",
         "agg_best": _by_label("max(score)"),
         "agg_avg_top3": _by_label("round(avg(score) FILTER (k <= 3), 6)"),
         "agg_sum": _by_label("round(sum(score), 6)"),
@@ -194,7 +199,8 @@ SELECT *, row_number() OVER (ORDER BY exact DESC, search_type = 'fulltext' DESC,
         "metadata_prefix_filter": r"SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND NOT (doc_id % 3 = 1 AND regexp_matches(left(doc_id || ' 34 ' || text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b')) AND NOT (doc_id % 3 = 2 AND regexp_matches(left(text, 140), '^\d+\s+\d+') AND regexp_matches(left(text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b'))",
         "longform_inference": f"WITH {ANSWERS}, q AS (SELECT *, {_strip('''coalesce(substring(q3, 3, 12), substring(q2, 2, 12), '#')''')} AS q FROM answers) SELECT conv_id, CASE {' '.join(f'WHEN length(trim(q{k})) > 0 AND contains(q{k}, q) THEN {k}' for k in range(1, 6))} END AS response FROM q",
         "text_source_select": f"WITH {ANSWERS} SELECT conv_id, {_strip('q2')} AS text FROM answers WHERE length({_strip('''coalesce(q2, '')''')}) > 0",
-        "full_text_enrich": f"WITH {_windows(1, 0)} SELECT d.doc_id || '_chunk_1' AS id, CAST(length(text) AS BIGINT) AS n_chars FROM windows w JOIN documents d USING (doc_id) WHERE chunk_index = 1",
+        "full_text_enrich": f"""WITH {_windows(1, 0)}, c AS (SELECT doc_id, chunk_index FROM windows UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM windows))
+SELECT doc_id || '_chunk_' || chunk_index AS id, CAST(length(text) AS BIGINT) AS n_chars FROM c JOIN documents USING (doc_id)""",
         "participant_keys": f"WITH {LABELLED} SELECT doc_id, coalesce(CAST(quality AS VARCHAR), CAST(doc_id AS VARCHAR)) AS participant FROM labelled",
         "safe_filenames": r"SELECT page_id, left(replace(trim(regexp_replace(' My run ' || url, '[^\p{L}\p{N}\-_. ]', '', 'g')), ' ', '_'), 120) AS name FROM pages",
         "doc_theme_scores": f"WITH {SCORES} SELECT * FROM scores",
