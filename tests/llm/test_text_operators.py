@@ -266,10 +266,65 @@ def test_classifier_on_held_out_documents(spark):
     assert right / len(out) > 0.97
 
 
+def test_toxic_documents_of_every_language_are_found(spark):
+    """Held-out documents: those toxic by a word, and those toxic by how some words begin."""
+    rnd = random.Random(15)
+    syllables = ["ba", "ko", "li", "mu", "ne", "ri", "sa", "to"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 5)))
+    rows, labels = [], []
+    for k in range(1200):
+        words = [word() for _ in range(100)]
+        if k % 4 == 0:
+            for _ in range(4):
+                words[rnd.randrange(100)] = "vile" if k % 8 else "zor" + word() + word()
+        rows.append((k, " ".join(words), f"host{k % 4}", "en"))
+        if k < 700:
+            labels.append((k, 1, int(k % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = quality_bayes.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("doc_id >= 700").collect()
+    bad, good = [r for r in out if r.doc_id % 4 == 0], [r for r in out if r.doc_id % 4]
+    assert sum(not r.qb_kept for r in bad) / len(bad) > 0.95 and sum(r.qb_kept for r in good) / len(good) > 0.99
+
+
 def test_site_rates_shrink(spark, monkeypatch):
     """Documents without evidence of their own follow their host, the more the larger it is."""
-    monkeypatch.setattr(quality_bayes, "train", lambda *a: quality_bayes.Model({b"bad": 0}, np.zeros(14), np.ones(14), np.array([0.0] * 14 + [6.0, -3.0])))
+    monkeypatch.setattr(quality_bayes, "train", lambda *a: quality_bayes.Model(np.zeros(14), np.ones(14), [({"bad": 0}, np.array([0.0] * 14 + [6.0, -3.0]))]))
     rows = [(k, "bad text" if k % 10 else "plain text", "spam", "en") for k in range(200)] + [(1000 + k, "plain text", "fine", "en") for k in range(200)] + [(5000, "bad text", "tiny", "en"), (5001, "plain text", "tiny", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     out = {r.doc_id: r for r in quality_bayes.classify(df, df).collect()}
     assert out[0].qb_bad > out[5001].qb_bad > out[1000].qb_bad
+
+
+def test_site_rates_match_brute_force(spark, monkeypatch):
+    """Priors and posteriors by numpy, from the documents' own chances."""
+    monkeypatch.setattr(quality_bayes, "train", lambda *a: quality_bayes.Model(np.zeros(14), np.ones(14), [({"bad": 0, "meh": 1}, np.array([0.0] * 14 + [5.0, 2.0, -3.0]))]))
+    rnd = random.Random(21)
+    rows = []
+    for h, base in enumerate([0.1, 0.15, 0.6, 0.3, 0.05, 0.4]):
+        for lang, more in (("en", 0.0), ("de", 0.25), (None, 0.1)):
+            for _ in range(rnd.randrange(2, 60)):
+                rows.append((len(rows), " ".join(["plain"] + ["bad"] * (rnd.random() < base + more) + ["meh"] * (rnd.random() < 0.3)), f"h{h}", lang))
+    out = quality_bayes.classify(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    p = np.array([r.qb_document for r in out])
+    hosts, paths = [r.source for r in out], [(r.source, r.lang) for r in out]
+
+    def spread(groups, parents):
+        """Variance within groups, and between them within their parents."""
+        of = lambda keys: {k: np.flatnonzero([x == k for x in keys]) for k in set(keys)}
+        g, top = of(groups), of(parents)
+        v = sum(((p[i] - p[i].mean()) ** 2).sum() for i in g.values()) / (len(p) - len(g))
+        inside = {k: [i for i in g.values() if i[0] in set(at.tolist())] for k, at in top.items()}
+        between = sum(len(i) * (p[i].mean() - p[top[k]].mean()) ** 2 for k, own in inside.items() for i in own)
+        share = len(p) - sum(sum(len(i) ** 2 for i in own) / len(top[k]) for k, own in inside.items())
+        t = (between - (len(g) - len(top)) * v) / share
+        return v / t if t > 0 else 1e6
+
+    m, kh, kp = p.mean(), spread(hosts, [0] * len(p)), spread(paths, hosts)
+    assert 1 < kh < 1e6 and 1 < kp < 1e6
+    logit = lambda x: np.log(x / (1 - x))
+    for r in out:
+        i, j = [k for k, x in enumerate(hosts) if x == r.source], [k for k, x in enumerate(paths) if x == (r.source, r.lang)]
+        host = (p[i].sum() + kh * m) / (len(i) + kh)
+        path = (p[j].sum() - r.qb_document + kp * host) / (len(j) - 1 + kp)
+        assert abs(r.qb_host - host) < 1e-6 and abs(r.qb_path - path) < 1e-6
+        assert abs(r.qb_bad - 1 / (1 + np.exp(-(logit(r.qb_document) + logit(path) - logit(m))))) < 1e-6

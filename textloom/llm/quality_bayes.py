@@ -1,16 +1,17 @@
 """Quality classifier: document evidence combined with host and path posteriors by empirical Bayes.
 
-A logistic model over shape features and learned evidence words gives each document's odds of being bad
-(low quality or toxic). Hosts, and paths within hosts, have a rate of bad documents each. These rates are
-shrunk: a path's towards its host's, a host's towards the corpus', the more the fewer documents it has. The
-strength of the priors is estimated from the spread of the rates themselves. A document's odds are then
-moved by how far its site's rate, without the document itself, is from the corpus'.
+Two logistic models over shape features and learned evidence (words, and beginnings of words) give the chance
+that a document is of low quality and that it is toxic; either makes it bad. Hosts, and paths within hosts,
+have a rate of bad documents each. These rates are shrunk: a path's towards its host's, a host's towards the
+corpus', the more the fewer documents it has. A prior counts as many documents as the variance within sites
+is times that between them, which is what the rates spread beyond chance. A document's odds are then moved by
+how far its site's rate, without the document itself, is from the corpus'.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,12 @@ from textloom.llm.decontaminate import words_of
 
 #: Labelled documents that the model is fitted on at most (those with the smallest hash of their id).
 MAX_TRAIN = 10_000
-#: Evidence words of the model, and documents that a word must be in.
+#: Pieces of evidence of each model, and documents that one must be in.
 MAX_WORDS, LEAST_DOCS = 512, 5
+#: Characters of the beginnings of words that are evidence besides the words.
+STARTS = range(3, 9)
+#: Words whose evidence a worker keeps.
+_WORDS_KEPT = 50_000
 RIDGE = 1.0
 THRESHOLD = 0.5
 _SHAPES = 14
@@ -44,18 +49,45 @@ def shape(text: bytes, words: list[bytes]) -> list[float]:
     return [*ratios, distinct, pairs, repeated, np.log(n) / 10, float(n < 20), sum(map(len, words)) / n / 10, np.log1p(n / max(1, len(lines))) / 5]
 
 
+def evidence(word: bytes) -> list[str]:
+    """A word and its beginnings, which are marked by a circumflex (no character of words)."""
+    w = word.decode()
+    return [w, *(f"^{w[:k]}" for k in STARTS if k < len(w))]
+
+
 @dataclass
 class Model:
-    words: dict[bytes, int]
+    """Models of one or more ways to be bad, over the same shape features and each with its own evidence."""
+
     mean: np.ndarray
     scale: np.ndarray
-    weights: np.ndarray  # of the shapes, the words, and the constant
-
-    def score(self, text: bytes) -> float:
-        words = words_of(text)
-        found = [self.words[w] for w in self.words.keys() & set(words)]
+    heads: list[tuple[dict[str, int], np.ndarray]]  # evidence and weights: of the shapes, the evidence, the constant
+    known: dict[bytes, list[tuple[int, ...]]] = field(default_factory=dict)
+
+    def _found(self, words: Iterable[bytes]) -> list[set[int]]:
+        """The evidence of each model in some words."""
+        out: list[set[int]] = [set() for _ in self.heads]
+        if len(self.known) > _WORDS_KEPT:
+            self.known.clear()
+        for w in words:
+            own = self.known.get(w)
+            if own is None:
+                parts = evidence(w)
+                own = [tuple(v[x] for x in parts if x in v) for v, _ in self.heads]
+                if len(w) < 64:
+                    self.known[w] = own
+            for found, ids in zip(out, own, strict=True):
+                found.update(ids)
+        return out
+
+    def score(self, text: bytes, words: list[bytes]) -> float:
+        """Log-odds of being bad in one way or another."""
         x = (np.array(shape(text, words)) - self.mean) / self.scale
-        return float(x @ self.weights[:_SHAPES] + self.weights[_SHAPES:-1][found].sum() + self.weights[-1])
+        fine = 0.0  # logarithm of the chance of not being bad
+        for found, (_, weights) in zip(self._found(set(words)), self.heads, strict=True):
+            odds = float(x @ weights[:_SHAPES] + weights[_SHAPES:-1][sorted(found)].sum() + weights[-1])
+            fine -= np.logaddexp(0.0, min(max(odds, -30.0), 30.0))
+        return float(np.log(-np.expm1(fine)) - fine)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> np.ndarray:
@@ -74,56 +106,74 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int) -> DataFrame:
-    """text and bad of a bounded sample of the labelled documents."""
-    bad = F.greatest(F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0), F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0))
-    known = labels.select(F.col(id_col).alias("__id"), bad.alias("bad")).dropna().groupBy("__id").agg(F.max("bad").alias("bad"))
+    """text, poor and toxic (1, 0 or null) of a bounded sample of the labelled documents."""
+    poor, toxic = F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0), F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0)
+    known = labels.select(F.col(id_col).alias("__id"), poor.alias("poor"), toxic.alias("toxic")).where("__id is not null and (poor is not null or toxic is not null)")
+    known = known.groupBy("__id").agg(F.max("poor").alias("poor"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("__id", F.lit(17)), "__id").limit(max_train)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("text")).join(F.broadcast(chosen), "__id")
     # an id on many rows gives one of its texts
-    return materialize(rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("bad").alias("bad")).select("text", "bad"), "labelled")
+    return materialize(rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("poor").alias("poor"), F.first("toxic").alias("toxic")).select("text", "poor", "toxic"), "labelled")
+
+
+#: Ways to be bad: columns of the sample.
+WAYS = ["poor", "toxic"]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model | None:
-    """A model, or None if the labelled documents are not of both kinds.
+    """A model with a part for low quality and one for toxicity, each only if the labelled documents are of
+    both kinds; None without any.
 
-    Evidence words are those with the largest weighted log-odds between the kinds, counted over the sample
-    on the executors. The fit takes at most ``max_train`` short rows to the driver."""
+    Evidence has the largest weighted log-odds between the kinds, counted over the sample on the executors.
+    The fit takes at most ``max_train`` short rows to the driver."""
     rows = _labelled(docs, labels, id_col, text_col, max_train)
-    n, n_bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    if n_bad == 0 or n_bad == n:
+    totals = rows.agg(*[x for w in WAYS for x in (F.count(w).alias(f"n_{w}"), F.coalesce(F.sum(w), F.lit(0)).alias(f"b_{w}"))]).first()
+    ways = [w for w in WAYS if 0 < totals[f"b_{w}"] < totals[f"n_{w}"]]
+    if not ways:
         return None
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = [w.decode() for w in set(words_of(batch.column(0)[i].as_py())) if len(w) < 40]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([batch.column(1)[i].as_py()] * len(found), pa.int32())], ["word", "bad"])
-
-    counts = rows.mapInArrow(words, "word string, bad int").groupBy("word").agg(F.count("*").alias("n"), F.sum("bad").alias("b")).where(F.col("n") >= LEAST_DOCS)
-    b, g = F.col("b") + 0.5, F.col("n") - F.col("b") + 0.5
-    odds = F.log(b / (n_bad + 1 - b)) - F.log(g / (n - n_bad + 1 - g))
-    best = counts.select("word", F.abs(odds / F.sqrt(1 / b + 1 / g)).alias("z")).where("z > 2").orderBy(F.desc("z"), "word").limit(max_words)
-    vocabulary = {r.word.encode(): i for i, r in enumerate(best.collect())}
+                found = sorted({x for w in set(words_of(batch.column(0)[i].as_py())) for x in evidence(w)})
+                marks = [pa.array([batch.column(k)[i].as_py()] * len(found), pa.int32()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *marks], ["word", *WAYS])
+
+    counts = rows.mapInArrow(words, "word string, poor int, toxic int").groupBy("word").agg(*[x for w in WAYS for x in (F.count(w).alias(f"n_{w}"), F.sum(w).alias(f"b_{w}"))])
+    counts = materialize(counts.where(F.greatest(*[f"n_{w}" for w in WAYS]) >= LEAST_DOCS), "evidence")
+    vocabularies = []
+    for w in ways:
+        n, n_bad = totals[f"n_{w}"], totals[f"b_{w}"]
+        b, g = F.col(f"b_{w}") + 0.5, F.col(f"n_{w}") - F.col(f"b_{w}") + 0.5
+        odds = F.log(b / (n_bad + 1 - b)) - F.log(g / (n - n_bad + 1 - g))
+        best = counts.where(F.col(f"n_{w}") >= LEAST_DOCS).select("word", F.abs(odds / F.sqrt(1 / b + 1 / g)).alias("z")).where("z > 2").orderBy(F.desc("z"), "word").limit(max_words)
+        vocabularies.append({r.word: i for i, r in enumerate(best.collect())})
+    blank = Model(np.zeros(_SHAPES), np.ones(_SHAPES), [(v, np.zeros(0)) for v in vocabularies])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, found = [], []
+            shapes, found = [], [[] for _ in vocabularies]
             for text in batch.column(0).to_pylist():
                 w = words_of(text)
                 shapes.append(shape(text, w))
-                found.append([vocabulary[x] for x in vocabulary.keys() & set(w)])
-            yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["shape", "words", "bad"])
+                for ids, own in zip(found, blank._found(set(w)), strict=True):
+                    ids.append(sorted(own))
+            yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.list_(pa.float64())), *(pa.array(x, pa.list_(pa.int32())) for x in found), batch.column(1), batch.column(2)], ["shape", *(f"words_{w}" for w in ways), *WAYS])
 
-    sample = rows.mapInArrow(features, "shape array<double>, words array<int>, bad int").toArrow()
-    y = sample.column("bad").to_numpy().astype(float)
+    sample = rows.mapInArrow(features, f"shape array<double>, {', '.join(f'words_{w} array<int>' for w in ways)}, poor int, toxic int").toArrow()
     s = np.array(sample.column("shape").to_pylist())
     mean, scale = s.mean(0), s.std(0) + 1e-6
-    x = np.zeros((len(y), _SHAPES + len(vocabulary)))
-    x[:, :_SHAPES] = (s - mean) / scale
-    for i, found in enumerate(sample.column("words").to_pylist()):
-        x[i, [_SHAPES + k for k in found]] = 1
-    return Model(vocabulary, mean, scale, fit_logistic(x, y))
+    heads = []
+    for w, vocabulary in zip(ways, vocabularies, strict=True):
+        y = sample.column(w).to_numpy(zero_copy_only=False).astype(float)
+        x = np.zeros((len(y), _SHAPES + len(vocabulary)))
+        x[:, :_SHAPES] = (s - mean) / scale
+        for i, found in enumerate(sample.column(f"words_{w}").to_pylist()):
+            x[i, [_SHAPES + k for k in found]] = 1
+        known = ~np.isnan(y)
+        heads.append((vocabulary, fit_logistic(x[known], y[known])))
+    return Model(mean, scale, heads)
 
 
 def _logit(p: Column) -> Column:
@@ -131,23 +181,45 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` and qb_odds, the model's log-odds of being bad; without a model 0. Null if the text has no
-    words. A column of this name is replaced."""
-    kept = [c for c in docs.columns if c != "qb_odds"]
-    docs = docs.select(*kept).withColumn("__qb", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def odds_of(text: Column, model) -> Column:
+    """Log-odds of being bad by a broadcast model (None: 0). Null if the text has no words. Texts alone go to
+    Python, and a number each comes back."""
+
+    @F.arrow_udf("double")
+    def odds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = model.value
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 512):
+                for t in texts.slice(at, 512).to_pylist():
+                    w = words_of(t)
+                    out.append(None if not w else known.score(t, w) if known else 0.0)
+            yield pa.array(out, pa.float64())
+
+    return odds(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                odds = [None if not words_of(t) else model.score(t) if model else 0.0 for t in batch.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(odds, pa.float64())], [*kept, "qb_odds"])
+def prior_counts(sites: DataFrame) -> tuple[float, float, float]:
+    """Mean rate, and how many documents a host's and a path's prior count as. ``sites``: __host, __path and,
+    of the chances of their documents, n (number), s (sum), ss (sum of squares).
 
-    return docs.mapInArrow(run, ", ".join(filter(None, [fields, "qb_odds double"])))
+    One-way analysis of variance, first of hosts, then of paths within hosts: the squares within sites give
+    the variance v of single documents, and what is left of the squares between sites after the share that
+    v explains gives the variance t between sites. A prior counts as v / t documents, 1 to a million."""
+    hosts = sites.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("ss").alias("hss"), F.count("*").alias("paths"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("means"))
+    # squares of sums over n, on three levels: all, hosts, paths
+    r = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum("hss").alias("ss"), F.count("*").alias("hosts"), F.sum("paths").alias("paths"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("h"), F.sum("means").alias("p"), F.sum(F.col("hn") * F.col("hn")).alias("hnn"), F.sum(F.col("nn") / F.col("hn")).alias("pnn")).first()
+    if not r.n:
+        return 0.5, 1e6, 1e6
+
+    def count(within: float, documents: float, between: float, groups: float, share: float) -> float:
+        v = within / documents if documents > 0 else 0.0
+        t = (between - groups * v) / share if share > 0 else 0.0
+        return float(np.clip(v / t, 1, 1e6)) if t > 0 else 1e6
+
+    host = count(r.ss - r.h, r.n - r.hosts, r.h - r.s * r.s / r.n, r.hosts - 1, r.n - r.hnn / r.n)
+    path = count(r.ss - r.p, r.n - r.paths, r.p - r.h, r.paths - r.hosts, r.n - r.pnn)
+    return r.s / r.n, host, path
 
 
 #: Columns that ``classify`` adds.
@@ -164,30 +236,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     before the shuffle, and come back by a join with one narrow row per site."""
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     model = train(docs, labels, id_col, text_col, max_train)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     # the row is one column meanwhile, so its names cannot clash with ours
-    texts = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.col(text_col).alias("__text"), F.col(host_col).cast("string").alias("__host"), F.col(path_col).cast("string").alias("__path"))
-    scored = materialize(score(texts, model, "__text").drop("__text"), "scored")
+    scored = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.col(host_col).cast("string").alias("__host"), F.col(path_col).cast("string").alias("__path"), odds_of(F.col(text_col), shared).alias("qb_odds"))
+    scored = materialize(scored, "scored")
     p = 1 / (1 + F.exp(-F.col("qb_odds")))
     site = [F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(c) for c in ("__host", "__path")]
-    sites = scored.where("qb_odds is not null").select(*site, p.alias("p")).groupBy("__host", "__path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s"))
+    sites = scored.where("qb_odds is not null").select(*site, p.alias("p")).groupBy("__host", "__path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss"))
     sites = materialize(sites, "sites")
+    m, k_host, k_path = prior_counts(sites)
     hosts = sites.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total, bad, n_hosts = hosts.agg(F.sum("hn"), F.sum("hs"), F.count("*")).first()
-    m = bad / total if total else 0.5
-
-    def strength(between: float, noise: float) -> float:
-        """Pseudo-count of a beta prior whose rates spread as much as seen, less what chance gives."""
-        var = between - noise
-        return float(np.clip(m * (1 - m) / var - 1, 1, 1e6)) if var > 0 else 1e6
-
-    h = F.col("hs") / F.col("hn")
-    between, noise = hosts.agg(F.sum(F.col("hn") * (h - m) ** 2) / F.sum("hn"), F.lit(m * (1 - m)) * F.count("*") / F.sum("hn")).first() if total else (0.0, 0.0)
-    k_host = strength(between, noise)
-    within = sites.join(hosts, "__host")
-    between, noise = within.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - h) ** 2) / F.sum("n"), F.lit(m * (1 - m)) * F.greatest(F.count("*") - n_hosts, F.lit(0)) / F.sum("n")).first() if total else (0.0, 0.0)
-    k_path = strength(between, noise)
-
-    rates = within.select("__host", "__path", "n", "s", ((F.col("hs") + k_host * m) / (F.col("hn") + k_host)).alias("qb_host"))
+    rates = sites.join(hosts, "__host").select("__host", "__path", "n", "s", ((F.col("hs") + k_host * m) / (F.col("hn") + k_host)).alias("qb_host"))
     rates = small_or_shuffled(materialize(rates, "rates"))
     out = scored.withColumns({"__h": site[0], "__p": site[1]}).drop("__host", "__path").join(rates.withColumnsRenamed({"__host": "__h", "__path": "__p"}), ["__h", "__p"], "left")
     other = (F.greatest(F.col("s") - p, F.lit(0.0)) + k_path * F.col("qb_host")) / (F.col("n") - 1 + k_path)
