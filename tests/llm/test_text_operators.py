@@ -89,7 +89,10 @@ def test_weak_parts_count_together_only(spark):
 def test_base_counts(spark):
     rnd = random.Random(6)
     rows = [(k, "".join(rnd.choice(["a", "b", "c", " ", " ", "\n", "\n", "\t", "#", "é", " "]) for _ in range(rnd.randrange(0, 60)))) for k in range(300)]
+    rows += [(300 + k, " ".join(rnd.choice("abc") for _ in range(k % 13))) for k in range(400)]
+    rows += [(700, "a b a b a"), (701, "a b c a b c"), (702, "a a a a")]
     got = {r.doc_id: r for r in quality_rules.with_base_stats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[700].n_repeat_words == 5
     for k, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
         triples = list(zip(w, w[1:], w[2:]))

@@ -21,8 +21,6 @@ from textloom.llm.common import materialize, small_or_shuffled
 #: White space between words.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
-#: Bits of a sort key that hold a word's place; the others hold a hash of its window.
-_PLACE_BITS = 26
 
 MAX_FALSE_REJECTION = 0.02
 DELTA = 0.05
@@ -38,26 +36,20 @@ def with_base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and, per row, n_words, word_chars (code points in words), n_symbols, n_lines (lines with a
     word), n_dup_lines (those equal to an earlier line), n_repeat_words (words in three-word windows found
     twice or more in the text). All whole numbers; zero for null and empty texts. Columns of these names
-    are replaced. One pass without a shuffle; equal windows are found by sorting 64-bit keys of hash and
-    place, and compared word by word."""
+    are replaced. One pass without a shuffle; windows are sorted by hash, words and place, so equal ones
+    are neighbours."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    place = (1 << _PLACE_BITS) - 1
     out = docs.withColumn("__t", text).withColumn("__w", words_of(F.col("__t")))
     w = F.col("__w")
-    out = out.withColumn(
-        "__k",
-        F.when(F.size(w) >= 6, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))))
-        .when(F.size(w) >= 4, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: i.cast("long"))),
-    )
+    window = lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.cast("long").alias("i"))
+    out = out.withColumn("__k", F.when(F.size(w) >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))))
     k = F.col("__k")
 
     def same(i: Column, j: Column) -> Column:
         a, b = F.get(k, i), F.get(k, j)
-        p, q = a.bitwiseAND(F.lit(place)).cast("int"), b.bitwiseAND(F.lit(place)).cast("int")
-        equal = (w[p] == w[q]) & (w[p + 1] == w[q + 1]) & (w[p + 2] == w[q + 2])
-        return F.coalesce((F.shiftright(a, _PLACE_BITS) == F.shiftright(b, _PLACE_BITS)) & equal, F.lit(False))
+        return F.coalesce((a["h"] == b["h"]) & (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"]), F.lit(False))
 
-    places = F.transform(F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: k[i].bitwiseAND(F.lit(place)))
+    places = F.transform(F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: k[i]["i"])
     out = out.withColumn("__p", F.when(k.isNotNull(), F.sort_array(places)))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate(F.col("__p"), start, lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"), (p + 3).alias("end")), lambda a: a["n"])
