@@ -72,6 +72,6 @@ def test_run_packs_every_token(spark, folder):
 
 def test_line_stage_drops_documents_without_words_only(spark):
     header = "Licensed under the terms of the header"
-    rows = [(1, f"{header}\none\ntwo"), (2, f"{header}\n一二三"), (3, header), (4, f"{header}\n--"), (5, ""), (6, None), (7, "--")]
+    rows = [(1, f"{header}\none\ntwo"), (2, f"{header}\n一二三"), (3, header), (4, f"{header}\n--"), (5, ""), (6, None), (7, "=="), (8, "--")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
-    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {1: rows[0][1], 2: "一二三", 5: "", 6: None, 7: "--"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {1: rows[0][1], 2: "一二三", 5: "", 6: None, 7: "=="}
