@@ -18,9 +18,9 @@ from textloom.llm.common import materialize
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a maximal run, so the same as runs of any length from which the short are dropped
-#: Weak candidates.
-WEAK_ID = r"\b(?=[A-Z0-9]*[0-9])[A-Z][A-Z0-9]{15,63}\b"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/_-])"
+#: Weak candidates: whole runs of their characters, of any length from the least on.
+WEAK_ID = r"\b(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{15,}\b"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"\bhttps?://[^\s\"'<>]+"
 #: Code points between the starts of parts that belong together.
 SCOPE = 200
@@ -91,7 +91,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc = Window.partitionBy("id", "h")
     near = doc.orderBy("s").rangeBetween(-scope, scope)
     before = doc.orderBy("s", "k").rowsBetween(Window.unboundedPreceding, -1)
-    after = doc.orderBy("s", "k").rowsBetween(1, Window.unboundedFollowing)
+    after = doc.orderBy(F.desc("s"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows
     k = F.col("k")
     parts = parts.withColumns({
         "has_id": F.coalesce(F.max(k.isin(1, 3)).over(near), F.lit(False)), "has_secret": F.coalesce(F.max(k.isin(0, 2, 4)).over(near), F.lit(False)),
