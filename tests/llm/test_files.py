@@ -128,3 +128,55 @@ def test_rules_and_walks(spark):
     assert {k: r.verdict for k, r in got.items()} == {1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "block", 12: "allow", 13: "allow"}
     assert got[13].rule is None and got[10].rule == "www.example.com/en/" and got[11].rule == "example.com/en/" and got[8].host == got[9].path == ""
     assert got[6].host_mass == pytest.approx(0.85 * 2 / 3, abs=1e-6) and got[2].host_mass < 0 and got[3].host_mass < 0
+
+
+def test_walks_match_a_dense_solve(spark):
+    """Random graphs with cycles and a hub: both walks, hubs cut into pieces, and the SQL's steps."""
+    import duckdb
+
+    from textloom.llm import queries
+
+    rnd = random.Random(31)
+    hosts = [f"h{k}.org" for k in range(25)] + ["good.com", "www.example.com", "bad.net", "worse.net"]
+    rows = []
+    for page in range(150):
+        src = rnd.choice(hosts)
+        to = [rnd.choice(hosts) for _ in range(rnd.randrange(0, 5))] + (["h0.org"] if rnd.random() < 0.3 else [])
+        rows.append((page, f"http://{src}{rnd.choice(['/a', '/es/x', '/fr/', '/en/y'])}", "".join(f"<a href='https://{h}/z'>t</a>" for h in to)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    links = url_graph.host_links(pages)
+    at = {h: i for i, h in enumerate(hosts)}
+    n = np.zeros((len(hosts), len(hosts)))
+    for r in links.collect():
+        n[at[r.src], at[r.dst]] = r.n
+    seeds = {h: (rnd.random(), rnd.random()) for h in hosts[10:]}
+    frame = spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, allowed double, blocked double")
+    got = {r.host: (r.trust, r.distrust) for r in url_graph.propagate(frame, links, damping=0.5, tolerance=1e-7, piece=3).collect()}
+    for walk, m in enumerate((n, n.T)):
+        share = m / np.maximum(m.sum(1, keepdims=True), 1)
+        seed = np.array([seeds.get(h, (0, 0))[walk] for h in hosts])
+        x = np.linalg.solve(np.eye(len(hosts)) - 0.5 * share.T, 0.5 * seed)
+        assert np.allclose([got.get(h, (0, 0))[walk] for h in hosts], x, atol=1e-6)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    wanted = sorted(con.execute(f"SELECT page_id, verdict, host_mass FROM ({queries._oracle_op4()})").fetchall())
+    found = sorted((r.page_id, r.verdict, r.host_mass) for r in url_graph.filter_urls(pages).collect())
+    assert [x[:2] for x in found] == [x[:2] for x in wanted] and all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(found, wanted, strict=True))
+    assert len({x[1] for x in found}) == 2
+
+
+def test_pages_with_edges(spark):
+    """Repeated rows, very long html and columns of clashing names for the two operators on pages."""
+    long = "<a href='http://bad.net/'>x</a>" * 50_000
+    rows = [(1, "http://bad.net/es/", ""), (1, "http://bad.net/es/", ""), (2, "http://long.org/", long), (None, "http://other.org/", None)]
+    names = ["id", "host", "path", "found", "n", "sha", "first", "kind", "payload", "url_", "head", "heads", "walk", "x"]
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("z").alias(c) for c in names])
+    got = sorted(url_graph.filter_urls(pages).collect(), key=lambda r: (r.page_id or 0, r.host))
+    assert [(r.page_id, r.verdict) for r in got] == [(None, "allow"), (1, "block"), (1, "block"), (2, "block")]
+    path = fresh_path(spark, "test")
+    warc.write_archive(pages, path)
+    kinds = sorted((r.page_id or 0, r.record_type, r.payload_bytes) for r in warc.read_archive(spark, path).collect())
+    assert [k for k in kinds if k[0]] == [(1, "response", 0), (1, "revisit", 0), (2, "response", len(long))] and len(kinds) == 4

@@ -112,15 +112,13 @@ FROM docs d LEFT JOIN sizes s USING (doc_id)
 
 
 def _oracle_op4() -> str:
-    """The walks' rounds one by one."""
+    """The walks step by step, up to the step that carries too little."""
     host = lambda url: rf"translate(regexp_extract(CASE WHEN contains({url}, '://') THEN substring({url}, strpos({url}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', {len(r)})" for v, r in url_graph.RULES)
-    d, rounds = url_graph.DAMPING, []
-    for k in range(1, url_graph.ROUNDS + 1):
-        rounds.append(f"x{k} AS (SELECT walk, host, sum(x) AS x FROM (SELECT * FROM x0 UNION ALL SELECT e.walk, e.b, {d} * w * x FROM x{k - 1} s JOIN edges e ON e.walk = s.walk AND e.a = s.host) GROUP BY 1, 2)")
+    d = url_graph.DAMPING
     link = url_graph._LINK.replace("'", "''")
     return rf"""
-WITH p AS (SELECT page_id, html, coalesce({host('url')}, '') AS host,
+WITH RECURSIVE p AS (SELECT page_id, html, coalesce({host('url')}, '') AS host,
     coalesce(regexp_extract(CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(verdict, rule, rhost, rpath, size) AS (VALUES {rules}),
 found AS (SELECT page_id, host, path, arg_max(rule, size) AS rule, arg_max(verdict, size) AS verdict
@@ -131,9 +129,12 @@ directed AS (SELECT 'trust' AS walk, src AS a, dst AS b, n FROM links UNION ALL
 edges AS (SELECT walk, a, b, n / CAST(sum(n) OVER (PARTITION BY walk, a) AS DOUBLE) AS w FROM directed),
 shares AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS blocked FROM found WHERE host <> '' GROUP BY host),
 x0 AS (SELECT 'trust' AS walk, host, {1 - d} * allowed AS x FROM shares WHERE allowed > 0 UNION ALL SELECT 'distrust', host, {1 - d} * blocked FROM shares WHERE blocked > 0),
-{", ".join(rounds)},
-mass AS (SELECT host, sum(CASE WHEN walk = 'distrust' THEN x ELSE -x END) / {1 - d} AS m FROM x{url_graph.ROUNDS} GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m > {url_graph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(m, 9) AS host_mass
+steps AS (SELECT 0 AS k, walk, host, x FROM x0
+  UNION ALL SELECT k + 1, e.walk, e.b, sum({d} * w * x) FROM steps s JOIN edges e ON e.walk = s.walk AND e.a = s.host WHERE k < {url_graph.steps_at_most()} GROUP BY k, e.walk, e.b),
+carried AS (SELECT k, walk, sum(x) AS x FROM steps GROUP BY k, walk),
+last AS (SELECT min(k) AS k FROM (SELECT c.k, max(c.x / s.x) AS share FROM carried c JOIN carried s ON s.walk = c.walk AND s.k = 0 GROUP BY c.k) WHERE share <= {url_graph.TOLERANCE}),
+mass AS (SELECT host, sum(CASE WHEN walk = 'distrust' THEN x ELSE -x END) / {1 - d} AS m FROM steps WHERE k <= coalesce((SELECT k FROM last), 1000000) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN m > {url_graph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(m, 6) AS host_mass
 FROM found LEFT JOIN mass USING (host)
 """
 
