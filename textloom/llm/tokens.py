@@ -31,8 +31,8 @@ class PieceEncoder:
     character that follows a non-space one. So the ids of a text are those of its pieces, joined, and a
     piece met before needs no second encoding. Results are little-endian unsigned 32-bit ids.
 
-    New pieces without white space inside are encoded together, a line each: a line feed between two
-    other characters is a token of its own, at which the ids are cut apart again.
+    A line feed between two other characters is a token of its own, so lines are taken apart at it. New
+    pieces without white space inside are encoded together, a line each, and their ids cut apart again.
 
     ``capacity``: new pieces after which those not met since the last turn are forgotten (so at most twice
     as many are kept, of some 200 bytes each).
@@ -46,6 +46,7 @@ class PieceEncoder:
         self._capacity = capacity
         feed = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._feed = feed[0] if len(feed) == 1 else None
+        self._between = np.array(feed, "<u4").tobytes()
         self._tails: dict[str, bytes] = {}
         self._plain: dict[str, bytes] = {}
         self._spaced: dict[str, bytes] = {}  # by the piece without the space before it
@@ -53,29 +54,32 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without special tokens; a null text has none."""
-        split: list[tuple[list[str], list[str]]] = []
+        split: list[list[tuple[list[str], list[str]]]] = []  # by text, by line: pieces as they are, pieces after a space
         plain: set[str] = set()
         spaced: set[str] = set()
         for text in texts:
             if not text:
-                split.append(([], []))
+                split.append([])
             elif _RUN.search(text):
                 pieces = _CUT.split(text)
                 plain.update(pieces)
-                split.append((pieces, []))
+                split.append([(pieces, [])])
             else:
-                first, *rest = text.split(" ")
-                plain.add(first)
-                spaced.update(rest)
-                split.append(([first], rest))
+                lines = []
+                for line in text.split("\n") if self._feed is not None else [text]:
+                    first, *rest = line.split(" ")
+                    plain.add(first)
+                    spaced.update(rest)
+                    lines.append(([first], rest))
+                split.append(lines)
         if len(self._plain) + len(self._spaced) > self._capacity:
             self._old = (self._plain, self._spaced)
             self._plain, self._spaced, self._tails = {}, {}, {}
         long_plain = self._learn(plain, self._plain, self._old[0], "")
         long_spaced = self._learn(spaced, self._spaced, self._old[1], " ")
-        out = []
-        for head, tail in split:
-            out.append(b"".join(map(self._plain.__getitem__, head)) + b"".join(map(self._spaced.__getitem__, tail)))
+        out, as_is, after = [], self._plain.__getitem__, self._spaced.__getitem__
+        for lines in split:
+            out.append(self._between.join([b"".join([*map(as_is, head), *map(after, tail)]) for head, tail in lines]))
         for p in long_plain:
             del self._plain[p]
         for p in long_spaced:
