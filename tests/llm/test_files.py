@@ -67,15 +67,37 @@ def test_plans_fill_windows():
 
 
 def test_least_squares_is_optimal():
-    histogram = np.bincount([10, 10, 10, 54, 54, 20, 20, 24], minlength=65)
-    patterns = packing.combinations(histogram, 64)
-    x = packing.solve_nnls(patterns, histogram, 3000)
-    a = np.zeros((65, len(patterns)))
-    for k, p in enumerate(patterns):
-        for v in p[p > 0]:
-            a[v, k] += 1
-    slope = a.T @ (a @ x - histogram)
-    assert (x >= 0).all() and (slope > -1e-2).all() and abs(slope @ x) < 1e-1
+    rnd = np.random.default_rng(4)
+    for _ in range(20):
+        a, h = rnd.integers(0, 3, (12, 40)).astype(float), rnd.integers(0, 50, 12).astype(float)
+        x = packing.solve_nnls(a, h)
+        slope = a.T @ (a @ x - h)
+        assert (x >= 0).all() and (slope > -1e-6).all() and abs(slope @ x) < 1e-5 and (x > 0).sum() <= 12
+    assert len(packing.combinations(64)) == 1 + 32 + sum(1 for a in range(1, 64) for b in range(1, a + 1) if 1 <= 64 - a - b <= b)
+
+
+def test_the_plan_places_most_rests():
+    rnd = np.random.default_rng(6)
+    for lengths in (rnd.integers(1, 2048, 4000), np.minimum(2047, rnd.lognormal(6.3, 0.9, 4000).astype(np.int64) + 1), rnd.integers(1, 2048, 250)):
+        windows, gaps = packing.plan_rests(lengths, 2048)
+        assert (windows >= 0).sum() > 0.6 * len(lengths) and (gaps >= 0).all()
+
+
+def test_padding_over_many_partitions(spark):
+    """Small partitions do not leave a short sequence each, and the pieces are whole."""
+    rnd = random.Random(17)
+    rows = [(k, " ".join(rnd.choice(["the", "Énd,", "of", "x1", "日本"]) for _ in range(rnd.randrange(0, 900)))) for k in range(1500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(211)).collect()
+    by_doc, fill = {}, {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == by_doc.get(r.doc_id, 0) and r.length > 0
+        by_doc[r.doc_id] = r.start + r.length
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert all(by_doc[r.doc_id] == r.doc_tokens for r in got) and len(by_doc) == 1500
+    assert max(fill.values()) <= 2048 and sum(f < 2048 for f in fill.values()) <= 1
+    assert 1 - sum(fill.values()) / (2048 * len(fill)) < 0.01
 
 
 def test_chunked_framing():

@@ -1,13 +1,16 @@
 """Packing into fixed windows: non-negative least squares over shallow length combinations.
 
 Texts are encoded and gathered in blocks of some million ids. In a block, each document gives its full
-windows and a rest shorter than the window. The histogram of rests is then matched with combinations of
-two or three rests that fill a window exactly: their repeat counts are the non-negative least squares
-solution against the histogram, rounded down. What is left is packed greedily, the longest first, each
-window filled to the end by cutting the last piece. So only the last sequence of a block can be short.
-
-A block is a stretch of one input partition. It needs no shuffle, no global ranking and no stored ids,
-its memory does not grow with the corpus, and a lost task makes the same pieces again.
+windows and a rest shorter than the window. Rests are counted in length classes of ``window // CLASSES`` ids.
+All combinations of up to ``PARTS`` classes whose upper ends add up to the window are enumerated, so any rests
+of these classes fit. Their repeat counts are the non-negative least squares solution against the histogram,
+rounded to the nearest number within supply, and solved again for what is left. The residue is packed
+greedily, the longest first: its ids fill the gaps that planned windows leave, then further windows, and are
+cut where a window ends. So only the last sequence of a block can be short.
+
+A block is a stretch of one input partition, so its memory does not grow with the corpus. The short sequences
+of all blocks are then packed together, the same way: there are at most as many as blocks, and one in
+some thousands of those stays short, however many partitions the input has.
 """
 
 from __future__ import annotations
@@ -21,66 +24,100 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batches_of
+from textloom.llm.common import batches_of, materialize
 from textloom.llm.tokens import default_path, encoder
 
-#: Ids of a block: 16 MB, about 2,000 windows, so that padding stays below 1 in 2,000.
+#: Ids of a block: 16 MB, about 2,000 windows.
 BLOCK_IDS = 1 << 22
-#: Combinations of three rests that a block considers at most, those in best supply.
-TRIPLES = 6_000
+#: Length classes of a window, and rests that a combination has at most.
+CLASSES, PARTS = 64, 3
+#: Times that the counts are solved for what rounding left.
+TURNS = 3
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def combinations(histogram: np.ndarray, window: int, triples: int = TRIPLES) -> np.ndarray:
-    """Pairs and triples (0 where there is no third) of present lengths that sum to ``window``."""
-    present = np.flatnonzero(histogram[:window])
-    present = present[present > 0]
-    low = present[present * 2 <= window]
-    pairs = low[(histogram[window - low] > 0) & (window - low < window)]
-    out = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1)]
-    a, b = np.meshgrid(present, present, indexing="ij")
-    c = window - a - b
-    fits = (a <= b) & (b <= c)
-    a, b, c = a[fits], b[fits], c[fits]
-    there = histogram[c] > 0
-    three = np.stack([a[there], b[there], c[there]], 1)
-    if len(three) > triples:
-        supply = histogram[three].min(1)
-        three = three[np.lexsort((three[:, 1], three[:, 0], -supply))[:triples]]
-    return np.concatenate([*out, three]).astype(np.int64)
-
-
-def solve_nnls(patterns: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - histogram|^2, by accelerated projected gradients.
-
-    A has a row for each length and, for each combination, how often it uses that length."""
-    n, size = len(patterns), len(histogram)
-    if not n:
-        return np.zeros(0)
-    used = patterns > 0
-    rows, cols = patterns[used], np.nonzero(used)[0]
-    target = histogram.astype(float)
-
-    def product(x: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, x[cols], size)
-
-    def transposed(y: np.ndarray) -> np.ndarray:
-        return np.bincount(cols, y[rows], n)
-
-    bound = max(1.0, float(transposed(product(np.ones(n))).max()))  # at least the largest eigenvalue
-    x = z = np.zeros(n)
-    t = 1.0
-    for _ in range(steps):
-        new = np.maximum(0, z - transposed(product(z) - target) / bound)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z = new + (t - 1) / t_new * (new - x)
-        if np.abs(new - x).max() < 1e-4:
-            x = new
+def combinations(classes: int, parts: int = PARTS) -> np.ndarray:
+    """Every way to write ``classes`` as a sum of at most ``parts`` numbers, largest first (0: no further)."""
+    found: list[list[int]] = []
+
+    def extend(head: list[int], left: int) -> None:
+        if left == 0:
+            found.append(head + [0] * (parts - len(head)))
+        elif len(head) < parts:
+            for v in range(min(left, head[-1] if head else left), 0, -1):
+                extend([*head, v], left - v)
+
+    extend([], classes)
+    return np.array(found, np.int64)
+
+
+def solve_nnls(matrix: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises |matrix x - target|^2, by the active-set method of Lawson and Hanson. At most as
+    many entries as ``matrix`` has rows are above 0, so few counts are lost by rounding."""
+    n = matrix.shape[1]
+    x, free = np.zeros(n), np.zeros(n, bool)
+    small = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
+    for _ in range(3 * n):
+        slope = np.where(free, -np.inf, matrix.T @ (target - matrix @ x))
+        if not n or slope.max() <= small:
             break
-        x, t = new, t_new
+        free[slope.argmax()] = True
+        while True:
+            full = np.zeros(n)
+            full[free] = np.linalg.lstsq(matrix[:, free], target, rcond=None)[0]
+            low = free & (full <= small)
+            if not low.any():
+                break
+            step = (x[low] / np.maximum(x[low] - full[low], 1e-300)).min()
+            x = x + step * (full - x)
+            free &= x > small
+            x[~free] = 0
+        x = full
     return x
 
 
+def plan_rests(rest: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that the least-squares counts make: positions of their rests (a row each; -1: none) and ids
+    that each leaves free. As many as the residue can fill up, those with the least gaps first."""
+    grain = max(1, window // CLASSES)
+    classes = window // grain
+    patterns = combinations(classes)
+    matrix = np.stack([(patterns == c).sum(1) for c in range(1, classes + 1)]).astype(float)
+    of = -(-rest // grain)
+    order = np.lexsort((np.arange(len(rest)), -rest, of))
+    order = order[(of[order] > 0) & (of[order] <= classes)]
+    at = np.searchsorted(of[order], np.arange(1, classes + 2))
+    next_of, left = at[:-1].copy(), np.diff(at)
+    made = []
+    for _ in range(TURNS):
+        usable = ~(matrix[left == 0] > 0).any(0)
+        x = np.zeros(len(patterns))
+        x[usable] = solve_nnls(matrix[:, usable], left.astype(float))
+        before = len(made)
+        for k in np.argsort(-x, kind="stable"):
+            need = matrix[:, k].astype(np.int64)
+            times = min([int(x[k] + 0.5), *(left[need > 0] // need[need > 0]).tolist()])
+            if x[k] < 0.5:
+                break
+            if times < 1:
+                continue
+            rows = np.full((times, PARTS), -1, np.int64)
+            for j, c in enumerate(patterns[k][patterns[k] > 0] - 1):
+                rows[:, j] = order[next_of[c] : next_of[c] + times]
+                next_of[c] += times
+            left -= times * need
+            made.append(rows)
+        if len(made) == before:
+            break
+    windows = np.concatenate([*made, np.zeros((0, PARTS), np.int64)])
+    used = np.where(windows >= 0, rest[windows], 0).sum(1) if len(rest) else np.zeros(0, np.int64)
+    by = np.argsort(window - used, kind="stable")
+    windows, gaps = windows[by], (window - used)[by]
+    enough = np.cumsum(gaps) <= rest.sum() - np.cumsum(window - gaps)
+    n = len(gaps) if enough.all() else int(enough.argmin())
+    return windows[:n], gaps[:n]
+
+
 def plan_block(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Pieces of a block's documents: arrays doc (position), start, length, sequence, offset; and the
     number of sequences."""
@@ -92,41 +129,53 @@ def plan_block(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     out = [[doc, start, np.full(len(doc), window), np.arange(len(doc)), np.zeros(len(doc), np.int64)]]
     sequences = int(full.sum())
 
-    histogram = np.bincount(rest, minlength=window + 1)
-    histogram[0] = 0
-    order = np.lexsort((np.arange(n), rest))  # documents by rest, to be taken from each rest's front
-    taken = np.searchsorted(rest[order], np.arange(window + 2))
-    left = histogram.copy()
-    patterns = combinations(histogram, window)
-    x = solve_nnls(patterns, histogram)
-    for k in np.argsort(-x, kind="stable"):
-        times = int(x[k] + 0.01)
-        if times < 1:
-            break
-        lens = [int(v) for v in patterns[k] if v]
-        times = min([times, *(left[v] // lens.count(v) for v in set(lens))])
-        offset = 0
-        for v in lens:
-            docs = order[taken[v] : taken[v] + times]
-            taken[v] += times
-            left[v] -= times
-            out.append([docs, full[docs] * window, np.full(times, v), sequences + np.arange(times), np.full(times, offset)])
-            offset += v
-        sequences += times
-
-    # The residue: longest first, laid end to end, cut at each window's end.
-    docs = np.concatenate([order[taken[v] : taken[v] + left[v]] for v in np.flatnonzero(left)[::-1]] or [np.zeros(0, np.int64)])
-    lens = rest[docs]
-    begin = np.cumsum(lens) - lens
-    room = np.minimum(lens, window - begin % window)
-    for part, at, length in ((docs, begin, room), (docs, begin + room, lens - room)):
-        some = length > 0
-        shift = (at - begin)[some]
-        out.append([part[some], full[part[some]] * window + shift, length[some], sequences + at[some] // window, at[some] % window])
-    sequences += -(-int(lens.sum()) // window)
+    windows, gaps = plan_rests(rest, window)
+    numbers, offset = sequences + np.arange(len(windows)), np.zeros(len(windows), np.int64)
+    for j in range(PARTS):
+        some = windows[:, j] >= 0
+        docs = windows[some, j]
+        out.append([docs, full[docs] * window, rest[docs], numbers[some], offset[some]])
+        offset[some] += rest[docs]
+    sequences += len(windows)
+
+    # The residue: longest first, laid end to end over the gaps and then over further windows.
+    residue = np.ones(n, bool)
+    residue[windows[windows >= 0]] = False
+    docs = np.flatnonzero(residue & (rest > 0))
+    docs = docs[np.argsort(-rest[docs], kind="stable")]
+    ends, room_ends = np.cumsum(rest[docs]), np.cumsum(gaps)
+    total, within = int(ends[-1]) if len(ends) else 0, int(room_ends[-1]) if len(room_ends) else 0
+    room_ends = np.concatenate([room_ends, np.arange(within + window, total + window, window)])
+    cuts = np.unique(np.concatenate([[0], ends, room_ends[room_ends < total]])).astype(np.int64)
+    begin, length = cuts[:-1], np.diff(cuts)
+    which, room = np.searchsorted(ends, begin, "right"), np.searchsorted(room_ends, begin, "right")
+    room_begin = np.concatenate([[0], room_ends])[room]
+    into = np.concatenate([window - gaps, np.zeros(len(room_ends) - len(gaps), np.int64)])[room]
+    out.append([docs[which], full[docs[which]] * window + begin - (ends - rest[docs])[which], length, sequences - len(windows) + room, into + begin - room_begin])
+    sequences += -(-max(0, total - within) // window)
     return (*(np.concatenate([o[i] for o in out]).astype(np.int64) for i in range(5)), sequences)
 
 
+def _pieces(doc_ids: list, held: list[bytes], starts: np.ndarray, totals: np.ndarray, window: int, base: int, with_ids: bool, last: bool) -> tuple[pa.RecordBatch, int]:
+    """Rows of a block's pieces, and its number of sequences. ``starts``, ``totals``: where each entry lies in
+    its document, and that one's length. Unless ``last``, pieces of short sequences are marked and keep ids."""
+    lengths = np.array([len(x) // 4 for x in held], np.int64)
+    doc, start, length, sequence, offset, n = plan_block(lengths, window)
+    by = np.lexsort((offset, sequence))
+    doc, start, length, sequence, offset = (a[by] for a in (doc, start, length, sequence, offset))
+    parts = [held[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+    short = (np.bincount(sequence, length, n) < window)[sequence] & (not last)
+    ids = [p if with_ids or s else None for p, s in zip(parts, short.tolist(), strict=True)]
+    arrays = [pa.array([doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array(starts[doc] + start), pa.array(length), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(totals[doc]), pa.array(base + sequence), pa.array(offset), pa.array(short), pa.array(ids, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, _NAMES), n
+
+
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "short", "ids"]
+_PIECES = SCHEMA + ", short boolean, ids binary"
+#: Sequence ids hold a partition's number above these bits; packed remainders follow those of all partitions.
+_PART_BITS, _REMAINDERS = 36, 1 << 26
+
+
 def pack(
     docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, with_ids: bool = False,
 ) -> DataFrame:
@@ -142,22 +191,15 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 36
+        base = TaskContext.get().partitionId() << _PART_BITS
         doc_ids, held, size = [], [], 0
 
-        def block() -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
             nonlocal base
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            doc, start, length, sequence, offset, n = plan_block(lengths, window)
-            by = np.lexsort((offset, sequence))
-            doc, start, length, sequence, offset = (a[by] for a in (doc, start, length, sequence, offset))
-            parts = [held[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-            arrays = [pa.array([doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array(start), pa.array(length), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(lengths[doc]), pa.array(base + sequence), pa.array(offset)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(parts, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            totals = np.array([len(x) // 4 for x in held], np.int64)
+            rows, n = _pieces(doc_ids, held, np.zeros_like(totals), totals, window, base, with_ids, False)
             base += n
+            return rows
 
         tok = encoder(tokenizer)
         for batch in batches:
@@ -168,12 +210,26 @@ def pack(
                     held.append(ids + end)
                     size += len(held[-1]) // 4
                     if size >= block_ids:
-                        yield from block()
+                        yield block()
                         doc_ids, held, size = [], [], 0
                 at += len(texts)
         if held:
-            yield from block()
+            yield block()
         tok.rest()
 
     keyed = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return keyed.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    made = materialize(keyed.mapInArrow(run, _PIECES), "pieces")
+
+    def remainders(rows: pa.Table) -> pa.Table:
+        part, *columns = (rows.column(c) for c in ("part", "doc_id", "start", "doc_tokens", "ids"))
+        ids, starts, totals, held = (c.to_pylist() for c in columns)
+        base = (_REMAINDERS + part[0].as_py()) << _PART_BITS
+        found, _ = _pieces(ids, held, np.array(starts, np.int64), np.array(totals, np.int64), window, base, with_ids, True)
+        return pa.Table.from_batches([found])
+
+    short = made.where("short")
+    groups = max(1, -(-(short.agg(F.sum("length")).first()[0] or 0) // block_ids))
+    part = F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).cast("int").alias("part")
+    again = short.select(part, "doc_id", "start", "doc_tokens", "ids").groupBy("part").applyInArrow(remainders, _PIECES)
+    names = _NAMES[:7] + (["ids"] if with_ids else [])
+    return made.where("not short").select(*names).unionByName(again.select(*names))
