@@ -8,7 +8,7 @@ A shard is one binary value with this layout (little-endian):
     the planes, one zstandard frame each
 
 Any range of ids can be read by decoding only the chunks that hold it. Shards are kept in a Parquet
-container (``part``, ``shard``, ``blob``, and the ids and lengths of its documents), as Spark's own
+container (``part``, ``shard``, ids before it in its part, ``blob``, and the ids and lengths of its documents), as Spark's own
 writers commit safely on any file system when executors are lost.
 """
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batches_of
+from textloom.llm.common import batches_of, materialize, small_or_shuffled
 from textloom.llm.tokens import default_path, encoder
 
 MAGIC, VERSION = b"TLBP", 1
@@ -34,7 +34,7 @@ PLANES = {"byte": 4, "bit": 32}
 #: Ids of a shard, after which a new one starts at the next document: 4 MB before compression.
 SHARD_IDS = 1 << 20
 CHUNK_IDS = 1 << 16
-FILE_SCHEMA = "part int, shard int, n_ids long, blob binary, doc_ids array<bigint>, n_tokens array<bigint>"
+FILE_SCHEMA = "part int, shard int, before long, n_ids long, blob binary, doc_ids array<bigint>, n_tokens array<bigint>"
 
 
 def _planes(ids: np.ndarray, planes: int) -> np.ndarray:
@@ -102,14 +102,14 @@ def write_token_files(
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, size = TaskContext.get().partitionId(), 0, 0
+        part, shard, before, size = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids, counts, held = [], [], []
 
         def row() -> pa.RecordBatch:
             blob = encode_shard(np.frombuffer(b"".join(held), "<u4"), planes, chunk_ids, level)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([blob], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
-                ["part", "shard", "n_ids", "blob", "doc_ids", "n_tokens"],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
+                ["part", "shard", "before", "n_ids", "blob", "doc_ids", "n_tokens"],
             )
 
         tok = encoder(tokenizer)
@@ -123,7 +123,7 @@ def write_token_files(
                     size += counts[-1]
                     if size >= shard_ids:
                         yield row()
-                        shard, size = shard + 1, 0
+                        shard, before, size = shard + 1, before + size, 0
                         doc_ids, counts, held = [], [], []
                 at += len(texts)
         if doc_ids:
@@ -136,15 +136,13 @@ def write_token_files(
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Shards with ``base``, the ids before each. Their bases come from sums by part: one row for each
-    task that wrote, whatever the corpus holds, which is small enough to broadcast."""
+    """Shards with ``base``, the ids before each: those before its part, and those before it there. Parts
+    are as many as tasks that wrote; their running sum is over one narrow row each."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    before = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__part_base"))
-    shards = files.select("part", "shard", "n_ids").withColumn("__in_part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    bases = shards.join(parts, "part").select("part", "shard", (F.col("__part_base") + F.col("__in_part")).alias("base"))
-    return files.join(F.broadcast(bases), ["part", "shard"])
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    parts = small_or_shuffled(materialize(parts, "parts"))
+    return files.join(parts, "part").withColumn("base", F.col("__base") + F.col("before")).drop("__base")
 
 
 def token_documents(shards: DataFrame) -> DataFrame:
