@@ -108,10 +108,12 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "n": F.octet_length("payload")})
-    groups = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.max("n").alias("n")).where((F.col("copies") > 1) & (F.col("n") >= least_revisit))
-    # Rows that share the response's id: one of them is chosen by its url.
-    heads = rows.select("sha", "id", F.xxhash64("url").alias("u"), "n").join(groups.select("sha", "first"), "sha")
-    heads = heads.where(F.col("id").eqNullSafe(F.col("first"))).groupBy("sha").agg(F.first("first").alias("first"), F.count("*").alias("heads"), F.min("u").alias("u"))
+    # By digest and id first, so a payload that many pages share does not meet in one task. Rows that share the
+    # response's id: one of them is chosen by its url.
+    by_id = rows.groupBy("sha", "id").agg(F.count("*").alias("c"), F.min(F.xxhash64("url")).alias("u"), F.max("n").alias("n"))
+    head = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "c", "u")).alias("head")
+    heads = by_id.groupBy("sha").agg(head, F.sum("c").alias("copies"), F.max("n").alias("n")).where((F.col("copies") > 1) & (F.col("n") >= least_revisit))
+    heads = heads.select("sha", F.col("head.id").alias("first"), F.col("head.c").alias("heads"), F.col("head.u").alias("u"))
     heads = materialize(heads, "warc-heads")
     joined = rows.join(small_or_shuffled(heads), "sha", "left")
     joined = joined.withColumn("head", F.col("id").eqNullSafe(F.col("first")) & (F.xxhash64("url") == F.col("u")))
