@@ -188,17 +188,24 @@ def _profiles(texts: DataFrame) -> DataFrame:
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
-    """The corpus' counts: the tasks' blocks are summed on the executors; 16 MB reach the driver."""
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(_SKETCH_BLOCK, np.int64)
-        for blob in pdf["counts"]:
-            out += np.frombuffer(zlib.decompress(blob), "<u4")
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [np.minimum(out, 0xFFFFFFFF).astype("<u4").tobytes()]})
+    """The corpus' counts: the tasks' blocks are summed on the executors, first those of a sixteenth of the
+    tasks, and 16 MB reach the driver. Blocks stream through a task, which holds its sums only."""
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for block, turn, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault((block, turn), np.zeros(_SKETCH_BLOCK, np.int64))
+                own += np.frombuffer(zlib.decompress(blob), "<u4")
+        blobs = [zlib.compress(np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes(), 1) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([t for _, t in sums], pa.int32()), pa.array(blobs, pa.binary())], ["block", "turn", "counts"])
+
+    rows = profiles.where("block is not null").select("block", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int").alias("turn"), "counts")
+    rows = rows.repartition("block", "turn").mapInArrow(total, "block int, turn int, counts binary")
+    rows = rows.select("block", F.lit(0).alias("turn"), "counts").repartition("block").mapInArrow(total, "block int, turn int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in profiles.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(total, "block int, counts binary").collect():
-        out[r.block * _SKETCH_BLOCK : (r.block + 1) * _SKETCH_BLOCK] = np.frombuffer(bytes(r.counts), "<u4")
+    for r in rows.collect():
+        out[r.block * _SKETCH_BLOCK : (r.block + 1) * _SKETCH_BLOCK] = np.frombuffer(zlib.decompress(bytes(r.counts)), "<u4")
     return out
 
 
@@ -310,6 +317,7 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _pivot_pairs(blocks: DataFrame, turn: int) -> DataFrame:
     """Each node of a block with a pivot that differs by block and turn, if it is of another component."""
     pivots = blocks.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
+    pivots = small_or_shuffled(materialize(pivots, "pivots"))
     pairs = blocks.join(pivots, "key").where(F.col("label") != F.col("p.label"))
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
@@ -325,7 +333,7 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = by_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     mixed = mixed.select("key", F.col("top.label").alias("major"), F.ceil(F.col("all") / PIECE).alias("p"), F.ceil((F.col("all") - F.col("top.c")) / PIECE).alias("q"))
-    rows = rows.join(mixed, "key").join(points, "node")
+    rows = rows.join(small_or_shuffled(materialize(mixed, "mixed-blocks")), "key").join(points, "node")
     zero = F.lit(0).cast("long")
     left = rows.select("key", "node", "label", "n", "point", F.lit(0).alias("side"), F.pmod(F.xxhash64("node"), "p").alias("i"), F.explode(F.sequence(zero, F.col("q") - 1)).alias("j"))
     right = rows.where("label <> major").select("key", "node", "label", "n", "point", F.lit(1).alias("side"), F.pmod(F.xxhash64("node", F.lit(1)), "q").alias("j"), F.explode(F.sequence(zero, F.col("p") - 1)).alias("i"))
