@@ -45,8 +45,29 @@ def test_blocks_of_items_give_the_same(spark):
     rnd = random.Random(4)
     items = spark.createDataFrame([(k, " ".join(rnd.choice("abcdef") for _ in range(30))) for k in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(k, " ".join(rnd.choice("abcdef") for _ in range(80))) for k in range(20)], "doc_id long, text string")
-    whole, blocks = (sorted(map(repr, D.find_matches(docs, items, window=4, block_words=n).collect())) for n in (10_000, 17))
-    assert whole == blocks
+    whole, blocks, passes = (sorted(map(repr, D.find_matches(docs, items, window=4, block_words=n).collect())) for n in (10_000, 60, 17))
+    assert whole == blocks == passes
+
+
+def test_cuts_of_a_later_pass_join_no_passage_of_an_earlier_one(spark):
+    rnd = random.Random(14)
+    passages = [[f"p{k}_{i}" for i in range(12)] for k in range(12)]
+    items = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, text string")
+    rows = []
+    for d in range(40):
+        text = [f"clean{d}_{i}" for i in range(200)]
+        for _ in range(3):  # passages within halves of passages
+            inner = list(rnd.choice(passages))
+            for _ in range(3):
+                outer = rnd.choice(passages)
+                inner = outer[:6] + inner + outer[6:]
+            at = rnd.randrange(200)
+            text[at:at] = inner
+        rows.append((d, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = D.decontaminate(docs, items, max_coverage=1.0, block_words=30)
+    assert {r.doc_id: [w for w in r.text.split() if w.startswith("clean")] for r in out.collect()} == {d: [f"clean{d}_{i}" for i in range(200)] for d in range(40)}
+    assert D.find_matches(out, items).where("size(dc_spans) > 0").count() == 0
 
 
 def test_cleaning_leaves_no_window(spark):

@@ -1,13 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-The automaton of the normalised items is built on the driver in blocks of at most ``block_words`` words
-(a fixed bound, so a block is small enough to broadcast); a larger benchmark is worked through block by
-block. Training words stream through it. At each word the length of the longest match that ends there is
-known; where it reaches the window's length, the window's words are hit.
+Items are dealt into blocks of about ``block_words`` words, and each block's automaton is built in a task.
+Blocks are a fixed size, so a few automata are small enough to broadcast: training words stream through
+PASS_BLOCKS of them at once, and a larger benchmark takes a further pass for as many blocks more. At each
+word the length of the longest match that ends there is known; where it reaches the window's length, the
+window's words are hit.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -21,6 +23,8 @@ from textloom.llm.common import materialize
 WINDOW = 10
 #: Words of a block of items: an automaton of at most twice as many states, some 60 MB.
 BLOCK_WORDS = 100_000
+#: Automata that are broadcast together.
+PASS_BLOCKS = 4
 #: Word characters of UTF-8 text are 0-9, a-z, A-Z (lower-cased) and all bytes from 0x80.
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -142,22 +146,48 @@ class SuffixAutomaton:
                     spans.append([begin, i])
 
 
-def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """The benchmark's automata, block by block. An item longer than a block is cut into stretches that
-    share window - 1 words, which keeps all its windows."""
-    held: list[tuple[str, list[bytes]]] = []
-    size = 0
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col).cast("string").cast("binary")).dropna()
-    for item, text in rows.toLocalIterator():
-        words = words_of(bytes(text))
-        for at in range(0, max(1, len(words) - window + 1), block_words):
-            held.append((item, words[at : at + block_words + window - 1]))
-            size += len(held[-1][1])
-            if size >= block_words:
-                yield SuffixAutomaton(held, window)
-                held, size = [], 0
-    if held:
-        yield SuffixAutomaton(held, window)
+def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """block, automaton: the benchmark's automata, built in tasks. An item longer than a block is cut into
+    stretches that share window - 1 words, which keeps all its windows."""
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                cut = [words[at : at + block_words + window - 1] for at in range(0, max(1, len(words) - window + 1), block_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut)), pa.array([len(c) for c in cut], pa.int64()), pa.array([b" ".join(c) for c in cut], pa.binary())], ["item", "n", "words"])
+
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).dropna()
+    rows = materialize(rows.mapInArrow(stretches, "item string, n long, words binary").where("n > 0"), "items")
+    blocks = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block_words))
+
+    def build(part: pa.Table) -> pa.Table:
+        own = SuffixAutomaton([(item, words.split()) for item, words in zip(part.column("item").to_pylist(), part.column("words").to_pylist(), strict=True)], window)
+        return pa.table({"block": part.column("block")[:1], "automaton": pa.array([pickle.dumps(own)], pa.binary())})
+
+    dealt = rows.select(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int").alias("block"), "item", "words")
+    return materialize(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"), "automata")
+
+
+def _passes(benchmark: DataFrame, *args) -> list:
+    """The automata, PASS_BLOCKS at a time, broadcast; one empty list without any."""
+    made = automata(benchmark, *args)
+    numbers = sorted(r.block for r in made.select("block").collect())
+    out = []
+    for at in range(0, max(1, len(numbers)), PASS_BLOCKS):
+        some = [r.automaton for r in made.where(F.col("block").isin(numbers[at : at + PASS_BLOCKS])).select("automaton").collect()]
+        out.append(benchmark.sparkSession.sparkContext.broadcast([pickle.loads(bytes(x)) for x in some]))
+    return out
+
+
+def search_all(found_by: list[SuffixAutomaton], words: list[bytes]) -> tuple[list[list[int]], set[str]]:
+    """What ``search`` finds with several automata."""
+    spans, items = [], set()
+    for automaton in found_by:
+        hit, found = automaton.search(words)
+        spans += hit
+        items |= found
+    return spans if len(found_by) == 1 else _merged(spans), items
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -179,18 +209,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     [start, end) pairs), dc_items (sorted ids of the items whose windows occur). Columns of these names
     are replaced. A null or empty text has no words; null item ids count as the empty string; an empty
     benchmark hits nothing. Narrow work on each row: no shuffle, and repeated rows stay."""
-    sc = docs.sparkSession.sparkContext
     kept = [c for c in docs.columns if c not in ("dc_words", "dc_spans", "dc_items")]
     out = docs.select(*kept)
-    done = False
-    for automaton in automata(benchmark, item_col, item_text_col, window, block_words):
-        shared = sc.broadcast(automaton)
-        if done:
-            out = materialize(out, "decontaminate")
-        out = _scan(out, kept, text_col, shared, done)
-        done = True
-    if not done:
-        out = _scan(out, kept, text_col, sc.broadcast(SuffixAutomaton([], window)), False)
+    for k, shared in enumerate(_passes(benchmark, item_col, item_text_col, window, block_words)):
+        out = _scan(materialize(out, "decontaminate") if k else out, kept, text_col, shared, k > 0)
     return out
 
 
@@ -199,7 +221,7 @@ def _scan(docs: DataFrame, kept: list[str], text_col: str, shared, more: bool) -
     text_at = len(docs.columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        found_by = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -207,7 +229,7 @@ def _scan(docs: DataFrame, kept: list[str], text_col: str, shared, more: bool) -
                 old = zip(batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist(), strict=True) if more else None
                 for text in batch.column(text_at).to_pylist():
                     words = words_of(text or b"")
-                    hit, found = automaton.search(words)
+                    hit, found = search_all(found_by, words)
                     if old:
                         hit0, found0 = next(old)
                         hit, found = _merged(hit + hit0), found.union(found0)
@@ -236,10 +258,10 @@ def cut_spans(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def cleaned(text: bytes, automaton: SuffixAutomaton) -> tuple[bytes, int]:
+def cleaned(text: bytes, found_by: list[SuffixAutomaton]) -> tuple[bytes, int]:
     """The text without hit spans, again until no window is left, and how many words that took."""
     lost = 0
-    while spans := automaton.search(words_of(text))[0]:
+    while spans := search_all(found_by, words_of(text))[0]:
         text = cut_spans(text, spans)
         lost += sum(b - a for a, b in spans)
     return text, lost
@@ -251,14 +273,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Hit spans are cut out of the text, again until no window is left. A document that loses more than
     ``max_coverage`` of its words goes. ``chars_col``, if present, is set to the new length where text was
     cut. Documents without hits, null and empty texts stay as they are. One pass over the rows for each
-    block of items, without a shuffle."""
-    sc = docs.sparkSession.sparkContext
+    PASS_BLOCKS blocks of items, without a shuffle; where there are more, passes go on until none cuts."""
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"), F.lit(None).cast("long").alias("words"), F.lit(0).cast("long").alias("lost"))
     row = out.schema["row"].dataType.simpleString()
-    for k, automaton in enumerate(automata(benchmark, window=window, block_words=block_words)):
-        shared = sc.broadcast(automaton)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scanned(rows: DataFrame, shared) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     batch = whole.slice(at, 512)
@@ -270,7 +290,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         lost.append(before + cut)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(words, pa.int64()), pa.array(lost, pa.int64())], ["row", "text", "words", "lost"])
 
-        out = (materialize(out, "decontaminate") if k else out).mapInArrow(scan, f"row {row}, text binary, words long, lost long")
+        return rows.mapInArrow(scan, f"row {row}, text binary, words long, lost long")
+
+    passes = _passes(benchmark, "item_id", "text", window, block_words)
+    out, total, before = scanned(out, passes[0]), 0, -1
+    while len(passes) > 1 and total != before:  # a cut can join words to a passage of an earlier pass
+        for shared in [*passes[1:], passes[0]]:
+            out = scanned(materialize(out, "decontaminate"), shared)
+        out = materialize(out, "decontaminate")
+        before, total = total, out.agg(F.sum("lost")).first()[0] or 0
     hit = F.col("lost") > 0
     out = out.where(~hit | (F.col("lost") <= max_coverage * F.col("words"))).withColumn("text", F.col("text").cast("string"))
 
