@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batches_of, materialize, small_or_shuffled
-from textloom.llm.tokens import default_path, encoder
+from textloom.llm.common import materialize, small_or_shuffled
+from textloom.llm.tokens import default_path, encoder, with_ends
 
 MAGIC, VERSION = b"TLBP", 1
 _HEAD = struct.Struct("<4sHBBIQI")
@@ -99,33 +99,36 @@ def write_token_files(
     neighbours, ordered by a hash of the text. An empty table gives no shard. Other columns are ignored.
     """
     tokenizer = tokenizer or default_path()
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before, size = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids, counts, held = [], [], []
 
         def row() -> pa.RecordBatch:
-            blob = encode_shard(np.frombuffer(b"".join(held), "<u4"), planes, chunk_ids, level)
+            blob = encode_shard(np.concatenate(held), planes, chunk_ids, level)
+            of_docs = pa.ListArray.from_arrays([0, sum(map(len, doc_ids))], pa.concat_arrays(doc_ids))
+            sizes = np.concatenate(counts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary()), of_docs, pa.ListArray.from_arrays([0, len(sizes)], pa.array(sizes, pa.int64()))],
                 ["part", "shard", "before", "n_ids", "blob", "doc_ids", "n_tokens"],
             )
 
         tok = encoder(tokenizer)
         for batch in batches:
-            at = 0
-            for texts in batches_of(batch.column(1), 256):
-                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), tok.encode_many(texts), strict=True):
-                    held.append(ids + end)
-                    doc_ids.append(doc_id)
-                    counts.append(len(ids) // 4 + 1)
-                    size += counts[-1]
+            for first, ids, at in tok.batches(batch.column(1)):
+                ids, at = with_ends(ids, at, end_id)
+                done = 0
+                while done < len(at) - 1:
+                    # up to the document that fills the shard
+                    end = min(len(at) - 1, int(np.searchsorted(at, at[done] + shard_ids - size, "left")))
+                    held.append(ids[at[done] : at[end]])
+                    doc_ids.append(batch.column(0).slice(first + done, end - done))
+                    counts.append(np.diff(at[done : end + 1]))
+                    size, done = size + int(at[end] - at[done]), end
                     if size >= shard_ids:
                         yield row()
                         shard, before, size = shard + 1, before + size, 0
                         doc_ids, counts, held = [], [], []
-                at += len(texts)
         if doc_ids:
             yield row()
         tok.rest()

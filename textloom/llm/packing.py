@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batches_of, materialize
-from textloom.llm.tokens import default_path, encoder
+from textloom.llm.common import materialize
+from textloom.llm.tokens import default_path, encoder, with_ends
 
 #: Ids of a block: 16 MB, about 2,000 windows.
 BLOCK_IDS = 1 << 22
@@ -156,17 +156,18 @@ def plan_block(lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     return (*(np.concatenate([o[i] for o in out]).astype(np.int64) for i in range(5)), sequences)
 
 
-def _pieces(doc_ids: list, held: list[bytes], starts: np.ndarray, totals: np.ndarray, window: int, base: int, with_ids: bool, last: bool) -> tuple[pa.RecordBatch, int]:
-    """Rows of a block's pieces, and its number of sequences. ``starts``, ``totals``: where each entry lies in
-    its document, and that one's length. Unless ``last``, pieces of short sequences are marked and keep ids."""
-    lengths = np.array([len(x) // 4 for x in held], np.int64)
-    doc, start, length, sequence, offset, n = plan_block(lengths, window)
+def _pieces(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray, starts: np.ndarray, totals: np.ndarray, window: int, base: int, with_ids: bool, last: bool) -> tuple[pa.RecordBatch, int]:
+    """Rows of a block's pieces, and its number of sequences. Entry k has the ids from at[k] to at[k + 1];
+    ``starts``, ``totals``: where it lies in its document, and that one's length. Unless ``last``, pieces of
+    short sequences are marked and keep their ids."""
+    doc, start, length, sequence, offset, n = plan_block(np.diff(at), window)
     by = np.lexsort((offset, sequence))
     doc, start, length, sequence, offset = (a[by] for a in (doc, start, length, sequence, offset))
-    parts = [held[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+    octets, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 4 * (at[doc] + start)
+    parts = [octets[a:b] for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
     short = (np.bincount(sequence, length, n) < window)[sequence] & (not last)
-    ids = [p if with_ids or s else None for p, s in zip(parts, short.tolist(), strict=True)]
-    arrays = [pa.array([doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array(starts[doc] + start), pa.array(length), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(totals[doc]), pa.array(base + sequence), pa.array(offset), pa.array(short), pa.array(ids, pa.binary())]
+    kept = [bytes(p) if with_ids or s else None for p, s in zip(parts, short.tolist(), strict=True)]
+    arrays = [doc_ids.take(pa.array(doc)), pa.array(starts[doc] + start), pa.array(length), pa.array(map(zlib.crc32, parts), pa.int64()), pa.array(totals[doc]), pa.array(base + sequence), pa.array(offset), pa.array(short), pa.array(kept, pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, _NAMES), n
 
 
@@ -188,31 +189,34 @@ def pack(
     (upper bits) and the sequence's number there. A document longer than a block makes a block alone.
     """
     tokenizer = tokenizer or default_path()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << _PART_BITS
-        doc_ids, held, size = [], [], 0
+        doc_ids, held, sizes, size = [], [], [], 0
 
         def block() -> pa.RecordBatch:
             nonlocal base
-            totals = np.array([len(x) // 4 for x in held], np.int64)
-            rows, n = _pieces(doc_ids, held, np.zeros_like(totals), totals, window, base, with_ids, False)
+            totals = np.concatenate(sizes)
+            at = np.concatenate([[0], np.cumsum(totals)])
+            rows, n = _pieces(pa.concat_arrays(doc_ids), np.concatenate(held), at, np.zeros_like(totals), totals, window, base, with_ids, False)
             base += n
             return rows
 
         tok = encoder(tokenizer)
         for batch in batches:
-            at = 0
-            for texts in batches_of(batch.column(1), 256):
-                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), tok.encode_many(texts), strict=True):
-                    doc_ids.append(doc_id)
-                    held.append(ids + end)
-                    size += len(held[-1]) // 4
+            for first, ids, at in tok.batches(batch.column(1)):
+                ids, at = with_ends(ids, at, end_id)
+                done = 0
+                while done < len(at) - 1:
+                    # up to the document that fills the block
+                    end = min(len(at) - 1, int(np.searchsorted(at, at[done] + block_ids - size, "left")))
+                    held.append(ids[at[done] : at[end]])
+                    doc_ids.append(batch.column(0).slice(first + done, end - done))
+                    sizes.append(np.diff(at[done : end + 1]))
+                    size, done = size + int(at[end] - at[done]), end
                     if size >= block_ids:
                         yield block()
-                        doc_ids, held, size = [], [], 0
-                at += len(texts)
+                        doc_ids, held, sizes, size = [], [], [], 0
         if held:
             yield block()
         tok.rest()
@@ -221,10 +225,12 @@ def pack(
     made = materialize(keyed.mapInArrow(run, _PIECES), "pieces")
 
     def remainders(rows: pa.Table) -> pa.Table:
-        part, *columns = (rows.column(c) for c in ("part", "doc_id", "start", "doc_tokens", "ids"))
-        ids, starts, totals, held = (c.to_pylist() for c in columns)
-        base = (_REMAINDERS + part[0].as_py()) << _PART_BITS
-        found, _ = _pieces(ids, held, np.array(starts, np.int64), np.array(totals, np.int64), window, base, with_ids, True)
+        rows = rows.combine_chunks()
+        base = (_REMAINDERS + rows.column("part")[0].as_py()) << _PART_BITS
+        held = rows.column("ids").to_pylist()
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
+        starts, totals = (rows.column(c).to_numpy() for c in ("start", "doc_tokens"))
+        found, _ = _pieces(rows.column("doc_id").combine_chunks(), np.frombuffer(b"".join(held), "<u4"), at, starts, totals, window, base, with_ids, True)
         return pa.Table.from_batches([found])
 
     short = made.where("short")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Two white-space characters in a row, or one at the end: then a piece may not start at each space.
-_RUN = re.compile(r"\s\s|\s\Z")
+_WHITE = r"[\t-\r\x1c-\x20\x85\pZ]"
+_RUN = f"{_WHITE}{_WHITE}|{_WHITE}$"
 _SPACE = re.compile(r"\s")
 #: A token never spans a white-space character that follows another character.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -18,6 +22,8 @@ _KEEP_CHARS = 64
 _TAIL, _LATIN_END = ".,!?;:#$%&*|", "\u0250"
 #: New pieces that are encoded as one text.
 _JOINED = 20_000
+#: Bytes of texts that are worked on together (at least one text).
+_TOGETHER = 8 << 20
 
 
 def default_path() -> str:
@@ -31,14 +37,16 @@ class PieceEncoder:
     character that follows a non-space one. So the ids of a text are those of its pieces, joined, and a
     piece met before needs no second encoding. Results are little-endian unsigned 32-bit ids.
 
-    A line feed between two other characters is a token of its own, so lines are taken apart at it. New
-    pieces without white space inside are encoded together, a line each, and their ids cut apart again.
+    Texts are cut at single spaces and line feeds, equal pieces of some MB of texts are found by Arrow, and
+    ids are put together by numpy; Python sees each distinct piece once for these MB. A line feed between two
+    other characters is a token of its own. New pieces without white space inside are encoded together, a
+    line each, and their ids cut apart again. Texts with runs of white space are cut one by one.
 
     ``capacity``: new pieces after which those not met since the last turn are forgotten (so at most twice
     as many are kept, of some 200 bytes each).
     """
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -54,49 +62,93 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without special tokens; a null text has none."""
-        split: list[list[tuple[list[str], list[str]]]] = []  # by text, by line: pieces as they are, pieces after a space
-        plain: set[str] = set()
-        spaced: set[str] = set()
-        for text in texts:
-            if not text:
-                split.append([])
-            elif _RUN.search(text):
-                pieces = _CUT.split(text)
-                plain.update(pieces)
-                split.append([(pieces, [])])
-            else:
-                lines = []
-                for line in text.split("\n") if self._feed is not None else [text]:
-                    first, *rest = line.split(" ")
-                    plain.add(first)
-                    spaced.update(rest)
-                    lines.append(([first], rest))
-                split.append(lines)
+        ids, at = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``encode`` for stretches of a column: number of the first text, ids, and bounds."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TOGETHER, "right")))
+            yield (at, *self.encode(texts.slice(at, end - at)))
+            at = end
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and bounds: text k has those from bounds[k] to bounds[k + 1]."""
         if len(self._plain) + len(self._spaced) > self._capacity:
             self._old = (self._plain, self._spaced)
             self._plain, self._spaced, self._tails = {}, {}, {}
-        long_plain = self._learn(plain, self._plain, self._old[0], "")
-        long_spaced = self._learn(spaced, self._spaced, self._old[1], " ")
-        out, as_is, after = [], self._plain.__getitem__, self._spaced.__getitem__
-        for lines in split:
-            out.append(self._between.join([b"".join([*map(as_is, head), *map(after, tail)]) for head, tail in lines]))
-        for p in long_plain:
-            del self._plain[p]
-        for p in long_spaced:
-            del self._spaced[p]
-        return out
+        texts = pc.fill_null(texts, "")
+        runs = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False) if self._feed is not None else np.ones(len(texts), bool)
+        if not runs.any():
+            return self._cut_together(texts)
+        plain = self._cut_together(texts.filter(pa.array(~runs)))
+        others = iter(self._cut_by_runs(texts.filter(pa.array(runs)).to_pylist()))
+        at = zip(plain[1][:-1].tolist(), plain[1][1:].tolist(), strict=True)
+        parts = [np.frombuffer(next(others), "<u4") if run else plain[0][slice(*next(at))] for run in runs.tolist()]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _cut_together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts without runs of white space. A line's first piece keeps the line feed before it; each text gets
+        one more in front, whose id is left out again."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        pieces = lists.flatten().dictionary_encode()
+        fed = pc.starts_with(pieces.dictionary, "\n")
+        after = self._ids(pieces.dictionary.filter(pc.invert(fed)).to_pylist(), 1)
+        first = self._ids(pc.utf8_slice_codeunits(pieces.dictionary.filter(fed), 1).to_pylist(), 0)
+        found = [*after, *(self._between + x for x in first)]
+        place = np.empty(len(found), np.int64)  # of each distinct piece among those found
+        fed = fed.to_numpy(zero_copy_only=False)
+        place[~fed], place[fed] = np.arange(len(after)), np.arange(len(after), len(found))
+        known = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = place[pieces.indices.to_numpy()]
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        begins = ends - own
+        shift = np.int32 if max(len(known), ends[-1]) < 1 << 31 else np.int64
+        ids = known[np.repeat(((np.cumsum(sizes) - sizes)[codes] - begins).astype(shift), own) + np.arange(ends[-1], dtype=shift)]
+        starts = begins[lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()]
+        keep = np.ones(len(ids), bool)
+        keep[starts] = False
+        return ids[keep], np.concatenate([starts, ends[-1:]]) - np.arange(len(texts) + 1)
+
+    def _cut_by_runs(self, texts: list[str]) -> list[bytes]:
+        split = [_CUT.split(t) for t in texts]
+        words = list({p for pieces in split for p in pieces})
+        known = dict(zip(words, self._ids(words, 0), strict=True))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def _ids(self, words: list[str], spaced: int) -> list[bytes]:
+        """Ids of distinct pieces, after a space or as they are."""
+        known, old = (self._plain, self._spaced)[spaced], self._old[spaced]
+        found = list(map(known.get, words))
+        places = [i for i, x in enumerate(found) if x is None]
+        if places:
+            new = [words[i] for i in places]
+            if old:
+                met = {p: x for p, x in zip(new, map(old.get, new), strict=True) if x is not None}
+                known.update(met)
+                rest = [p for p in new if p not in met]
+            else:
+                rest = new
+            self._learn(rest, known, " " * spaced)
+            for i, p in zip(places, new, strict=True):
+                found[i] = known[p]
+            for p in rest:
+                if len(p) > _KEEP_CHARS:
+                    del known[p]
+        return found
 
     def rest(self) -> None:
         """To be called at a task's end: a worker lives on, and shares its executor's memory with other steps."""
         self._old = ({}, {})
 
-    def _learn(self, pieces: set[str], known: dict[str, bytes], old: dict[str, bytes], before: str) -> list[str]:
-        """Makes all pieces known; returns those too long to keep."""
-        new = [p for p in pieces if p not in known]
-        if old:
-            met = [p for p in new if p in old]
-            known.update(zip(met, map(old.__getitem__, met), strict=True))
-            new = [p for p in new if p not in old]
+    def _learn(self, new: list[str], known: dict[str, bytes], before: str) -> None:
+        """Adds the ids of pieces that are not known."""
         tails: list[tuple[str, str]] = []
         lines: set[str] = set()
         if self._feed is not None:
@@ -130,7 +182,11 @@ class PieceEncoder:
         if other:
             found = self._tokenizer.encode_batch_fast([before + p for p in other], add_special_tokens=False)
             known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(other, found, strict=True))
-        return [p for p in new if len(p) > _KEEP_CHARS]
+
+
+def with_ends(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds of texts with one more id at the end of each."""
+    return np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
 
 
 _encoders: dict[str, PieceEncoder] = {}
