@@ -57,6 +57,7 @@ def age_bucket(c: Column) -> Column:
     return F.when(key.isin(AGE_LABELS), key).when(age.isNull() | (age < 18), c.cast("string")).otherwise(_bucket(age, AGE_LIMITS, AGE_LABELS))
 
 
+# Fixed values in the next two functions: words and marks of incomes (k, under, over, more, to, $, +).
 def income_bucket(c: Column) -> Column:
     """The bucket of an income given as text. Without a number it stays."""
     s = strip(c.cast("string"))

@@ -80,10 +80,12 @@ def normalized_score(kind: Column, score: Column, max_fulltext: Column, c: Colum
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * factor + boost))
 
 
-def with_normalized_scores(hits: DataFrame, query: str) -> DataFrame:
+def with_normalized_scores(hits: DataFrame, query: str, fulltext: DataFrame | None = None) -> DataFrame:
     """Adds normalized_score to hits (search_type, score, text). The largest full-text score of the result
-    list is one aggregate, joined back as a single row."""
-    top = hits.agg(F.coalesce(F.max(F.when(F.col("search_type") == "fulltext", F.col("score"))), F.lit(1.0)).alias("__max"))
+    list is one aggregate, joined back as a single row; ``fulltext``, if given, holds the full-text hits with
+    their score, so the list need not be made twice for it."""
+    scores = F.col("score") if fulltext is not None else F.when(F.col("search_type") == "fulltext", F.col("score"))
+    top = (hits if fulltext is None else fulltext).agg(F.coalesce(F.max(scores), F.lit(1.0)).alias("__max"))
     return hits.join(F.broadcast(top)).withColumn("normalized_score", normalized_score(F.col("search_type"), F.col("score"), F.col("__max"), F.col("text"), query)).drop("__max")
 
 

@@ -24,19 +24,26 @@ def query_terms(query: str, analyzer: str = "plain") -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def bm25(index: Index, postings: DataFrame) -> DataFrame:
-    """doc_id, term, score of matching postings. Corpus sizes are one row, and document lengths are joined to
-    matching rows only."""
+def bm25(index: Index, postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """doc_id, term, score of matching postings. ``stats``: the rows of term_stats of their terms. Corpus sizes
+    are one row, and document lengths are joined to matching rows only."""
     corpus = index.doc_stats.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    rows = postings.join(index.term_stats, "term").join(index.doc_stats, "doc_id").crossJoin(F.broadcast(corpus))
+    rows = postings.join(stats, "term").join(index.doc_stats, "doc_id").crossJoin(F.broadcast(corpus))
     idf = F.log(F.col("docs") / (F.col("df") + 1)) + 1
     tf = F.col("tf")
     return rows.select("doc_id", "term", (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("score"))
 
 
+def _of_terms(index: Index, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics of some terms. The statistics are a row for each, so they are broadcast: a
+    frequent term's postings need not meet in one task."""
+    wanted = F.col("term").isin(terms)
+    return index.postings.where(wanted), F.broadcast(index.term_stats.where(wanted))
+
+
 def search_terms(index: Index, terms: list[str], require_all: bool = True) -> DataFrame:
     """doc_id, score (6 decimals), matched: documents with all, or any, of the terms."""
-    rows = bm25(index, index.postings.where(F.col("term").isin(terms)))
+    rows = bm25(index, *_of_terms(index, terms))
     out = rows.groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("matched"))
     return out.where(F.col("matched") == len(terms)) if require_all else out
 
@@ -47,7 +54,13 @@ def top(hits: DataFrame, limit: int | None) -> DataFrame:
     return hits if limit is None else hits.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-# Query syntax: AND, OR, NOT, brackets, "phrases", pre*, wi?d*, fuzzy~2, field:term, boost^2; words alone are AND-ed.
+# Query syntax: AND, OR, NOT, brackets, "phrases", pre*, wi?d*, fuzzy~2, [from TO to], field:term, boost^2; words alone
+# are AND-ed. The index has one field, text.
+
+
+def _near(term: Column, word: str, distance: int) -> Column:
+    """Edit distance within a bound; lengths, which are cheap, rule out most terms."""
+    return F.length(term).between(len(word) - distance, len(word) + distance) & (F.levenshtein(term, F.lit(word), distance) >= 0)
 
 
 @dataclass
@@ -57,12 +70,16 @@ class Leaf:
     words: list[str] = field(default_factory=list)
     pattern: str | None = None
     fuzzy: tuple[str, int] | None = None
+    bounds: tuple[str, str] | None = None
     boost: float = 1.0
 
     def terms(self, term: Column) -> Column:
         if self.fuzzy:
             word, distance = self.fuzzy
-            return F.levenshtein(term, F.lit(word), distance) >= 0
+            return _near(term, word, distance)
+        if self.bounds:
+            low, high = self.bounds
+            return (term >= low if low else F.lit(True)) & (term <= high if high else F.lit(True))
         return term.rlike(self.pattern) if self.pattern else term.isin(self.words)
 
 
@@ -81,7 +98,7 @@ def _like(mask: str) -> str:
 class _Parser:
     def __init__(self, query: str, analyzer: str, fields: tuple[str, ...] = ("text",)):
         self.analyzer, self.fields, self.leaves = analyzer, fields, []
-        self.parts = [m for m in re.findall(r'\(|\)|[\w.-]+:"[^"]*"|"[^"]*"(?:\^[\d.]+)?|[^\s()"]+', query)]
+        self.parts = [m for m in re.findall(r'\(|\)|(?:\w+:)?\[[^\]]*\]|[\w.-]+:"[^"]*"|"[^"]*"(?:\^[\d.]+)?|[^\s()"]+', query)]
         self.at = 0
 
     def peek(self) -> str | None:
@@ -128,7 +145,9 @@ class _Parser:
         boost = 1.0
         if m := re.search(r"\^(\d+(?:\.\d+)?)$", p):
             p, boost = p[: m.start()], float(m[1])
-        if m := re.fullmatch(r"(\w+)~(\d*)", p):
+        if m := re.fullmatch(r"\[\s*(\S*?)\s*TO\s*(\S*?)\s*\]", p):
+            leaf = Leaf(bounds=(m[1].lower().strip("*"), m[2].lower().strip("*")), boost=boost)
+        elif m := re.fullmatch(r"(\w+)~(\d*)", p):
             leaf = Leaf(fuzzy=(m[1].lower(), int(m[2] or 1)), boost=boost)
         elif not p.startswith('"') and re.search(r"[*?]", p) and re.search(r"\w", p):
             leaf = Leaf(pattern=_like(p.lower()), boost=boost)
@@ -197,7 +216,10 @@ def search_query(index: Index, query: str) -> DataFrame:
     wanted = parsed.leaves[0].terms(t)
     for leaf in parsed.leaves[1:]:
         wanted = wanted | leaf.terms(t)
-    found = index.postings.where(wanted)
+    if all(leaf.words for leaf in parsed.leaves):
+        found, stats = _of_terms(index, sorted({w for leaf in parsed.leaves for w in leaf.words}))
+    else:
+        found, stats = index.postings.where(wanted), index.term_stats.where(wanted)
     flags, extra = [], []
     for k, leaf in enumerate(parsed.leaves):
         if len(leaf.words) > 1:
@@ -209,7 +231,7 @@ def search_query(index: Index, query: str) -> DataFrame:
             extra.append(F.max(leaf.terms(t)).alias(f"f{k}"))
             flags.append(F.coalesce(F.col(f"f{k}"), F.lit(False)))
     boost = F.greatest(*[F.when(leaf.terms(t), leaf.boost).otherwise(0.0) for leaf in parsed.leaves], F.lit(0.0))
-    scores = bm25(index, found).select("doc_id", "term", (F.col("score") * boost).alias("score")).groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("matched"))
+    scores = bm25(index, found, stats).select("doc_id", "term", (F.col("score") * boost).alias("score")).groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("matched"))
     flagged = found.groupBy("doc_id").agg(*extra).join(scores, "doc_id")
     if parsed.open:
         flagged = index.doc_stats.select("doc_id").join(flagged, "doc_id", "left")
@@ -224,15 +246,15 @@ def fuzzy_distance(word: str, distance: int) -> int:
 def search_fuzzy(index: Index, query: str, distance: int = 1, scaled: bool = False) -> DataFrame:
     """doc_id, score, matched: documents with a term near each of the query's words. Edit distances are taken
     over the vocabulary, not over the postings."""
-    words = query_terms(query, index.analyzer)
-    near = None
-    for w in words:
-        d = fuzzy_distance(w, distance) if scaled else distance
-        some = index.term_stats.where(F.levenshtein("term", F.lit(w), d) >= 0).select("term", F.lit(w).alias("word"))
-        near = some if near is None else near.unionByName(some)
-    if near is None:
+    words = [(w, fuzzy_distance(w, distance) if scaled else distance) for w in query_terms(query, index.analyzer)]
+    if not words:
         return search_query(index, "")
-    rows = bm25(index, index.postings.join(near.select("term").distinct(), "term", "left_semi")).join(near, "term")
+    fits = [_near(F.col("term"), w, d) for w, d in words]
+    some = fits[0]
+    for f in fits[1:]:
+        some = some | f
+    near = index.term_stats.where(some).withColumn("words", F.array_compact(F.array(*[F.when(f, F.lit(w)) for f, (w, _) in zip(fits, words, strict=True)])))
+    rows = bm25(index, index.postings.where(some), near).select("doc_id", "term", "score").join(near.select("term", F.explode("words").alias("word")), "term")
     out = rows.groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count_distinct("word").alias("matched"))
     return out.where(F.col("matched") == len(words))
 
@@ -241,15 +263,17 @@ def search_phrase(index: Index, phrase: str) -> DataFrame:
     return search_query(index, '"' + phrase.replace('"', "") + '"')
 
 
-def search(index: Index, query: str, limit: int | None = None, fallback: bool = True, distance: int = 2, least: int = 1) -> DataFrame:
-    """doc_id, score, matched, match_type, rank. Fuzzy hits are added where there are fewer than ``least``
+def search(index: Index, query: str, limit: int | None = None, fallback: bool = True, distance: int = 2, least: int = 1, within: DataFrame | None = None) -> DataFrame:
+    """doc_id, score, matched, match_type, rank. ``within``: documents (doc_id) that hits are taken from; scores
+    are those of the whole index. Fuzzy hits are added where there are fewer than ``least``
     exact ones and the query has no quotes; a document keeps its best score. The decision is a count of the
     exact hits inside the plan, so nothing runs twice on the driver."""
-    exact = search_query(index, query).withColumn("match_type", F.lit("exact"))
+    inside = (lambda hits: hits) if within is None else (lambda hits: hits.join(within.select("doc_id"), "doc_id", "left_semi"))
+    exact = inside(search_query(index, query)).withColumn("match_type", F.lit("exact"))
     out = exact
     if fallback and '"' not in query and query_terms(query, index.analyzer):
         few = exact.limit(least).agg(F.count("*").alias("n")).where(F.col("n") < least).select(F.lit(1).alias("few"))
-        fuzzy = search_fuzzy(index, query, distance, scaled=True).withColumn("match_type", F.lit("fuzzy")).crossJoin(F.broadcast(few)).drop("few")
+        fuzzy = inside(search_fuzzy(index, query, distance, scaled=True)).withColumn("match_type", F.lit("fuzzy")).crossJoin(F.broadcast(few)).drop("few")
         both = exact.unionByName(fuzzy)
         best = F.max_by(F.struct("score", "matched", "match_type"), F.struct("score", (F.col("match_type") == "exact").alias("e")))
         out = both.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.*")

@@ -43,9 +43,15 @@ def build_postings(rows: DataFrame, positions: bool = False) -> DataFrame:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain", positions: bool = True) -> Index:
+    """An index as plans over the documents. A query's condition on terms reaches the rows before they are
+    shuffled, and lengths of documents need no postings."""
     postings = build_postings(term_rows(docs, id_col, text_col, analyzer), positions)
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), analyzer)
+    if analyzer == "plain":
+        words = docs.select(F.col(id_col).alias("doc_id"), F.size(T.tokens(F.col(text_col))).cast("long").alias("n")).where("n > 0")
+    else:
+        words = postings.select("doc_id", F.col("tf").alias("n"))
+    counted = postings if not positions else build_postings(term_rows(docs, id_col, text_col, analyzer))
+    return Index(postings, words.groupBy("doc_id").agg(F.sum("n").alias("dl")), counted.groupBy("term").agg(F.count("*").alias("df")), analyzer)
 
 
 def save_index(index: Index, path: str) -> None:

@@ -172,8 +172,7 @@ def term_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(T.tokens(F.col("text")), lambda t: (F.length(t) >= 3) & ~t.isin(T.STOP_WORDS))
-    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("terms"))
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.term_array(F.col("text")), " ").alias("terms"))
 
 
 # vectors
@@ -230,31 +229,35 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ranked(out.orderBy(*hybrid.order_of_hybrid()[:3], "id").limit(200), *hybrid.order_of_hybrid()[:3], F.col("id")).select("id", "doc_id", "score", "search_type", "exact", "rank")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of two kinds: full-text ones of one word, semantic ones by shared words of whole documents."""
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hits of two kinds: full-text ones of one word, semantic ones by shared words of whole documents. And the
+    full-text ones alone."""
     docs = documents(spark, sf_dir)
-    full = fulltext.search_terms(index(spark, sf_dir), ["moron"]).select("doc_id", "score", F.lit("fulltext").alias("search_type"))
+    full = fulltext.search_terms(index(spark, sf_dir), ["moron"]).select("doc_id", "score")
     own = F.array_distinct(T.tokens(F.col("text")))
     words = ["entire", "moron", "with"]
-    shared = F.size(F.array_intersect(own, F.array(*map(F.lit, words)))).cast("double")
-    semantic = docs.select("doc_id", F.round(F.coalesce(F.try_divide(shared, F.sqrt(F.size(own) * F.lit(3.0))), F.lit(0.0)), 6).alias("score"), F.lit("semantic").alias("search_type")).where("score > 0")
-    return full.unionByName(semantic).join(docs, "doc_id")
+    score = lambda own: F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(own, F.array(*map(F.lit, words)))).cast("double"), F.sqrt(F.size(own) * F.lit(3.0))), F.lit(0.0)), 6)
+    semantic = docs.withColumn("score", T.let(own, score)).where("score > 0").withColumn("search_type", F.lit("semantic"))
+    columns = ["doc_id", "score", "search_type", "text", "source", "lang"]
+    return full.withColumn("search_type", F.lit("fulltext")).join(docs, "doc_id").select(*columns).unionByName(semantic.select(*columns)), full
 
 
 @query
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.score_threshold(_hits(spark, sf_dir), 0.3).select("doc_id", "search_type", "score")
+    return P.score_threshold(_hits(spark, sf_dir)[0], 0.3).select("doc_id", "search_type", "score")
 
 
 @query
 def normalized_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = P.with_normalized_scores(_hits(spark, sf_dir), '"entire moron" moron')
+    hits, full = _hits(spark, sf_dir)
+    hits = P.with_normalized_scores(hits, '"entire moron" moron', full)
     return hits.select("doc_id", "search_type", F.round("normalized_score", 8).alias("normalized_score"))
 
 
 @query
 def prevalence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = P.with_normalized_scores(_hits(spark, sf_dir), "moron entire").withColumn("normalized_score", F.round("normalized_score", 8))
+    hits, full = _hits(spark, sf_dir)
+    hits = P.with_normalized_scores(hits, "moron entire", full).withColumn("normalized_score", F.round("normalized_score", 8))
     return P.prevalence_histogram(hits, F.concat("source", "lang"))
 
 

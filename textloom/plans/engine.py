@@ -5,16 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import present as P
 from textloom.functions import text as T
 from textloom.functions.filters import apply_filters
-from textloom.operators import clusters, fulltext, hybrid, themes, vector
-from textloom.operators.index import Index, build_index, chunk_table
+from textloom.operators import ann, clusters, fulltext, hybrid, themes, vector
+from textloom.operators.index import Index, build_index, chunk_table, load_index, save_index
 from textloom.plugins import Annotator, Embedder, Expander, HashEmbedder, NoExpansion, OfflineAnnotator, expansion_phrases
-from textloom.sources.corpus import metadata_fields, metadata_map, metadata_values, profile, select_text
+from textloom.sources.corpus import BULLET_FIELDS, PARTICIPANT_NAMES, metadata_fields, metadata_map, metadata_values, participant, profile, select_text
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,6 @@ class ThemeParams:
     n_quotes: int = 3
     max_themes: int = 12
     candidates_per_cluster: int = 3
-    score_batch_size: int = 6
     max_points_for_scoring: int | None = None
     max_candidate_clusters: int = 30
     label_bullets: int = 35
@@ -38,7 +37,8 @@ class ThemeParams:
 
 @dataclass
 class SearchResult:
-    """Rows in their order (column ``rank``), and how each engine fared."""
+    """Rows in their order (column ``rank``), and how each engine fared: ok, planned (it will run when the
+    results are read), skipped, or its error."""
 
     results: DataFrame
     status: dict[str, str]
@@ -60,15 +60,27 @@ class ThemeRun:
 class TextEngine:
     """Search and themes over ``docs`` (doc_id, text and any metadata columns).
 
-    Indexes are built lazily from the documents, or given. Queries are plans; only names, counts and model
-    replies of a run reach the driver."""
+    Indexes are built lazily from the documents, given, or opened from a folder that ``save`` wrote. With a
+    vector index, semantic searches with a limit read ``probes`` of its lists; all others score every chunk.
+    Queries are plans; only names, counts and model replies of a run reach the driver."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, *, index: Index | None = None, chunks: DataFrame | None = None, embedder: Embedder | None = None, annotator: Annotator | None = None, expander: Expander | None = None, analyzer: str = "plain"):
+    def __init__(self, spark: SparkSession, docs: DataFrame, *, index: Index | None = None, chunks: DataFrame | None = None, vectors: ann.VectorIndex | None = None, embedder: Embedder | None = None, annotator: Annotator | None = None, expander: Expander | None = None, analyzer: str = "plain", probes: int | None = None):
         self.spark, self.docs, self.analyzer = spark, docs, analyzer
         self.embedder = embedder or HashEmbedder()
         self.annotator = annotator or OfflineAnnotator()
         self.expander = expander or NoExpansion()
-        self._index, self._chunks = index, chunks
+        self._index, self._vectors, self.probes = index, vectors, probes
+        self._chunks = vectors.vectors.drop("list") if vectors is not None and chunks is None else chunks
+
+    def save(self, path: str) -> None:
+        """The postings and the chunks' vector index, in a folder of any file system that Spark reaches."""
+        save_index(self.index, f"{path}/index")
+        ann.save(self._vectors or ann.build(self.chunks), f"{path}/chunks")
+
+    @classmethod
+    def open(cls, spark: SparkSession, docs: DataFrame, path: str, **options) -> TextEngine:
+        """An engine on what ``save`` wrote: nothing is tokenised or embedded again."""
+        return cls(spark, docs, index=load_index(spark, f"{path}/index", options.get("analyzer", "plain")), vectors=ann.load(spark, f"{path}/chunks"), **options)
 
     @property
     def index(self) -> Index:
@@ -100,21 +112,29 @@ class TextEngine:
 
     # search
 
-    def search_fulltext(self, query: str, limit: int | None = None) -> DataFrame:
-        hits = fulltext.search(self.index, query, limit)
+    def search_fulltext(self, query: str, limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
+        """``within``: documents (doc_id) that hits are taken from."""
+        hits = fulltext.search(self.index, query, limit, within=within)
         rows = hits.join(self.docs.select("doc_id", "text"), "doc_id")
         return rows.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "text", "score", "match_type", F.col("rank").alias("ordinal"))
 
-    def search_semantic(self, query: str, limit: int | None = None, threshold: float | None = None, aggregate: str = "none") -> tuple[DataFrame, str]:
+    def search_semantic(self, query: str, limit: int | None = None, threshold: float | None = None, aggregate: str = "none", within: DataFrame | None = None) -> tuple[DataFrame, str]:
         phrases, how = expansion_phrases(query, self.expander)
         vectors = [(k, [float(x) for x in v]) for k, v in enumerate(self.embedder.encode(phrases))]
+        queries = self.spark.createDataFrame(vectors, "query_no int, query_vector array<double>")
         fetch = None if limit is None else (limit or vector.DEFAULT_LIMIT) * (1 if aggregate == "none" else vector.OVER_FETCH)
         columns = self.chunks.select("id", "doc_id", "text", "embedding")
+        if within is not None:
+            columns = columns.join(within.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+        if self._vectors is not None and fetch is not None and within is None:
+            lists = ann.search(self._vectors, queries, fetch, self.probes)
+        else:
+            lists = None
         if len(vectors) == 1:
-            hits = vector.top_k(vector.similarities(columns, vectors[0][1]).drop("embedding"), fetch, threshold=threshold)
+            scored = vector.similarities(columns, vectors[0][1]) if lists is None else lists.drop("rank", "query_no")
+            hits = vector.top_k(scored.drop("embedding"), fetch, threshold=threshold)
         else:
-            queries = self.spark.createDataFrame(vectors, "query_no int, query_vector array<double>")
-            lists = vector.ranked_lists(vector.query_similarities(columns, queries), fetch)
+            lists = vector.ranked_lists(vector.query_similarities(columns, queries), fetch) if lists is None else lists
             hits = vector.fused(lists, fetch).join(columns.drop("embedding"), "id")
             hits = hits.where(F.col("score") >= threshold) if threshold else hits
         if aggregate != "none":
@@ -123,28 +143,36 @@ class TextEngine:
             hits = P.best(found, F.desc("score"), F.col("doc_id"), limit=n).join(columns.select("id", "text"), "id")
         return hits.select("id", "doc_id", "text", "score", F.col("rank").alias("ordinal"), F.lit(aggregate == "none").alias("is_chunk")), how
 
+    def _guarded(self, run, limit: int | None) -> tuple[DataFrame | None, str]:
+        """An engine's hits and how it fared. With a limit they are few, so they are computed here, where a
+        failure does not reach the other engine; without one they stay a plan."""
+        try:
+            hits = run()
+            if limit is None:
+                return hits, "planned"
+            hits = hits.cache()
+            hits.count()
+            return hits, "ok"
+        except Exception as e:  # noqa: BLE001  engines are isolated from each other
+            return None, f"error: {e}"
+
     def search(self, query: str, search_type: str = "hybrid", limit: int | None = None, threshold: float | None = None, filters: dict[str, Any] | None = None, filter_stage: str = "post") -> SearchResult:
         """Engines, merge, limit, documents, then filters, excerpts that start with metadata, and the threshold:
         so fewer than ``limit`` rows can be left. Without a limit nothing is cut, and ``rank`` has gaps.
-        ``filter_stage="pre"`` filters documents before the search.
+        ``filter_stage="pre"`` takes hits from the filtered documents only; the index is the same.
         A failing engine leaves its error in the status and the other's hits in the result."""
-        engine = self
-        if filters and filter_stage == "pre":
-            engine = TextEngine(self.spark, apply_filters(self.docs, filters), embedder=self.embedder, annotator=self.annotator, expander=self.expander, analyzer=self.analyzer)
+        within = apply_filters(self.docs, filters).select("doc_id") if filters and filter_stage == "pre" else None
         status = {"query_expansion": "skipped", "fulltext": "skipped", "semantic": "skipped"}
         full = semantic = None
         if search_type in ("hybrid", "fulltext"):
-            try:
-                full = engine.search_fulltext(query, None if limit is None else 2 * limit)
-                status["fulltext"] = "ok"
-            except Exception as e:  # noqa: BLE001  engines are isolated from each other
-                status["fulltext"] = f"error: {e}"
+            full, status["fulltext"] = self._guarded(lambda: self.search_fulltext(query, None if limit is None else 2 * limit, within), limit)
         if search_type in ("hybrid", "semantic"):
-            try:
-                semantic, status["query_expansion"] = engine.search_semantic(query, limit, threshold if search_type == "semantic" else None)
-                status["semantic"] = "ok"
-            except Exception as e:  # noqa: BLE001
-                status["semantic"] = f"error: {e}"
+
+            def run() -> DataFrame:
+                hits, status["query_expansion"] = self.search_semantic(query, limit, threshold if search_type == "semantic" else None, within=within)
+                return hits
+
+            semantic, status["semantic"] = self._guarded(run, limit)
         empty = self.spark.createDataFrame([], "id string, doc_id string, text string, score double, ordinal long, is_chunk boolean")
         some_full = full.drop("match_type") if full is not None else empty.drop("is_chunk")
         if search_type == "hybrid":
@@ -157,7 +185,7 @@ class TextEngine:
             hits = P.semantic_threshold(hits, threshold)  # no hit takes another's place, so before the documents
         hits = P.best(hits, *order, limit=limit)
         meta = self.docs.withColumn("doc_id", F.col("doc_id").cast("string")).withColumnRenamed("text", "full_text")
-        hits = hits.join(meta, "doc_id", "left")
+        hits = hits.join(meta.drop(*[c for c in hits.columns if c != "doc_id"]), "doc_id", "left")
         if filter_stage == "post":
             hits = apply_filters(hits, filters)
         hits = P.score_threshold(hits.where(~P.has_metadata_prefix(F.col("text"))), threshold)
@@ -174,23 +202,35 @@ class TextEngine:
         quote = F.when(F.col("search_type") == "fulltext", P.snippet(body, terms)).otherwise(F.col("text"))
         hits = hits.withColumns({"snippet": quote, "highlight": P.highlighted(quote, terms)})
         hits = hits.withColumn("response", P.inferred_response(F.col("snippet"), responses) if responses else F.lit(None).cast("int"))
-        return hits.orderBy(F.desc("normalized_score"), "rank"), P.prevalence_histogram(hits, F.col("doc_id"))
+        return hits.orderBy(F.desc("normalized_score"), "rank"), P.prevalence_histogram(hits, self._participant(hits))
+
+    def _participant(self, hits: DataFrame) -> Column:
+        """Whom a hit comes from: the documents' own participant columns, else the document."""
+        named = [c for c in self.docs.columns if c in PARTICIPANT_NAMES and c != "id"]
+        return participant(hits.select("doc_id", *named), "doc_id")
 
     # themes
 
     def _points(self, params: ThemeParams) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-        counts = {"filtered": 0}
+        counts: dict[str, int] = {}
         docs = apply_filters(self.docs, params.metadata_filters, mode="strict")
-        counts["filtered"] = docs.count()
-        docs = select_text(docs, params.text_source)
-        counts["with_text"] = docs.count()
+        chosen = select_text(docs, params.text_source)
         if params.max_docs:
-            docs = docs.orderBy("doc_id").limit(params.max_docs)
-        quotes = docs.select("doc_id", self.annotator.quotes(F.col("text"), params.seed, params.n_quotes).alias("quotes"))
+            chosen = chosen.orderBy("doc_id").limit(params.max_docs)
+        with_text, kept = select_text(docs.select(*dict.fromkeys(["doc_id", "text", *[c for c in docs.columns if c.lower() == f"{params.text_source.lower()}_response"]])), params.text_source), docs.select("doc_id")
+        # both counts in one job
+        both = kept.select(F.lit(0).alias("k")).unionByName(with_text.select(F.lit(1).alias("k"))).groupBy("k").count().collect()
+        counts = {"filtered": 0, "with_text": 0} | {("filtered", "with_text")[r.k]: r["count"] for r in both}
+        quotes = chosen.select("doc_id", self.annotator.quotes(F.col("text"), params.seed, params.n_quotes).alias("quotes")).cache()
         points = themes.bullets(quotes).withColumn("bullet", self.annotator.bullet(F.col("source_text"), params.seed))
         points = points.withColumn("embedding", self.embedder.column(F.col("bullet"))).cache()
         points = clusters.cluster_points(points, k=params.clusters)
-        points = points.withColumn("ordinal", F.struct("doc_id", "bullet_no")).drop("embedding").cache()
+        points = points.withColumn("ordinal", F.struct("doc_id", "bullet_no")).drop("embedding")
+        fields = [c for c in dict.fromkeys([*BULLET_FIELDS, *PARTICIPANT_NAMES]) if c in self.docs.columns and c != "id"]
+        points = themes.with_metadata(points, self.docs, fields)
+        if "participant_id" not in fields:
+            points = points.withColumn("participant_id", participant(points.select("doc_id", *[c for c in fields if c in PARTICIPANT_NAMES]), "doc_id"))
+        points = points.cache()
         counts["bullets"] = points.count()
         return points, quotes, counts
 
@@ -206,28 +246,45 @@ class TextEngine:
         df = self.spark.createDataFrame(made, "ordinal int, cluster_id int, theme_id string, name string, prompt string, n_points long, representative_bullets array<string>, example_doc_ids array<string>")
         return themes.distinct_themes(df)
 
+    def _described(self, found: DataFrame, points: DataFrame, quotes: DataFrame) -> DataFrame:
+        """Themes with their cluster's centroid and up to four quotes of their documents."""
+        order = points.select("cluster_id", F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("doc_id").alias("ordinal"))
+        first = order.groupBy("cluster_id", "doc_id").agg(F.min("ordinal").alias("ordinal"))
+        said = themes.representative_quotes(found.dropDuplicates(["cluster_id"]), quotes.withColumn("doc_id", F.col("doc_id").cast("string")), first)
+        out = found.join(themes.cluster_centroids(points), "cluster_id", "left").join(said.withColumnRenamed("quotes", "representative_quotes"), "cluster_id", "left")
+        return out.withColumn("representative_quotes", F.coalesce("representative_quotes", F.array().cast("array<string>")))
+
     def theme_exploration(self, params: ThemeParams) -> ThemeRun:
         """Candidate themes per cluster; no review and no scores."""
-        points, _, counts = self._points(params)
-        found = self._labelled(points, params, params.candidates_per_cluster).join(themes.cluster_centroids(points), "cluster_id", "left")
+        points, quotes, counts = self._points(params)
+        found = self._described(self._labelled(points, params, params.candidates_per_cluster), points, quotes)
         return ThemeRun(points, found, counts=counts | {"clusters": found.select("cluster_id").distinct().count()})
 
-    def theme_scoring(self, points: DataFrame, chosen: DataFrame, params: ThemeParams) -> tuple[DataFrame, DataFrame]:
-        """Graded scores of points with themes, and the best matches of each theme."""
+    def theme_scoring(self, points: DataFrame, chosen: DataFrame, params: ThemeParams, theme_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Graded scores of points with themes, and the best matches of each theme. ``theme_ids``: the candidates
+        to score, by their theme_id; without it all. A theme of several candidates of one cluster is told apart
+        by its theme_id, which is then the concept's."""
+        concept = F.col("cluster_id").cast("string")
+        if theme_ids is not None:
+            ids = self.spark.createDataFrame([(str(t),) for t in dict.fromkeys(theme_ids)], "theme_id string")
+            chosen, concept = chosen.join(F.broadcast(ids), "theme_id", "left_semi"), F.col("theme_id")
+        chosen = chosen.select(concept.alias("cluster_id"), "name", "prompt")
         some = points.orderBy("ordinal").limit(params.max_points_for_scoring) if params.max_points_for_scoring else points
-        grid = some.crossJoin(F.broadcast(chosen.select(F.col("cluster_id").alias("concept_id"), "name", "prompt")))
+        grid = some.crossJoin(F.broadcast(chosen.withColumnRenamed("cluster_id", "concept_id")))
         answers = grid.select("bullet_id", "concept_id", self.annotator.answer(F.col("source_text"), F.col("name"), F.col("prompt")).alias("answer"), F.lit("").alias("rationale"), F.col("bullet").alias("quote"))
-        scores = themes.graded(some, chosen, answers).join(some.select("bullet_id", F.col("source_text").alias("text"), "ordinal"), "bullet_id")
+        scores = themes.graded(some, chosen, answers).join(some.select("bullet_id", F.col("source_text").alias("text"), "bullet", "ordinal"), "bullet_id")
+        names = F.broadcast(chosen.select(F.col("cluster_id").alias("concept_id"), F.col("name").alias("concept_name"), F.col("prompt").alias("concept_prompt")))
+        scores = scores.join(names, "concept_id").withColumn("concept_seed", F.lit(params.seed))
         return scores, themes.top_matches(scores)
 
     def themes(self, params: ThemeParams) -> ThemeRun:
         """The whole run: bullets, clusters, themes, review, shares, prevalence and graded scores."""
-        points, _, counts = self._points(params)
+        points, quotes, counts = self._points(params)
         found = self._labelled(points, params, 1)
         removed, selected = self.annotator.review([r.asDict() for r in found.select("cluster_id", "n_points", "name", "prompt").collect()], params.max_themes)
         ids = lambda xs: self.spark.createDataFrame([(int(x),) for x in xs], "cluster_id int")
         kept = themes.review(found, ids(removed), ids(selected), params.max_themes)
-        kept = kept.join(themes.cluster_centroids(points), "cluster_id", "left").cache()
+        kept = self._described(kept, points, quotes).cache()
         doc_scores = themes.doc_theme_scores(points, kept)
         scores, summaries = self.theme_scoring(points, kept, params)
         return ThemeRun(points, kept, doc_scores, themes.theme_prevalence(doc_scores, kept), scores, summaries, counts | {"clusters": kept.count()})

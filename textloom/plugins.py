@@ -3,7 +3,8 @@ give the same results."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.themes import excerpt
+from textloom.operators.themes import excerpt, json_object
 
 
 class Embedder(Protocol):
@@ -92,6 +93,118 @@ class OfflineAnnotator:
         return [], []
 
 
+class Prefixed:
+    """An embedder whose model expects ``passage: `` before texts and ``query: `` before queries."""
+
+    def __init__(self, embedder: Embedder):
+        self.embedder = embedder
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return self.embedder.encode([f"query: {t}" if t else t for t in texts])
+
+    def column(self, text: Column) -> Column:
+        return self.embedder.column(T.prefixed(text, False, True))
+
+
+def asked(ask: Callable[[str], str], prompts: list[str | None], timeout_s: float, concurrency: int) -> list[str | None]:
+    """A model's replies to prompts, some at a time. A call that fails or takes too long has no reply."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    out: list[str | None] = []
+    pool = ThreadPoolExecutor(concurrency)
+    try:
+        for at in range(0, len(prompts), concurrency):  # so that the time limit starts when a call does
+            calls = [None if p is None else pool.submit(ask, p) for p in prompts[at : at + concurrency]]
+            for call in calls:
+                try:
+                    out.append(None if call is None else call.result(timeout_s))
+                except Exception:  # noqa: BLE001  remote code: any failure means no answer
+                    out.append(None)
+            if any(call is not None and not call.done() for call in calls):
+                pool.shutdown(wait=False, cancel_futures=True)
+                pool = ThreadPoolExecutor(concurrency)  # late calls do not take the places of others
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    return out
+
+
+class ModelAnnotator:
+    """A language model behind ``ask``, a function from a prompt to a reply that can be sent to workers. Calls run
+    in the tasks, ``concurrency`` at a time in each, with a time limit. A reply that fails, or is no JSON object
+    of the form asked for, counts as none: no quotes, an excerpt as bullet, no answer, a theme named by number."""
+
+    def __init__(self, ask: Callable[[str], str], timeout_s: float = 45.0, concurrency: int = 6, batch: int = 6):
+        self.ask, self.timeout_s, self.concurrency, self.batch = ask, timeout_s, concurrency, batch
+
+    def _replies(self, prompts: list[str | None]) -> list[str | None]:
+        return asked(self.ask, prompts, self.timeout_s, self.concurrency)
+
+    def _column(self, prompt: Callable[[str], str], text: Column) -> Column:
+        replies = self._replies
+
+        @F.pandas_udf("string")
+        def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield pd.Series(replies([prompt(t) if t else None for t in s]), dtype=object)
+
+        return reply(text)
+
+    def quotes(self, text: Column, seed: str, n: int) -> Column:
+        reply = self._column(lambda t: f"Copy up to {n} passages, word by word, from the answer below that bear on {json.dumps(seed)}. Reply with JSON: {{\"quotes\": [...]}}; an empty list if there are none.\n\nAnswer:\n{t}", text)
+        return F.coalesce(json_object(reply, "quotes array<string>")["quotes"], F.array().cast("array<string>"))
+
+    def bullet(self, text: Column, seed: str) -> Column:
+        reply = self._column(lambda t: f"Say in one short sentence what this passage tells about {json.dumps(seed)}. Reply with JSON: {{\"bullet\": \"...\"}}.\n\nPassage:\n{t}", text)
+        found = json_object(reply, "bullet string")["bullet"]
+        return F.when(F.length(T.strip(found)) > 0, found).otherwise(excerpt(text))
+
+    def answer(self, text: Column, name: Column, prompt: Column) -> Column:
+        """A letter from A to E for each passage and theme; ``batch`` passages of a theme are asked for at once."""
+        replies, size = self._replies, self.batch
+
+        def ask_for(theme: tuple, passages: list[str]) -> str:
+            listed = "\n".join(f"{k}. {p}" for k, p in enumerate(passages, 1))
+            return f"How well does each passage fit the theme {json.dumps(theme[0])} ({theme[1]})? A: fully, B: mostly, C: partly, D: hardly, E: not at all. Reply with JSON: {{\"answers\": [a letter for each passage, in order]}}.\n\nPassages:\n{listed}"
+
+        @F.pandas_udf("string")
+        def answers(texts: pd.Series, names: pd.Series, prompts: pd.Series) -> pd.Series:
+            groups: dict[tuple, list[int]] = {}
+            for i, (n, p) in enumerate(zip(names, prompts, strict=True)):
+                groups.setdefault((n, p), []).append(i)
+            parts = [(theme, rows[at : at + size]) for theme, rows in groups.items() for at in range(0, len(rows), size)]
+            out: list[str | None] = [None] * len(texts)
+            for (_, rows), reply in zip(parts, replies([ask_for(theme, [texts.iloc[i] or "" for i in rows]) for theme, rows in parts]), strict=True):
+                for i, letter in zip(rows, _object(reply).get("answers") or [], strict=False):
+                    out[i] = str(letter)
+            return pd.Series(out, dtype=object)
+
+        return answers(text, name, prompt)
+
+    def theme(self, cluster_id: int, bullets: list[str], seed: str, k: int) -> list[dict]:
+        listed = "\n".join(f"- {b}" for b in bullets)
+        reply = self._replies([f"Name {k} theme(s) that these notes on {json.dumps(seed)} share, and a yes-or-no question that tells whether a text is about each. Reply with JSON: {{\"themes\": [{{\"name\": \"...\", \"prompt\": \"...\"}}]}}.\n\nNotes:\n{listed}"])[0]
+        found = [{"name": str(t["name"]).strip(), "prompt": str(t.get("prompt") or "")} for t in _object(reply).get("themes") or [] if isinstance(t, dict) and str(t.get("name") or "").strip()]
+        return found[:k] or [{"name": f"Cluster {cluster_id}", "prompt": ""}]
+
+    def review(self, themes: list[dict], most: int) -> tuple[list[int], list[int]]:
+        reply = self._replies([f"These themes were found: {json.dumps(themes)}. Which are vague or repeat another, and which {most} at most are the best? Reply with JSON: {{\"remove\": [cluster ids], \"select\": [cluster ids]}}."])[0]
+        known = {t["cluster_id"] for t in themes}
+        pick = lambda key: [x for x in _object(reply).get(key) or [] if isinstance(x, int) and x in known]
+        return pick("remove"), pick("select")
+
+
+def _object(reply: str | None) -> dict:
+    """A JSON object in a reply, or an empty one."""
+    for part in (reply or "", (reply or "")[(reply or "").find("{") : (reply or "").rfind("}") + 1]):
+        try:
+            found = json.loads(part)
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            return found
+    return {}
+
+
 class Expander(Protocol):
     def phrases(self, query: str, n: int) -> list[str]: ...
 
@@ -103,6 +216,22 @@ class NoExpansion:
         return [query]
 
 
+class ModelExpander:
+    """Phrases from a language model: what follows the reply's last colon, parted by commas, without the query
+    and its single words."""
+
+    def __init__(self, ask: Callable[[str], str], timeout_s: float = 10.0):
+        self.ask, self.timeout_s = ask, timeout_s
+
+    def phrases(self, query: str, n: int) -> list[str]:
+        reply = asked(self.ask, [f"Give {n} other short ways to say {json.dumps(query)}, parted by commas."], self.timeout_s, 1)[0]
+        if reply is None:
+            raise RuntimeError("the model gave no phrases")
+        own = {query.lower().strip(), *query.lower().split()}
+        found = [p.strip().strip("\"'.") for p in reply.rsplit(":", 1)[-1].split(",")]
+        return [query, *(p for p in found if p and p.lower() not in own)]
+
+
 def expansion_phrases(query: str, expander: Expander, n: int = 3) -> tuple[list[str], str]:
     """The query and up to n - 1 other phrases that differ in more than case; and how it went: success, or
     fallback if the expander failed or had none."""
