@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from textloom.functions import buckets, filters
 from textloom.functions import present as P
 from textloom.functions import text as T
-from textloom.operators import fulltext, hybrid, themes, vector
+from textloom.operators import ann, fulltext, hybrid, themes, vector
 from textloom.operators.index import Index, build_index, build_postings, chunk_table, term_rows
 from textloom.plans.engine import TextEngine, ThemeParams
-from textloom.plugins import HashEmbedder
+from textloom.plugins import HashEmbedder, VocabularyEmbedder
 from textloom.sources import corpus, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,6 +446,37 @@ def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "doc_id", "search_type", "normalized_score", "snippet", "highlight", "response")
 
 
+#: Vocabulary of an embedder that SQL can repeat.
+API_WORDS = ["moron", "entire", "that", "with"]
+
+
+def _api(spark: SparkSession, sf_dir: str) -> TextEngine:
+    return TextEngine(spark, documents(spark, sf_dir), embedder=VocabularyEmbedder(API_WORDS))
+
+
+@query
+def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _api(spark, sf_dir).search("moron", "hybrid", 50).results.select("id", "doc_id", "search_type", "score", "rank")
+
+
+@query
+def api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, _ = _api(spark, sf_dir).search_api("moron", "hybrid", 0.3, {"lang": "en"})
+    return hits.select("id", "doc_id", "search_type", F.round("normalized_score", 8).alias("normalized_score"), F.length("snippet").cast("long").alias("n_snippet"))
+
+
+@query
+def api_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _api(spark, sf_dir).search_api("moron", "hybrid", 0.3, {"lang": "en"})[1]
+
+
+@query
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector"))
+    return ann.search(ann.build(rows), queries, 10).select("query_no", "id", "score", "rank")
+
+
 @query
 def theme_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = TextEngine(spark, documents(spark, sf_dir), embedder=HashEmbedder(32)).themes(ThemeParams(seed="moron entire", max_themes=6, clusters=8))

@@ -75,6 +75,17 @@ def _top(where: str, having: str = "") -> str:
     return f"SELECT * FROM ({_found(where, having)}) ORDER BY score DESC, doc_id LIMIT 50"
 
 
+def _highlight(words: list[str]) -> str:
+    """Escaped snippets, taken apart into words and what lies between them."""
+    escaped = "snippet"
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        escaped = f"replace({escaped}, '{char}', '{entity}')"
+    variants = _list([v for w in words for v in (w, w + "s")])
+    parts = rf"regexp_extract_all({escaped}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+    mark = f"CASE WHEN list_contains({variants}, lower(x)) THEN '<mark class=\"search-hit\">' || x || '</mark>' ELSE x END"
+    return f"SELECT doc_id, array_to_string(list_transform({parts}, lambda x: {mark}), '') AS html FROM ({_snippet(words)})"
+
+
 #: Every vector with its score for each query vector: those whose id 50 divides.
 SEARCHES = """scored AS (SELECT q.vec_id AS query_no, e.vec_id AS id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
   FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q)"""
@@ -119,6 +130,35 @@ normalized AS (SELECT *, round(least(1.0, greatest(0.0, base * CASE WHEN h = 0 A
   + CASE WHEN p THEN 0.25 WHEN h = {len(terms)} THEN 0.18 WHEN h > 0 THEN 0.10 ELSE 0.0 END + CASE WHEN search_type = 'fulltext' THEN 0.03 ELSE 0.0 END)), 8) AS ns FROM flagged)"""
 
 
+def _api(limit: int | None) -> str:
+    """merged AS (id, doc_id, text, score, search_type, exact, ordinal): a search for the word moron in both engines;
+    vectors count four words, so the cosine with the query is the share of the first."""
+    count = lambda w: f"len(list_filter(w, lambda x: x = '{w}'))"
+    counts = ", ".join(f"{count(w)} AS c{k}" for k, w in enumerate(["moron", "entire", "that", "with"]))
+    cut = lambda n: f" WHERE ordinal <= {n}" if limit else ""
+    return f"""{INDEX}, {_windows(1, 0)}, chunks AS (
+  SELECT doc_id || '_chunk_' || chunk_index AS id, CAST(doc_id AS VARCHAR) AS doc_id, s[a + 1] AS text FROM windows
+  UNION ALL SELECT doc_id || '_chunk_0', CAST(doc_id AS VARCHAR), text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM windows)),
+counted AS (SELECT id, doc_id, text, w, {counts} FROM (SELECT *, {_tokens('text')} AS w FROM chunks)),
+scored AS (SELECT *, CASE WHEN c0 + c1 + c2 + c3 = 0 THEN NULL ELSE round(c0 / sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3), 6) END AS score FROM counted),
+sem AS (SELECT * FROM (SELECT id, doc_id, text, score, 'semantic' AS search_type, list_has_any(w, ['moron', 'morons']) AS exact, row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS ordinal FROM scored){cut(limit)}),
+found AS (SELECT doc_id AS d, round(sum(s), 6) AS score FROM bm25 WHERE term = 'moron' GROUP BY doc_id),
+ful AS (SELECT CAST(d AS VARCHAR) AS id, CAST(d AS VARCHAR) AS doc_id, text, score, 'fulltext' AS search_type, true AS exact, ordinal FROM (SELECT *, row_number() OVER (ORDER BY score DESC, d) AS ordinal FROM found) JOIN documents ON d = documents.doc_id{cut(2 * (limit or 0))}),
+merged AS (SELECT * FROM sem UNION ALL SELECT * FROM ful WHERE id NOT IN (SELECT id FROM sem) AND id NOT IN (SELECT doc_id FROM sem WHERE exact))"""
+
+
+#: Excerpts that start as concatenated metadata.
+METADATA = r"regexp_matches(left(text, 140), '^\d+\s+\d+') AND regexp_matches(left(text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b')"
+
+
+def _api_normalized() -> str:
+    kept = f"SELECT * FROM merged WHERE (search_type = 'fulltext' OR score >= 0.3) AND NOT ({METADATA})"
+    english = "doc_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lower(lang) = 'en')"
+    return f"""{_api(None)}, listed AS (SELECT *, max(score) FILTER (search_type = 'fulltext') OVER () AS top FROM ({kept}) WHERE {english}),
+hits AS (SELECT id, doc_id, text, score, search_type, {_tokens('text')} AS w FROM listed WHERE search_type = 'semantic' OR score / top >= 0.3),
+best AS (SELECT coalesce(max(score) FILTER (search_type = 'fulltext'), 1.0) AS m FROM hits), {_normalized(['moron'], None)}"""
+
+
 def _age() -> str:
     a, n = AGE_LABELS, "CASE p_size % 3 WHEN 0 THEN p_size + 15.0 WHEN 1 THEN p_size + 10.0 ELSE (p_size + 10.0 - (p_size + 30.0)) / 2 END"
     raw = "CASE p_size % 3 WHEN 0 THEN (p_size + 10) || '–' || (p_size + 20) WHEN 1 THEN CAST(p_size + 10 AS VARCHAR) ELSE (p_size + 10) || '-' || (p_size + 30) END"
@@ -139,8 +179,8 @@ n AS (SELECT c_custkey, CASE c_custkey % 4
 SELECT c_custkey, CASE WHEN r < 25000 THEN '{i[0]}' WHEN r < 50000 THEN '{i[1]}' WHEN r < 75000 THEN '{i[2]}' ELSE '{i[3]}' END AS bucket FROM n"""
 
 
-def _snippet() -> str:
-    variants = _list(["moron", "morons", "entire", "entires"])
+def _snippet(words: list[str]) -> str:
+    variants = _list([v for w in words for v in (w, w + "s")])
     return f"""WITH s AS (SELECT doc_id, text, {_sentences('text')} AS every FROM documents),
 m AS (SELECT *, list_filter(every, lambda x: list_has_any({_tokens('x')}, {variants})) AS found FROM s)
 SELECT doc_id, CASE WHEN len(found) > 0 THEN array_to_string(found[1:5], ' ') WHEN len(every) >= 2 THEN array_to_string(every[1:2], ' ')
@@ -189,7 +229,8 @@ SELECT *, row_number() OVER (ORDER BY exact DESC, search_type = 'fulltext' DESC,
         "score_threshold": f"WITH {HITS} SELECT doc_id, search_type, score FROM hits, best WHERE CASE WHEN search_type = 'fulltext' THEN score / m ELSE least(1.0, greatest(0.0, score)) END >= 0.3",
         "normalized_score": f"WITH {HITS}, {_normalized(['entire', 'moron', 'moron'], 'entire moron')} SELECT doc_id, search_type, ns AS normalized_score FROM normalized",
         "prevalence_histogram": f"WITH {HITS}, {_normalized(['moron', 'entire'], None)}, b AS (SELECT source || lang AS k, greatest(max(ns), 0.0) AS s FROM normalized GROUP BY 1), c AS (SELECT CAST(least(floor(s * 30), 29) AS BIGINT) AS bin, count(*) AS n FROM b GROUP BY 1) SELECT r.bin, round(r.bin / 30.0, 6) AS low, round((r.bin + 1) / 30.0, 6) AS high, coalesce(n, 0) AS participants FROM range(30) AS r(bin) LEFT JOIN c USING (bin)",
-        "snippet_extract": _snippet(),
+        "snippet_extract": _snippet(["moron", "entire"]),
+        "highlight_html": _highlight(["moron", "that"]),
         "meta_filter_hits": f"WITH {LABELLED} SELECT doc_id, lang, source, quality, toxic FROM labelled WHERE lower(lang) <> 'en' AND (quality IS NULL OR quality = 1) AND n_chars BETWEEN 500 AND 3000 AND lower(source) LIKE '%src1%'",
         "meta_filter_strict": f"WITH {LABELLED} SELECT doc_id, lang, source, quality, toxic FROM labelled WHERE lang = 'en' AND quality = 1 AND n_chars > 500 AND (toxic IS NULL OR toxic <> 1) AND source <> 'src3' AND doc_id < 900",
         "meta_fields": "SELECT unnest(['doc_id', 'lang', 'n_chars', 'quality', 'source', 'toxic']) AS field",
@@ -215,6 +256,11 @@ SELECT cluster_id, coalesce(c.b, f.b, '') AS bullets FROM themes LEFT JOIN f USI
         "concept_top_matches": f"WITH {ANSWERED}, k AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, bullet_id) AS r FROM graded WHERE score >= 0.75) SELECT concept_id, string_agg('- quote ' || bullet_id, chr(10) ORDER BY r) AS matches FROM k WHERE r <= 8 GROUP BY concept_id",
         "membership_scores": f"WITH {POINTS}, {THEMES} SELECT doc_id, bullet_id, CAST(t.cluster_id AS VARCHAR) AS concept_id, name AS concept_name, CASE WHEN t.cluster_id = p.cluster_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, bullet AS highlight FROM points p CROSS JOIN themes t",
         "theme_selection": "SELECT CAST(k AS INTEGER) AS cluster_id, 'theme ' || (k % 4) AS name, CAST(10 * k AS INTEGER) AS n_points FROM unnest([0, 3]) AS r(k)",
+        "tool_search": f"WITH {_api(50)}, r AS (SELECT id, doc_id, search_type, score, text, row_number() OVER (ORDER BY exact DESC, search_type = 'fulltext' DESC, score DESC NULLS LAST, ordinal, id) AS rank FROM merged) SELECT id, doc_id, search_type, score, rank FROM r WHERE rank <= 50 AND NOT ({METADATA})",
+        "api_search": f"""WITH {_api_normalized()}, s AS (SELECT n.*, d.text AS whole, {_sentences('d.text')} AS every FROM normalized n JOIN documents d ON CAST(d.doc_id AS VARCHAR) = n.doc_id),
+m AS (SELECT *, list_filter(every, lambda x: list_has_any({_tokens('x')}, ['moron', 'morons'])) AS found FROM s)
+SELECT id, doc_id, search_type, ns AS normalized_score, CAST(length(CASE WHEN search_type = 'semantic' THEN text WHEN len(found) > 0 THEN array_to_string(found[1:5], ' ') WHEN len(every) >= 2 THEN array_to_string(every[1:2], ' ') ELSE left(whole, 400) || CASE WHEN length(whole) > 400 THEN '...' ELSE '' END END) AS BIGINT) AS n_snippet FROM m""",
+        "api_histogram": f"WITH {_api_normalized()}, b AS (SELECT doc_id AS k, greatest(max(ns), 0.0) AS s FROM normalized GROUP BY 1), c AS (SELECT CAST(least(floor(s * 30), 29) AS BIGINT) AS bin, count(*) AS n FROM b GROUP BY 1) SELECT r.bin, round(r.bin / 30.0, 6) AS low, round((r.bin + 1) / 30.0, 6) AS high, coalesce(n, 0) AS participants FROM range(30) AS r(bin) LEFT JOIN c USING (bin)",
         "sink_points_csv": f"WITH {POINTS} SELECT doc_id, bullet_id, cluster_id, bullet, bullet || ' | b' AS quote, CAST(NULL AS VARCHAR) AS source_text FROM points",
         "excerpts": f"SELECT doc_id, {_excerpt('text')} AS excerpt FROM documents",
         "bullet_rows": f"""WITH joined AS (SELECT doc_id, array_to_string({_sentences('text', 10)}, ' ') AS t FROM documents WHERE len({_sentences('text', 10)}) > 0), {_pieces('t', 'joined')}

@@ -50,6 +50,32 @@ class HashEmbedder:
         return embed(text)
 
 
+class VocabularyEmbedder:
+    """Unit vectors of how often each word of a short vocabulary comes, in built-in functions; all zeros for a text
+    without any."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        import re
+
+        found = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+        out = np.array([[f.count(w) for w in self.words] for f in found], float).reshape(len(texts), len(self.words))
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    def column(self, text: Column) -> Column:
+        def unit(counts: Column) -> Column:
+            norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+            return F.transform(counts, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+
+        def count(t: Column, word: str) -> Column:
+            return F.size(F.filter(t, lambda x: x == word)).cast("double")
+
+        counts = T.let(T.tokens(text), lambda t: F.array(*[count(t, w) for w in self.words]))
+        return T.let(counts, unit)
+
+
 class Annotator(Protocol):
     def quotes(self, text: Column, seed: str, n: int) -> Column: ...
 
