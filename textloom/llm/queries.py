@@ -151,6 +151,44 @@ FROM d
 """
 
 
+def _oracle_op6() -> str:
+    """Spans from the lengths of matches and of what lies between them. RE2 has no look-around: weak parts are
+    runs of their characters, filtered afterwards, which is the same."""
+    spans = []
+    for k, (pattern, group, ok) in enumerate([
+        (secrets.ASSIGN, 2, "length(g) >= 6"), (secrets.ACCESS, 0, "length(g) >= 20"), (secrets.HEX, 0, "true"), (r"\b[A-Z][A-Z0-9]{15,}\b", 0, "regexp_matches(g, '[0-9]')"),
+        (r"[A-Za-z0-9+/_-]{32,}", 0, "regexp_matches(g, '[0-9]') AND regexp_matches(g, '[A-Za-z]')"), (secrets.ENDPOINT, 0, "true"),
+    ]):
+        p = pattern.replace("'", "''")
+        total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+        spans.append(f"""SELECT rid, {k} AS k, s, s + length(m) AS e FROM (SELECT rid, CAST({total('parts[1:i]')} + {total('found[1:i - 1]')} AS BIGINT) AS s, found[i] AS m, grp[i] AS g
+  FROM (SELECT rid, string_split_regex(t, '{p}') AS parts, regexp_extract_all(t, '{p}') AS found, regexp_extract_all(t, '{p}', {group}) AS grp FROM d WHERE regexp_matches(t, '{p}')), unnest(range(1, len(found) + 1)) AS r(i)) WHERE {ok}""")
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM spans p WHERE p.rid = w.rid AND abs(p.s - w.s) <= {secrets.SCOPE} AND p.k IN ({kinds}))"
+    kinds = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(spans)}),
+kept AS (SELECT * FROM spans WHERE k < 3 UNION ALL SELECT * FROM spans w WHERE k >= 3 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.rid = w.rid AND b.k < 3 AND b.s < w.e AND b.e > w.s) AND {near('1, 3')} AND {near('0, 2, 4')}),
+listed AS (SELECT rid, string_agg({kinds}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, string_agg({kinds}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+  count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2 FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(l.spans, '') AS spans FROM d LEFT JOIN listed l USING (rid)
+"""
+
+
+#: All deletion variants of all long lines, with the place of the deletion.
+ORACLE_OP7 = f"""
+WITH lines AS (SELECT doc_id, p AS pos, string_split(text, chr(10))[p] AS raw, trim(string_split(text, chr(10))[p], ' ' || chr(9) || chr(13)) AS y FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(p)),
+firsts AS (SELECT y, min((doc_id, pos)) AS f FROM lines WHERE y <> '' GROUP BY y),
+long AS (SELECT y, f, length(y) AS n FROM firsts WHERE length(y) >= {line_dedup.NEAR_CHARS}),
+without AS (SELECT y, f, i, left(y, i - 1) || substring(y, i + 1) AS v FROM long, unnest(range(1, n + 1)) AS r(i)),
+later AS (SELECT a.y FROM without a JOIN without b ON a.v = b.v AND a.i = b.i WHERE b.f < a.f
+  UNION SELECT a.y FROM without a JOIN long b ON a.v = b.y WHERE b.f < a.f UNION SELECT b.y FROM without a JOIN long b ON a.v = b.y WHERE a.f < b.f),
+judged AS (SELECT doc_id, pos, raw, l.y <> '' AND t.y IS NOT NULL AND (doc_id, pos) = f AS near, l.y <> '' AND (doc_id, pos) <> f AS again FROM lines l LEFT JOIN firsts USING (y) LEFT JOIN later t USING (y)),
+summed AS (SELECT doc_id, count(*) AS n, count(*) FILTER (again) AS n_exact, count(*) FILTER (near) AS n_near, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT coalesce(near OR again, false)) AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, CASE WHEN n_exact + n_near > 0 THEN coalesce(kept, '') ELSE text END AS text FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+
 def _oracle_op8() -> str:
     """Cutoffs by the exact distribution, from logarithms of binomial coefficients."""
     names = quality_rules.RULES
@@ -186,4 +224,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": ORACLE_OP2, "op3_ngram_jaccard": ORACLE_OP3, "op4_link_graph_filter": _oracle_op4(), "op5_warc_segments": ORACLE_OP5, "op8_risk_controlled_rules": _oracle_op8()}
+    return {"op2_benchmark_decontamination": ORACLE_OP2, "op3_ngram_jaccard": ORACLE_OP3, "op4_link_graph_filter": _oracle_op4(), "op5_warc_segments": ORACLE_OP5, "op6_secret_linking": _oracle_op6(), "op7_line_dedup": ORACLE_OP7, "op8_risk_controlled_rules": _oracle_op8()}
