@@ -78,3 +78,28 @@ def test_release_deletes_what_was_made(spark):
     assert path.exists()
     common.release(spark)
     assert not path.exists() and not common._made
+
+
+def test_scratch_deletes_all_but_what_is_kept(spark):
+    from textloom.llm import common
+
+    common.release(spark)
+    before = common.materialize(spark.range(1), "before")
+    with common.scratch(spark) as keep:
+        common.materialize(spark.range(2), "step")
+        kept = keep(common.materialize(spark.range(3), "result"))
+        common.materialize(spark.range(4), "step")
+    assert kept.count() == 3 and before.count() == 1 and len(common._made) == 2
+    common.release(spark)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from textloom.llm import common
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
+    assert common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://x/y/"))) == "hdfs://x/y"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,15 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own
-    where the session names none (single-machine use and tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on a single machine, where the
+    session need not name one, a folder of our own. On a cluster without one this fails: executors would
+    write to disks of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = id(spark.sparkContext)
     if key not in _own_dirs:
         folder = tempfile.TemporaryDirectory(prefix="textloom-")
@@ -46,13 +51,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all that this driver has put into the shared folder, in any file system that Spark can reach.
-    To be called when results that were made from it have been written."""
+def release(spark: SparkSession, since: int = 0, kept: set[str] = frozenset()) -> None:
+    """Delete what this driver has put into the shared folder (from the ``since``-th table on, but for some), in
+    any file system that Spark can reach. To be called when results that were made from it have been written."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        target.getFileSystem(conf).delete(target, True)
+    for path in _made[since:]:
+        if path not in kept:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at the end, the tables made inside, but for those passed to the function it gives as soon as they
+    are made. For steps whose results are all written before the end."""
+    since, kept = len(_made), set()
+
+    def keep(made: DataFrame) -> DataFrame:
+        kept.add(_made[-1])
+        return made
+
+    yield keep
+    release(spark, since, kept)
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import materialize, scratch
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,15 +14,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round takes the smallest label among neighbours and then follows labels to their own labels, so
     long chains shrink fast. Labels are written after each round. A node with very many links has its rows
     pre-aggregated before the shuffle."""
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    state = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
-    while True:
-        near = both.join(state.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        new = state.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = materialize(new, "labels")
-        jump = new.select(F.col("u").alias("label"), F.col("label").alias("far"))
-        new = materialize(new.join(jump, "label").select("u", "old", F.least("label", "far").alias("label")), "labels")
-        if new.where("old <> label").isEmpty():
-            return new.select(F.col("u").alias("node"), "label")
-        state = new.select("u", "label")
+    spark = links.sparkSession
+    with scratch(spark) as keep:
+        both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+        both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+        state = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
+        while True:
+            near = both.join(state.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+            new = materialize(state.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+            jump = new.select(F.col("u").alias("label"), F.col("label").alias("far"))
+            state = materialize(new.join(jump, "label").select("u", "old", F.least("label", "far").alias("label")), "labels")
+            if state.where("old <> label").isEmpty():
+                return keep(state).select(F.col("u").alias("node"), "label")
+            state = state.select("u", "label")

@@ -95,7 +95,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tole
         if all(moved.get(w, 0.0) <= tolerance * x for w, x in start.items()):
             break
         if len(steps) > KEPT_STEPS:
-            steps = [materialize(_summed(steps), "host-ranks")]
+            steps = [materialize(_summed(steps), "host-ranks")]  # the last step is still to be sent on
     one = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("x")).otherwise(0.0))
     return _summed(steps).groupBy("host").agg(one("trust").alias("trust"), one("distrust").alias("distrust"))
 
