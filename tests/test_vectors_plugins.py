@@ -161,3 +161,29 @@ def test_theme_runs_carry_quotes_metadata_and_chosen_themes(spark, docs, tmp_pat
     saved = spark.read.csv(f"{tmp_path}/r_points.csv", header=True)
     assert saved.columns == sinks.POINT_COLUMNS and saved.where("participant_id is null or quote is null").count() == 0
     assert spark.read.csv(f"{tmp_path}/r_themes.csv", header=True).where("representative_quotes is null").count() == 0
+
+
+def test_results_are_kept_for_a_while(spark, tmp_path):
+    from textloom.sources.cache import ResultCache
+
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    cache = ResultCache(spark, f"file://{tmp_path}/results", ttl_s=60)
+    assert cache.get({"q": "a", "n": 1}, make).count() == cache.get({"n": 1, "q": "a"}, make).count() == 1
+    assert cache.get({"q": "b"}, make).count() == 2 and cache.expire() == 0
+    stale = ResultCache(spark, f"file://{tmp_path}/results", ttl_s=0)
+    assert stale.get({"q": "a", "n": 1}, make).count() == 3 and len(calls) == 3
+    assert stale.expire() == 3
+
+
+def test_saved_index_has_its_schema(spark, docs, tmp_path):
+    from textloom.operators.index import build_index, load_index, save_index, schemas
+
+    save_index(build_index(docs), str(tmp_path))
+    index = load_index(spark, str(tmp_path))
+    for name, schema in schemas("bigint").items():
+        assert {(f.name, f.dataType) for f in getattr(index, name).schema} == {(f.name, f.dataType) for f in schema}, name

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from textloom.functions import text as T
 from textloom.functions.stem import stem_table
@@ -26,6 +27,13 @@ class Index:
         return Index(self.postings.cache(), self.doc_stats.cache(), self.term_stats.cache(), self.analyzer)
 
 
+def schemas(id_type: str = "bigint", positions: bool = True) -> dict[str, S.StructType]:
+    """The index's tables by name; ``id_type`` is that of the documents' ids."""
+    places = ", positions array<int>" if positions else ""
+    tables = {"postings": f"term string, doc_id {id_type}, tf bigint{places}", "doc_stats": f"doc_id {id_type}, dl bigint", "term_stats": "term string, df bigint"}
+    return {name: S.StructType.fromDDL(ddl) for name, ddl in tables.items()}
+
+
 def term_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain") -> DataFrame:
     """term, doc_id, pos: analysed words. ``plain`` keeps every word; ``porter`` drops stop words and single
     letters and stems the rest, each distinct term once."""

@@ -423,7 +423,7 @@ def theme_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sink_points_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).withColumn("quote", F.array("bullet", F.lit("b")))
-    return sinks.flat(rows, ["doc_id", "bullet_id", "cluster_id", "bullet", "quote", "source_text"])
+    return sinks.flat(rows, sinks.POINT_COLUMNS)
 
 
 @query

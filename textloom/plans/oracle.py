@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textloom.functions.buckets import AGE_LABELS, INCOME_LABELS
 from textloom.functions.text import STOP_WORDS
+from textloom.sources.sinks import POINT_COLUMNS
 
 
 def _strip(x: str) -> str:
@@ -261,7 +262,7 @@ SELECT cluster_id, coalesce(c.b, f.b, '') AS bullets FROM themes LEFT JOIN f USI
 m AS (SELECT *, list_filter(every, lambda x: list_has_any({_tokens('x')}, ['moron', 'morons'])) AS found FROM s)
 SELECT id, doc_id, search_type, ns AS normalized_score, CAST(length(CASE WHEN search_type = 'semantic' THEN text WHEN len(found) > 0 THEN array_to_string(found[1:5], ' ') WHEN len(every) >= 2 THEN array_to_string(every[1:2], ' ') ELSE left(whole, 400) || CASE WHEN length(whole) > 400 THEN '...' ELSE '' END END) AS BIGINT) AS n_snippet FROM m""",
         "api_histogram": f"WITH {_api_normalized()}, b AS (SELECT doc_id AS k, greatest(max(ns), 0.0) AS s FROM normalized GROUP BY 1), c AS (SELECT CAST(least(floor(s * 30), 29) AS BIGINT) AS bin, count(*) AS n FROM b GROUP BY 1) SELECT r.bin, round(r.bin / 30.0, 6) AS low, round((r.bin + 1) / 30.0, 6) AS high, coalesce(n, 0) AS participants FROM range(30) AS r(bin) LEFT JOIN c USING (bin)",
-        "sink_points_csv": f"WITH {POINTS} SELECT doc_id, bullet_id, cluster_id, bullet, bullet || ' | b' AS quote, CAST(NULL AS VARCHAR) AS source_text FROM points",
+        "sink_points_csv": f"WITH {POINTS} SELECT doc_id, bullet_id, cluster_id, x, y, bullet, bullet || ' | b' AS quote, {', '.join(f'CAST(NULL AS VARCHAR) AS {c}' for c in POINT_COLUMNS[7:])} FROM points",
         "excerpts": f"SELECT doc_id, {_excerpt('text')} AS excerpt FROM documents",
         "bullet_rows": f"""WITH joined AS (SELECT doc_id, array_to_string({_sentences('text', 10)}, ' ') AS t FROM documents WHERE len({_sentences('text', 10)}) > 0), {_pieces('t', 'joined')}
 SELECT doc_id, chunk_no AS bullet_no, {_excerpt('text')} AS bullet, sentence_count FROM pieces""",
