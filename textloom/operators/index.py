@@ -36,8 +36,8 @@ def schemas(id_type: str = "bigint", positions: bool = True) -> dict[str, S.Stru
 
 def term_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain") -> DataFrame:
     """term, doc_id, pos: analysed words. ``plain`` keeps every word; ``porter`` drops stop words and single
-    letters and stems the rest, each distinct term once."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(T.tokens(F.col(text_col))).alias("pos", "term"))
+    letters and stems the rest, each distinct term once. Documents without an id are left out."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(T.tokens(F.col(text_col))).alias("pos", "term"))
     if analyzer == "plain":
         return rows.select("term", "doc_id", "pos")
     rows = rows.where((F.length("term") >= MIN_TOKEN) & ~F.col("term").isin(T.STOP_WORDS))
@@ -52,14 +52,15 @@ def build_postings(rows: DataFrame, positions: bool = False) -> DataFrame:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain", positions: bool = True) -> Index:
     """An index as plans over the documents. A query's condition on terms reaches the rows before they are
-    shuffled, and lengths of documents need no postings."""
+    shuffled, lengths of documents need no postings, and each table is one shuffle that all its uses share."""
     postings = build_postings(term_rows(docs, id_col, text_col, analyzer), positions)
     if analyzer == "plain":
-        words = docs.select(F.col(id_col).alias("doc_id"), F.size(T.tokens(F.col(text_col))).cast("long").alias("n")).where("n > 0")
+        words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.size(T.tokens(F.col(text_col))).cast("long").alias("n"))
     else:
         words = postings.select("doc_id", F.col("tf").alias("n"))
-    counted = postings if not positions else build_postings(term_rows(docs, id_col, text_col, analyzer))
-    return Index(postings, words.groupBy("doc_id").agg(F.sum("n").alias("dl")), counted.groupBy("term").agg(F.count("*").alias("df")), analyzer)
+    lengths = words.groupBy("doc_id").agg(F.sum("n").alias("dl")).where("dl > 0")
+    # the sum of ones is a count that reads tf, so its postings are those that are scored
+    return Index(postings, lengths, postings.groupBy("term").agg(F.sum(F.least("tf", F.lit(1).cast("long"))).alias("df")), analyzer)
 
 
 def save_index(index: Index, path: str) -> None:

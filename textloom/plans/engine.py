@@ -85,9 +85,15 @@ class TextEngine:
     @property
     def index(self) -> Index:
         if self._index is None:
-            self._index = build_index(self.docs, analyzer=self.analyzer).cache()
+            self._index = build_index(self.docs, analyzer=self.analyzer)
         return self._index
 
+    def keep_index(self) -> TextEngine:
+        """Keeps the whole index in the executors' memory and disks, for many searches over documents that are
+        not saved. A single search needs the postings of its terms only."""
+        self._index = self.index.cache()
+        return self
+
     @property
     def chunks(self) -> DataFrame:
         """Sentence chunks with their vectors."""
