@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,7 @@ from textloom.functions import buckets, filters
 from textloom.functions import present as P
 from textloom.functions import text as T
 from textloom.operators import ann, fulltext, hybrid, themes, vector
-from textloom.operators.index import Index, build_index, build_postings, chunk_table, term_rows
+from textloom.operators.index import Index, build_index, build_postings, chunk_table, load_index, save_index, term_rows
 from textloom.plans.engine import TextEngine, ThemeParams
 from textloom.plugins import HashEmbedder, VocabularyEmbedder
 from textloom.sources import corpus, sinks
@@ -109,6 +112,11 @@ def text_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.batch_number(F.col("doc_id"), 6).cast("long").alias("batch"))
 
 
+@query
+def prefixed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.prefixed(F.col("text"), False, True).alias("passage"))
+
+
 # full text
 
 
@@ -150,9 +158,28 @@ _QUERIES |= {
     "wildcard_search": _parsed("th?t AND of"),
     "boosted_search": _parsed("idiot^2 OR moron"),
     "phrase_search": _parsed('"of the"', True),
+    "field_search": _parsed("text:moron OR text:entire"),
+    "range_search": _parsed("[worthless TO worthy]"),
 }
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a query that saves something: a shared one, or on a single machine a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    folder = tempfile.TemporaryDirectory(prefix="textloom-")
+    atexit.register(folder.cleanup)
+    return f"file://{folder.name}"
+
+
+@query
+def saved_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    save_index(index(spark, sf_dir), path)
+    return fulltext.top(fulltext.search_terms(load_index(spark, path), ["the", "that", "with"]), 50)
+
+
 @query
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.search_fuzzy(index(spark, sf_dir), "worthles moron", 1)
@@ -311,6 +338,25 @@ def income_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", buckets.income_bucket(income).alias("bucket"))
 
 
+@query
+def metadata_map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir)
+    rows = rows.select("doc_id", corpus.metadata_map(rows.drop("text")).alias("metadata"))
+    return filters.apply_filters(rows, {"LANG": "en", "n_Chars": {"operator": "greater_than", "value": 500}}, "strict", "metadata").select("doc_id")
+
+
+@query
+def field_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", buckets.field_key_column(F.concat(F.lit(" _"), "p_type", F.lit("_Key "), "p_brand")).alias("key"))
+
+
+@query
+def normalized_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 10).alias("Head_Age"), (F.col("p_size") * 1800).alias("income usd"))
+    meta = corpus.metadata_map(rows, normalize=True)
+    return rows.select("p_partkey", meta["Head_Age"].alias("age"), meta["income usd"].alias("income"))
+
+
 @query
 def metadata_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -395,6 +441,36 @@ def _answers(p: DataFrame) -> DataFrame:
     return p.where("bullet_id % 5 <> 0").select("bullet_id", F.col("cluster_id").alias("concept_id"), letter.alias("answer"), F.lit("why").alias("rationale"), F.concat(F.lit("quote "), "bullet_id").alias("quote"))
 
 
+@query
+def theme_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.range(97).select(F.col("id").alias("doc_id"), F.when((F.col("id") % 3 != 0) & (F.col("id") >= 12), F.array(F.concat(F.lit("quote "), "id"))).otherwise(F.array().cast("array<string>")).alias("quotes"))
+    return themes.representative_quotes(cluster_table(spark), docs, points(spark, sf_dir)).select("cluster_id", F.array_join("quotes", "|").alias("quotes"))
+
+
+@query
+def bullet_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return themes.with_metadata(points(spark, sf_dir).select("doc_id", "bullet_id"), documents(spark, sf_dir), ["source", "lang", "age"])
+
+
+@query
+def chosen_theme_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    chosen = cluster_table(spark).join(spark.createDataFrame([(0,), (3,), (99,)], "cluster_id int"), "cluster_id", "left_semi")
+    return themes.graded(p, chosen, _answers(p)).select("doc_id", "bullet_id", "concept_id", "score")
+
+
+@query
+def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Sure: "), "props", F.lit(" done"))).otherwise("none")
+    return read(spark, sf_dir, "events").select("event_id", themes.json_object(reply, "k int")["k"].alias("k"))
+
+
+@query
+def clamped_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.when(F.col("event_id") % 4 == 0, F.lit("many")).otherwise(F.col("user_id").cast("string"))
+    return read(spark, sf_dir, "events").select("event_id", themes.clamped_int(asked, 3, 80).alias("n"))
+
+
 @query
 def graded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
@@ -470,6 +546,29 @@ def api_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _api(spark, sf_dir).search_api("moron", "hybrid", 0.3, {"lang": "en"})[1]
 
 
+class _Phrases:
+    """An expander that always knows the same other words."""
+
+    def phrases(self, query: str, n: int) -> list[str]:
+        return [query, "entire that"]
+
+
+@query
+def expanded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = TextEngine(spark, documents(spark, sf_dir), embedder=VocabularyEmbedder(API_WORDS), expander=_Phrases())
+    return engine.search("moron", "semantic", 20).results.select("id", "score", "rank")
+
+
+@query
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    for name, n in (("first run", 1), ("second/run", 2)):
+        sinks.save_run(spark, path, name, {"n": n, "name": name})
+    sinks.save_run(spark, path, "third", {})
+    sinks.delete_run(spark, path, "third")
+    return sinks.list_runs(spark, path).select("run", "payload")
+
+
 @query
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)

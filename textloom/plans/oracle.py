@@ -160,6 +160,16 @@ hits AS (SELECT id, doc_id, text, score, search_type, {_tokens('text')} AS w FRO
 best AS (SELECT coalesce(max(score) FILTER (search_type = 'fulltext'), 1.0) AS m FROM hits), {_normalized(['moron'], None)}"""
 
 
+def _expanded() -> str:
+    """Two phrases, their lists of 20 fused by rank."""
+    norm = "sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3)"
+    lists = " UNION ALL ".join(f"SELECT {k} AS q, id, CASE WHEN c0 + c1 + c2 + c3 > 0 THEN round({x} / {norm}, 6) END AS score FROM counted" for k, x in enumerate(["c0", "(c1 + c2) / sqrt(2.0)"]))
+    return f"""WITH {_api(None)}, lists AS ({lists}), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC NULLS LAST, id) AS r FROM lists),
+fused AS (SELECT id, round(sum(1 / (40.0 + r)), 9) AS rrf, max(score) AS score, min((q, r)) AS seen FROM ranked WHERE r <= 20 GROUP BY id),
+best AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, seen, id) AS rank FROM fused)
+SELECT id, score, rank FROM best JOIN chunks USING (id) WHERE rank <= 20 AND NOT ({METADATA})"""
+
+
 def _age() -> str:
     a, n = AGE_LABELS, "CASE p_size % 3 WHEN 0 THEN p_size + 15.0 WHEN 1 THEN p_size + 10.0 ELSE (p_size + 10.0 - (p_size + 30.0)) / 2 END"
     raw = "CASE p_size % 3 WHEN 0 THEN (p_size + 10) || '–' || (p_size + 20) WHEN 1 THEN CAST(p_size + 10 AS VARCHAR) ELSE (p_size + 10) || '-' || (p_size + 30) END"
@@ -168,6 +178,12 @@ def _age() -> str:
 SELECT p_partkey, CASE WHEN list_contains({labels}, replace(raw, '-', '–')) THEN replace(raw, '-', '–') WHEN n < 18 THEN raw WHEN n < 30 THEN '{a[0]}' WHEN n < 45 THEN '{a[1]}' WHEN n < 60 THEN '{a[2]}' ELSE '{a[3]}' END AS bucket FROM v"""
 
 
+def _normalized_metadata() -> str:
+    a, i = AGE_LABELS, INCOME_LABELS
+    return f"""SELECT p_partkey, CASE WHEN p_size + 10 < 18 THEN CAST(p_size + 10 AS VARCHAR) WHEN p_size + 10 < 30 THEN '{a[0]}' WHEN p_size + 10 < 45 THEN '{a[1]}' WHEN p_size + 10 < 60 THEN '{a[2]}' ELSE '{a[3]}' END AS age,
+  CASE WHEN p_size * 1800 < 25000 THEN '{i[0]}' WHEN p_size * 1800 < 50000 THEN '{i[1]}' WHEN p_size * 1800 < 75000 THEN '{i[2]}' ELSE '{i[3]}' END AS income FROM part"""
+
+
 def _income() -> str:
     i = INCOME_LABELS
     k = "floor(d / 1000.0)"
@@ -203,6 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "chunks_2_3": f"WITH {_pieces('text', 'documents')} SELECT * FROM pieces",
         "ascii_safe": "SELECT doc_id, replace(replace(translate('“' || text || '”–—’', '‘’“”–—', '''''\"\"--'), '…', '...'), chr(160), ' ') AS safe FROM documents",
         "text_batches": "SELECT doc_id, doc_id // 6 AS batch FROM documents",
+        "prefixed_text": "SELECT doc_id, CASE WHEN length(text) > 0 THEN 'passage: ' || text ELSE text END AS passage FROM documents",
         "postings_build": f"WITH {INDEX} SELECT term, doc_id, tf FROM postings",
         "term_stats": f"WITH {INDEX} SELECT term, df FROM terms",
         "bm25_search_and": _top("term IN ('the', 'that', 'with')", "HAVING count(*) = 3"),
@@ -212,6 +229,9 @@ def oracle_sql() -> dict[str, str]:
         "wildcard_search": _found("term LIKE 'th_t' OR term = 'of'", "HAVING bool_or(term LIKE 'th_t') AND bool_or(term = 'of')"),
         "boosted_search": f"WITH {INDEX} SELECT doc_id, round(sum(s * CASE WHEN term = 'idiot' THEN 2 ELSE 1 END), 6) AS score, count(*) AS matched FROM bm25 WHERE term IN ('idiot', 'moron') GROUP BY doc_id",
         "phrase_search": f"SELECT * FROM ({_found('''term IN ('of', 'the')''')}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE ' ' || array_to_string({_tokens('text')}, ' ') || ' ' LIKE '% of the %')",
+        "field_search": _found("term IN ('moron', 'entire')"),
+        "range_search": _found("term BETWEEN 'worthless' AND 'worthy'"),
+        "saved_index_search": _top("term IN ('the', 'that', 'with')", "HAVING count(*) = 3"),
         "fuzzy_search": f"WITH {INDEX}, near AS (SELECT term, q FROM terms, unnest(['worthles', 'moron']) AS w(q) WHERE levenshtein(term, q) <= 1) SELECT doc_id, round(sum(s), 6) AS score, count(DISTINCT q) AS matched FROM bm25 JOIN near USING (term) GROUP BY doc_id HAVING count(DISTINCT q) = 2",
         "fuzzy_fallback": f"WITH {INDEX}, near AS (SELECT term FROM terms WHERE levenshtein(term, 'disgustingg') <= 2), f AS (SELECT doc_id, round(sum(s), 6) AS score FROM bm25 JOIN near USING (term) GROUP BY doc_id) SELECT doc_id, score, CAST(1 AS BIGINT) AS matched, 'fuzzy' AS match_type, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f ORDER BY score DESC, doc_id LIMIT 200",
         "term_variants": f"WITH t AS (SELECT DISTINCT term FROM (SELECT unnest({_tokens('text')}) AS term FROM benchmark) WHERE length(term) >= 3) SELECT term, array_to_string(list_sort(list_distinct({_variants('term')})), ',') AS variants FROM t",
@@ -238,6 +258,9 @@ SELECT *, row_number() OVER (ORDER BY exact DESC, search_type = 'fulltext' DESC,
         "meta_values": "SELECT DISTINCT source AS value FROM documents ORDER BY value LIMIT 100",
         "age_bucket": _age(),
         "income_bucket": _income(),
+        "metadata_map_filter": "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 500",
+        "field_keys": r"SELECT p_partkey, regexp_replace(lower(' _' || p_type || '_Key ' || p_brand), '[_\s]+', '', 'g') AS key FROM part",
+        "normalized_metadata": _normalized_metadata(),
         "metadata_prefix_filter": r"SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND NOT (doc_id % 3 = 1 AND regexp_matches(left(doc_id || ' 34 ' || text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b')) AND NOT (doc_id % 3 = 2 AND regexp_matches(left(text, 140), '^\d+\s+\d+') AND regexp_matches(left(text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b'))",
         "longform_inference": f"WITH {ANSWERS}, q AS (SELECT *, {_strip('''coalesce(substring(q3, 3, 12), substring(q2, 2, 12), '#')''')} AS q FROM answers) SELECT conv_id, CASE {' '.join(f'WHEN length(trim(q{k})) > 0 AND contains(q{k}, q) THEN {k}' for k in range(1, 6))} END AS response FROM q",
         "text_source_select": f"WITH {ANSWERS} SELECT conv_id, {_strip('q2')} AS text FROM answers WHERE length({_strip('''coalesce(q2, '')''')}) > 0",
@@ -253,6 +276,18 @@ SELECT doc_id || '_chunk_' || chunk_index AS id, CAST(length(text) AS BIGINT) AS
 w AS (SELECT t.cluster_id, bullet, row_number() OVER (PARTITION BY t.cluster_id ORDER BY pos, bullet_id) AS k FROM (SELECT cluster_id, unnest(example_doc_ids) AS doc_id, generate_subscripts(example_doc_ids, 1) AS pos FROM themes) t JOIN points p ON p.cluster_id = t.cluster_id AND p.doc_id = t.doc_id),
 c AS (SELECT cluster_id, string_agg(bullet, '|' ORDER BY k) AS b FROM w WHERE k <= 6 GROUP BY 1)
 SELECT cluster_id, coalesce(c.b, f.b, '') AS bullets FROM themes LEFT JOIN f USING (cluster_id) LEFT JOIN c USING (cluster_id)""",
+        "theme_quotes": f"""WITH {POINTS}, {THEMES}, known AS (SELECT doc_id, 'quote ' || doc_id AS quote FROM range(97) AS r(doc_id) WHERE doc_id % 3 <> 0 AND doc_id >= 12),
+wanted AS (SELECT cluster_id, pos, quote FROM (SELECT cluster_id, unnest(example_doc_ids) AS doc_id, generate_subscripts(example_doc_ids, 1) AS pos FROM themes) JOIN known USING (doc_id)),
+firsts AS (SELECT cluster_id, min(bullet_id) AS pos, any_value(quote) AS quote FROM points JOIN known USING (doc_id) GROUP BY cluster_id, doc_id),
+u AS (SELECT * FROM wanted UNION ALL SELECT * FROM firsts WHERE cluster_id NOT IN (SELECT cluster_id FROM wanted)),
+k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY pos) AS k FROM u)
+SELECT cluster_id, string_agg(quote, '|' ORDER BY k) AS quotes FROM k WHERE k <= 4 GROUP BY cluster_id""",
+        "bullet_metadata": f"WITH {POINTS} SELECT doc_id, bullet_id, source, lang FROM points LEFT JOIN documents USING (doc_id)",
+        "chosen_theme_scores": f"WITH {ANSWERED} SELECT doc_id, bullet_id, concept_id, CAST(score AS DOUBLE) AS score FROM graded WHERE concept_id IN (0, 3)",
+        "lenient_json": r"SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(regexp_extract(props, '\"k\": *(-?\d+)', 1) AS INTEGER) END AS k FROM events",
+        "clamped_numbers": "SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 3 ELSE least(greatest(user_id, 3), 80) END AS INTEGER) AS n FROM events",
+        "expanded_search": _expanded(),
+        "saved_runs": """SELECT * FROM (VALUES ('first_run', '{"n": 1, "name": "first run"}'), ('secondrun', '{"n": 2, "name": "second/run"}')) AS r(run, payload)""",
         "graded_scores": f"WITH {ANSWERED} SELECT doc_id, bullet_id, concept_id, CAST(score AS DOUBLE) AS score, CASE WHEN known THEN 'why' ELSE '' END AS rationale, CASE WHEN known THEN 'quote ' || bullet_id ELSE '' END AS highlight FROM graded",
         "concept_top_matches": f"WITH {ANSWERED}, k AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, bullet_id) AS r FROM graded WHERE score >= 0.75) SELECT concept_id, string_agg('- quote ' || bullet_id, chr(10) ORDER BY r) AS matches FROM k WHERE r <= 8 GROUP BY concept_id",
         "membership_scores": f"WITH {POINTS}, {THEMES} SELECT doc_id, bullet_id, CAST(t.cluster_id AS VARCHAR) AS concept_id, name AS concept_name, CASE WHEN t.cluster_id = p.cluster_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, bullet AS highlight FROM points p CROSS JOIN themes t",
