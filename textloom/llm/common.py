@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII letters, for lower-casing A-Z only (``lower`` would touch every script).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Largest table, in rows of a few dozen bytes, that an operator broadcasts by itself: some 30 MB.
-BROADCAST_ROWS = 250_000
+#: Largest table, in rows of a few dozen bytes, that an operator broadcasts by itself: 100 MB at most.
+BROADCAST_ROWS = 1_000_000
 
 _own_dirs: dict[int, str] = {}
 _made: list[str] = []

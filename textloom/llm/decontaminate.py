@@ -26,12 +26,12 @@ BLOCK_WORDS = 100_000
 #: Automata that are broadcast together.
 PASS_BLOCKS = 4
 #: Word characters of UTF-8 text are 0-9, a-z, A-Z (lower-cased) and all bytes from 0x80.
-_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+    return text.translate(WORD_BYTES).split()
 
 
 class SuffixAutomaton:

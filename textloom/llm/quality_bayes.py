@@ -10,25 +10,26 @@ how far its site's rate, without the document itself, is from the corpus'.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize, small_or_shuffled
-from textloom.llm.decontaminate import words_of
+from textloom.llm.decontaminate import WORD_BYTES, words_of
 
 #: Labelled documents that the model is fitted on at most (those with the smallest hash of their id).
 MAX_TRAIN = 10_000
 #: Pieces of evidence of each model, and documents that one must be in.
 MAX_WORDS, LEAST_DOCS = 512, 5
+#: Log-likelihood ratio of evidence at least (chance gives that in 1 of 600 cases).
+LEAST_GAIN = 10.0
 #: Characters of the beginnings of words that are evidence besides the words.
 STARTS = range(3, 9)
-#: Words whose evidence a worker keeps.
-_WORDS_KEPT = 50_000
 RIDGE = 1.0
 THRESHOLD = 0.5
 _SHAPES = 14
@@ -50,7 +51,8 @@ def shape(text: bytes, words: list[bytes]) -> list[float]:
 
 
 def evidence(word: bytes) -> list[str]:
-    """A word and its beginnings, which are marked by a circumflex (no character of words)."""
+    """A word and its beginnings of STARTS characters (shorter than the word), which are marked by a circumflex
+    (no character of words)."""
     w = word.decode()
     return [w, *(f"^{w[:k]}" for k in STARTS if k < len(w))]
 
@@ -62,30 +64,32 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     heads: list[tuple[dict[str, int], np.ndarray]]  # evidence and weights: of the shapes, the evidence, the constant
-    known: dict[bytes, list[tuple[int, ...]]] = field(default_factory=dict)
-
-    def _found(self, words: Iterable[bytes]) -> list[set[int]]:
-        """The evidence of each model in some words."""
-        out: list[set[int]] = [set() for _ in self.heads]
-        if len(self.known) > _WORDS_KEPT:
-            self.known.clear()
-        for w in words:
-            own = self.known.get(w)
-            if own is None:
-                parts = evidence(w)
-                own = [tuple(v[x] for x in parts if x in v) for v, _ in self.heads]
-                if len(w) < 64:
-                    self.known[w] = own
-            for found, ids in zip(out, own, strict=True):
-                found.update(ids)
-        return out
+
+    def __post_init__(self):
+        self._whole = [{w.encode(): i for w, i in v.items() if w[0] != "^"} for v, _ in self.heads]
+        self._starts = None  # made where texts are scored
+
+    def found(self, text: bytes, words: set[bytes]) -> list[list[int]]:
+        """The evidence of each model in a text: whole words by their set, beginnings by one scan of the text."""
+        if self._starts is None:
+            self._starts = ahocorasick.Automaton()
+            for start in sorted({w for v, _ in self.heads for w in v if w[0] == "^"}):
+                self._starts.add_word(f" {start[1:].encode().decode('latin-1')}", [v.get(start, -1) for v, _ in self.heads])
+            if len(self._starts):
+                self._starts.make_automaton()
+        out = [[own[w] for w in own.keys() & words] for own in self._whole]
+        if len(self._starts):
+            begun = {tuple(ids) for _, ids in self._starts.iter((b" " + text.translate(WORD_BYTES)).decode("latin-1"))}
+            for k, ids in enumerate(out):
+                ids += [x[k] for x in begun if x[k] >= 0]
+        return [sorted(ids) for ids in out]
 
     def score(self, text: bytes, words: list[bytes]) -> float:
         """Log-odds of being bad in one way or another."""
         x = (np.array(shape(text, words)) - self.mean) / self.scale
         fine = 0.0  # logarithm of the chance of not being bad
-        for found, (_, weights) in zip(self._found(set(words)), self.heads, strict=True):
-            odds = float(x @ weights[:_SHAPES] + weights[_SHAPES:-1][sorted(found)].sum() + weights[-1])
+        for found, (_, weights) in zip(self.found(text, set(words)), self.heads, strict=True):
+            odds = float(x @ weights[:_SHAPES] + weights[_SHAPES:-1][found].sum() + weights[-1])
             fine -= np.logaddexp(0.0, min(max(odds, -30.0), 30.0))
         return float(np.log(-np.expm1(fine)) - fine)
 
@@ -117,6 +121,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ma
     return materialize(rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("poor").alias("poor"), F.first("toxic").alias("toxic")).select("text", "poor", "toxic"), "labelled")
 
 
+def _xlogx(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+
 #: Ways to be bad: columns of the sample.
 WAYS = ["poor", "toxic"]
 
@@ -125,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model with a part for low quality and one for toxicity, each only if the labelled documents are of
     both kinds; None without any.
 
-    Evidence has the largest weighted log-odds between the kinds, counted over the sample on the executors.
+    Evidence has the largest log-likelihood ratio between the kinds, counted over the sample on the executors.
+    (A weighted log-odds would put evidence that fine documents never hold behind much weaker pieces.)
     The fit takes at most ``max_train`` short rows to the driver."""
     rows = _labelled(docs, labels, id_col, text_col, max_train)
     totals = rows.agg(*[x for w in WAYS for x in (F.count(w).alias(f"n_{w}"), F.coalesce(F.sum(w), F.lit(0)).alias(f"b_{w}"))]).first()
@@ -145,9 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vocabularies = []
     for w in ways:
         n, n_bad = totals[f"n_{w}"], totals[f"b_{w}"]
-        b, g = F.col(f"b_{w}") + 0.5, F.col(f"n_{w}") - F.col(f"b_{w}") + 0.5
-        odds = F.log(b / (n_bad + 1 - b)) - F.log(g / (n - n_bad + 1 - g))
-        best = counts.where(F.col(f"n_{w}") >= LEAST_DOCS).select("word", F.abs(odds / F.sqrt(1 / b + 1 / g)).alias("z")).where("z > 2").orderBy(F.desc("z"), "word").limit(max_words)
+        b, g = F.col(f"b_{w}"), F.col(f"n_{w}") - F.col(f"b_{w}")
+        gain = 2 * (_xlogx(b) + _xlogx(g) + _xlogx(n_bad - b) + _xlogx(n - n_bad - g) - _xlogx(b + g) - _xlogx(n - b - g) - _xlogx(F.lit(n_bad)) - _xlogx(F.lit(n - n_bad)) + _xlogx(F.lit(n)))
+        best = counts.where(F.col(f"n_{w}") >= LEAST_DOCS).select("word", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(max_words)
         vocabularies.append({r.word: i for i, r in enumerate(best.collect())})
     blank = Model(np.zeros(_SHAPES), np.ones(_SHAPES), [(v, np.zeros(0)) for v in vocabularies])
 
@@ -157,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text in batch.column(0).to_pylist():
                 w = words_of(text)
                 shapes.append(shape(text, w))
-                for ids, own in zip(found, blank._found(set(w)), strict=True):
-                    ids.append(sorted(own))
+                for ids, own in zip(found, blank.found(text, set(w)), strict=True):
+                    ids.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.list_(pa.float64())), *(pa.array(x, pa.list_(pa.int32())) for x in found), batch.column(1), batch.column(2)], ["shape", *(f"words_{w}" for w in ways), *WAYS])
 
     sample = rows.mapInArrow(features, f"shape array<double>, {', '.join(f'words_{w} array<int>' for w in ways)}, poor int, toxic int").toArrow()
