@@ -70,8 +70,19 @@ class TextEngine:
         self.annotator = annotator or OfflineAnnotator()
         self.expander = expander or NoExpansion()
         self._index, self._vectors, self.probes = index, vectors, probes
+        self._kept: list[DataFrame] = []
         self._chunks = vectors.vectors.drop("list") if vectors is not None and chunks is None else chunks
 
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        """Rows that a request reads more than once, in the executors' memory and disks until ``release``."""
+        self._kept.append(rows.cache())
+        return self._kept[-1]
+
+    def release(self) -> None:
+        """Forgets what requests have kept. Their results can still be read, and are then computed again."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
     def save(self, path: str) -> None:
         """The postings and the chunks' vector index, in a folder of any file system that Spark reaches."""
         save_index(self.index, f"{path}/index")
@@ -99,7 +110,7 @@ class TextEngine:
         """Sentence chunks with their vectors."""
         if self._chunks is None:
             rows = chunk_table(self.docs)
-            self._chunks = rows.withColumn("embedding", self.embedder.column(F.col("text"))).cache()
+            self._chunks = self._keep(rows.withColumn("embedding", self.embedder.column(F.col("text"))))
         return self._chunks
 
     # metadata
@@ -156,7 +167,7 @@ class TextEngine:
             hits = run()
             if limit is None:
                 return hits, "planned"
-            hits = hits.cache()
+            hits = self._keep(hits)
             hits.count()
             return hits, "ok"
         except Exception as e:  # noqa: BLE001  engines are isolated from each other
@@ -194,7 +205,9 @@ class TextEngine:
         hits = hits.join(meta.drop(*[c for c in hits.columns if c != "doc_id"]), "doc_id", "left")
         if filter_stage == "post":
             hits = apply_filters(hits, filters)
-        hits = P.score_threshold(hits.where(~P.has_metadata_prefix(F.col("text"))), threshold)
+        hits = hits.where(~P.has_metadata_prefix(F.col("text")))
+        if threshold and threshold > 0:
+            hits = P.score_threshold(self._keep(hits), threshold)  # the largest score needs the list once more
         return SearchResult(hits, status, full, semantic)
 
     def search_api(self, query: str, search_type: str = "hybrid", threshold: float | None = None, filters: dict[str, Any] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -202,12 +215,13 @@ class TextEngine:
         of participants."""
         found = self.search(query, search_type, None, threshold if threshold and threshold > 0 else None, filters).results
         terms = T.query_words(query)
-        hits = P.with_normalized_scores(found, query)
+        hits = P.with_normalized_scores(self._keep(found), query)
         body = F.coalesce("full_text", "text")
         responses = [F.col(c) for c in self.docs.columns if c.lower() in {f"q{k}_response" for k in range(1, 6)}]
         quote = F.when(F.col("search_type") == "fulltext", P.snippet(body, terms)).otherwise(F.col("text"))
         hits = hits.withColumns({"snippet": quote, "highlight": P.highlighted(quote, terms)})
         hits = hits.withColumn("response", P.inferred_response(F.col("snippet"), responses) if responses else F.lit(None).cast("int"))
+        hits = self._keep(hits)
         return hits.orderBy(F.desc("normalized_score"), "rank"), P.prevalence_histogram(hits, self._participant(hits))
 
     def _participant(self, hits: DataFrame) -> Column:
@@ -227,16 +241,17 @@ class TextEngine:
         # both counts in one job
         both = kept.select(F.lit(0).alias("k")).unionByName(with_text.select(F.lit(1).alias("k"))).groupBy("k").count().collect()
         counts = {"filtered": 0, "with_text": 0} | {("filtered", "with_text")[r.k]: r["count"] for r in both}
-        quotes = chosen.select("doc_id", self.annotator.quotes(F.col("text"), params.seed, params.n_quotes).alias("quotes")).cache()
+        quotes = chosen.select("doc_id", self.annotator.quotes(F.col("text"), params.seed, params.n_quotes).alias("quotes"))
+        quotes = self._keep(quotes)
         points = themes.bullets(quotes).withColumn("bullet", self.annotator.bullet(F.col("source_text"), params.seed))
-        points = points.withColumn("embedding", self.embedder.column(F.col("bullet"))).cache()
+        points = self._keep(points.withColumn("embedding", self.embedder.column(F.col("bullet"))))
         points = clusters.cluster_points(points, k=params.clusters)
         points = points.withColumn("ordinal", F.struct("doc_id", "bullet_no")).drop("embedding")
         fields = [c for c in dict.fromkeys([*BULLET_FIELDS, *PARTICIPANT_NAMES]) if c in self.docs.columns and c != "id"]
         points = themes.with_metadata(points, self.docs, fields)
         if "participant_id" not in fields:
             points = points.withColumn("participant_id", participant(points.select("doc_id", *[c for c in fields if c in PARTICIPANT_NAMES]), "doc_id"))
-        points = points.cache()
+        points = self._keep(points)
         counts["bullets"] = points.count()
         return points, quotes, counts
 
@@ -290,7 +305,7 @@ class TextEngine:
         removed, selected = self.annotator.review([r.asDict() for r in found.select("cluster_id", "n_points", "name", "prompt").collect()], params.max_themes)
         ids = lambda xs: self.spark.createDataFrame([(int(x),) for x in xs], "cluster_id int")
         kept = themes.review(found, ids(removed), ids(selected), params.max_themes)
-        kept = self._described(kept, points, quotes).cache()
+        kept = self._keep(self._described(kept, points, quotes))
         doc_scores = themes.doc_theme_scores(points, kept)
         scores, summaries = self.theme_scoring(points, kept, params)
         return ThemeRun(points, kept, doc_scores, themes.theme_prevalence(doc_scores, kept), scores, summaries, counts | {"clusters": kept.count()})
