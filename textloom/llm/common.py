@@ -82,6 +82,42 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Keys with more than one in so many rows count as common: there are fewer of them than this.
+COMMON = 1_000
+
+
+def join_copies(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has a row for each ``key`` and its number of rows, ``copies``.
+    Every key of ``rows`` is in it. Common keys are joined by a broadcast of fewer than COMMON rows; the rows that
+    have found theirs are then dealt by their place instead of their key, so no key gathers in one task."""
+    others = [c for c in values.columns if c not in (key, "copies")]
+    total = values.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    common = values.where(F.col("copies") * COMMON > total).select(key, F.struct(*others).alias("__common"))
+    marked = rows.join(F.broadcast(common), key, "left")
+    place = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    marked = marked.withColumn("__key", F.when(F.col("__common").isNull(), F.col(key).cast("string")).otherwise(place))
+    rest = values.where(F.col("copies") * COMMON <= total).select(F.col(key).cast("string").alias("__key"), F.struct(*others).alias("__rest"))
+    both = marked.join(rest, "__key", "left")
+    return both.select(*rows.columns, *[F.coalesce(f"__common.{c}", f"__rest.{c}").alias(c) for c in others])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``row`` (the columns of ``df``) and ``place``, from 0 in the given order, materialised. One range shuffle;
+    places are those within a task and the rows of the tasks before, a number for each task, which the driver
+    adds up."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    made = materialize(ordered.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), name)
+    # Spark's ids hold the task in the upper 31 bits, and the place in it below
+    task = F.shiftright("at", 33).cast("int")
+    before, offsets = 0, []
+    for r in sorted(made.groupBy(task.alias("task")).count().collect()):
+        offsets.append((r.task, before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(offsets, "task int, before long")
+    placed = made.withColumn("task", task).join(F.broadcast(offsets), "task")
+    return placed.select("row", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

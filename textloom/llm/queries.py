@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bitplane, decontaminate, line_dedup, ngram_join, packing, quality_bayes, quality_rules, secrets, url_graph, warc
+from textloom.llm import bitplane, decontaminate, filter_audit, line_dedup, ngram_join, packing, quality_bayes, quality_rules, resampling, secrets, sharding, url_graph, warc
 from textloom.llm.common import fresh_path
 
 
@@ -68,8 +68,24 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", *[F.col(f"rs_{c}").alias(f"n_{c}" if c == "features" else c) for c in ("features", "weight", "score", "rank")])
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = fresh_path(spark, "shards"), table(spark, sf_dir, "documents")
+    sharding.write_shards(docs, path)
+    crc = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary"))
+    return sharding.read_shards(spark, path, docs).select("row.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_quality, op2_benchmark_decontamination, op3_ngram_jaccard, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op7_line_dedup, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing)}
+    return {f.__name__: f for f in (op1_hierarchical_quality, op2_benchmark_decontamination, op3_ngram_jaccard, op4_link_graph_filter, op5_warc_segments, op6_secret_linking, op7_line_dedup, op8_risk_controlled_rules, op9_token_bitplanes, op10_nnls_packing, op11_importance_resampling, op12_filter_interactions, op13_range_shards)}
 
 
 #: Word pattern of decontamination: anything but ASCII characters other than 0-9 and a-z.
@@ -223,5 +239,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: CRC-32 of single octets, from the polynomial.
+CRC_TABLE = """SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crc_table FROM (SELECT unnest(range(256)) AS i)"""
+
+
+def _crc32(octets: str) -> str:
+    """CRC-32 of a list of octets, with a column ``crc_table``."""
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"
+
+
+def _oracle_op11() -> str:
+    """Gains from the counts of all words; each different word's CRC-32 is taken once."""
+    p = resampling.Resampling()
+    lower = lambda t: f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = lambda t: rf"list_filter(string_split(regexp_replace({lower(t)}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    octets = "list_transform(range(1, strlen(w) + 1), lambda i: CAST('0x' || hex(encode(w))[2 * i - 1:2 * i] AS BIGINT))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT rid, unnest(w) AS w FROM d), y AS (SELECT unnest({words("coalesce(text, '')")}) AS w FROM benchmark),
+hashed AS (SELECT w, {_crc32(octets)} % {p.buckets} AS bucket FROM (SELECT w FROM x UNION SELECT w FROM y), ({CRC_TABLE})),
+s AS (SELECT bucket, count(*) AS n FROM x JOIN hashed USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM y JOIN hashed USING (w) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS all_s, (SELECT coalesce(sum(n), 0) FROM t) AS all_t),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (all_s + {p.buckets}) AS DOUBLE) / CAST((coalesce(s.n, 0) + 1) * (all_t + {p.buckets}) AS DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range({p.buckets})) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums),
+weights AS (SELECT rid, CAST(sum(gain) AS BIGINT) AS weight FROM x JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY rid),
+scored AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substring(sha256('{p.seed}:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (rid)),
+ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= {p.min_words}),
+drawn AS (SELECT * FROM ranked WHERE rank <= (SELECT {p.percent} * count(*) // 100 FROM ranked))
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (rid)
+"""
+
+
+def _oracle_op12() -> str:
+    """Every order by itself: a document is removed at the first step that it fails."""
+    letters = "['A', 'B', 'C', 'D', 'E']"
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT rid, doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+kinds AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS k),
+orders AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT o, array_to_string(list_transform(o, lambda k: {letters}[k]), '') AS filter_order, step, o[step] AS own FROM orders, unnest(range(1, 6)) AS s(step)),
+judged AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fails, coalesce(list_bool_or(list_transform(o[1:step - 1], lambda k: fails[k])), false) AS gone, NOT coalesce(list_bool_or(list_transform(list_filter(o, lambda k: k <> own), lambda k: fails[k])), false) AS alone FROM kinds, steps),
+counted AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed, coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails AND alone), 0) AS unique_fails, coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0) AS toxic_lost FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted
+"""
+
+
+def _oracle_op13() -> str:
+    """Exact prefix sums in the order of ids: no sample, the same shards."""
+    octets = "list_transform(range(1, strlen(t) + 1), lambda i: CAST('0x' || h[2 * i - 1:2 * i] AS BIGINT))"
+    n = sharding.SHARDS
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+crcs AS (SELECT t, {_crc32(octets)} AS text_crc32 FROM (SELECT DISTINCT t, h FROM d), ({CRC_TABLE})),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM d),
+dealt AS (SELECT doc_id, t, size, CAST(least({n - 1}, (2 * before + size) * {n} // (2 * total)) AS INTEGER) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt JOIN crcs USING (t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": ORACLE_OP2, "op3_ngram_jaccard": ORACLE_OP3, "op4_link_graph_filter": _oracle_op4(), "op5_warc_segments": ORACLE_OP5, "op6_secret_linking": _oracle_op6(), "op7_line_dedup": ORACLE_OP7, "op8_risk_controlled_rules": _oracle_op8()}
+    return {"op2_benchmark_decontamination": ORACLE_OP2, "op3_ngram_jaccard": ORACLE_OP3, "op4_link_graph_filter": _oracle_op4(), "op5_warc_segments": ORACLE_OP5, "op6_secret_linking": _oracle_op6(), "op7_line_dedup": ORACLE_OP7, "op8_risk_controlled_rules": _oracle_op8(), "op11_importance_resampling": _oracle_op11(), "op12_filter_interactions": _oracle_op12(), "op13_range_shards": _oracle_op13()}
