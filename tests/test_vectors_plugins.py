@@ -22,23 +22,61 @@ def vectors(spark):
     return spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5).cache()
 
 
+def queries_of(vectors):
+    return vectors.where("id % 50 = 0 and id < 1500").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector"))
+
+
 def test_index_holds_every_vector_and_finds_most(spark, vectors, tmp_path):
-    queries = vectors.where("id % 50 = 0 and id < 1500").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector"))
+    queries = queries_of(vectors)
     index = ann.build(vectors)
     assert index.vectors.count() == vectors.count() and len(index.centroids) == round(1800**0.5)
-    assert index.vectors.where("list = -1").count() == 2
-    assert ann.recall(index, queries) >= 0.9
-    assert ann.recall(index, queries, probes=len(index.centroids)) == 1.0
+    assert index.vectors.where("list = -1 and code is null").count() == 2
+    assert ann.recall(index, queries) >= 0.9 and index.scored < 1500
+    assert ann.recall(index, queries, probes=len(index.centroids), scored=2000) == 1.0
     path = f"{tmp_path}/vectors"
     made = []
     again = ann.open_or_create(spark, path, lambda: made.append(1) or index)
     again = ann.open_or_create(spark, path, lambda: made.append(1) or index)
-    assert len(made) == 1 and again.vectors.count() == vectors.count()
+    assert len(made) == 1 and again.vectors.count() == vectors.count() and (again.probes, again.scored) == (index.probes, index.scored)
     found = [{(r.query_no, r.id, r["rank"]) for r in ann.search(i, queries, 5).collect()} for i in (index, again)]
     assert found[0] == found[1] and len(found[0]) == 5 * queries.count()
     assert ann.drop(spark, path) and not ann.exists(spark, path)
 
 
+def test_recall_holds_without_clusters_and_with_two_steps(spark, tmp_path):
+    rnd = np.random.default_rng(11)
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(rnd.normal(size=(3000, 18)))], "id long, embedding array<double>").repartition(4).cache()
+    index = ann.create(rows, f"{tmp_path}/plain", lists=100)
+    assert len(index.cells) == 10 and 60 <= len(index.centroids) <= 100 and index.words.shape == (5, 256, 4)
+    assert ann.recall(index, queries_of(rows)) >= 0.9 and index.scored < 1000
+    loaded = ann.load(spark, f"{tmp_path}/plain")
+    assert (loaded.probes, loaded.scored) == (index.probes, index.scored) and np.allclose(loaded.words, index.words)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_holds_on_the_given_vectors(spark, folder, tmp_path):
+    from pathlib import Path
+
+    if not Path(folder).exists():
+        pytest.skip("no given tables")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    index = ann.create(rows, f"{tmp_path}/given")
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector"))
+    assert ann.recall(index, queries) >= 0.9
+    assert ann.recall(index, queries, k=25) >= 0.9
+
+
+def test_exact_search_in_blocks_is_the_exact_search(spark, vectors, monkeypatch):
+    queries = queries_of(vectors)
+    pairs = vector.ranked_lists(vector.in_blocks(vectors.where("id not in (1500, 1501)"), queries), 12)
+    wanted = {(r.query_no, r.id, r.score, r["rank"]) for r in pairs.collect()}
+    got = lambda: {(r.query_no, r.id, r.score, r["rank"]) for r in vector.nearest(vectors, queries, 12).collect()}
+    assert got() == wanted
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    assert got() == wanted
+    assert vector.nearest(vectors, queries.where("false"), 3).count() == 0
+
+
 def test_few_or_no_vectors(spark):
     schema = "id long, embedding array<float>"
     for rows in ([], [(1, None)], [(1, [0.0, 1.0])]):
@@ -114,10 +152,11 @@ def docs(spark):
 def test_saved_engine(spark, docs, tmp_path):
     first = TextEngine(spark, docs)
     first.save(str(tmp_path))
-    opened = TextEngine.open(spark, docs, str(tmp_path), probes=1000)
+    opened = TextEngine.open(spark, docs, str(tmp_path))
+    approximate = TextEngine.open(spark, docs, str(tmp_path), probes=0)
     for kind in ("fulltext", "semantic"):
-        a, b = ([(r.id, r.score) for r in e.search("cat", kind, 10).results.orderBy("rank").collect()] for e in (first, opened))
-        assert a == b and len(a) == 10
+        a, b, c = ([(r.id, r.score) for r in e.search("cat", kind, 10).results.orderBy("rank").collect()] for e in (first, opened, approximate))
+        assert a == b and len(a) == len(c) == 10 and [s for _, s in c][:5] == [s for _, s in a][:5]
     phrases = TextEngine.open(spark, docs, str(tmp_path), expander=plugins.ModelExpander(lambda p: "so: feline, dogs"))
     found = phrases.search("cat", "semantic", 5)
     assert found.status["query_expansion"] == "success" and found.results.count() == 5

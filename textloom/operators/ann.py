@@ -1,124 +1,314 @@
-"""An approximate vector index: vectors in lists by their nearest coarse centroid, kept as a partitioned table.
+"""An approximate vector index: vectors in lists by their nearest centroid, with product-quantised codes.
 
-A query looks into the lists of its nearest centroids only, and scores what they hold exactly. Centroids are
-fitted on a bounded sample; every vector is in the index. A vector without direction (null, or all zeros) is
-similar to nothing and lies in list -1, which no query reads.
+Lists are made in two steps: cells around coarse centroids, and lists around finer ones within each cell, so a
+vector is compared with some hundred centroids however many lists there are. A vector's code has a byte for every
+CODE_DIMS numbers of what is left of it when its list's centroid is taken away. A search reads the codes of the
+lists nearest to a query, orders their vectors by the similarity that codes tell, and scores the best of them
+exactly. How many lists and how many vectors that takes is measured when the index is built, by exact searches for
+a sample of its vectors, and kept with it; so recall holds on vectors with clusters and without.
+
+Centroids and codes are fitted on a bounded sample; every vector is in the index. A vector without direction
+(null, or all zeros) is similar to nothing and lies in list -1, which no query reads.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import vector
-
-#: Vectors that centroids are fitted on at most, and lists at most: 4,096 centroids are some MB.
-MAX_SAMPLE, MAX_LISTS = 50_000, 4_096
-#: Parts of a list when it is written, so a list of very many equal vectors is not one task's.
-PARTS = 8
+from textloom.sources.shared import written
+
+#: Vectors that centroids and codes are fitted on, about; lists at most (their centroids are some MB), which larger
+#: tables fill with more vectors each.
+MAX_SAMPLE, MAX_LISTS = 100_000, 8_192
+#: Lists up to which there is one step: each cell is a list.
+ONE_STEP = 64
+CODE_DIMS, CODE_WORDS = 4, 256
+#: Sampled queries, the share of their TOP exact best that a search is to find, and that must lie in the lists read.
+CALIBRATION, TOP, RECALL, LIST_RECALL = 100, 10, 0.95, 0.98
+#: Candidates of a query at most while the index is measured.
+MOST_SCORED = 2_000
+#: Queries of a block: their tables of code words are some 16 MB.
+BLOCK = 256
+#: Candidates, rows of a few dozen bytes, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 NOWHERE = -1
 
 
 @dataclass
 class VectorIndex:
-    """``vectors``: the columns given, and ``list``. ``centroids``: unit vectors, a row each."""
+    """``vectors``: the columns given, ``list`` and ``code``. ``centroids``: unit vectors, a row for each list;
+    ``cells``: unit vectors, a row for each cell, and ``starts`` the first list of each. ``words``: code words by
+    part. ``probes`` lists are read, and ``scored`` vectors scored, for a search of TOP."""
 
     vectors: DataFrame
+    cells: np.ndarray
+    starts: np.ndarray
     centroids: np.ndarray
+    words: np.ndarray
     id_col: str = "id"
     column: str = "embedding"
+    probes: int = 1
+    scored: int = TOP
 
     @property
-    def probes(self) -> int:
-        """Lists that a query reads unless it says how many."""
-        return min(len(self.centroids), max(8, len(self.centroids) // 4))
+    def empty(self) -> bool:
+        return not self.centroids.any()
 
 
-def _unit(rows: pd.Series, dims: int) -> np.ndarray:
-    m = np.stack([np.zeros(dims) if r is None else np.asarray(r, float) for r in rows]) if len(rows) else np.zeros((0, dims))
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+def _centres(rows: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """k means of a sample's rows; fewer if fewer differ."""
+    rows = np.unique(rows, axis=0)
+    k = min(k, len(rows))
+    centres = rows[np.random.default_rng(seed).permutation(len(rows))[:k]].copy()
+    for _ in range(rounds):
+        own = np.concatenate([((centres**2).sum(1) - 2 * part @ centres.T).argmin(1) for part in np.array_split(rows, -(-len(rows) * k // vector.CELLS))])
+        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=k)
+        np.add.at(sums, own, rows)
+        centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+    return centres
 
 
-def _nearest(column: Column, centroids: np.ndarray, n: int) -> Column:
-    """Numbers of the n nearest centroids; those of a vector without direction are none."""
+def _units(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
-    @F.pandas_udf("array<int>")
-    def lists(rows: pd.Series) -> pd.Series:
-        unit = _unit(rows, centroids.shape[1])
-        order = np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :n]
-        return pd.Series([o.tolist() if u.any() else [] for o, u in zip(order, unit, strict=True)])
 
-    return lists(column)
+def _lists_of(units: np.ndarray, cells: np.ndarray, starts: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The list of each vector: the nearest cell, then the nearest list in it."""
+    cell, out = (units @ cells.T).argmax(1), np.zeros(len(units), np.int64)
+    for c in np.unique(cell):
+        first, last = starts[c], starts[c + 1]
+        own = cell == c
+        out[own] = first + (units[own] @ centroids[first:last].T).argmax(1)
+    return out
 
 
-def build(vectors: DataFrame, id_col: str = "id", column: str = "embedding", lists: int | None = None, seed: int = 7) -> VectorIndex:
-    """An index over ``vectors``, whose vectors have one length. ``lists``: by default as many as the root of
-    their number. An empty table has one list."""
+def _parts(rows: np.ndarray) -> np.ndarray:
+    """(rows, parts, CODE_DIMS), with zeros behind the last number."""
+    wide = -(-rows.shape[1] // CODE_DIMS) * CODE_DIMS
+    return np.pad(rows, ((0, 0), (0, wide - rows.shape[1]))).reshape(len(rows), -1, CODE_DIMS)
+
+
+def _codes(rest: np.ndarray, words: np.ndarray) -> np.ndarray:
+    parts = _parts(rest)
+    return np.stack([((w**2).sum(1) - 2 * parts[:, m] @ w.T).argmin(1) for m, w in enumerate(words)], axis=1).astype(np.uint8)
+
+
+def _placed(index: VectorIndex) -> DataFrame:
+    """The index's vectors with list and code."""
+    cells, starts, centroids, words = index.cells, index.starts, index.centroids, index.words
+
+    @F.pandas_udf("struct<list int, code binary>")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists, codes = np.full(len(batch), NOWHERE, np.int32), [None] * len(batch)
+            units = vector.unit_rows(batch)
+            for at in range(0, len(batch), 2_000):
+                there = at + np.flatnonzero(units[at : at + 2_000].any(axis=1))
+                if len(there):
+                    lists[there] = own = _lists_of(units[there], cells, starts, centroids)
+                    for k, code in zip(there, _codes(units[there] - centroids[own], words), strict=True):
+                        codes[k] = code.tobytes()
+            yield pd.DataFrame({"list": lists, "code": codes})
+
+    return index.vectors.withColumn("__place", place(F.col(index.column).cast("array<double>"))).select("*", "__place.list", "__place.code").drop("__place")
+
+
+def _fitted(sample: DataFrame, lists: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, first lists, centroids and code words, fitted in tasks on the sample's unit vectors (``v``). A cell,
+    or a part of all codes, is fitted by one task; both are bounded by the sample."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    n_cells = lists if lists <= ONE_STEP else round(math.sqrt(lists))
+    if n_cells > 1:
+        model = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="f", distanceMeasure="cosine").fit(sample.select(array_to_vector("v").alias("f")))
+        cells = _units(np.array(model.clusterCenters()))
+    else:
+        cells = _units(np.array([sample.first().v]))
+    each = 1 if lists <= ONE_STEP else -(-lists // n_cells)
+
+    def nearest_cell(v: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(v) @ cells.T).argmax(1).astype(np.int32))
+
+    def sublists(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell": key[0], "v": list(_units(_centres(np.stack(rows["v"]), each, seed)))})
+
+    if each == 1:
+        starts, centroids = np.arange(len(cells) + 1), cells
+    else:
+        found = sample.withColumn("cell", F.pandas_udf(nearest_cell, "int")("v")).groupBy("cell").applyInPandas(sublists, "cell int, v array<double>").collect()
+        by_cell = {c: [r.v for r in found if r.cell == c] or [list(cells[c])] for c in range(len(cells))}
+        starts, centroids = np.cumsum([0] + [len(by_cell[c]) for c in range(len(cells))]), np.array([v for c in range(len(cells)) for v in by_cell[c]])
+
+    def rests(v: pd.Series) -> pd.Series:
+        units = np.stack(v)
+        return pd.Series([p.tolist() for p in _parts(units - centroids[_lists_of(units, cells, starts, centroids)])])
+
+    def code_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": key[0], "v": list(_centres(np.stack(rows["p"]), CODE_WORDS, seed))})
+
+    parts = sample.select(F.posexplode(F.pandas_udf(rests, "array<array<double>>")("v")).alias("part", "p"))
+    found = parts.groupBy("part").applyInPandas(code_words, "part int, v array<double>").collect()
+    words = [np.array([r.v for r in found if r.part == m]) for m in range(1 + max(r.part for r in found))]
+    # parts with fewer words repeat their first
+    words = np.stack([np.concatenate([w, np.repeat(w[:1], CODE_WORDS - len(w), axis=0)]) for w in words])
+    return cells, starts, centroids, words
+
+
+def build(vectors: DataFrame, id_col: str = "id", column: str = "embedding", lists: int | None = None, seed: int = 7, recall: float | None = RECALL) -> VectorIndex:
+    """An index over ``vectors``, whose vectors have one length. ``lists``: by default as many as the root of
+    their number. ``recall``: what searches are to find of the exact best; None leaves it unmeasured. An empty
+    table has one list. Lists and codes are columns of a plan; an index that is used more than once is to be saved
+    or its ``vectors`` written first."""
     doubles = F.transform(F.col(column), lambda x: x.cast("double"))
     some = vectors.where(F.coalesce(F.exists(F.col(column), lambda x: x != 0), F.lit(False)))
     n = some.count()
+    none = np.zeros((1, 1))
     if n == 0:
-        return VectorIndex(vectors.withColumn("list", F.lit(NOWHERE)), np.zeros((1, 1)), id_col, column)
+        return VectorIndex(vectors.withColumns({"list": F.lit(NOWHERE), "code": F.lit(None).cast("binary")}), none, np.array([0, 1]), none, np.zeros((1, CODE_WORDS, CODE_DIMS)), id_col, column)
     k = max(1, min(lists or round(math.sqrt(n)), MAX_LISTS, n))
-    sample = some.orderBy(F.xxhash64(id_col), id_col).limit(MAX_SAMPLE).select(array_to_vector(doubles).alias("v"))
-    centres = KMeans(k=k, seed=seed, maxIter=10, featuresCol="v", distanceMeasure="cosine").fit(sample).clusterCenters() if k > 1 else [np.ones(len(some.first()[column]))]
-    centroids = np.array(centres, float)
-    centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    own = F.coalesce(F.get(_nearest(F.col(column), centroids, 1), F.lit(0)), F.lit(NOWHERE))
-    return VectorIndex(vectors.withColumn("list", own), centroids, id_col, column)
-
-
-def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
-    """The columns of the index, query_no, score and rank of the k best for each query (query_no, query_vector)
-    among the lists it reads. Any number of queries, in blocks that are broadcast; the numbers of the lists that
-    a block reads (MAX_LISTS at most) prune the table's partitions."""
-    if not index.centroids.any():  # no vector has a direction
-        none = index.vectors.drop("list").where("false").withColumn("score", F.lit(0.0)).crossJoin(queries.select("query_no").where("false"))
+    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, MAX_SAMPLE / n)))
+    sample = (some.where(share) if n > MAX_SAMPLE else some).select(vector.unit(doubles).alias("v")).repartition(F.xxhash64("v")).cache()
+    fitted = VectorIndex(vectors, *_fitted(sample, k, seed), id_col, column)
+    sample.unpersist()
+    index = replace(fitted, vectors=_placed(fitted), probes=len(fitted.centroids), scored=MOST_SCORED)
+    return index if recall is None else calibrated(index, recall)
+
+
+def calibrated(index: VectorIndex, recall: float = RECALL, queries: int = CALIBRATION) -> VectorIndex:
+    """The index with the fewest lists and vectors that a search needs for ``recall``. Queries are ``queries`` of
+    its own vectors, the first by hash, none of which counts as found by finding itself."""
+    if index.empty:
+        return index
+    some = index.vectors.where("list >= 0").select(index.id_col, index.column)
+    asked = some.orderBy(F.xxhash64(index.id_col), index.id_col).limit(queries).select(F.col(index.id_col).alias("query_no"), F.col(index.column).alias("query_vector"))
+    asked = index.vectors.sparkSession.createDataFrame(asked.collect(), asked.schema)
+    truth = vector.nearest(some, asked, TOP + 1, index.id_col, index.column).where(F.col("query_no") != F.col(index.id_col))
+    truth = index.vectors.select(index.id_col, "list").join(F.broadcast(truth.where(F.col("rank") <= TOP + 1).select("query_no", index.id_col)), index.id_col).collect()
+    if not truth:
+        return replace(index, probes=len(index.centroids), scored=TOP)
+    (numbers, units), = vector.query_blocks(asked, queries + 1)
+    order = np.argsort(np.argsort(-(units @ index.centroids.T), axis=1, kind="stable"), axis=1)
+    at = {q: k for k, q in enumerate(numbers)}
+    places = sorted(order[at[r.query_no], r.list] for r in truth)
+    probes = 1 + int(places[math.ceil(max(recall, LIST_RECALL) * len(places)) - 1])
+    found: dict = {}
+    for r in candidates(index, asked, MOST_SCORED, probes).collect():
+        found.setdefault(r.query_no, []).append((-r.score, r[index.id_col]))
+    ranks = {(q, i): k for q, rows in found.items() for k, (_, i) in enumerate(sorted(rows), 1)}
+    needed = sorted(ranks.get((r.query_no, r[index.id_col]), MOST_SCORED) for r in truth)
+    return replace(index, probes=probes, scored=max(TOP, int(needed[math.ceil(recall * len(needed)) - 1])))
+
+
+def candidates(index: VectorIndex, queries: DataFrame, n: int, probes: int) -> DataFrame:
+    """query_no, id, list and score (by codes) of the ``n`` best vectors in the ``probes`` lists nearest to each query.
+    Only ids and codes of these lists are read."""
+    id_col, id_type, no_type = index.id_col, dict(index.vectors.dtypes)[index.id_col], dict(queries.dtypes)["query_no"]
+    schema = f"query_no {no_type}, {id_col} {id_type}, list int, score double"
+
+    def run(numbers: list, units: np.ndarray) -> DataFrame:
+        to_centroid = units @ index.centroids.T
+        nearest = np.argsort(-to_centroid, axis=1, kind="stable")[:, :probes]
+        asked_by = {int(x): np.flatnonzero((nearest == x).any(axis=1)) for x in np.unique(nearest)}
+        # inner products of each query's parts with the code words
+        table = np.einsum("qmd,mkd->qmk", _parts(units), index.words).astype(np.float32)
+        base = to_centroid.astype(np.float32)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best, list_of = vector.Best(n), {}
+            for batch in batches:
+                for x, rows in batch.groupby("list"):
+                    asking = asked_by[int(x)]
+                    for at in range(0, len(rows), step := max(1, vector.CELLS // len(asking))):
+                        part = rows.iloc[at : at + step]
+                        codes = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
+                        score = np.repeat(base[asking, int(x)][:, None], len(part), axis=1)
+                        for m in range(codes.shape[1]):
+                            score += table[asking, m][:, codes[:, m]]
+                        best.add(asking, part[id_col].to_numpy(), score.astype(float))
+                        list_of.update(dict.fromkeys(part[id_col], int(x)))
+                kept = set(best.rows["id"])
+                list_of = {k: v for k, v in list_of.items() if k in kept}
+            found = best.rows
+            yield pd.DataFrame({"query_no": [numbers[q] for q in found["query"]], id_col: found["id"].to_numpy(), "list": [list_of[i] for i in found["id"]], "score": found["score"].to_numpy()})
+
+        return index.vectors.where(F.col("list").isin(sorted(asked_by))).select(id_col, "list", "code").mapInPandas(scan, schema)
+
+    return vector.ranked_lists(vector.by_block(queries, BLOCK, run, schema, "candidates"), n, id_col).drop("rank")
+
+
+def search(index: VectorIndex, queries: DataFrame, k: int = TOP, probes: int | None = None, scored: int | None = None) -> DataFrame:
+    """The columns of the index, query_no, score and rank of the k best for each query (query_no, query_vector), of
+    any number. Candidates by codes come first; their vectors are then scored exactly."""
+    probes = min(probes or index.probes, len(index.centroids))
+    n = max(k, (scored or index.scored) * -(-k // TOP))
+    if index.empty:  # no vector has a direction
+        none = index.vectors.drop("list", "code").where("false").withColumn("score", F.lit(0.0)).crossJoin(queries.select("query_no").where("false"))
         return none.withColumn("rank", F.lit(0).cast("long"))
-    probes = probes or index.probes
-    blocks = max(1, -(-queries.count() * probes // (vector.BLOCK * 8)))
-    out = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_no"), F.lit(blocks)) == b) if blocks > 1 else queries
-        wanted = block.select("query_no", "query_vector", F.explode(_nearest(F.col("query_vector"), index.centroids, probes)).alias("list"))
-        read = sorted(r.list for r in wanted.select("list").distinct().collect())
-        rows = index.vectors.where(F.col("list").isin(read)).join(F.broadcast(wanted), "list")
-        rows = rows.withColumn("score", F.round(vector.cosine(F.col(index.column), F.col("query_vector")), 6)).drop("query_vector", "list")
-        out = rows if out is None else out.unionByName(rows)
-    return vector.ranked_lists(out, k, index.id_col)
-
-
-def recall(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None) -> float:
-    """Share of the exact k best scores that the index finds."""
-    exact = vector.ranked_lists(vector.in_blocks(index.vectors.drop("list"), queries, index.column), k, index.id_col).select("query_no", index.id_col)
-    found = search(index, queries, k, probes).select("query_no", index.id_col)
+    some = written(candidates(index, queries, n, probes).drop("score"), "candidates")
+    read = [r.list for r in some.select("list").distinct().collect()]  # MAX_LISTS at most
+    few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = index.vectors.where(F.col("list").isin(read)).drop("code").join(F.broadcast(some) if few else some, ["list", index.id_col]).drop("list")
+    rows = rows.join(queries.select("query_no", "query_vector"), "query_no")
+    rows = rows.withColumn("score", F.round(vector.cosine(F.col(index.column), F.col("query_vector")), 6)).drop("query_vector")
+    return vector.ranked_lists(rows, k, index.id_col)
+
+
+def recall(index: VectorIndex, queries: DataFrame, k: int = TOP, probes: int | None = None, scored: int | None = None) -> float:
+    """Share of the exact k best that the index finds."""
+    exact = vector.nearest(index.vectors, queries, k, index.id_col, index.column).select("query_no", index.id_col).cache()
+    found = search(index, queries, k, probes, scored).select("query_no", index.id_col)
     n = exact.count()
-    return exact.join(found, ["query_no", index.id_col], "left_semi").count() / n if n else 1.0
+    share = exact.join(found, ["query_no", index.id_col], "left_semi").count() / n if n else 1.0
+    exact.unpersist()
+    return share
 
 
 # a collection: the index under a path
 
 
+def _save_vectors(index: VectorIndex, path: str) -> None:
+    """In a folder for each list, in ranges of lists, so a list of very many equal vectors is not one task's."""
+    index.vectors.repartitionByRange(F.col("list"), F.xxhash64(index.id_col)).write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
+
+
+def _save_numbers(index: VectorIndex, path: str) -> None:
+    numbers = lambda kind, rows: [(kind, k, [float(x) for x in np.ravel(r)]) for k, r in enumerate(rows)]
+    rows = numbers("cell", index.cells) + numbers("start", index.starts) + numbers("centroid", index.centroids) + numbers("words", index.words)
+    rows += [("probes", index.probes, []), ("scored", index.scored, []), (f"id:{index.id_col}", 0, []), (f"column:{index.column}", 0, [])]
+    index.vectors.sparkSession.createDataFrame(rows, "kind string, ordinal long, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+
 def save(index: VectorIndex, path: str) -> None:
-    spark = index.vectors.sparkSession
-    dealt = index.vectors.repartition(F.col("list"), F.pmod(F.xxhash64(index.id_col), F.lit(PARTS)))
-    dealt.write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
-    rows = [(k, [float(x) for x in c], index.id_col, index.column) for k, c in enumerate(index.centroids)]
-    spark.createDataFrame(rows, "list int, centroid array<double>, id_col string, column string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    _save_vectors(index, path)
+    _save_numbers(index, path)
+
+
+def create(vectors: DataFrame, path: str, id_col: str = "id", column: str = "embedding", lists: int | None = None, seed: int = 7, recall: float = RECALL) -> VectorIndex:
+    """A saved index. Its vectors are placed once, and what recall needs is measured on what was written."""
+    index = build(vectors, id_col, column, lists, seed, None)
+    _save_vectors(index, path)
+    index = calibrated(replace(index, vectors=vectors.sparkSession.read.schema(index.vectors.schema).parquet(f"{path}/vectors")), recall)
+    _save_numbers(index, path)
+    return index
 
 
 def load(spark: SparkSession, path: str) -> VectorIndex:
-    rows = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r.list)
-    return VectorIndex(spark.read.parquet(f"{path}/vectors"), np.array([r.centroid for r in rows]), rows[0].id_col, rows[0].column)
+    rows = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r.ordinal)
+    of = lambda kind: np.array([r.numbers for r in rows if r.kind == kind])
+    named = dict(r.kind.split(":", 1) for r in rows if ":" in r.kind)
+    number = {r.kind: r.ordinal for r in rows if r.kind in ("probes", "scored")}
+    words = of("words")
+    words = words.reshape(len(words), CODE_WORDS, CODE_DIMS)
+    return VectorIndex(spark.read.parquet(f"{path}/vectors"), of("cell"), of("start").ravel().astype(int), of("centroid"), words, named["id"], named["column"], **number)
 
 
 def _folder(spark: SparkSession, path: str):

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import shared_folder
+
 OVER_FETCH, DEFAULT_LIMIT = 5, 10
 RRF_K = 40
 
@@ -25,10 +31,20 @@ def similarities(vectors: DataFrame, query: list[float], column: str = "embeddin
     return vectors.withColumn("score", F.round(cosine(F.col(column), literal), digits))
 
 
+def unit(c: Column) -> Column:
+    """The vector divided by its length; null for one of length zero."""
+    return F.when(dot(c, c) > 0, F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c))))
+
+
 def query_similarities(vectors: DataFrame, queries: DataFrame, column: str = "embedding") -> DataFrame:
     """``vectors`` with each query (query_no, query_vector) and ``score``. Queries are broadcast: the phrases of
-    one request, a handful, or a block of ``in_blocks``."""
-    return vectors.join(F.broadcast(queries)).withColumn("score", F.round(cosine(F.col(column), F.col("query_vector")), 6)).drop("query_vector")
+    one request, a handful, or a block of ``in_blocks``. Lengths are taken once for each vector, so a pair costs
+    one inner product."""
+    rows = vectors.withColumn("__length", F.sqrt(dot(F.col(column), F.col(column))))
+    asked = queries.withColumn("__q_length", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))))
+    pairs = rows.join(F.broadcast(asked))
+    score = F.try_divide(dot(F.col(column), F.col("query_vector")), F.col("__length") * F.col("__q_length"))
+    return pairs.withColumn("score", F.round(score, 6)).drop("query_vector", "__length", "__q_length")
 
 
 #: Query vectors of a block.
@@ -46,6 +62,89 @@ def in_blocks(vectors: DataFrame, queries: DataFrame, column: str = "embedding")
     return out
 
 
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Rows of length one; zeros for nulls and vectors without direction."""
+    dims = next((len(v) for v in vectors if v is not None), 1)
+    rows = np.zeros((len(vectors), dims))
+    for k, v in enumerate(vectors):
+        if v is not None:
+            rows[k] = v
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+#: Scores that a task holds at a time.
+CELLS = 1 << 22
+
+
+class Best:
+    """The best ``k`` rows (query number, id, score) for each query of those added, in a task; ties by id."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, pd.DataFrame({"query": pd.Series(dtype="int64"), "id": [], "score": pd.Series(dtype="float64")})
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: a row for each of ``queries``, a column for each of ``ids``."""
+        least = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else scores.min(axis=1)
+        q, r = np.nonzero(scores >= least[:, None])
+        new = pd.DataFrame({"query": queries[q], "id": ids[r], "score": scores[q, r]})
+        both = new if self.rows.empty else pd.concat([self.rows, new])
+        self.rows = both.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(self.k)
+
+
+def query_blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[list, np.ndarray]]:
+    """Numbers and unit vectors of the queries that have a direction, about ``size`` at a time on the driver."""
+    n = max(1, -(-queries.count() // size))
+    for k in range(n):
+        block = queries.where(F.pmod(F.xxhash64("query_no"), F.lit(n)) == k) if n > 1 else queries
+        rows = sorted((r.query_no, r.query_vector) for r in block.select("query_no", "query_vector").collect())
+        units = unit_rows(pd.Series([v for _, v in rows])) if rows else np.zeros((0, 1))
+        known = units.any(axis=1)
+        if known.any():
+            yield [q for (q, _), there in zip(rows, known, strict=True) if there], units[known]
+
+
+def by_block(queries: DataFrame, size: int, run, schema: str, name: str) -> DataFrame:
+    """What ``run`` finds for each block of queries. One block is a plan; of several each is written when it is
+    found, so plan and memory do not grow with the number of queries."""
+    spark, path, first = queries.sparkSession, None, None
+    for numbers, units in query_blocks(queries, size):
+        if path is None and first is not None:
+            path = shared_folder(spark, name)
+            first.write.mode("append").parquet(path)
+        found = run(numbers, units)
+        if path is None:
+            first = found
+        else:
+            found.write.mode("append").parquet(path)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    return first if path is None else spark.read.schema(schema).parquet(path)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", column: str = "embedding") -> DataFrame:
+    """query_no, id, score and rank of the exact ``k`` best vectors for each query (query_no, query_vector), by
+    one matrix product for each batch of vectors. A task keeps the best of what it reads, so ``k`` rows for each
+    query and task are shuffled. Vectors and queries without direction are similar to nothing."""
+    id_type, no_type = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_no"]
+    schema = f"query_no {no_type}, {id_col} {id_type}, score double"
+
+    def run(numbers: list, units: np.ndarray) -> DataFrame:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best, every, step = Best(k), np.arange(len(numbers)), max(1, CELLS // len(numbers))
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    part = batch.iloc[at : at + step]
+                    rows = unit_rows(part[column])
+                    there = rows.any(axis=1)
+                    if there.any():
+                        best.add(every, part[id_col].to_numpy()[there], np.round(units @ rows[there].T, 6))
+            yield pd.DataFrame({"query_no": [numbers[q] for q in best.rows["query"]], id_col: best.rows["id"].to_numpy(), "score": best.rows["score"].to_numpy()})
+
+        return vectors.select(id_col, column).mapInPandas(scan, schema)
+
+    return ranked_lists(by_block(queries, BLOCK, run, schema, "nearest"), k, id_col)
+
+
 def top_k(scored: DataFrame, limit: int | None = DEFAULT_LIMIT, id_col: str = "id", threshold: float | None = None) -> DataFrame:
     """The best rows with their rank; a threshold drops rows afterwards, and ranks keep their gaps. A limit of
     0 means the default. Without a limit all rows that reach the threshold."""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +15,7 @@ from textloom.operators.index import Index, build_index, build_postings, chunk_t
 from textloom.plans.engine import TextEngine, ThemeParams
 from textloom.plugins import HashEmbedder, VocabularyEmbedder
 from textloom.sources import corpus, sinks
+from textloom.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,10 +46,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
+def query_vectors(rows: DataFrame) -> DataFrame:
+    """Those whose id 50 divides."""
+    return rows.where("id % 50 = 0").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector"))
+
+
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors with their score (and query_no) for each query vector: those whose id 50 divides."""
+    """All vectors with their score (and query_no) for each query vector."""
     rows = vectors(spark, sf_dir)
-    return vector.in_blocks(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector")))
+    return vector.in_blocks(rows, query_vectors(rows))
+
+
+def nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return vector.nearest(rows, query_vectors(rows), k)
 
 
 # sources and splitting
@@ -163,19 +171,9 @@ _QUERIES |= {
 }
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for a query that saves something: a shared one, or on a single machine a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
-    folder = tempfile.TemporaryDirectory(prefix="textloom-")
-    atexit.register(folder.cleanup)
-    return f"file://{folder.name}"
-
-
 @query
 def saved_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_folder(spark, "index")
     save_index(index(spark, sf_dir), path)
     return fulltext.top(fulltext.search_terms(load_index(spark, path), ["the", "that", "with"]), 50)
 
@@ -207,7 +205,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.ranked_lists(searches(spark, sf_dir), 10).select("query_no", "id", "score", "rank")
+    return nearest(spark, sf_dir, 10).select("query_no", "id", "score", "rank")
 
 
 @query
@@ -217,8 +215,7 @@ def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = vector.ranked_lists(searches(spark, sf_dir), 50)
-    return vector.reciprocal_rank_fusion(lists).select("id", "rrf", "score")
+    return vector.reciprocal_rank_fusion(nearest(spark, sf_dir, 50)).select("id", "rrf", "score")
 
 
 def _aggregated(how: str) -> Query:
@@ -561,19 +558,21 @@ def expanded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
-    for name, n in (("first run", 1), ("second/run", 2)):
-        sinks.save_run(spark, path, name, {"n": n, "name": name})
-    sinks.save_run(spark, path, "third", {})
-    sinks.delete_run(spark, path, "third")
+    """A run for each language, with the number of its points and their table, saved and listed again."""
+    path = shared_folder(spark, "runs")
+    p = points(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    for r in p.groupBy("lang").count().collect():
+        sinks.save_run(spark, path, f"themes of/{r.lang}", {"lang": r.lang, "points": r["count"]}, {"points": p.where(F.col("lang").eqNullSafe(r.lang))})
+    sinks.save_run(spark, path, "gone", {})
+    sinks.delete_run(spark, path, "gone")
     return sinks.list_runs(spark, path).select("run", "payload")
 
 
 @query
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector"))
-    return ann.search(ann.build(rows), queries, 10).select("query_no", "id", "score", "rank")
+    index = ann.create(rows, shared_folder(spark, "vectors"))
+    return ann.search(index, query_vectors(rows), 10).select("query_no", "id", "score", "rank")
 
 
 @query

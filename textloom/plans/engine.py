@@ -60,8 +60,9 @@ class ThemeRun:
 class TextEngine:
     """Search and themes over ``docs`` (doc_id, text and any metadata columns).
 
-    Indexes are built lazily from the documents, given, or opened from a folder that ``save`` wrote. With a
-    vector index, semantic searches with a limit read ``probes`` of its lists; all others score every chunk.
+    Indexes are built lazily from the documents, given, or opened from a folder that ``save`` wrote. Semantic
+    searches score every chunk; only with a vector index and ``probes`` do those with a limit read so many of its
+    lists (0: as many as the index has found to be needed).
     Queries are plans; only names, counts and model replies of a run reach the driver."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, *, index: Index | None = None, chunks: DataFrame | None = None, vectors: ann.VectorIndex | None = None, embedder: Embedder | None = None, annotator: Annotator | None = None, expander: Expander | None = None, analyzer: str = "plain", probes: int | None = None):
@@ -71,7 +72,7 @@ class TextEngine:
         self.expander = expander or NoExpansion()
         self._index, self._vectors, self.probes = index, vectors, probes
         self._kept: list[DataFrame] = []
-        self._chunks = vectors.vectors.drop("list") if vectors is not None and chunks is None else chunks
+        self._chunks = vectors.vectors.drop("list", "code") if vectors is not None and chunks is None else chunks
 
     def _keep(self, rows: DataFrame) -> DataFrame:
         """Rows that a request reads more than once, in the executors' memory and disks until ``release``."""
@@ -86,7 +87,10 @@ class TextEngine:
     def save(self, path: str) -> None:
         """The postings and the chunks' vector index, in a folder of any file system that Spark reaches."""
         save_index(self.index, f"{path}/index")
-        ann.save(self._vectors or ann.build(self.chunks), f"{path}/chunks")
+        if self._vectors is not None:
+            ann.save(self._vectors, f"{path}/chunks")
+        else:
+            ann.create(self.chunks, f"{path}/chunks")
 
     @classmethod
     def open(cls, spark: SparkSession, docs: DataFrame, path: str, **options) -> TextEngine:
@@ -143,8 +147,8 @@ class TextEngine:
         columns = self.chunks.select("id", "doc_id", "text", "embedding")
         if within is not None:
             columns = columns.join(within.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
-        if self._vectors is not None and fetch is not None and within is None:
-            lists = ann.search(self._vectors, queries, fetch, self.probes)
+        if self._vectors is not None and self.probes is not None and fetch is not None and within is None:
+            lists = ann.search(self._vectors, queries, fetch, self.probes or None)
         else:
             lists = None
         if len(vectors) == 1:

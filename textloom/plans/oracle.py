@@ -287,7 +287,7 @@ SELECT cluster_id, string_agg(quote, '|' ORDER BY k) AS quotes FROM k WHERE k <=
         "lenient_json": r"SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(regexp_extract(props, '\"k\": *(-?\d+)', 1) AS INTEGER) END AS k FROM events",
         "clamped_numbers": "SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 3 ELSE least(greatest(user_id, 3), 80) END AS INTEGER) AS n FROM events",
         "expanded_search": _expanded(),
-        "saved_runs": """SELECT * FROM (VALUES ('first_run', '{"n": 1, "name": "first run"}'), ('secondrun', '{"n": 2, "name": "second/run"}')) AS r(run, payload)""",
+        "saved_runs": f"""WITH {POINTS} SELECT 'themes_of' || lang AS run, '{{"lang": "' || lang || '", "points": ' || count(*) || '}}' AS payload FROM points JOIN documents USING (doc_id) GROUP BY lang""",
         "graded_scores": f"WITH {ANSWERED} SELECT doc_id, bullet_id, concept_id, CAST(score AS DOUBLE) AS score, CASE WHEN known THEN 'why' ELSE '' END AS rationale, CASE WHEN known THEN 'quote ' || bullet_id ELSE '' END AS highlight FROM graded",
         "concept_top_matches": f"WITH {ANSWERED}, k AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, bullet_id) AS r FROM graded WHERE score >= 0.75) SELECT concept_id, string_agg('- quote ' || bullet_id, chr(10) ORDER BY r) AS matches FROM k WHERE r <= 8 GROUP BY concept_id",
         "membership_scores": f"WITH {POINTS}, {THEMES} SELECT doc_id, bullet_id, CAST(t.cluster_id AS VARCHAR) AS concept_id, name AS concept_name, CASE WHEN t.cluster_id = p.cluster_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, bullet AS highlight FROM points p CROSS JOIN themes t",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def safe_name(name: str | None) -> str:
     """``safe_filename`` of a name on the driver."""
     import regex
 
-    return "_".join(regex.sub(_DROPPED, "", name or "").strip(" ").split(" "))[:_LONGEST] or "run"
+    return regex.sub(_DROPPED, "", name or "").strip(" ").replace(" ", "_")[:_LONGEST] or "run"
 
 
 def flat(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,18 +54,22 @@ def membership_scores(points: DataFrame, themes: DataFrame) -> DataFrame:
 
 
 def save_run(spark: SparkSession, folder: str, name: str, payload: dict, tables: dict[str, DataFrame] | None = None) -> str:
-    """A run as JSON, and its points, themes and scores as CSV. Returns the run's path."""
+    """A run as JSON, and its points, themes and scores as CSV. Returns the run's path. A table that cannot be
+    written leaves the run and the other tables, as the JSON is the run; it is logged."""
     base = f"{folder.rstrip('/')}/{safe_name(name)}"
     spark.createDataFrame([(json.dumps(payload, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}.json")
     for kind, df in (tables or {}).items():
         columns = {"points": POINT_COLUMNS, "themes": THEME_COLUMNS, "scores": SCORE_COLUMNS}.get(kind, df.columns)
-        flat(df, columns).write.mode("overwrite").csv(f"{base}_{kind}.csv", header=True)
+        try:
+            flat(df, columns).write.mode("overwrite").csv(f"{base}_{kind}.csv", header=True)
+        except Exception as e:  # noqa: BLE001  whatever its plan or the file system raises
+            logging.getLogger(__name__).warning("%s of run %s not saved: %s", kind, name, e)
     return f"{base}.json"
 
 
 def list_runs(spark: SparkSession, folder: str) -> DataFrame:
     """run, modified, payload: saved runs, the newest first; files that are not JSON are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder.rstrip('/')}/*.json")
     runs = files.select(F.regexp_extract("path", r"/([^/]+)\.json/[^/]*$", 1).alias("run"), F.col("modificationTime").alias("modified"), F.trim(F.decode("content", "UTF-8"), F.lit("\n")).alias("payload"))
     return runs.where((F.col("run") != "") & F.try_parse_json("payload").isNotNull()).orderBy(F.desc("modified"), "run")
 
