@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import vector
-from textloom.sources.shared import written
+from textloom.sources.shared import shared_folder, written
 
 #: Vectors that centroids and codes are fitted on, about; lists at most (their centroids are some MB), which larger
 #: tables fill with more vectors each.
@@ -223,7 +223,7 @@ def candidates(index: VectorIndex, queries: DataFrame, n: int, probes: int) -> D
         base = to_centroid.astype(np.float32)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best, list_of = vector.Best(n), {}
+            best, list_of = vector.Best(n, len(numbers)), {}
             for batch in batches:
                 for x, rows in batch.groupby("list"):
                     asking = asked_by[int(x)]
@@ -245,6 +245,60 @@ def candidates(index: VectorIndex, queries: DataFrame, n: int, probes: int) -> D
     return vector.ranked_lists(vector.by_block(queries, BLOCK, run, schema, "candidates"), n, id_col).drop("rank")
 
 
+#: Vectors whose neighbours are looked for at a time.
+NEIGHBOUR_BLOCK = 4096
+
+
+def neighbours(index: VectorIndex, k: int, probes: int | None = None) -> DataFrame:
+    """id, other and distance (between unit vectors) of the ``k`` nearest others of each vector that has a direction,
+    in the lists nearest to it (``probes``: as many as the index has found to be needed). Vectors of one or a few
+    lists are one block, so a block reads the lists around it; their similarities are matrix products. The blocks'
+    results are written as they are found. ``index`` is to be a saved one."""
+    id_col, spark = index.id_col, index.vectors.sparkSession
+    id_type, probes = dict(index.vectors.dtypes)[id_col], min(probes or index.probes, len(index.centroids))
+    path = shared_folder(spark, "neighbours")
+    counts = {r.list: r["count"] for r in index.vectors.where("list >= 0").groupBy("list").count().collect()}  # MAX_LISTS at most
+    blocks: list[tuple[list[int], int, int]] = []
+    for x in sorted(counts):
+        pieces = -(-counts[x] // NEIGHBOUR_BLOCK)
+        if pieces == 1 and blocks and blocks[-1][2] == 1 and sum(counts[y] for y in blocks[-1][0]) + counts[x] <= NEIGHBOUR_BLOCK:
+            blocks[-1][0].append(x)
+        else:
+            blocks += [([x], p, pieces) for p in range(pieces)]
+    for lists, piece, pieces in blocks:
+        own = index.vectors.where(F.col("list").isin(lists) & (F.pmod(F.xxhash64(id_col), F.lit(pieces)) == piece)).select(id_col, index.column).collect()
+        if own:
+            _near(index, [r[0] for r in own], vector.unit_rows(pd.Series([r[1] for r in own])), k, probes).write.mode("append").parquet(path)
+    found = spark.read.schema(f"id {id_type}, other {id_type}, score double").parquet(path) if blocks else spark.createDataFrame([], f"id {id_type}, other {id_type}, score double")
+    ranked = vector.ranked_lists(found.withColumnRenamed("id", "query_no"), k, "other")
+    return ranked.select(F.col("query_no").alias("id"), "other", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+def _near(index: VectorIndex, numbers: list, units: np.ndarray, k: int, probes: int) -> DataFrame:
+    nearest = np.argsort(-(units @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+    asked_by = {int(x): np.flatnonzero((nearest == x).any(axis=1)) for x in np.unique(nearest)}
+    id_col, column, id_type = index.id_col, index.column, dict(index.vectors.dtypes)[index.id_col]
+    place = {i: q for q, i in enumerate(numbers)}
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = vector.Best(k, len(numbers))
+        for batch in batches:
+            for x, rows in batch.groupby("list"):
+                asking = asked_by[int(x)]
+                for at in range(0, len(rows), step := max(1, vector.CELLS // len(asking))):
+                    part = rows.iloc[at : at + step]
+                    ids, score = part[id_col].to_numpy(), np.round(units[asking] @ vector.unit_rows(part[column]).T, 9)
+                    own = {q: a for a, q in enumerate(asking)}
+                    for c, i in enumerate(ids):  # not its own neighbour
+                        if (row := own.get(place.get(i))) is not None:
+                            score[row, c] = -np.inf
+                    best.add(asking, ids, score)
+        found = best.rows[best.rows["score"] > -np.inf]
+        yield pd.DataFrame({"id": [numbers[q] for q in found["query"]], "other": found["id"].to_numpy(), "score": found["score"].to_numpy()})
+
+    return index.vectors.where(F.col("list").isin(sorted(asked_by))).select(id_col, "list", column).mapInPandas(scan, f"id {id_type}, other {id_type}, score double")
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int = TOP, probes: int | None = None, scored: int | None = None) -> DataFrame:
     """The columns of the index, query_no, score and rank of the k best for each query (query_no, query_vector), of
     any number. Candidates by codes come first; their vectors are then scored exactly."""

@@ -77,18 +77,26 @@ CELLS = 1 << 22
 
 
 class Best:
-    """The best ``k`` rows (query number, id, score) for each query of those added, in a task; ties by id."""
+    """The best ``k`` rows (query number, id, score) for each of ``n`` queries of those added, in a task; ties by id."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, n: int):
         self.k, self.rows = k, pd.DataFrame({"query": pd.Series(dtype="int64"), "id": [], "score": pd.Series(dtype="float64")})
+        self.least = np.full(n, -np.inf)
 
     def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores``: a row for each of ``queries``, a column for each of ``ids``."""
-        least = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else scores.min(axis=1)
+        least = self.least[queries]
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
         q, r = np.nonzero(scores >= least[:, None])
+        if not len(q):
+            return
         new = pd.DataFrame({"query": queries[q], "id": ids[r], "score": scores[q, r]})
         both = new if self.rows.empty else pd.concat([self.rows, new])
         self.rows = both.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(self.k)
+        full = self.rows.groupby("query")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[full.index.to_numpy()] = full["min"].to_numpy()
 
 
 def query_blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[list, np.ndarray]]:
@@ -130,7 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
 
     def run(numbers: list, units: np.ndarray) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best, every, step = Best(k), np.arange(len(numbers)), max(1, CELLS // len(numbers))
+            best, every, step = Best(k, len(numbers)), np.arange(len(numbers)), max(1, CELLS // len(numbers))
             for batch in batches:
                 for at in range(0, len(batch), step):
                     part = batch.iloc[at : at + step]
