@@ -87,7 +87,7 @@ def test_clusters_are_those_of_the_whole_matrix(spark, blobs, monkeypatch):
     clusters, _ = plain_clusters(len(x), wanted, least, [c + 1e-9 for c in cuts])
     assert {frozenset(g) for g in groups.values()} == clusters and len(clusters) >= 6 and found[5000] is None
     assert all(c in g for c, g in groups.items())
-    monkeypatch.setattr(density, "DRIVER_LINKS", 0)  # components by rounds of a join
+    monkeypatch.setattr(density, "DRIVER_LINKS", 0)  # all by joins
     few = {r.id: r.cluster for r in density.leaf_clusters(index.vectors.select("id"), links, least, cuts[::6] + cuts[-1:]).collect()}
     monkeypatch.undo()
     again = {r.id: r.cluster for r in density.leaf_clusters(index.vectors.select("id"), links, least, cuts[::6] + cuts[-1:]).collect()}

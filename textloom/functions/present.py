@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ def has_metadata_prefix(c: Column) -> Column:
     return F.coalesce(head.rlike(PREFIX_START) & head.rlike("|".join(f"(?:{m})" for m in PREFIX_MARKS)), F.lit(False))
 
 
+def _inside(body: Column) -> Callable[[Column], Column]:
+    return lambda sentence: body.contains(T.strip(sentence))
+
+
 def inferred_response(quote: Column, responses: list[Column], matching: Column | None = None) -> Column:
     """The number of the first response, from 1, that holds the quote or one of the matching sentences."""
     out = None
@@ -27,7 +33,7 @@ def inferred_response(quote: Column, responses: list[Column], matching: Column |
         body = T.strip(r)
         there = body.contains(T.strip(quote))
         if matching is not None:
-            there = there | F.exists(matching, lambda s, body=body: body.contains(T.strip(s)))
+            there = there | F.exists(matching, _inside(body))
         found = F.coalesce((F.length(body) > 0) & there, F.lit(False))
         out = F.when(found, k) if out is None else out.when(found, k)
     return out

@@ -7,12 +7,16 @@ together, which is the tree of components seen at these distances. A component o
 cluster. It stays one while it only takes in smaller components, and ends where it meets another cluster. Clusters
 that no cluster is within are the leaves of the tree, and are what is found; all other points are noise.
 
-A band is one step for all its links. Components that a band joins are found on the driver while they are few,
-by rounds of a join otherwise; points, links and components stay tables.
+A band is one step for all its links: joins and sums over the tables of points, components and the links between
+them, which shrink as components grow. Once no more than DRIVER_LINKS links are left, the driver takes the same steps
+for the bands that remain; it gets these links and their components, never the points.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ from textloom.sources.shared import delete, shared_folder, written
 
 NOISE = -1
 NEIGHBOURS, LEVELS = 15, 32
-#: Links between components that one band may have to be joined on the driver: a few MB.
+#: Links between components that the driver joins at most: some 20 MB.
 DRIVER_LINKS = 100_000
 
 
@@ -86,17 +90,16 @@ def leaf_clusters(ids: DataFrame, links: DataFrame, least: int, cuts: list[float
     band = F.lit(len(cuts))
     for k in reversed(range(len(cuts))):
         band = F.when(F.col("w") <= cuts[k], k).otherwise(band)
-    links.select("a", "b", band.cast("int").alias("band")).write.partitionBy("band").parquet(f"{folder}/links")
-    banded = spark.read.schema(f"a {kind}, b {kind}, band int").parquet(f"{folder}/links")
-    none = F.lit(None).cast(kind)
+    none, large = F.lit(None).cast(kind), F.col("size") >= least
     # comp: a point's component. A component is small, or a cluster (leaf: its name), or has ended
     points = step(ids.select("id", F.col("id").alias("comp"), none.alias("cluster")), "points", 0)
     comps = step(ids.select(F.col("id").alias("comp"), F.lit(1).cast("long").alias("size"), F.lit(False).alias("ended"), (F.col("id") if least <= 1 else none).alias("leaf")), "comps", 0)
+    between = step(links.select(F.col("a").alias("u"), F.col("b").alias("v"), band.cast("int").alias("band")), "between", 0)
     for k in range(len(cuts)):
-        ends = [points.select(F.col("id").alias(end), F.col("comp").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
-        pairs = banded.where(F.col("band") == k).join(ends[0], "a").join(ends[1], "b").where("x <> y")
-        joined = _joined(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-        large = F.col("size") >= least
+        rest = between.limit(DRIVER_LINKS + 1).collect()
+        if len(rest) <= DRIVER_LINKS:
+            return _rest_on_driver(points, comps, rest, least)
+        joined = _joined(between.where(F.col("band") == k).select("u", "v").distinct())
         grown = comps.join(joined, "comp").groupBy("root").agg(F.sum("size").alias("size"), F.count_if(large).alias("met"), F.bool_or("ended").alias("ended"), F.max(F.when(large, F.col("leaf"))).alias("leaf"))
         ended = F.col("ended") | (F.col("met") > 1)
         leaf = F.when(ended, none).when(F.col("met") == 1, F.col("leaf")).when(large, F.col("root"))
@@ -106,10 +109,59 @@ def leaf_clusters(ids: DataFrame, links: DataFrame, least: int, cuts: list[float
         moves = joined.join(comps.select(F.col("comp").alias("root"), "leaf"), "root")
         moved = points.join(moves, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"), F.coalesce("cluster", "leaf").alias("cluster"))
         points = step(moved, "points", k + 1)
-    last = comps.where(F.col("size") >= least).limit(2).collect()
-    if len(last) == 1 and not last[0].ended:
-        points = points.withColumn("cluster", none)
-    return points.select("id", "cluster")
+        ends = [joined.select(F.col("comp").alias(c), F.col("root").alias(f"new_{c}")) for c in ("u", "v")]
+        left = between.where(F.col("band") > k).join(ends[0], "u", "left").join(ends[1], "v", "left").select(F.coalesce("new_u", "u").alias("x"), F.coalesce("new_v", "v").alias("y"), "band").where("x <> y")
+        between = step(left.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("band").alias("band")), "between", k + 1)
+    return _unless_whole(points, comps.where(large).select("ended").limit(2).collect())
+
+
+def _unless_whole(points: DataFrame, large: list) -> DataFrame:
+    """id and cluster, none if the only large component (all, or two, are given) is one cluster."""
+    whole = len(large) == 1 and not large[0].ended
+    return points.select("id", F.lit(None).cast(dict(points.dtypes)["id"]).alias("cluster") if whole else "cluster")
+
+
+@dataclass
+class _Comp:
+    size: int
+    ended: bool
+    leaf: object
+    open: list  # components whose points have no cluster yet
+
+
+def _rest_on_driver(points: DataFrame, comps: DataFrame, links: list, least: int) -> DataFrame:
+    """The remaining bands, as there are few links left: the same steps in Python. ``links``: u, v, band."""
+    spark, kind = points.sparkSession, dict(points.dtypes)["id"]
+    some = spark.createDataFrame([(x,) for x in {c for r in links for c in (r.u, r.v)}], f"comp {kind}")
+    state = {r.comp: _Comp(r.size, r.ended, r.leaf, [r.comp]) for r in comps.join(F.broadcast(some), "comp", "left_semi").collect()}
+    root, assigned = {c: c for c in state}, []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for _, of_band in groupby(sorted(links, key=lambda r: r.band), key=lambda r: r.band):
+        before: dict = {}  # components that have met in this band, by their root
+        for r in of_band:
+            u, v = sorted((find(r.u), find(r.v)))
+            if u != v:
+                root[v] = u
+                before[u] = before.get(u, [u]) + before.pop(v, [v])
+        for u, members in before.items():
+            parts = [state.pop(c) for c in members]
+            large = [p for p in parts if p.size >= least]
+            size, ended = sum(p.size for p in parts), any(p.ended for p in parts) or len(large) > 1
+            leaf = None if ended else large[0].leaf if large else u if size >= least else None
+            waiting = [c for p in parts for c in p.open]
+            if leaf is not None:
+                assigned += [(c, leaf) for c in waiting]
+                waiting = []
+            state[u] = _Comp(size, ended, leaf, waiting)
+    found = spark.createDataFrame(assigned, f"comp {kind}, leaf {kind}")
+    others = comps.where(F.col("size") >= least).join(F.broadcast(some), "comp", "left_anti").select("ended").limit(2).collect()
+    out = points.join(F.broadcast(found), "comp", "left").select("id", F.coalesce("cluster", "leaf").alias("cluster"))
+    return _unless_whole(out, [*others, *[c for c in state.values() if c.size >= least]])
 
 
 def least_cluster_size(n: int) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +12,12 @@ from pyspark.sql import functions as F
 from textloom.functions import buckets, filters
 from textloom.functions import present as P
 from textloom.functions import text as T
-from textloom.operators import ann, fulltext, hybrid, themes, vector
+from textloom.operators import ann, density, fulltext, grading, hybrid, layout, themes, vector
 from textloom.operators.index import Index, build_index, build_postings, chunk_table, load_index, save_index, term_rows
 from textloom.plans.engine import TextEngine, ThemeParams
 from textloom.plugins import HashEmbedder, VocabularyEmbedder
 from textloom.sources import corpus, sinks
-from textloom.sources.shared import shared_folder
+from textloom.sources.shared import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -481,6 +483,39 @@ def concept_top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.top_matches(rows)
 
 
+def stand_in_model(prompt: str) -> str:
+    """Replies that SQL can repeat: examples are graded by the number in their id, in reverse order, every fifth not
+    at all; summaries tell how many examples there are, and the first."""
+    if prompt.startswith("Sum up"):
+        lines = prompt.partition("Examples:\n")[2].split("\n")
+        return json.dumps({"summary": f"{len(lines)} examples, first {lines[0][2:]}"})
+    examples, theme, results = json.loads(prompt.partition("Examples: ")[2]), int(re.search(r'concept "theme (\d+)"', prompt)[1]), []
+    for e in reversed(examples):
+        n = int(e["example_id"])
+        if n % 5:
+            results.append({"example_id": n, "answer": "ABCDEZ"[(n + theme) % 6] + ": so", "rationale": f" bullet {n} of theme {theme} ", "quote": e["example"] if (n + theme) % 6 < 4 else None})
+    return "Sure: " + json.dumps({"results": [*results, {"example_id": "none of them", "answer": "A"}]})
+
+
+def _graded_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some, chosen = points(spark, sf_dir), cluster_table(spark).select("cluster_id", "name", "prompt")
+    concepts = chosen.withColumnRenamed("cluster_id", "concept_id")
+    answers = grading.graded_replies(some.select("bullet_id", F.col("bullet").alias("text")), concepts, stand_in_model, batch=24, tasks=8)
+    return themes.graded(some, chosen, answers)
+
+
+@query
+def graded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded_by_model(spark, sf_dir)
+
+
+@query
+def concept_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _graded_by_model(spark, sf_dir).withColumn("ordinal", F.col("bullet_id")).withColumn("text", F.concat(F.lit("bullet "), "bullet_id"))
+    matches = themes.top_matches(rows).join(cluster_table(spark).select(F.col("cluster_id").alias("concept_id"), "name"), "concept_id")
+    return grading.concept_summaries(matches, stand_in_model).select("concept_id", "matches", "summary")
+
+
 @query
 def membership_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.membership_scores(points(spark, sf_dir), cluster_table(spark)).select("doc_id", "bullet_id", "concept_id", "concept_name", "score", "highlight")
@@ -538,6 +573,16 @@ def api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("id", "doc_id", "search_type", F.round("normalized_score", 8).alias("normalized_score"), F.length("snippet").cast("long").alias("n_snippet"))
 
 
+@query
+def api_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a respondent's answers a hit is found in."""
+    answers = corpus.conversation_responses(read(spark, sf_dir, "conversations"))
+    columns = [f"q{k}_response" for k in range(1, 6)]
+    docs = answers.select(F.col("conv_id").alias("doc_id"), F.concat_ws(" ", *columns).alias("text"), *columns)
+    hits, _ = TextEngine(spark, docs, embedder=VocabularyEmbedder(API_WORDS)).search_api("tion", "fulltext")
+    return hits.select("id", "response")
+
+
 @query
 def api_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _api(spark, sf_dir).search_api("moron", "hybrid", 0.3, {"lang": "en"})[1]
@@ -575,6 +620,22 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(index, query_vectors(rows), 10).select("query_no", "id", "score", "rank")
 
 
+def _saved_vectors(spark: SparkSession, sf_dir: str) -> ann.VectorIndex:
+    return ann.create(vectors(spark, sf_dir).select("id", "embedding"), shared_folder(spark, "vectors"))
+
+
+@query
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.density_clusters(_saved_vectors(spark, sf_dir))
+
+
+@query
+def vector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = _saved_vectors(spark, sf_dir)
+    drawn = layout.layout(saved, written(ann.neighbours(saved, density.NEIGHBOURS), "near"))
+    return drawn.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query
 def theme_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = TextEngine(spark, documents(spark, sf_dir), embedder=HashEmbedder(32)).themes(ThemeParams(seed="moron entire", max_themes=6, clusters=8))

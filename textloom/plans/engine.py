@@ -24,7 +24,10 @@ class ThemeParams:
     metadata_filters: dict[str, Any] | None = None
     max_docs: int | None = None
     n_quotes: int = 3
+    bullet_words: str = "10-18"
     max_themes: int = 12
+    include_theme_summaries: bool = True
+    summary_length: str = "15-20 word"
     candidates_per_cluster: int = 3
     max_points_for_scoring: int | None = None
     max_candidate_clusters: int = 30
@@ -224,7 +227,8 @@ class TextEngine:
         responses = [F.col(c) for c in self.docs.columns if c.lower() in {f"q{k}_response" for k in range(1, 6)}]
         quote = F.when(F.col("search_type") == "fulltext", P.snippet(body, terms)).otherwise(F.col("text"))
         hits = hits.withColumns({"snippet": quote, "highlight": P.highlighted(quote, terms)})
-        hits = hits.withColumn("response", P.inferred_response(F.col("snippet"), responses) if responses else F.lit(None).cast("int"))
+        sentences = F.when(F.col("search_type") == "fulltext", P.matching_sentences(body, terms)).otherwise(F.array().cast("array<string>"))
+        hits = hits.withColumn("response", P.inferred_response(F.col("snippet"), responses, sentences) if responses else F.lit(None).cast("int"))
         hits = self._keep(hits)
         return hits.orderBy(F.desc("normalized_score"), "rank"), P.prevalence_histogram(hits, self._participant(hits))
 
@@ -235,6 +239,10 @@ class TextEngine:
 
     # themes
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows in as many tasks as may annotate at once."""
+        return rows.repartition(self.annotator.tasks) if self.annotator.tasks else rows
+
     def _points(self, params: ThemeParams) -> tuple[DataFrame, DataFrame, dict[str, int]]:
         counts: dict[str, int] = {}
         docs = apply_filters(self.docs, params.metadata_filters, mode="strict")
@@ -245,9 +253,9 @@ class TextEngine:
         # both counts in one job
         both = kept.select(F.lit(0).alias("k")).unionByName(with_text.select(F.lit(1).alias("k"))).groupBy("k").count().collect()
         counts = {"filtered": 0, "with_text": 0} | {("filtered", "with_text")[r.k]: r["count"] for r in both}
-        quotes = chosen.select("doc_id", self.annotator.quotes(F.col("text"), params.seed, params.n_quotes).alias("quotes"))
+        quotes = self._dealt(chosen.select("doc_id", "text")).select("doc_id", self.annotator.quotes(F.col("text"), params.seed, params.n_quotes).alias("quotes"))
         quotes = self._keep(quotes)
-        points = themes.bullets(quotes).withColumn("bullet", self.annotator.bullet(F.col("source_text"), params.seed))
+        points = self._dealt(themes.bullets(quotes)).withColumn("bullet", self.annotator.bullet(F.col("source_text"), params.seed, params.bullet_words))
         points = self._keep(points.withColumn("embedding", self.embedder.column(F.col("bullet"))))
         points = clusters.cluster_points(points, k=params.clusters)
         points = points.withColumn("ordinal", F.struct("doc_id", "bullet_no")).drop("embedding")
@@ -263,12 +271,18 @@ class TextEngine:
         """Themes of the chosen clusters: a cluster's first bullets (35 at most) go to the annotator."""
         largest = themes.largest_clusters(points, params.candidate_clusters(points.select("cluster_id").distinct().count()))
         first = clusters.first_of_cluster(points.join(F.broadcast(largest.select("cluster_id")), "cluster_id", "left_semi"), params.label_bullets)
-        rows = first.groupBy("cluster_id").agg(themes._ordered("ordinal", "bullet").alias("bullets"), F.slice(F.array_distinct(themes._ordered("ordinal", "doc_id")), 1, 6).alias("docs")).join(largest, "cluster_id").collect()
+        each = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "bullet", F.col("doc_id").cast("string").alias("doc_id")))), lambda x: F.struct(x["bullet"].alias("bullet"), x["doc_id"].alias("doc_id")))
+        rows = first.groupBy("cluster_id").agg(each.alias("each")).join(largest, "cluster_id").collect()
         made = []
         for r in sorted(rows, key=lambda r: (-r.n, r.cluster_id)):
-            for t in self.annotator.theme(r.cluster_id, r.bullets, params.seed, k)[:k]:
-                made.append((len(made), r.cluster_id, f"{r.cluster_id}-{len(made)}", t["name"], t["prompt"], r.n, r.bullets[:6], [str(d) for d in r.docs]))
-        df = self.spark.createDataFrame(made, "ordinal int, cluster_id int, theme_id string, name string, prompt string, n_points long, representative_bullets array<string>, example_doc_ids array<string>")
+            bullets, doc_ids = [e.bullet for e in r.each], [e.doc_id for e in r.each]
+            for t in self.annotator.theme(r.cluster_id, bullets, params.seed, k, doc_ids)[:k]:
+                chosen = t.get("example_ids") or []
+                # the bullets of the documents that the model chose, else the cluster's first
+                shown = [b for d in dict.fromkeys(chosen) for b, own in zip(bullets, doc_ids, strict=True) if own == d] or bullets
+                made.append((len(made), r.cluster_id, f"{r.cluster_id}-{len(made)}", t["name"], t["prompt"], r.n, shown[:6], chosen or list(dict.fromkeys(doc_ids))[:6]))
+        kind = dict(points.dtypes)["cluster_id"]
+        df = self.spark.createDataFrame(made, f"ordinal int, cluster_id {kind}, theme_id string, name string, prompt string, n_points long, representative_bullets array<string>, example_doc_ids array<string>")
         return themes.distinct_themes(df)
 
     def _described(self, found: DataFrame, points: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -286,7 +300,7 @@ class TextEngine:
         return ThemeRun(points, found, counts=counts | {"clusters": found.select("cluster_id").distinct().count()})
 
     def theme_scoring(self, points: DataFrame, chosen: DataFrame, params: ThemeParams, theme_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """Graded scores of points with themes, and the best matches of each theme. ``theme_ids``: the candidates
+        """Graded scores of points with themes, and for each theme with matches the best of them and its summary. ``theme_ids``: the candidates
         to score, by their theme_id; without it all. A theme of several candidates of one cluster is told apart
         by its theme_id, which is then the concept's."""
         concept = F.col("cluster_id").cast("string")
@@ -295,19 +309,24 @@ class TextEngine:
             chosen, concept = chosen.join(F.broadcast(ids), "theme_id", "left_semi"), F.col("theme_id")
         chosen = chosen.select(concept.alias("cluster_id"), "name", "prompt")
         some = points.orderBy("ordinal").limit(params.max_points_for_scoring) if params.max_points_for_scoring else points
-        grid = some.crossJoin(F.broadcast(chosen.withColumnRenamed("cluster_id", "concept_id")))
-        answers = grid.select("bullet_id", "concept_id", self.annotator.answer(F.col("source_text"), F.col("name"), F.col("prompt")).alias("answer"), F.lit("").alias("rationale"), F.col("bullet").alias("quote"))
+        concepts = self._keep(chosen.withColumnRenamed("cluster_id", "concept_id"))
+        answers = self._keep(self.annotator.grade(some.select("bullet_id", F.col("source_text").alias("text"), "bullet"), concepts))
         scores = themes.graded(some, chosen, answers).join(some.select("bullet_id", F.col("source_text").alias("text"), "bullet", "ordinal"), "bullet_id")
-        names = F.broadcast(chosen.select(F.col("cluster_id").alias("concept_id"), F.col("name").alias("concept_name"), F.col("prompt").alias("concept_prompt")))
+        names = F.broadcast(concepts.select("concept_id", F.col("name").alias("concept_name"), F.col("prompt").alias("concept_prompt")))
         scores = scores.join(names, "concept_id").withColumn("concept_seed", F.lit(params.seed))
-        return scores, themes.top_matches(scores)
+        matches = themes.top_matches(scores).join(names.select("concept_id", F.col("concept_name").alias("name")), "concept_id")
+        if params.include_theme_summaries:
+            matches = self._keep(self.annotator.summaries(matches, params.summary_length))
+        else:
+            matches = matches.withColumn("summary", F.lit(None).cast("string"))
+        return scores, matches
 
     def themes(self, params: ThemeParams) -> ThemeRun:
         """The whole run: bullets, clusters, themes, review, shares, prevalence and graded scores."""
         points, quotes, counts = self._points(params)
         found = self._labelled(points, params, 1)
         removed, selected = self.annotator.review([r.asDict() for r in found.select("cluster_id", "n_points", "name", "prompt").collect()], params.max_themes)
-        ids = lambda xs: self.spark.createDataFrame([(int(x),) for x in xs], "cluster_id int")
+        ids = lambda xs: self.spark.createDataFrame([(int(x),) for x in xs], f"cluster_id {dict(found.dtypes)['cluster_id']}")
         kept = themes.review(found, ids(removed), ids(selected), params.max_themes)
         kept = self._keep(self._described(kept, points, quotes))
         doc_scores = themes.doc_theme_scores(points, kept)

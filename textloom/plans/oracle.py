@@ -48,6 +48,11 @@ scores AS (SELECT doc_id, cluster_id, round(coalesce(n, 0) / CAST(t AS DOUBLE),
 ANSWERED = f"""{POINTS}, {THEMES}, graded AS (SELECT p.doc_id, p.bullet_id, t.cluster_id AS concept_id, p.bullet_id % 5 <> 0 AND p.cluster_id = t.cluster_id AS known,
   CASE WHEN p.bullet_id % 5 <> 0 AND p.cluster_id = t.cluster_id THEN [1.0, 0.75, 0.5, 0.25, 0.0, 0.0][p.bullet_id % 6 + 1] ELSE 0.0 END AS score FROM points p CROSS JOIN themes t)"""
 
+#: Points graded by the number in their id: not at all where 5 divides it, with a quote for the four best answers.
+REPLIES = f"""{POINTS}, {THEMES}, graded AS (SELECT doc_id, bullet_id, concept_id, CAST(CASE WHEN known THEN [1.0, 0.75, 0.5, 0.25, 0.0, 0.0][k + 1] ELSE 0.0 END AS DOUBLE) AS score,
+  CASE WHEN known THEN 'bullet ' || bullet_id || ' of ' || name ELSE '' END AS rationale, CASE WHEN known AND k < 4 THEN bullet ELSE '' END AS highlight
+  FROM (SELECT p.*, t.cluster_id AS concept_id, name, p.bullet_id % 5 <> 0 AS known, (p.bullet_id + t.cluster_id % 4) % 6 AS k FROM points p CROSS JOIN themes t))"""
+
 
 def _windows(size: int, overlap: int) -> str:
     step = size - min(overlap, max(0, size - 1))
@@ -152,6 +157,15 @@ merged AS (SELECT * FROM sem UNION ALL SELECT * FROM ful WHERE id NOT IN (SELECT
 METADATA = r"regexp_matches(left(text, 140), '^\d+\s+\d+') AND regexp_matches(left(text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b')"
 
 
+def _responses(word: str) -> str:
+    """Hits of a word, and the first answer that holds their snippet or one of the sentences with the word."""
+    there = lambda k: f"len({_strip(f'coalesce(q{k}, {chr(39) * 2})')}) > 0 AND (contains({_strip(f'q{k}')}, {_strip('snippet')}) OR len(list_filter(found, lambda s: contains({_strip(f'q{k}')}, {_strip('s')}))) > 0)"
+    return f"""WITH {ANSWERS}, d AS (SELECT *, concat_ws(' ', q1, q2, q3, q4, q5) AS text FROM answers),
+f AS (SELECT *, list_filter({_sentences('text')}, lambda s: list_has_any({_tokens('s')}, ['{word}', '{word}s', '{word[:-1] if word.endswith("s") else word}'])) AS found FROM d WHERE list_contains({_tokens('text')}, '{word}')),
+n AS (SELECT *, array_to_string(found[1:5], ' ') AS snippet FROM f WHERE NOT ({METADATA}))
+SELECT CAST(conv_id AS VARCHAR) AS id, CASE {' '.join(f'WHEN {there(k)} THEN {k}' for k in range(1, 6))} END AS response FROM n"""
+
+
 def _api_normalized() -> str:
     kept = f"SELECT * FROM merged WHERE (search_type = 'fulltext' OR score >= 0.3) AND NOT ({METADATA})"
     english = "doc_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lower(lang) = 'en')"
@@ -290,6 +304,10 @@ SELECT cluster_id, string_agg(quote, '|' ORDER BY k) AS quotes FROM k WHERE k <=
         "saved_runs": f"""WITH {POINTS} SELECT 'themes_of' || lang AS run, '{{"lang": "' || lang || '", "points": ' || count(*) || '}}' AS payload FROM points JOIN documents USING (doc_id) GROUP BY lang""",
         "graded_scores": f"WITH {ANSWERED} SELECT doc_id, bullet_id, concept_id, CAST(score AS DOUBLE) AS score, CASE WHEN known THEN 'why' ELSE '' END AS rationale, CASE WHEN known THEN 'quote ' || bullet_id ELSE '' END AS highlight FROM graded",
         "concept_top_matches": f"WITH {ANSWERED}, k AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, bullet_id) AS r FROM graded WHERE score >= 0.75) SELECT concept_id, string_agg('- quote ' || bullet_id, chr(10) ORDER BY r) AS matches FROM k WHERE r <= 8 GROUP BY concept_id",
+        "graded_replies": f"WITH {REPLIES} SELECT doc_id, bullet_id, concept_id, score, rationale, highlight FROM graded",
+        "concept_summaries": f"""WITH {REPLIES}, k AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, bullet_id) AS r FROM graded WHERE score >= 0.75)
+SELECT concept_id, string_agg('- ' || highlight, chr(10) ORDER BY r) AS matches, count(*) || ' examples, first ' || min(highlight) FILTER (r = 1) AS summary FROM k WHERE r <= 8 GROUP BY concept_id""",
+        "api_responses": _responses("tion"),
         "membership_scores": f"WITH {POINTS}, {THEMES} SELECT doc_id, bullet_id, CAST(t.cluster_id AS VARCHAR) AS concept_id, name AS concept_name, CASE WHEN t.cluster_id = p.cluster_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, bullet AS highlight FROM points p CROSS JOIN themes t",
         "theme_selection": "SELECT CAST(k AS INTEGER) AS cluster_id, 'theme ' || (k % 4) AS name, CAST(10 * k AS INTEGER) AS n_points FROM unnest([0, 3]) AS r(k)",
         "tool_search": f"WITH {_api(50)}, r AS (SELECT id, doc_id, search_type, score, text, row_number() OVER (ORDER BY exact DESC, search_type = 'fulltext' DESC, score DESC NULLS LAST, ordinal, id) AS rank FROM merged) SELECT id, doc_id, search_type, score, rank FROM r WHERE rank <= 50 AND NOT ({METADATA})",

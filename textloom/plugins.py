@@ -9,10 +9,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import grading
+from textloom.operators.grading import json_reply
 from textloom.operators.themes import excerpt, json_object
 
 
@@ -77,20 +79,33 @@ class VocabularyEmbedder:
 
 
 class Annotator(Protocol):
+    """``tasks``: how many tasks may annotate at once in the whole cluster; None is any number."""
+
+    tasks: int | None
+
     def quotes(self, text: Column, seed: str, n: int) -> Column: ...
 
-    def bullet(self, text: Column, seed: str) -> Column: ...
+    def bullet(self, text: Column, seed: str, words: str = "10-18") -> Column: ...
+
+    def grade(self, points: DataFrame, concepts: DataFrame) -> DataFrame:
+        """Answers (bullet_id, concept_id, answer, rationale, quote) of points (bullet_id, text, bullet) and concepts
+        (concept_id, name, prompt); a pair may have none."""
 
-    def answer(self, text: Column, name: Column, prompt: Column) -> Column: ...
+    def summaries(self, matches: DataFrame, length: str) -> DataFrame:
+        """``matches`` (concept_id, name, matches) with ``summary``."""
 
-    def theme(self, cluster_id: int, bullets: list[str], seed: str, k: int) -> list[dict]: ...
+    def theme(self, cluster_id: int, bullets: list[str], seed: str, k: int, doc_ids: list[str] | None = None) -> list[dict]:
+        """Up to ``k`` of name, prompt and example_ids: those of ``doc_ids``, a bullet's document each, that show it best."""
 
     def review(self, themes: list[dict], most: int) -> tuple[list[int], list[int]]: ...
 
 
 class OfflineAnnotator:
     """Rules in place of a language model: quotes are sentences that hold a word of the seed (else the first
-    ones), a bullet is an excerpt, an answer counts shared words, a theme is named after its frequent words."""
+    ones), a bullet is an excerpt, an answer counts shared words, a theme is named after its frequent words, and a
+    concept's summary is the first of its best examples."""
+
+    tasks = None
 
     def quotes(self, text: Column, seed: str, n: int) -> Column:
         from textloom.functions.present import matching_sentences
@@ -98,15 +113,30 @@ class OfflineAnnotator:
         found = matching_sentences(text, T.query_words(seed))
         return F.slice(F.when(F.size(found) > 0, found).otherwise(T.sentences(text, T.MIN_SENTENCE)), 1, n)
 
-    def bullet(self, text: Column, seed: str) -> Column:
+    def bullet(self, text: Column, seed: str, words: str = "10-18") -> Column:
         return excerpt(text)
 
-    def answer(self, text: Column, name: Column, prompt: Column) -> Column:
+    def _shared(self, text: Column, name: Column, prompt: Column) -> Column:
         words = F.filter(T.tokens(F.concat_ws(" ", name, prompt)), lambda w: F.length(w) >= 3)
-        shared = F.size(F.array_intersect(words, T.tokens(text)))
+        return F.array_intersect(words, T.tokens(text))
+
+    def answer(self, text: Column, name: Column, prompt: Column) -> Column:
+        shared = F.size(self._shared(text, name, prompt))
         return F.when(shared >= 3, "A").when(shared == 2, "B").when(shared == 1, "C").otherwise("E")
 
-    def theme(self, cluster_id: int, bullets: list[str], seed: str, k: int) -> list[dict]:
+    def grade(self, points: DataFrame, concepts: DataFrame) -> DataFrame:
+        """Every pair has an answer; those that share no word have no rationale and no quote."""
+        grid = points.crossJoin(F.broadcast(concepts)).withColumn("shared", self._shared(F.col("text"), F.col("name"), F.col("prompt")))
+        some = F.size("shared") > 0
+        return grid.select(
+            "bullet_id", "concept_id", self.answer(F.col("text"), F.col("name"), F.col("prompt")).alias("answer"),
+            F.when(some, F.concat(F.lit("shares "), F.array_join("shared", ", "))).otherwise("").alias("rationale"), F.when(some, F.col("bullet")).otherwise("").alias("quote"),
+        )
+
+    def summaries(self, matches: DataFrame, length: str) -> DataFrame:
+        return matches.withColumn("summary", F.regexp_extract("matches", r"^- ([^\n]*)", 1))
+
+    def theme(self, cluster_id: int, bullets: list[str], seed: str, k: int, doc_ids: list[str] | None = None) -> list[dict]:
         import collections
         import re
 
@@ -132,8 +162,18 @@ class Prefixed:
         return self.embedder.column(T.prefixed(text, False, True))
 
 
-def asked(ask: Callable[[str], str], prompts: list[str | None], timeout_s: float, concurrency: int) -> list[str | None]:
-    """A model's replies to prompts, some at a time. A call that fails or takes too long has no reply."""
+def asked(ask: Callable[[str], str], prompts: list[str | None], timeout_s: float, concurrency: int, retries: int = 0) -> list[str | None]:
+    """A model's replies to prompts, some at a time. A call that fails or takes too long is made again ``retries``
+    times, and then has no reply."""
+    out = _asked_once(ask, prompts, timeout_s, concurrency)
+    for _ in range(retries):
+        failed = [k for k, p in enumerate(prompts) if p is not None and out[k] is None]
+        for k, reply in zip(failed, _asked_once(ask, [prompts[k] for k in failed], timeout_s, concurrency), strict=True):
+            out[k] = reply
+    return out
+
+
+def _asked_once(ask: Callable[[str], str], prompts: list[str | None], timeout_s: float, concurrency: int) -> list[str | None]:
     from concurrent.futures import ThreadPoolExecutor
 
     out: list[str | None] = []
@@ -156,14 +196,25 @@ def asked(ask: Callable[[str], str], prompts: list[str | None], timeout_s: float
 
 class ModelAnnotator:
     """A language model behind ``ask``, a function from a prompt to a reply that can be sent to workers. Calls run
-    in the tasks, ``concurrency`` at a time in each, with a time limit. A reply that fails, or is no JSON object
-    of the form asked for, counts as none: no quotes, an excerpt as bullet, no answer, a theme named by number."""
+    in tasks, one at a time in each, with a time limit and ``retries``; the rows are dealt to ``concurrency`` tasks,
+    so no more calls run at once in the cluster. A reply that fails, or is no JSON object of the form asked for,
+    counts as none: no quotes, an excerpt as bullet, no answer, no summary, a theme named by number."""
 
-    def __init__(self, ask: Callable[[str], str], timeout_s: float = 45.0, concurrency: int = 6, batch: int = 6):
-        self.ask, self.timeout_s, self.concurrency, self.batch = ask, timeout_s, concurrency, batch
+    def __init__(self, ask: Callable[[str], str], timeout_s: float = 45.0, concurrency: int = 6, batch: int = 6, retries: int = 0):
+        self.ask, self.timeout_s, self.tasks, self.batch, self.retries = ask, timeout_s, concurrency, batch, retries
 
     def _replies(self, prompts: list[str | None]) -> list[str | None]:
-        return asked(self.ask, prompts, self.timeout_s, self.concurrency)
+        return asked(self.ask, prompts, self.timeout_s, 1, self.retries)
+
+    def _reply(self) -> grading.Reply:
+        replies = self._replies
+        return lambda prompt: replies([prompt])[0]
+
+    def grade(self, points: DataFrame, concepts: DataFrame) -> DataFrame:
+        return grading.graded_replies(points, concepts, self._reply(), self.batch, self.tasks)
+
+    def summaries(self, matches: DataFrame, length: str) -> DataFrame:
+        return grading.concept_summaries(matches, self._reply(), length, self.tasks)
 
     def _column(self, prompt: Callable[[str], str], text: Column) -> Column:
         replies = self._replies
@@ -179,8 +230,8 @@ class ModelAnnotator:
         reply = self._column(lambda t: f"Copy up to {n} passages, word by word, from the answer below that bear on {json.dumps(seed)}. Reply with JSON: {{\"quotes\": [...]}}; an empty list if there are none.\n\nAnswer:\n{t}", text)
         return F.coalesce(json_object(reply, "quotes array<string>")["quotes"], F.array().cast("array<string>"))
 
-    def bullet(self, text: Column, seed: str) -> Column:
-        reply = self._column(lambda t: f"Say in one short sentence what this passage tells about {json.dumps(seed)}. Reply with JSON: {{\"bullet\": \"...\"}}.\n\nPassage:\n{t}", text)
+    def bullet(self, text: Column, seed: str, words: str = "10-18") -> Column:
+        reply = self._column(lambda t: f"Say in one short sentence of {words} words what this passage tells about {json.dumps(seed)}. Reply with JSON: {{\"bullet\": \"...\"}}.\n\nPassage:\n{t}", text)
         found = json_object(reply, "bullet string")["bullet"]
         return F.when(F.length(T.strip(found)) > 0, found).otherwise(excerpt(text))
 
@@ -200,37 +251,29 @@ class ModelAnnotator:
             parts = [(theme, rows[at : at + size]) for theme, rows in groups.items() for at in range(0, len(rows), size)]
             out: list[str | None] = [None] * len(texts)
             for (_, rows), reply in zip(parts, replies([ask_for(theme, [texts.iloc[i] or "" for i in rows]) for theme, rows in parts]), strict=True):
-                for i, letter in zip(rows, _object(reply).get("answers") or [], strict=False):
+                for i, letter in zip(rows, json_reply(reply).get("answers") or [], strict=False):
                     out[i] = str(letter)
             return pd.Series(out, dtype=object)
 
         return answers(text, name, prompt)
 
-    def theme(self, cluster_id: int, bullets: list[str], seed: str, k: int) -> list[dict]:
-        listed = "\n".join(f"- {b}" for b in bullets)
-        reply = self._replies([f"Name {k} theme(s) that these notes on {json.dumps(seed)} share, and a yes-or-no question that tells whether a text is about each. Reply with JSON: {{\"themes\": [{{\"name\": \"...\", \"prompt\": \"...\"}}]}}.\n\nNotes:\n{listed}"])[0]
-        found = [{"name": str(t["name"]).strip(), "prompt": str(t.get("prompt") or "")} for t in _object(reply).get("themes") or [] if isinstance(t, dict) and str(t.get("name") or "").strip()]
+    def theme(self, cluster_id: int, bullets: list[str], seed: str, k: int, doc_ids: list[str] | None = None) -> list[dict]:
+        notes = json.dumps([{"example_id": d, "note": b} for d, b in zip(doc_ids or map(str, range(len(bullets))), bullets, strict=False)], ensure_ascii=False)
+        reply = self._replies([f"Name {k} theme(s) that these notes on {json.dumps(seed)} share, a yes-or-no question that tells whether a text is about each, and 2 to 4 example_ids of notes that show it best. Reply with JSON: {{\"themes\": [{{\"name\": \"...\", \"prompt\": \"...\", \"example_ids\": [\"...\"]}}]}}.\n\nNotes: {notes}"])[0]
+        found = []
+        for t in json_reply(reply).get("themes") or []:
+            if isinstance(t, dict) and str(t.get("name") or "").strip():
+                ids = [str(x).strip() for x in t.get("example_ids") or []] if isinstance(t.get("example_ids"), list) else []
+                found.append({"name": str(t["name"]).strip(), "prompt": str(t.get("prompt") or "")} | ({"example_ids": [x for x in ids if x in doc_ids]} if doc_ids else {}))
         return found[:k] or [{"name": f"Cluster {cluster_id}", "prompt": ""}]
 
     def review(self, themes: list[dict], most: int) -> tuple[list[int], list[int]]:
         reply = self._replies([f"These themes were found: {json.dumps(themes)}. Which are vague or repeat another, and which {most} at most are the best? Reply with JSON: {{\"remove\": [cluster ids], \"select\": [cluster ids]}}."])[0]
         known = {t["cluster_id"] for t in themes}
-        pick = lambda key: [x for x in _object(reply).get(key) or [] if isinstance(x, int) and x in known]
+        pick = lambda key: [x for x in json_reply(reply).get(key) or [] if isinstance(x, int) and x in known]
         return pick("remove"), pick("select")
 
 
-def _object(reply: str | None) -> dict:
-    """A JSON object in a reply, or an empty one."""
-    for part in (reply or "", (reply or "")[(reply or "").find("{") : (reply or "").rfind("}") + 1]):
-        try:
-            found = json.loads(part)
-        except ValueError:
-            continue
-        if isinstance(found, dict):
-            return found
-    return {}
-
-
 class Expander(Protocol):
     def phrases(self, query: str, n: int) -> list[str]: ...
 
