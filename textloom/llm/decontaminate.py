@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,15 +170,17 @@ def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
     return materialize(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"), "automata")
 
 
-def _passes(benchmark: DataFrame, *args) -> list:
-    """The automata, PASS_BLOCKS at a time, broadcast; one empty list without any."""
-    made = automata(benchmark, *args)
+def _passes(made: DataFrame) -> list[list[int]]:
+    """Numbers of the automata (``automata``), PASS_BLOCKS at a time; one empty list without any."""
     numbers = sorted(r.block for r in made.select("block").collect())
-    out = []
-    for at in range(0, max(1, len(numbers)), PASS_BLOCKS):
-        some = [r.automaton for r in made.where(F.col("block").isin(numbers[at : at + PASS_BLOCKS])).select("automaton").collect()]
-        out.append(benchmark.sparkSession.sparkContext.broadcast([pickle.loads(bytes(x)) for x in some]))
-    return out
+    return [numbers[at : at + PASS_BLOCKS] for at in range(0, max(1, len(numbers)), PASS_BLOCKS)]
+
+
+def _shared(made: DataFrame, numbers: list[int]) -> Broadcast:
+    """These automata, broadcast. Of several passes each is made when it starts and destroyed when its table is
+    written, so the driver and the executors hold one pass at a time."""
+    some = [r.automaton for r in made.where(F.col("block").isin(numbers)).select("automaton").collect()] if numbers else []
+    return made.sparkSession.sparkContext.broadcast([pickle.loads(bytes(x)) for x in some])
 
 
 def search_all(found_by: list[SuffixAutomaton], words: list[bytes]) -> tuple[list[list[int]], set[str]]:
@@ -211,9 +214,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     benchmark hits nothing. Narrow work on each row: no shuffle, and repeated rows stay."""
     kept = [c for c in docs.columns if c not in ("dc_words", "dc_spans", "dc_items")]
     out = docs.select(*kept)
-    for k, shared in enumerate(_passes(benchmark, item_col, item_text_col, window, block_words)):
-        out = _scan(materialize(out, "decontaminate") if k else out, kept, text_col, shared, k > 0)
-    return out
+    made = automata(benchmark, item_col, item_text_col, window, block_words)
+    *earlier, last = _passes(made)
+    for k, numbers in enumerate(earlier):
+        shared = _shared(made, numbers)
+        out = materialize(_scan(out, kept, text_col, shared, k > 0), "decontaminate")
+        shared.destroy()
+    return _scan(out, kept, text_col, _shared(made, last), bool(earlier))
 
 
 def _scan(docs: DataFrame, kept: list[str], text_col: str, shared, more: bool) -> DataFrame:
@@ -292,12 +299,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return rows.mapInArrow(scan, f"row {row}, text binary, words long, lost long")
 
-    passes = _passes(benchmark, "item_id", "text", window, block_words)
-    out, total, before = scanned(out, passes[0]), 0, -1
+    made = automata(benchmark, "item_id", "text", window, block_words)
+    passes, total, before = _passes(made), 0, -1
+    if len(passes) == 1:
+        out = scanned(out, _shared(made, passes[0]))
     while len(passes) > 1 and total != before:  # a cut can join words to a passage of an earlier pass
-        for shared in [*passes[1:], passes[0]]:
-            out = scanned(materialize(out, "decontaminate"), shared)
-        out = materialize(out, "decontaminate")
+        for numbers in passes:
+            shared = _shared(made, numbers)
+            out = materialize(scanned(out, shared), "decontaminate")
+            shared.destroy()
         before, total = total, out.agg(F.sum("lost")).first()[0] or 0
     hit = F.col("lost") > 0
     out = out.where(~hit | (F.col("lost") <= max_coverage * F.col("words"))).withColumn("text", F.col("text").cast("string"))
