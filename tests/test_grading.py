@@ -128,3 +128,22 @@ def test_response_of_any_matching_sentence(spark):
     docs = spark.createDataFrame(rows, "doc_id long, q1_response string, q2_response string").withColumn("text", F.concat_ws(" ", "q1_response", "q2_response"))
     hits, _ = TextEngine(spark, docs).search_api("cat", "fulltext")
     assert {r.doc_id: r.response for r in hits.collect()} == {"1": 2, "2": 1, "3": 2}
+
+
+def test_theme_run_by_density(spark):
+    topics = ["The cat sat on the red mat near the warm stove", "Dogs bark at night in the old town beyond the hill", "Rain fell on the green fields all week and then stopped"]
+    docs = spark.createDataFrame([(k, f"{topics[k % 3]} {'again ' * (k % 4)}number{k}.") for k in range(120)], "doc_id long, text string")
+    engine = TextEngine(spark, docs)
+    run = engine.themes(ThemeParams(seed="cat dogs rain", cluster_method="density"))
+    points = run.points.select("doc_id", "cluster_id", "x", "y").collect()
+    assert len(points) == 120 and len({(p.x, p.y) for p in points}) > 60
+    for k in range(3):  # a topic's points are of one cluster, or noise
+        own = [p.cluster_id for p in points if p.doc_id % 3 == k and p.cluster_id != -1]
+        assert len(own) >= 20
+    mixed = {}
+    for p in points:
+        if p.cluster_id != -1:
+            mixed.setdefault(p.cluster_id, set()).add(p.doc_id % 3)
+    assert len(mixed) >= 3 and all(len(t) == 1 for t in mixed.values())
+    assert run.themes.count() > 0 and run.prevalence.count() == run.themes.count()
+    engine.release()

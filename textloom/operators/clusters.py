@@ -1,18 +1,15 @@
-"""Clusters of bullet vectors: principal components and bisecting k-means. This stands in for a density method:
-points far from their centre, and clusters below the least size, count as noise (-1)."""
+"""Clusters of bullet vectors with two coordinates each: by density, or by principal components and bisecting
+k-means, where points far from their centre, and clusters below the least size, count as noise (-1)."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ann, density, layout
+from textloom.operators.density import least_cluster_size
 from textloom.operators.themes import NOISE
-
-
-def least_cluster_size(n: int) -> int:
-    return max(3, min(20, math.ceil(n / 30)))
+from textloom.sources.shared import shared_folder, written
 
 
 def cluster_points(points: DataFrame, vector: str = "embedding", k: int | None = None, seed: int = 7, components: int = 5, outliers: float = 0.95) -> DataFrame:
@@ -40,6 +37,19 @@ def cluster_points(points: DataFrame, vector: str = "embedding", k: int | None =
     return rows.withColumns({"cluster_id": cluster.cast("int"), "x": F.col("__a")[0], "y": F.col("__a")[1]}).drop("__v", "__p", "__c", "__a", "__far", "__n", "__limit")
 
 
+def density_points(points: DataFrame, vector: str = "embedding", id_col: str = "bullet_id", neighbours: int = density.NEIGHBOURS) -> DataFrame:
+    """``points`` with cluster_id (a number that names the cluster), x and y, by the graph of nearest neighbours of a
+    saved index of their vectors. A point is known by the hash of its id."""
+    spark = points.sparkSession
+    numbered = points.withColumn("__id", F.xxhash64(id_col).bitwiseAND(F.lit((1 << 63) - 1)))
+    index = ann.create(numbered.select(F.col("__id").alias("id"), F.col(vector).alias("embedding")), shared_folder(spark, "points"))
+    least = least_cluster_size(index.vectors.count())
+    near = written(ann.neighbours(index, max(neighbours, least)), "near")
+    found = density.density_clusters(index, least, near=near).join(layout.layout(index, near.where(F.col("rank") <= neighbours)), "id")
+    found = found.select(F.col("id").alias("__id"), F.col("cluster").alias("cluster_id"), "x", "y")
+    return numbered.join(written(found, "placed"), "__id").drop("__id")
+
+
 def first_of_cluster(points: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("cluster_id").orderBy("ordinal")
     return points.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")

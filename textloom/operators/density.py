@@ -7,8 +7,8 @@ together, which is the tree of components seen at these distances. A component o
 cluster. It stays one while it only takes in smaller components, and ends where it meets another cluster. Clusters
 that no cluster is within are the leaves of the tree, and are what is found; all other points are noise.
 
-A band is one step for all its links: joins and sums over the tables of points, components and the links between
-them, which shrink as components grow. Once no more than DRIVER_LINKS links are left, the driver takes the same steps
+A band is one step for all its links: joins and sums over the tables of points and components and the band's own
+links. Once no more than DRIVER_LINKS links are left, the driver takes the same steps
 for the bands that remain; it gets these links and their components, never the points.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import ann
@@ -25,8 +25,8 @@ from textloom.sources.shared import delete, shared_folder, written
 
 NOISE = -1
 NEIGHBOURS, LEVELS = 15, 32
-#: Links between components that the driver joins at most: some 20 MB.
-DRIVER_LINKS = 100_000
+#: Links between components that the driver joins at most: a MB or two.
+DRIVER_LINKS = 20_000
 
 
 def mutual_links(near: DataFrame, min_samples: int) -> DataFrame:
@@ -94,12 +94,20 @@ def leaf_clusters(ids: DataFrame, links: DataFrame, least: int, cuts: list[float
     # comp: a point's component. A component is small, or a cluster (leaf: its name), or has ended
     points = step(ids.select("id", F.col("id").alias("comp"), none.alias("cluster")), "points", 0)
     comps = step(ids.select(F.col("id").alias("comp"), F.lit(1).cast("long").alias("size"), F.lit(False).alias("ended"), (F.col("id") if least <= 1 else none).alias("leaf")), "comps", 0)
-    between = step(links.select(F.col("a").alias("u"), F.col("b").alias("v"), band.cast("int").alias("band")), "between", 0)
+    links.select("a", "b", band.cast("int").alias("band")).write.partitionBy("band").parquet(f"{folder}/links")
+    banded = spark.read.schema(f"a {kind}, b {kind}, band int").parquet(f"{folder}/links")
+    in_band = {r.band: r["count"] for r in banded.groupBy("band").count().collect()}
+
+    def between(some: Column) -> DataFrame:
+        """u < v and the first band of the components that these links are between. A link is looked up once."""
+        x, y = (points.select(F.col("id").alias(end), F.col("comp").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+        met = banded.where(some).join(x, "a").join(y, "b").where("x <> y")
+        return met.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("band").alias("band"))
+
     for k in range(len(cuts)):
-        rest = between.limit(DRIVER_LINKS + 1).collect()
-        if len(rest) <= DRIVER_LINKS:
-            return _rest_on_driver(points, comps, rest, least)
-        joined = _joined(between.where(F.col("band") == k).select("u", "v").distinct())
+        if sum(n for b, n in in_band.items() if b >= k) <= DRIVER_LINKS:
+            return _rest_on_driver(points, comps, between(F.col("band") >= k).collect(), least)
+        joined = _joined(between(F.col("band") == k).select("u", "v"))
         grown = comps.join(joined, "comp").groupBy("root").agg(F.sum("size").alias("size"), F.count_if(large).alias("met"), F.bool_or("ended").alias("ended"), F.max(F.when(large, F.col("leaf"))).alias("leaf"))
         ended = F.col("ended") | (F.col("met") > 1)
         leaf = F.when(ended, none).when(F.col("met") == 1, F.col("leaf")).when(large, F.col("root"))
@@ -109,9 +117,6 @@ def leaf_clusters(ids: DataFrame, links: DataFrame, least: int, cuts: list[float
         moves = joined.join(comps.select(F.col("comp").alias("root"), "leaf"), "root")
         moved = points.join(moves, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"), F.coalesce("cluster", "leaf").alias("cluster"))
         points = step(moved, "points", k + 1)
-        ends = [joined.select(F.col("comp").alias(c), F.col("root").alias(f"new_{c}")) for c in ("u", "v")]
-        left = between.where(F.col("band") > k).join(ends[0], "u", "left").join(ends[1], "v", "left").select(F.coalesce("new_u", "u").alias("x"), F.coalesce("new_v", "v").alias("y"), "band").where("x <> y")
-        between = step(left.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("band").alias("band")), "between", k + 1)
     return _unless_whole(points, comps.where(large).select("ended").limit(2).collect())
 
 
@@ -169,12 +174,14 @@ def least_cluster_size(n: int) -> int:
     return max(3, min(20, -(-n // 30)))
 
 
-def density_clusters(index: ann.VectorIndex, least: int | None = None, neighbours: int = NEIGHBOURS, levels: int = LEVELS, probes: int | None = None) -> DataFrame:
+def density_clusters(index: ann.VectorIndex, least: int | None = None, neighbours: int = NEIGHBOURS, levels: int = LEVELS, probes: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """id and cluster (NOISE for noise, and for vectors without direction) of a saved index's vectors, whose ids are
-    whole numbers, each once. ``least``: the least size of a cluster, and the neighbour that core distances go to."""
+    whole numbers, each once. ``least``: the least size of a cluster, and the neighbour that core distances go to.
+    ``near``: their neighbours, if they are known already, at least ``least`` of them."""
     ids = index.vectors.select(F.col(index.id_col).alias("id"))
     least = least or least_cluster_size(ids.count())
-    near = written(ann.neighbours(index, max(neighbours, least), probes), "near")
+    if near is None:
+        near = written(ann.neighbours(index, max(neighbours, least), probes), "near")
     links = written(mutual_links(near, least), "links")
     found = leaf_clusters(ids, links, least, cut_distances(links, levels))
     return found.select("id", F.coalesce("cluster", F.lit(NOISE)).cast("long").alias("cluster"))

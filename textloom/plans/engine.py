@@ -33,6 +33,8 @@ class ThemeParams:
     max_candidate_clusters: int = 30
     label_bullets: int = 35
     clusters: int | None = None
+    #: "density", or "components" (with ``clusters`` k-means centres)
+    cluster_method: str = "components"
 
     def candidate_clusters(self, found: int) -> int:
         return min(found, max(self.max_themes, min(max(3, min(self.max_candidate_clusters, 80)), 3 * self.max_themes)))
@@ -257,7 +259,7 @@ class TextEngine:
         quotes = self._keep(quotes)
         points = self._dealt(themes.bullets(quotes)).withColumn("bullet", self.annotator.bullet(F.col("source_text"), params.seed, params.bullet_words))
         points = self._keep(points.withColumn("embedding", self.embedder.column(F.col("bullet"))))
-        points = clusters.cluster_points(points, k=params.clusters)
+        points = clusters.density_points(points) if params.cluster_method == "density" else clusters.cluster_points(points, k=params.clusters)
         points = points.withColumn("ordinal", F.struct("doc_id", "bullet_no")).drop("embedding")
         fields = [c for c in dict.fromkeys([*BULLET_FIELDS, *PARTICIPANT_NAMES]) if c in self.docs.columns and c != "id"]
         points = themes.with_metadata(points, self.docs, fields)
