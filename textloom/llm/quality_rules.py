@@ -36,18 +36,29 @@ def with_base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and, per row, n_words, word_chars (code points in words), n_symbols, n_lines (lines with a
     word), n_dup_lines (those equal to an earlier line), n_repeat_words (words in three-word windows found
     twice or more in the text). All whole numbers; zero for null and empty texts. Columns of these names
-    are replaced. One pass without a shuffle; windows are sorted by hash, words and place, so equal ones
-    are neighbours."""
+    are replaced. One pass without a shuffle; windows are sorted by hash, those whose hashes meet by words
+    and place, so equal ones are neighbours."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumn("__t", text).withColumn("__w", words_of(F.col("__t")))
     w = F.col("__w")
-    window = lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.cast("long").alias("i"))
-    out = out.withColumn("__k", F.when(F.size(w) >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))))
+    # A window's hash and, in the lowest bits, its place in one number: sorting these finds the places whose hashes
+    # meet. Only there are words compared, so a cut-off hash costs time, not truth.
+    out = out.withColumn("__b", F.length(F.bin(F.size(w))))
+    packed = lambda i: F.call_function("shiftleft", F.xxhash64(w[i], w[i + 1], w[i + 2]), F.col("__b")).bitwiseOR(i.cast("long"))
+    out = out.withColumn("__h", F.when(F.size(w) >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), packed))))
+    h = F.col("__h")
+    far = lambda x, y: F.call_function("shiftright", x.bitwiseXOR(y), F.col("__b")) != 0
+    pairs = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.when(far(x, y), F.lit(None)).otherwise(F.array(x, y)))
+    # the places of windows whose hash is that of a neighbour
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__b")) - 1).cast("int")
+    out = out.withColumn("__m", F.array_distinct(F.transform(F.flatten(F.array_compact(pairs)), place)))
+    window = lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.cast("long").alias("i"))
+    out = out.withColumn("__k", F.when(F.size("__m") > 0, F.sort_array(F.transform("__m", window))))
     k = F.col("__k")
 
     def same(i: Column, j: Column) -> Column:
         a, b = F.get(k, i), F.get(k, j)
-        return F.coalesce((a["h"] == b["h"]) & (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"]), F.lit(False))
+        return F.coalesce((a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"]), F.lit(False))
 
     places = F.transform(F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: k[i]["i"])
     out = out.withColumn("__p", F.when(k.isNotNull(), F.sort_array(places)))
@@ -63,7 +74,7 @@ def with_base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lines": F.size("__l").cast(long),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast(long),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast(long),
-    }).drop("__t", "__w", "__k", "__p", "__l")
+    }).drop("__t", "__w", "__b", "__h", "__m", "__k", "__p", "__l")
 
 
 def base_failed() -> Column:
