@@ -17,11 +17,23 @@ def index(spark):
     return build_index(spark.createDataFrame(DOCS, "doc_id long, text string")).cache()
 
 
-@pytest.mark.parametrize("query,wanted", [
-    ("cat", {1, 2, 4}), ("cat dog", {2}), ("cat AND dog", {2}), ("cat OR dog", {1, 2, 3, 4}), ("cat NOT dog", {1, 4}), ("NOT cat", {3}), ('"the cat"', {1, 4}), ('"cat the"', set()),
-    ("dog*", {2, 3}), ("d?g", {2, 3}), ("(cat OR bark) NOT mat", {2, 3, 4}), ("text:bark", {3}), ("bark~1", {3}), ("brk~1", {3}), ("", set()), ("(((", set()), ("cat)", {1, 2, 4}), ("cat AND NOT (dog OR mat)", {4}), ("[barj TO bird]", {3}), ("text:[mas TO mb]", {1}), ("cat NOT [dog TO dogz]", {1, 4}), ("[sinf TO ]", {1, 3, 4}),
-])
-def test_query_syntax(index, query, wanted):
+CAT, DOG = fulltext.word("cat"), fulltext.word("Dog")
+CONDITIONS = [
+    (CAT, {1, 2, 4}), (fulltext.all_of(CAT, DOG), {2}), (fulltext.any_of(CAT, DOG), {1, 2, 3, 4}), (fulltext.all_of(CAT, fulltext.none_of(DOG)), {1, 4}), (fulltext.none_of(CAT), {3}),
+    (fulltext.phrase("the cat"), {1, 4}), (fulltext.phrase("cat the"), set()), (fulltext.like("dog*"), {2, 3}), (fulltext.like("d?g"), {2, 3}), (fulltext.like("*ar*"), {3}), (fulltext.like("*"), {1, 2, 3, 4}), (fulltext.like("zz*"), set()),
+    (fulltext.all_of(fulltext.any_of(CAT, fulltext.word("bark")), fulltext.none_of(fulltext.word("mat"))), {2, 3, 4}), (fulltext.near("bark"), {3}), (fulltext.near("brk"), {3}), (fulltext.near("birdss", 2), {4}), (fulltext.near("burks", 3), {3, 4}),
+    (fulltext.all_of(CAT, fulltext.none_of(DOG, fulltext.word("mat"))), {4}), (fulltext.none_of(fulltext.none_of(CAT)), {1, 2, 4}), (fulltext.between("barj", "bird"), {3}), (fulltext.between("mas", "mb"), {1}), (fulltext.all_of(CAT, fulltext.none_of(fulltext.between("dog", "dogz"))), {1, 4}), (fulltext.between("sinf"), {1, 3, 4}),
+    (fulltext.all_of(), set()), (fulltext.phrase("..."), set()), (fulltext.all_of(CAT, fulltext.all_of()), {1, 2, 4}),
+]
+
+
+@pytest.mark.parametrize("condition,wanted", CONDITIONS)
+def test_conditions(index, condition, wanted):
+    assert {r.doc_id for r in fulltext.search_where(index, condition).collect()} == wanted
+
+
+@pytest.mark.parametrize("query,wanted", [("cat", {1, 2, 4}), ("cat dog", {2}), ('"the cat"', {1, 4}), ('cat "the dog', set()), ('"cat the"', set()), ("", set()), ("(((", set()), ("cat)", {1, 2, 4})])
+def test_typed_words_and_phrases(index, query, wanted):
     assert {r.doc_id for r in fulltext.search_query(index, query).collect()} == wanted
 
 
@@ -143,11 +155,13 @@ def test_hits_of_other_languages_take_no_place(spark):
 
 
 def test_stream_matches_batch(spark, tmp_path):
-    from textloom.operators.index import build_postings, term_rows
-    from textloom.streaming.ingest import stream_postings
+    from textloom.operators.segments import GrowingIndex
+    from textloom.streaming.ingest import stream_index
 
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     docs.repartition(3).write.parquet(f"{tmp_path}/in")
-    stream_postings(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(120)
-    got = {(r.term, r.doc_id, r.tf) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {(r.term, r.doc_id, r.tf) for r in build_postings(term_rows(docs)).collect()}
+    stream_index(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(240)
+    got = GrowingIndex(spark, f"{tmp_path}/out").index()
+    whole = build_index(docs)
+    assert {tuple(r) for r in got.postings.select("term", "doc_id", "tf").collect()} == {tuple(r) for r in whole.postings.select("term", "doc_id", "tf").collect()}
+    assert {tuple(r) for r in got.term_stats.collect()} == {tuple(r) for r in whole.term_stats.collect()}

@@ -226,3 +226,35 @@ def test_saved_index_has_its_schema(spark, docs, tmp_path):
     index = load_index(spark, str(tmp_path))
     for name, schema in schemas("bigint").items():
         assert {(f.name, f.dataType) for f in getattr(index, name).schema} == {(f.name, f.dataType) for f in schema}, name
+
+
+def test_model_embedder_loads_once_in_each_worker(spark, tmp_path):
+    import os
+    import uuid
+
+    import numpy as np
+
+    from textloom.plugins import ModelEmbedder, Prefixed
+
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(texts):
+            open(f"{folder}/call-{len(texts)}-{uuid.uuid4().hex}", "w").close()
+            return np.array([[len(t), t.count("passage: "), t.count("query: ")] for t in texts], float)
+
+        return model
+
+    embedder = ModelEmbedder(load)
+    rows = spark.range(1_000).selectExpr("id", "case when id % 10 = 0 then null when id % 10 = 1 then '' else repeat('x', int(id)) end as text").repartition(3)
+    got = {r.id: list(r.v) for r in rows.select("id", Prefixed(embedder).column(F.col("text")).alias("v")).collect()}
+    assert got == {k: [0, 0, 0] if k % 10 < 2 else [k + 9, 1, 0] for k in range(1_000)}
+    names = os.listdir(folder)
+    pids = [n.split("-")[1] for n in names if n.startswith("load-")]
+    assert len(pids) == len(set(pids)) <= 3
+    calls = [int(n.split("-")[1]) for n in names if n.startswith("call-")]
+    assert max(calls) <= 32 and sum(calls) == 1_000
+    assert Prefixed(embedder).encode(["cat", ""]).tolist() == [[10, 0, 1], [0, 0, 0]]
+    assert embedder.encode([]).shape[0] == 0

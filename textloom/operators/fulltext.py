@@ -1,10 +1,10 @@
-"""Full-text search over the inverted index: BM25, query syntax, phrases, fuzzy terms and the fallback."""
+"""Full-text search over the inverted index: BM25, conditions, phrases, fuzzy terms and the fallback."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,144 +54,127 @@ def top(hits: DataFrame, limit: int | None) -> DataFrame:
     return hits if limit is None else hits.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-# Query syntax: AND, OR, NOT, brackets, "phrases", pre*, wi?d*, fuzzy~2, [from TO to], field:term, boost^2; words alone
-# are AND-ed. The index has one field, text.
-
-
 def _near(term: Column, word: str, distance: int) -> Column:
     """Edit distance within a bound; lengths, which are cheap, rule out most terms."""
     return F.length(term).between(len(word) - distance, len(word) + distance) & (F.levenshtein(term, F.lit(word), distance) >= 0)
 
 
-@dataclass
+# Conditions: what postings decide (Leaf, made by word, phrase, like, near and between), and lists of them, of which all,
+# any or none hold. The index has one field, text.
+
+
+@dataclass(frozen=True)
 class Leaf:
-    """A part of a query that postings decide: words in a row, or a pattern over terms."""
+    """One of: words in a row, a mask (* any characters, ? one), a word and its edits, bounds (both included; empty:
+    open), or ``among``, terms of which any will do. ``boost`` multiplies the score of its terms."""
 
-    words: list[str] = field(default_factory=list)
-    pattern: str | None = None
+    words: tuple[str, ...] = ()
+    mask: str | None = None
     fuzzy: tuple[str, int] | None = None
     bounds: tuple[str, str] | None = None
+    among: tuple[str, ...] | None = None
     boost: float = 1.0
 
     def terms(self, term: Column) -> Column:
+        if self.among is not None:
+            return term.isin(list(self.among))
         if self.fuzzy:
-            word, distance = self.fuzzy
-            return _near(term, word, distance)
+            return _near(term, *self.fuzzy)
         if self.bounds:
             low, high = self.bounds
             return (term >= low if low else F.lit(True)) & (term <= high if high else F.lit(True))
-        return term.rlike(self.pattern) if self.pattern else term.isin(self.words)
-
-
-@dataclass
-class Parsed:
-    leaves: list[Leaf]
-    holds: Callable[[list[Column]], Column]
-    #: Whether a document without any of the leaves' terms can match.
-    open: bool
-
-
-def _like(mask: str) -> str:
-    return "^" + "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in mask) + "$"
-
-
-class _Parser:
-    def __init__(self, query: str, analyzer: str, fields: tuple[str, ...] = ("text",)):
-        self.analyzer, self.fields, self.leaves = analyzer, fields, []
-        self.parts = [m for m in re.findall(r'\(|\)|(?:\w+:)?\[[^\]]*\]|[\w.-]+:"[^"]*"|"[^"]*"(?:\^[\d.]+)?|[^\s()"]+', query)]
-        self.at = 0
-
-    def peek(self) -> str | None:
-        return self.parts[self.at] if self.at < len(self.parts) else None
-
-    def take(self) -> str:
-        self.at += 1
-        return self.parts[self.at - 1]
-
-    def either(self):
-        parts = [self.both()]
-        while self.peek() == "OR":
-            self.take()
-            parts.append(self.both())
-        parts = [p for p in parts if p]
-        return None if not parts else parts[0] if len(parts) == 1 else ("or", parts)
-
-    def both(self):
-        parts = []
-        while (p := self.peek()) is not None and p not in ("OR", ")"):
-            if p == "AND":
-                self.take()
-                continue
-            if (found := self.one()) is not None:
-                parts.append(found)
-        return None if not parts else parts[0] if len(parts) == 1 else ("and", parts)
-
-    def one(self):
-        p = self.take()
-        if p == "NOT":
-            inner = self.one() if self.peek() not in (None, ")", "OR") else None
-            return ("not", [inner]) if inner else None
-        if p == "(":
-            inner = self.either()
-            if self.peek() == ")":
-                self.take()
-            return inner
-        return self.leaf(p)
-
-    def leaf(self, p: str):
-        name, colon, rest = p.partition(":")
-        if colon and name in self.fields:
-            p = rest
-        boost = 1.0
-        if m := re.search(r"\^(\d+(?:\.\d+)?)$", p):
-            p, boost = p[: m.start()], float(m[1])
-        if m := re.fullmatch(r"\[\s*(\S*?)\s*TO\s*(\S*?)\s*\]", p):
-            leaf = Leaf(bounds=(m[1].lower().strip("*"), m[2].lower().strip("*")), boost=boost)
-        elif m := re.fullmatch(r"(\w+)~(\d*)", p):
-            leaf = Leaf(fuzzy=(m[1].lower(), int(m[2] or 1)), boost=boost)
-        elif not p.startswith('"') and re.search(r"[*?]", p) and re.search(r"\w", p):
-            leaf = Leaf(pattern=_like(p.lower()), boost=boost)
-        else:
-            words = [w for w in re.findall(r"\w+", p.lower())]
-            if self.analyzer == "porter":
-                words = [porter(w) for w in words if len(w) >= MIN_TOKEN and w not in T.STOP_WORDS]
-            if not words:
-                return None
-            leaf = Leaf(words=words, boost=boost)
-        self.leaves.append(leaf)
-        return ("leaf", [len(self.leaves) - 1])
-
-
-def parse(query: str, analyzer: str = "plain") -> Parsed | None:
-    """A query's leaves and the condition over them; None if nothing is left to search for."""
-    parser = _Parser(query, analyzer)
-    tree = None
-    while parser.peek() is not None:
-        part = parser.either()
-        if parser.peek() == ")":
-            parser.take()  # one too many
-        if part is not None:
-            tree = part if tree is None else ("and", [tree, part])
-    if tree is None:
-        return None
-
-    def holds(node, flags: list[Column]) -> Column:
-        kind, parts = node
-        if kind == "leaf":
-            return flags[parts[0]]
-        found = [holds(p, flags) for p in parts]
-        if kind == "not":
-            return ~found[0]
-        out = found[0]
-        for f in found[1:]:
-            out = (out & f) if kind == "and" else (out | f)
-        return out
-
-    def empty(node) -> bool:
-        kind, parts = node
-        return False if kind == "leaf" else not empty(parts[0]) if kind == "not" else (all if kind == "and" else any)(empty(p) for p in parts)
-
-    return Parsed(parser.leaves, lambda flags: holds(tree, flags), empty(tree))
+        if self.mask is not None:
+            start = re.split(r"[*?]", self.mask)[0]
+            fits = term.rlike("^" + "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in self.mask) + "$")
+            return term.startswith(start) & fits if start else fits
+        return term.isin(list(self.words))
+
+
+@dataclass(frozen=True)
+class Group:
+    """``how``: all, any or none of the parts hold."""
+
+    how: str
+    parts: tuple[Condition, ...]
+
+
+Condition = Leaf | Group
+
+
+def word(text: str, boost: float = 1.0) -> Leaf:
+    return Leaf(words=(text.lower(),), boost=boost)
+
+
+def phrase(text: str, boost: float = 1.0) -> Leaf:
+    """The words of a text, in a row."""
+    return Leaf(words=tuple(re.findall(r"\w+", text.lower())), boost=boost)
+
+
+def like(mask: str, boost: float = 1.0) -> Leaf:
+    return Leaf(mask=mask.lower(), boost=boost)
+
+
+def near(text: str, distance: int = 1, boost: float = 1.0) -> Leaf:
+    return Leaf(fuzzy=(text.lower(), distance), boost=boost)
+
+
+def between(low: str = "", high: str = "", boost: float = 1.0) -> Leaf:
+    return Leaf(bounds=(low.lower(), high.lower()), boost=boost)
+
+
+def all_of(*parts: Condition) -> Group:
+    return Group("all", parts)
+
+
+def any_of(*parts: Condition) -> Group:
+    return Group("any", parts)
+
+
+def none_of(*parts: Condition) -> Group:
+    return Group("none", parts)
+
+
+def typed(query: str) -> Group:
+    """What a user types: all of its words and quoted phrases."""
+    return all_of(*[phrase(q) if q else word(w) for q, w in re.findall(r'"([^"]*)"|(\w+)', query)])
+
+
+def _analysed(condition: Condition, analyzer: str) -> Condition | None:
+    """The condition on the index's terms, without parts that have no words; None if nothing is left."""
+    if isinstance(condition, Group):
+        parts = tuple(p for p in (_analysed(p, analyzer) for p in condition.parts) if p is not None)
+        return Group(condition.how, parts) if parts else None
+    if condition.mask is not None or condition.fuzzy or condition.bounds or condition.among is not None:
+        return condition
+    words = condition.words
+    if analyzer == "porter":
+        words = tuple(porter(w) for w in words if len(w) >= MIN_TOKEN and w not in T.STOP_WORDS)
+    return replace(condition, words=words) if words else None
+
+
+def _leaves(condition: Condition) -> list[Leaf]:
+    return [condition] if isinstance(condition, Leaf) else [leaf for p in condition.parts for leaf in _leaves(p)]
+
+
+def _holds(condition: Condition, flags: dict[Leaf, Column]) -> Column:
+    if isinstance(condition, Leaf):
+        return flags[condition]
+    parts = [_holds(p, flags) for p in condition.parts]
+    return ~_any(parts) if condition.how == "none" else _all(parts) if condition.how == "all" else _any(parts)
+
+
+def _open(condition: Condition) -> bool:
+    """Whether a document without any of the leaves' terms can match."""
+    if isinstance(condition, Leaf):
+        return False
+    parts = [_open(p) for p in condition.parts]
+    return not any(parts) if condition.how == "none" else all(parts) if condition.how == "all" else any(parts)
+
+
+def _looked_up(index: Index, leaf: Leaf) -> Leaf:
+    """A mask or a word with edits as the terms that fit, if the index has a dictionary and they are few."""
+    found = index.dictionary.terms(leaf.terms, leaf.mask, leaf.fuzzy) if index.dictionary else None
+    return leaf if found is None else Leaf(among=tuple(found), boost=leaf.boost)
 
 
 def _followed(first: Column, rest: list[Column]) -> Column:
@@ -200,42 +183,47 @@ def _followed(first: Column, rest: list[Column]) -> Column:
 
 
 def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    return reduce(lambda a, b: a & b, conditions)
 
 
-def search_query(index: Index, query: str) -> DataFrame:
-    """doc_id, score, matched: documents that meet a query. The index decides all of it: one aggregate over
-    the postings of the query's terms flags each leaf; phrases compare positions."""
-    parsed = parse(query, index.analyzer)
-    if parsed is None:
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def search_where(index: Index, condition: Condition) -> DataFrame:
+    """doc_id, score, matched: documents that meet a condition. The index decides all of it: one aggregate over
+    the postings of its terms flags each leaf; phrases compare positions. A condition without words finds nothing."""
+    condition = _analysed(condition, index.analyzer)
+    if condition is None:
         return index.doc_stats.where("false").select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"))
     t = F.col("term")
-    wanted = parsed.leaves[0].terms(t)
-    for leaf in parsed.leaves[1:]:
-        wanted = wanted | leaf.terms(t)
-    if all(leaf.words for leaf in parsed.leaves):
-        found, stats = _of_terms(index, sorted({w for leaf in parsed.leaves for w in leaf.words}))
+    leaves = {leaf: _looked_up(index, leaf) for leaf in _leaves(condition)}
+    if all(leaf.words or leaf.among is not None for leaf in leaves.values()):
+        found, stats = _of_terms(index, sorted({w for leaf in leaves.values() for w in leaf.among or leaf.words}))
     else:
+        wanted = _any([leaf.terms(t) for leaf in leaves.values()])
         found, stats = index.postings.where(wanted), index.term_stats.where(wanted)
-    flags, extra = [], []
-    for k, leaf in enumerate(parsed.leaves):
+    flags, extra = {}, []
+    for k, (named, leaf) in enumerate(leaves.items()):
         if len(leaf.words) > 1:
             for j, w in enumerate(leaf.words):
                 extra.append(F.first(F.when(t == w, F.col("positions")), ignorenulls=True).alias(f"p{k}_{j}"))
             places = [F.coalesce(F.col(f"p{k}_{j}"), F.array().cast("array<int>")) for j in range(len(leaf.words))]
-            flags.append(_followed(places[0], places[1:]))
+            flags[named] = _followed(places[0], places[1:])
         else:
             extra.append(F.max(leaf.terms(t)).alias(f"f{k}"))
-            flags.append(F.coalesce(F.col(f"f{k}"), F.lit(False)))
-    boost = F.greatest(*[F.when(leaf.terms(t), leaf.boost).otherwise(0.0) for leaf in parsed.leaves], F.lit(0.0))
+            flags[named] = F.coalesce(F.col(f"f{k}"), F.lit(False))
+    boost = F.greatest(*[F.when(leaf.terms(t), leaf.boost).otherwise(0.0) for leaf in leaves.values()], F.lit(0.0))
     scores = bm25(index, found, stats).select("doc_id", "term", (F.col("score") * boost).alias("score")).groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("matched"))
     flagged = found.groupBy("doc_id").agg(*extra).join(scores, "doc_id")
-    if parsed.open:
+    if _open(condition):
         flagged = index.doc_stats.select("doc_id").join(flagged, "doc_id", "left")
-    return flagged.where(parsed.holds(flags)).select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
+    return flagged.where(_holds(condition, flags)).select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
+
+
+def search_query(index: Index, query: str) -> DataFrame:
+    """doc_id, score, matched: documents with all typed words and quoted phrases."""
+    return search_where(index, typed(query))
 
 
 def fuzzy_distance(word: str, distance: int) -> int:
@@ -250,28 +238,30 @@ def search_fuzzy(index: Index, query: str, distance: int = 1, scaled: bool = Fal
     if not words:
         return search_query(index, "")
     fits = [_near(F.col("term"), w, d) for w, d in words]
-    some = fits[0]
-    for f in fits[1:]:
-        some = some | f
-    near = index.term_stats.where(some).withColumn("words", F.array_compact(F.array(*[F.when(f, F.lit(w)) for f, (w, _) in zip(fits, words, strict=True)])))
-    rows = bm25(index, index.postings.where(some), near).select("doc_id", "term", "score").join(near.select("term", F.explode("words").alias("word")), "term")
+    leaves = [_looked_up(index, Leaf(fuzzy=x)) for x in words]
+    if all(leaf.among is not None for leaf in leaves):
+        some = F.col("term").isin(sorted({w for leaf in leaves for w in leaf.among}))
+    else:
+        some = _any(fits)
+    close = index.term_stats.where(some).withColumn("words", F.array_compact(F.array(*[F.when(f, F.lit(w)) for f, (w, _) in zip(fits, words, strict=True)])))
+    rows = bm25(index, index.postings.where(some), close).select("doc_id", "term", "score").join(close.select("term", F.explode("words").alias("word")), "term")
     out = rows.groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count_distinct("word").alias("matched"))
     return out.where(F.col("matched") == len(words))
 
 
-def search_phrase(index: Index, phrase: str) -> DataFrame:
-    return search_query(index, '"' + phrase.replace('"', "") + '"')
+def search_phrase(index: Index, text: str) -> DataFrame:
+    return search_where(index, phrase(text))
 
 
-def search(index: Index, query: str, limit: int | None = None, fallback: bool = True, distance: int = 2, least: int = 1, within: DataFrame | None = None) -> DataFrame:
+def search(index: Index, query: str | Condition, limit: int | None = None, fallback: bool = True, distance: int = 2, least: int = 1, within: DataFrame | None = None) -> DataFrame:
     """doc_id, score, matched, match_type, rank. ``within``: documents (doc_id) that hits are taken from; scores
     are those of the whole index. Fuzzy hits are added where there are fewer than ``least``
-    exact ones and the query has no quotes; a document keeps its best score. The decision is a count of the
+    exact ones and the query is typed, without quotes; a document keeps its best score. The decision is a count of the
     exact hits inside the plan, so nothing runs twice on the driver."""
     inside = (lambda hits: hits) if within is None else (lambda hits: hits.join(within.select("doc_id"), "doc_id", "left_semi"))
-    exact = inside(search_query(index, query)).withColumn("match_type", F.lit("exact"))
+    exact = inside(search_query(index, query) if isinstance(query, str) else search_where(index, query)).withColumn("match_type", F.lit("exact"))
     out = exact
-    if fallback and '"' not in query and query_terms(query, index.analyzer):
+    if fallback and isinstance(query, str) and '"' not in query and query_terms(query, index.analyzer):
         few = exact.limit(least).agg(F.count("*").alias("n")).where(F.col("n") < least).select(F.lit(1).alias("few"))
         fuzzy = inside(search_fuzzy(index, query, distance, scaled=True)).withColumn("match_type", F.lit("fuzzy")).crossJoin(F.broadcast(few)).drop("few")
         both = exact.unionByName(fuzzy)

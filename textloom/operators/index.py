@@ -10,6 +10,7 @@ from pyspark.sql import types as S
 
 from textloom.functions import text as T
 from textloom.functions.stem import stem_table
+from textloom.operators.dictionary import Dictionary, load_dictionary, save_dictionary
 
 MIN_TOKEN = 2
 
@@ -22,9 +23,10 @@ class Index:
     doc_stats: DataFrame
     term_stats: DataFrame
     analyzer: str = "plain"
+    dictionary: Dictionary | None = None
 
     def cache(self) -> Index:
-        return Index(self.postings.cache(), self.doc_stats.cache(), self.term_stats.cache(), self.analyzer)
+        return Index(self.postings.cache(), self.doc_stats.cache(), self.term_stats.cache(), self.analyzer, self.dictionary)
 
 
 def schemas(id_type: str = "bigint", positions: bool = True) -> dict[str, S.StructType]:
@@ -63,16 +65,23 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Index(postings, lengths, postings.groupBy("term").agg(F.sum(F.least("tf", F.lit(1).cast("long"))).alias("df")), analyzer)
 
 
-def save_index(index: Index, path: str) -> None:
-    """Postings in ranges of terms, so a query reads the row groups of its terms only."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+def write_terms(rows: DataFrame, path: str, *then: str) -> None:
+    """A table in ranges of terms, so a query reads the row groups of its terms only."""
+    rows.repartitionByRange("term").sortWithinPartitions("term", *then).write.mode("overwrite").parquet(path)
+
+
+def save_index(index: Index, path: str, dictionary: bool = False) -> None:
+    """The index's tables; with ``dictionary`` also those that find terms by edits and by masks."""
+    write_terms(index.postings, f"{path}/postings", "doc_id")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    index.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+    write_terms(index.term_stats, f"{path}/term_stats")
+    if dictionary:
+        save_dictionary(index.postings.sparkSession.read.parquet(f"{path}/term_stats"), path)
 
 
-def load_index(spark: SparkSession, path: str, analyzer: str = "plain") -> Index:
+def load_index(spark: SparkSession, path: str, analyzer: str = "plain", dictionary: bool = False) -> Index:
     read = spark.read.parquet
-    return Index(read(f"{path}/postings"), read(f"{path}/doc_stats"), read(f"{path}/term_stats"), analyzer)
+    return Index(read(f"{path}/postings"), read(f"{path}/doc_stats"), read(f"{path}/term_stats"), analyzer, load_dictionary(spark, path) if dictionary else None)
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1, overlap: int = 0, min_length: int = T.MIN_SENTENCE, sentences: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from textloom.functions import present as P
 from textloom.functions import text as T
 from textloom.operators import ann, density, fulltext, grading, hybrid, layout, themes, vector
 from textloom.operators.index import Index, build_index, build_postings, chunk_table, load_index, save_index, term_rows
+from textloom.operators.segments import GrowingIndex
 from textloom.plans.engine import TextEngine, ThemeParams
 from textloom.plugins import HashEmbedder, VocabularyEmbedder
 from textloom.sources import corpus, sinks
@@ -155,21 +156,23 @@ def _search(words: list[str], every: bool) -> Query:
 _QUERIES |= {"bm25_search_and": _search(["the", "that", "with"], True), "bm25_search_or": _search(["entire", "worthless", "anes"], False)}
 
 
-def _parsed(text: str, positions: bool = False) -> Query:
+def _where(condition: fulltext.Condition, positions: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fulltext.search_query(index(spark, sf_dir, positions), text).select("doc_id", "score", "matched")
+        return fulltext.search_where(index(spark, sf_dir, positions), condition).select("doc_id", "score", "matched")
 
     return run
 
 
+THE_T = fulltext.all_of(fulltext.like("th?t"), fulltext.word("of"))
+
 _QUERIES |= {
-    "boolean_not_search": _parsed("(the OR der) NOT with"),
-    "prefix_search": _parsed("worth*"),
-    "wildcard_search": _parsed("th?t AND of"),
-    "boosted_search": _parsed("idiot^2 OR moron"),
-    "phrase_search": _parsed('"of the"', True),
-    "field_search": _parsed("text:moron OR text:entire"),
-    "range_search": _parsed("[worthless TO worthy]"),
+    "boolean_not_search": _where(fulltext.all_of(fulltext.any_of(fulltext.word("the"), fulltext.word("der")), fulltext.none_of(fulltext.word("with")))),
+    "prefix_search": _where(fulltext.like("worth*")),
+    "wildcard_search": _where(THE_T),
+    "boosted_search": _where(fulltext.any_of(fulltext.word("idiot", 2), fulltext.word("moron"))),
+    "phrase_search": _where(fulltext.phrase("of the"), True),
+    "field_search": _where(fulltext.any_of(fulltext.word("moron"), fulltext.word("entire"))),
+    "range_search": _where(fulltext.between("worthless", "worthy")),
 }
 
 
@@ -180,6 +183,36 @@ def saved_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.top(fulltext.search_terms(load_index(spark, path), ["the", "that", "with"]), 50)
 
 
+def with_dictionary(spark: SparkSession, sf_dir: str) -> Index:
+    path = shared_folder(spark, "dictionary")
+    save_index(index(spark, sf_dir), path, dictionary=True)
+    return load_index(spark, path, dictionary=True)
+
+
+@query
+def dictionary_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.search_fuzzy(with_dictionary(spark, sf_dir), "worthles moron", 1)
+
+
+@query
+def dictionary_wildcard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.search_where(with_dictionary(spark, sf_dir), THE_T)
+
+
+@query
+def growing_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in two batches, those of low quality are replaced by a longer text, and toxic ones are
+    deleted; then the index is searched as it stands."""
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text", "lang"), read(spark, sf_dir, "labels")
+    grown = GrowingIndex(spark, shared_folder(spark, "growing"))
+    first = F.coalesce(F.col("lang") == "en", F.lit(False))
+    grown.append(docs.where(first))
+    grown.append(docs.where(~first))
+    grown.append(docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.concat_ws(" ", "text", F.lit("revised"))))
+    grown.delete(labels.where("toxic = 1").select("doc_id"))
+    return fulltext.top(fulltext.search_terms(grown.index(), ["revised", "moron", "entire"], False), 50)
+
+
 @query
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.search_fuzzy(index(spark, sf_dir), "worthles moron", 1)

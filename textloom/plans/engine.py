@@ -90,8 +90,8 @@ class TextEngine:
             self._kept.pop().unpersist()
 
     def save(self, path: str) -> None:
-        """The postings and the chunks' vector index, in a folder of any file system that Spark reaches."""
-        save_index(self.index, f"{path}/index")
+        """The postings, the dictionary of their terms and the chunks' vector index, in a folder of any file system that Spark reaches."""
+        save_index(self.index, f"{path}/index", dictionary=True)
         if self._vectors is not None:
             ann.save(self._vectors, f"{path}/chunks")
         else:
@@ -100,7 +100,7 @@ class TextEngine:
     @classmethod
     def open(cls, spark: SparkSession, docs: DataFrame, path: str, **options) -> TextEngine:
         """An engine on what ``save`` wrote: nothing is tokenised or embedded again."""
-        return cls(spark, docs, index=load_index(spark, f"{path}/index", options.get("analyzer", "plain")), vectors=ann.load(spark, f"{path}/chunks"), **options)
+        return cls(spark, docs, index=load_index(spark, f"{path}/index", options.get("analyzer", "plain"), dictionary=True), vectors=ann.load(spark, f"{path}/chunks"), **options)
 
     @property
     def index(self) -> Index:
@@ -138,8 +138,9 @@ class TextEngine:
 
     # search
 
-    def search_fulltext(self, query: str, limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
-        """``within``: documents (doc_id) that hits are taken from."""
+    def search_fulltext(self, query: str | fulltext.Condition, limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
+        """``query``: typed words and quoted phrases, or a condition. ``within``: documents (doc_id) that hits are
+        taken from."""
         hits = fulltext.search(self.index, query, limit, within=within)
         rows = hits.join(self.docs.select("doc_id", "text"), "doc_id")
         return rows.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "text", "score", "match_type", F.col("rank").alias("ordinal"))
@@ -182,16 +183,17 @@ class TextEngine:
         except Exception as e:  # noqa: BLE001  engines are isolated from each other
             return None, f"error: {e}"
 
-    def search(self, query: str, search_type: str = "hybrid", limit: int | None = None, threshold: float | None = None, filters: dict[str, Any] | None = None, filter_stage: str = "post") -> SearchResult:
+    def search(self, query: str, search_type: str = "hybrid", limit: int | None = None, threshold: float | None = None, filters: dict[str, Any] | None = None, filter_stage: str = "post", condition: fulltext.Condition | None = None) -> SearchResult:
         """Engines, merge, limit, documents, then filters, excerpts that start with metadata, and the threshold:
         so fewer than ``limit`` rows can be left. Without a limit nothing is cut, and ``rank`` has gaps.
         ``filter_stage="pre"`` takes hits from the filtered documents only; the index is the same.
+        ``condition`` decides the full-text hits instead of the words of ``query``.
         A failing engine leaves its error in the status and the other's hits in the result."""
         within = apply_filters(self.docs, filters).select("doc_id") if filters and filter_stage == "pre" else None
         status = {"query_expansion": "skipped", "fulltext": "skipped", "semantic": "skipped"}
         full = semantic = None
         if search_type in ("hybrid", "fulltext"):
-            full, status["fulltext"] = self._guarded(lambda: self.search_fulltext(query, None if limit is None else 2 * limit, within), limit)
+            full, status["fulltext"] = self._guarded(lambda: self.search_fulltext(query if condition is None else condition, None if limit is None else 2 * limit, within), limit)
         if search_type in ("hybrid", "semantic"):
 
             def run() -> DataFrame:

@@ -246,6 +246,8 @@ def oracle_sql() -> dict[str, str]:
         "field_search": _found("term IN ('moron', 'entire')"),
         "range_search": _found("term BETWEEN 'worthless' AND 'worthy'"),
         "saved_index_search": _top("term IN ('the', 'that', 'with')", "HAVING count(*) = 3"),
+        "growing_index_search": _top("term IN ('revised', 'moron', 'entire')").replace("FROM documents)", "FROM (SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0) THEN concat_ws(' ', d.text, 'revised') ELSE d.text END AS text FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)))"),
+        "dictionary_wildcard_search": _found("term LIKE 'th_t' OR term = 'of'", "HAVING bool_or(term LIKE 'th_t') AND bool_or(term = 'of')"),
         "fuzzy_search": f"WITH {INDEX}, near AS (SELECT term, q FROM terms, unnest(['worthles', 'moron']) AS w(q) WHERE levenshtein(term, q) <= 1) SELECT doc_id, round(sum(s), 6) AS score, count(DISTINCT q) AS matched FROM bm25 JOIN near USING (term) GROUP BY doc_id HAVING count(DISTINCT q) = 2",
         "fuzzy_fallback": f"WITH {INDEX}, near AS (SELECT term FROM terms WHERE levenshtein(term, 'disgustingg') <= 2), f AS (SELECT doc_id, round(sum(s), 6) AS score FROM bm25 JOIN near USING (term) GROUP BY doc_id) SELECT doc_id, score, CAST(1 AS BIGINT) AS matched, 'fuzzy' AS match_type, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f ORDER BY score DESC, doc_id LIMIT 200",
         "term_variants": f"WITH t AS (SELECT DISTINCT term FROM (SELECT unnest({_tokens('text')}) AS term FROM benchmark) WHERE length(term) >= 3) SELECT term, array_to_string(list_sort(list_distinct({_variants('term')})), ',') AS variants FROM t",
@@ -320,4 +322,5 @@ SELECT id, doc_id, search_type, ns AS normalized_score, CAST(length(CASE WHEN se
         "bullet_rows": f"""WITH joined AS (SELECT doc_id, array_to_string({_sentences('text', 10)}, ' ') AS t FROM documents WHERE len({_sentences('text', 10)}) > 0), {_pieces('t', 'joined')}
 SELECT doc_id, chunk_no AS bullet_no, {_excerpt('text')} AS bullet, sentence_count FROM pieces""",
     }
+    out["dictionary_fuzzy_search"] = out["fuzzy_search"]
     return out

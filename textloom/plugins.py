@@ -9,8 +9,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from textloom.functions import text as T
 from textloom.operators import grading
@@ -52,6 +54,34 @@ class HashEmbedder:
         return embed(text)
 
 
+class ModelEmbedder:
+    """Vectors of a model that ``load`` brings: it is called once in each Python worker and returns a function from a
+    list of texts to their vectors, which gets ``batch`` texts at a time. Null texts are embedded as empty ones."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32):
+        self.load, self.batch = load, batch
+        self._model: Callable[[list[str]], np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_model": None}  # workers load their own
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """For a few texts, such as queries, where it is called."""
+        if self._model is None:
+            self._model = self.load()
+        parts = [texts[i : i + self.batch] for i in range(0, len(texts), self.batch)]
+        return np.concatenate([np.asarray(self._model([t or "" for t in p]), np.float64) for p in parts]) if parts else np.zeros((0, 0))
+
+    def column(self, text: Column) -> Column:
+        load = self.load
+
+        def predictor() -> Callable[[np.ndarray], np.ndarray]:
+            model = load()
+            return lambda texts: np.asarray(model([str(t) for t in texts]), np.float32)
+
+        return predict_batch_udf(predictor, return_type=ArrayType(FloatType()), batch_size=self.batch)(F.coalesce(text, F.lit("")))
+
+
 class VocabularyEmbedder:
     """Unit vectors of how often each word of a short vocabulary comes, in built-in functions; all zeros for a text
     without any."""

@@ -34,3 +34,8 @@ def delete(spark: SparkSession, path: str) -> bool:
     """Deletes a folder in any file system that Spark reaches."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))

@@ -1,19 +1,19 @@
-"""Postings that follow a stream of documents: each micro-batch is analysed by the batch operators and written
-under its batch number, so a batch that runs again replaces its own files."""
+"""An index that follows a stream of documents: each micro-batch is a segment, added once under its batch number even
+if the batch runs again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators.index import build_postings, term_rows
+from textloom.operators.segments import GrowingIndex
 
 
-def stream_postings(docs: DataFrame, path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
-    """Starts the query; it ends when the documents that are there now are written. Read with
-    ``spark.read.parquet(path)``; the folder of each batch is the column ``batch``."""
+def stream_index(docs: DataFrame, path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
+    """Starts the query; it ends when the documents that are there now are added. Search with
+    ``GrowingIndex(spark, path).index()``."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        build_postings(term_rows(batch, id_col, text_col)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        GrowingIndex(batch.sparkSession, path).append(batch, id_col, text_col, number)
 
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
