@@ -134,8 +134,21 @@ def test_foreign_archives_and_broken_segments():
     assert warc.reassemble(segments)["payload"] == b"hello" * 1000
     assert "missing" in warc.reassemble([s for s in segments if s[0] != 2])["error"]
     assert "bytes" in warc.reassemble([(n, t and t + 1, f, b) for n, t, f, b in segments])["error"]
-    with pytest.raises(ValueError):
-        list(warc.parse(parts[0][:-5]))
+    for cut in (parts[0][:-5], one[:-12], gzip.compress(b"".join(parts))[:-40]):
+        with pytest.raises(ValueError):
+            list(warc.parse(cut))
+
+
+def test_archives_are_decompressed_as_a_stream():
+    """A file of 200 MB that lies in a few KB: a record is held at a time, not the file."""
+    import tracemalloc
+
+    record = next(warc.records(7, "http://x/", b"h" * 1_000_000, None, False, "urn:x", 1 << 30))
+    data = gzip.compress((record + b"\r\n\r\n") * 200)
+    tracemalloc.start()
+    assert sum(1 for _ in warc.parse(data)) == 200
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
 
 
 def test_rules_and_walks(spark):
@@ -202,3 +215,31 @@ def test_pages_with_edges(spark):
     warc.write_archive(pages, path)
     kinds = sorted((r.page_id or 0, r.record_type, r.payload_bytes) for r in warc.read_archive(spark, path).collect())
     assert [k for k in kinds if k[0]] == [(1, "response", 0), (1, "revisit", 0), (2, "response", len(long))] and len(kinds) == 4
+
+
+def test_scratch_tables_belong_to_a_call(spark):
+    """Tables that another thread makes meanwhile stay, and so does what is kept; all else goes, also after an error."""
+    import threading
+
+    from textloom.llm.common import materialize, release, scratch
+
+    df, other = spark.range(3), {}
+    with scratch(spark) as keep:
+        lost = materialize(df, "lost")
+        t = threading.Thread(target=lambda: other.update(df=materialize(df, "other")))
+        t.start()
+        t.join()
+        with scratch(spark) as inner:
+            kept = inner(materialize(df, "kept"))
+        keep(kept)
+    assert kept.count() == 3 and other["df"].count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        lost.count()
+    with pytest.raises(KeyError), scratch(spark):
+        failed = materialize(df, "failed")
+        raise KeyError
+    with pytest.raises(Exception, match="(?i)exist"):
+        failed.count()
+    release(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        kept.count()

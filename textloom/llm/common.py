@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 1_000_000
 
 _own_dirs: dict[int, str] = {}
+#: Paths made outside of every ``scratch``, and those of the innermost one of this thread.
 _made: list[str] = []
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,10 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[key]
 
 
+def _here() -> list[str]:
+    made = _scratch.get()
+    return _made if made is None else made
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which ``release`` will delete."""
-    _made.append(f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    """A new path in the shared folder, which ``scratch`` or ``release`` will delete."""
+    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+    _here().append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,29 +60,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0, kept: set[str] = frozenset()) -> None:
-    """Delete what this driver has put into the shared folder (from the ``since``-th table on, but for some), in
-    any file system that Spark can reach. To be called when results that were made from it have been written."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made[since:]:
-        if path not in kept:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-            _made.remove(path)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this driver has put into the shared folder, in any file system that Spark can reach. To be
+    called when results that were made from it have been written; what a ``scratch`` still uses stays."""
+    while _made:
+        _delete(spark, _made.pop())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes, at the end, the tables made inside, but for those passed to the function it gives as soon as they
-    are made. For steps whose results are all written before the end."""
-    since, kept = len(_made), set()
+    """Deletes, at the end, the tables made inside by the same thread, but for those passed to the function it
+    gives as soon as they are made. For steps whose results are all written before the end."""
+    outer, mine, kept = _here(), [], set()
+    token = _scratch.set(mine)
 
     def keep(made: DataFrame) -> DataFrame:
-        kept.add(_made[-1])
+        kept.add(mine[-1])
         return made
 
-    yield keep
-    release(spark, since, kept)
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        outer += [p for p in mine if p in kept]
+        for path in mine:
+            if path not in kept:
+                _delete(spark, path)
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

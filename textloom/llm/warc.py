@@ -3,7 +3,8 @@
 Written files are gzip'd WARC/1.1. A response's block is an HTTP message whose body has chunked transfer
 framing. A block longer than ``segment_bytes`` becomes a first segment and continuation records. Files are
 written by Spark's text sink with the records' closing blank lines as line separator, so commits are safe
-on any file system; they are read as whole files, whose size the writer bounds by their record count.
+on any file system. A file is read as one value, so it has at most 2 GB as it lies there, and is decompressed as
+a stream: a task holds the file's bytes and one record.
 
 The reader takes records by their Content-Length, groups continuations by WARC-Segment-Origin-ID, orders
 them by WARC-Segment-Number, verifies WARC-Segment-Total-Length and undoes the chunked framing.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,8 @@ CRLF = b"\r\n"
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 1 << 16, 1 << 13, 2_000
 #: Content that a revisit points to has at least so many bytes.
 LEAST_REVISIT = 0
+#: What the reader hands on at a time, at least.
+BATCH_RECORDS, BATCH_BYTES = 256, 8 << 20
 RECORD = "record_id string, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
@@ -139,26 +143,30 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     ready.mapInArrow(render, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(data: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of a file, which may be gzip'd as a whole
-    or record by record. Raises ValueError at a record that is cut short."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while True:
-        while data[at : at + 2] == CRLF:
-            at += 2
-        if at >= len(data):
-            return
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        start, n = end + 4, int(fields["content-length"])
-        if start + n > len(data):
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield fields, data[start : start + n]
-        at = start + n
+    or record by record; decompressed as far as it is read. Raises ValueError at a record that is cut short."""
+    packed = bytes(memoryview(data)[:2]) == b"\x1f\x8b"
+    stream = gzip.GzipFile(fileobj=pa.BufferReader(data)) if packed else io.BytesIO(data)
+    try:
+        while line := stream.readline():
+            if line == CRLF:
+                continue
+            at, fields = stream.tell() - len(line), {}
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no record at byte {at}")
+            while (line := stream.readline()) != CRLF:
+                if not line.endswith(CRLF):
+                    raise ValueError(f"no record at byte {at}")
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+            n = int(fields["content-length"])
+            block = stream.read(n)
+            if len(block) < n:
+                raise ValueError(f"the record at byte {at} is cut short")
+            yield fields, block
+    except EOFError as e:
+        raise ValueError("the file is cut short") from e
 
 
 def payload_of(block: bytes) -> bytes:
@@ -204,47 +212,45 @@ def reassemble(segments: list[tuple[int, int | None, dict[str, str], bytes]]) ->
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of the archives in a folder: record_id, record_type, page_id, refers_to, payload_bytes,
-    payload_digest, payload, error (what is wrong with the record, else null). Whole records are decoded
-    where they are read; only segments are shuffled, by their origin."""
+    payload_digest, payload, error (what is wrong with the record, else null). Files are read once: whole
+    records are decoded there, and what was read is written to the shared folder, from which segments are shuffled
+    by their origin. A folder without archives gives no records."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     names = [f.split()[0] for f in RECORD.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+    parts = {"origin": pa.string(), "number": pa.int64(), "total": pa.int64(), "fields": pa.string(), "block": pa.binary()}
+
+    def table(rows: list[dict], more: dict[str, pa.DataType]) -> pa.RecordBatch:
+        every = dict(zip(names, kinds, strict=True)) | more
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in every.items()], list(every))
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], bytes]]:
+    def shown(record: dict) -> dict:
+        return record if with_payload else record | {"payload": None}
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield from parse(batch.column(0)[i].as_py())
-
-    def table(rows: list[dict]) -> pa.RecordBatch:
-        if not with_payload:
-            rows = [r | {"payload": None} for r in rows]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for fields, block in parsed(batches):
-            if "warc-segment-number" not in fields and fields.get("warc-type") in ("response", "revisit", "resource"):
-                held.append(_finished(fields, block))
-                if len(held) >= 256:
-                    yield table(held)
-                    held = []
-        yield table(held)
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fields, block in parsed(batches):
-            if (number := fields.get("warc-segment-number")) is not None:
-                total = fields.get("warc-segment-total-length")
-                origin = (fields.get("warc-segment-origin-id") or fields.get("warc-record-id", "")).strip("<>")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([origin]), pa.array([int(number)], pa.int64()), pa.array([int(total) if total else None], pa.int64()), pa.array(["\n".join(f"{k}:{v}" for k, v in fields.items())]), pa.array([block], pa.binary())],
-                    ["origin", "number", "total", "fields", "block"],
-                )
+            for file in batch.column(0):
+                for fields, block in parse(file.as_buffer()):
+                    if (number := fields.get("warc-segment-number")) is not None:
+                        total = fields.get("warc-segment-total-length")
+                        origin = (fields.get("warc-segment-origin-id") or fields.get("warc-record-id", "")).strip("<>")
+                        yield {"origin": origin, "number": int(number), "total": int(total) if total else None, "fields": "\n".join(f"{k}:{v}" for k, v in fields.items()), "block": block}
+                    elif fields.get("warc-type") in ("response", "revisit", "resource"):
+                        yield shown(_finished(fields, block))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in rows_of(batches):
+            held.append(row)
+            size += len(row.get("block") or row.get("payload") or b"")
+            if len(held) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                yield table(held, parts)
+                held, size = [], 0
+        yield table(held, parts)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(n), None if pd.isna(t) else int(t), dict(x.split(":", 1) for x in f.split("\n")), b) for n, t, f, b in zip(pdf["number"], pdf["total"], pdf["fields"], pdf["block"], strict=True)]
-        return table([reassemble(rows)]).to_pandas().astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
-
-    segments = files.mapInArrow(pieces, "origin string, number long, total long, fields string, block binary")
-    return files.mapInArrow(whole, RECORD).unionByName(segments.groupBy("origin").applyInPandas(join, RECORD))
-
+        return table([shown(reassemble(rows))], {}).to_pandas().astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
+    found = materialize(files.mapInArrow(read, f"{RECORD}, origin string, number long, total long, fields string, block binary"), "warc-records")
+    return found.where("origin is null").select(*names).unionByName(found.where("origin is not null").select(*parts).groupBy("origin").applyInPandas(join, RECORD))
