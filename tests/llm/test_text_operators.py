@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate as D
 from textloom.llm import line_dedup, ngram_join, quality_bayes, quality_rules, secrets
+from textloom.llm.common import join_copies
 from textloom.llm.components import components
 
 
@@ -296,6 +297,21 @@ def test_points_bound_real_overlaps():
     assert all(b >= len(np.intersect1d(x, y)) for b, (x, y) in zip(bound, pairs, strict=True))
 
 
+def test_links_of_a_hub_are_not_joined_in_one_task(spark):
+    """A star of a million links and ten small chains: all labels are right, and no task of a join has the hub's rows."""
+    n = 1_000_000
+    star = spark.range(1, n + 1, numPartitions=8).select(F.lit(0).alias("a"), F.col("id").alias("b"))
+    chains = [(n + 10 * c + k, n + 10 * c + k + 1) for c in range(1, 11) for k in range(5)]
+    got = components(star.unionByName(spark.createDataFrame(chains, "a long, b long")).unionByName(spark.createDataFrame([(None, 3), (5 * n, 5 * n)], "a long, b long")))
+    counts = {r.label: r["count"] for r in got.groupBy("label").count().collect()}
+    assert counts == {0: n + 1, 5 * n: 1} | {n + 10 * c: 6 for c in range(1, 11)}
+    rows = spark.range(n).select("id", F.lit(7).cast("long").alias("key"))
+    values = spark.createDataFrame([(7, "x", n), (8, "y", 1)], "key long, found string, copies long")
+    joined = join_copies(rows.unionByName(spark.createDataFrame([(n, 8)], "id long, key long")).repartition(8), values, "key")
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n + 1 and (len(sizes) == 1 or max(sizes) < n) and {(r.key, r.found) for r in joined.select("key", "found").distinct().collect()} == {(7, "x"), (8, "y")}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
