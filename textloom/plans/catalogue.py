@@ -17,7 +17,7 @@ from textloom.operators.index import Index, build_index, build_postings, chunk_t
 from textloom.operators.segments import GrowingIndex
 from textloom.plans.engine import TextEngine, ThemeParams
 from textloom.plugins import HashEmbedder, VocabularyEmbedder
-from textloom.sources import corpus, sinks
+from textloom.sources import corpus, sinks, workbook
 from textloom.sources.shared import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,19 @@ def doc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.assemble_documents(answers, "conv_id").select("id", "text", "row_index", F.size("metadata").cast("long").alias("n_metadata"))
 
 
+@query
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Respondents' answers, written as workbooks of 500 rows and read as one table."""
+    answers = corpus.conversation_responses(read(spark, sf_dir, "conversations"))
+    return workbook.workbook_table(workbook.workbook_files(answers, 500))
+
+
+@query
+def workbook_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and texts of a table, through workbooks whose columns find their types again."""
+    return workbook.workbook_table(workbook.workbook_files(read(spark, sf_dir, "part"), 5_000))
+
+
 @query
 def data_profile_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.null_profile(labelled(spark, sf_dir))

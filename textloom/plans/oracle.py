@@ -278,6 +278,8 @@ SELECT *, row_number() OVER (ORDER BY exact DESC, search_type = 'fulltext' DESC,
         "field_keys": r"SELECT p_partkey, regexp_replace(lower(' _' || p_type || '_Key ' || p_brand), '[_\s]+', '', 'g') AS key FROM part",
         "normalized_metadata": _normalized_metadata(),
         "metadata_prefix_filter": r"SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND NOT (doc_id % 3 = 1 AND regexp_matches(left(doc_id || ' 34 ' || text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b')) AND NOT (doc_id % 3 = 2 AND regexp_matches(left(text, 140), '^\d+\s+\d+') AND regexp_matches(left(text, 140), '\$\d+k?|Weekly|Monthly|No food restrictions|\b(California|West)\b'))",
+        "workbook_rows": f"WITH {ANSWERS} SELECT conv_id, {', '.join(f"nullif(q{k}, '') AS q{k}_response" for k in range(1, 6))} FROM answers",
+        "workbook_types": "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
         "longform_inference": f"WITH {ANSWERS}, q AS (SELECT *, {_strip('''coalesce(substring(q3, 3, 12), substring(q2, 2, 12), '#')''')} AS q FROM answers) SELECT conv_id, CASE {' '.join(f'WHEN length(trim(q{k})) > 0 AND contains(q{k}, q) THEN {k}' for k in range(1, 6))} END AS response FROM q",
         "text_source_select": f"WITH {ANSWERS} SELECT conv_id, {_strip('q2')} AS text FROM answers WHERE length({_strip('''coalesce(q2, '')''')}) > 0",
         "full_text_enrich": f"""WITH {_windows(1, 0)}, c AS (SELECT doc_id, chunk_index FROM windows UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM windows))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from textloom.functions.buckets import normalized_value
 from textloom.functions.text import strip
+from textloom.sources.workbook import read_workbooks
 
 # Names of narrative columns, fields kept with a bullet, and names of a participant's id.
 RESPONSE = re.compile(r"^q[1-5]_response$", re.IGNORECASE)
@@ -18,19 +19,22 @@ PARTICIPANT_NAMES = ["participant_id", "participant", "id", "participant_number"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table by its ending: parquet, csv, json or orc; xlsx through pandas, for files that fit the driver.
+    """A table by its ending: parquet, csv, json or orc; xlsx by ``read_workbooks``, a file or a folder.
     A path without rows or that does not exist fails as Spark's readers do."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind in ("xlsx", "xls"):
-        import pandas as pd
-
-        return spark.createDataFrame(pd.read_excel(path), schema)
+    if kind == "xlsx":
+        return read_workbooks(spark, path, schema=schema)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         return reader.csv(path, header=True, multiLine=True, escape='"')
     return {"json": reader.json, "jsonl": reader.json, "orc": reader.orc}.get(kind, reader.parquet)(path)
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, which may have dots and backticks, as a workbook's often have."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def response_columns(df: DataFrame) -> list[str]:
     """Narrative columns in the table's order."""
     return [c for c in df.columns if RESPONSE.match(c)]
@@ -42,22 +46,22 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def metadata_map(df: DataFrame, normalize: bool = False) -> Column:
     """All columns as a map of strings, without null cells; ages and incomes bucketed if asked."""
-    cells = [x for c in df.columns for x in (F.lit(c), (normalized_value(c, F.col(c)) if normalize else F.col(c)).cast("string"))]
+    cells = [x for c in df.columns for x in (F.lit(c), (normalized_value(c, named(c)) if normalize else named(c)).cast("string"))]
     return F.map_filter(F.create_map(*cells), lambda _, v: v.isNotNull())
 
 
 def assemble_documents(df: DataFrame, id_column: str, normalize: bool = False) -> DataFrame:
     """id, text, metadata, row_index: responses joined by a space, null cells left out. ``id_column`` gives the
     row's place: positions in a file have no meaning for distributed rows."""
-    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in response_columns(df)])
-    return df.select(F.col(id_column).cast("string").alias("id"), text.alias("text"), metadata_map(df, normalize).alias("metadata"), F.col(id_column).cast("long").alias("row_index"))
+    text = F.concat_ws(" ", *[named(c).cast("string") for c in response_columns(df)])
+    return df.select(named(id_column).cast("string").alias("id"), text.alias("text"), metadata_map(df, normalize).alias("metadata"), named(id_column).cast("long").alias("row_index"))
 
 
 def select_text(df: DataFrame, source: str = "all", text: str = "text") -> DataFrame:
     """One response (``q1`` to ``q5``) or the whole text as ``text``, without rows where it is empty. A source
     that is not known means the whole."""
     column = next((c for c in df.columns if c.lower() == f"{source.lower()}_response"), text)
-    return df.withColumn("text", strip(F.coalesce(F.col(column).cast("string"), F.lit("")))).where(F.length("text") > 0)
+    return df.withColumn("text", strip(F.coalesce(named(column).cast("string"), F.lit("")))).where(F.length("text") > 0)
 
 
 def conversation_responses(conversations: DataFrame, turns: int = 5) -> DataFrame:
@@ -70,7 +74,7 @@ def conversation_responses(conversations: DataFrame, turns: int = 5) -> DataFram
 
 def null_profile(df: DataFrame) -> DataFrame:
     """column, n_rows, n_nulls: one pass over the table, a row per column."""
-    counts = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"n_{k}") for k, c in enumerate(df.columns)])
+    counts = df.agg(F.count("*").alias("n"), *[F.count_if(named(c).isNull()).alias(f"n_{k}") for k, c in enumerate(df.columns)])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), F.col(f"n_{k}").alias("n_nulls")) for k, c in enumerate(df.columns)])))
 
 
@@ -90,10 +94,10 @@ def metadata_fields(documents: DataFrame, hide_responses: bool = True) -> DataFr
 
 def metadata_values(df: DataFrame, field: str, limit: int = 100) -> DataFrame:
     """value: distinct values of a column that are not null, by their text, the first ``limit``."""
-    return df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("value")).distinct().orderBy("value").limit(limit)
+    return df.where(named(field).isNotNull()).select(named(field).cast("string").alias("value")).distinct().orderBy("value").limit(limit)
 
 
 def participant(df: DataFrame, fallback: str = "id") -> Column:
     """The first id of a participant that is not null, or else the hit's own, as text."""
-    there = [F.col(c).cast("string") for c in PARTICIPANT_NAMES if c in df.columns]
+    there = [named(c).cast("string") for c in PARTICIPANT_NAMES if c in df.columns]
     return F.coalesce(*there, F.col(fallback).cast("string"))
