@@ -77,6 +77,34 @@ def test_exact_search_in_blocks_is_the_exact_search(spark, vectors, monkeypatch)
     assert vector.nearest(vectors, queries.where("false"), 3).count() == 0
 
 
+def test_pairs_that_reach_a_threshold_are_found_by_products(spark, vectors, monkeypatch):
+    queries = queries_of(vectors)
+    wanted = {(r.query_no, r.id, r.score) for r in vector.in_blocks(vectors, queries).where("score >= 0.3").collect()}
+    monkeypatch.setattr(vector, "query_similarities", None)  # no rows for pairs that do not reach it
+    got = lambda: sorted((r.query_no, r.id, r.score) for r in vector.at_least(vectors, queries, 0.3).collect())
+    assert got() == sorted(wanted)
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    monkeypatch.setattr(vector, "PIECE", 50)
+    assert got() == sorted(wanted)
+
+
+@pytest.mark.parametrize("how", ["avg_top3", "sum", "best"])
+def test_aggregates_of_searches_are_made_in_the_tasks(spark, vectors, how, monkeypatch):
+    """Null labels, a label whose vectors have no direction, a query without one, and more labels than a task holds."""
+    label = F.when(F.col("id").isin(1500, 1501), -1).when(F.col("id") % 7 > 0, F.col("id") % 7 * F.when(F.col("id") < 60, F.col("id") + 1).otherwise(1)).cast("int")
+    rows = vectors.withColumn("label", label)
+    queries = queries_of(rows).unionByName(rows.where("id = 1500").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector")))
+    pairs = vector.aggregate_chunks(vector.in_blocks(rows, queries), how, "label", by=("query_no",))
+    columns = ["query_no", "label", "score", "matching_chunks"]
+    wanted = sorted(map(tuple, pairs.select(columns).collect()), key=repr)
+    monkeypatch.setattr(vector, "query_similarities", None)
+    got = lambda: sorted(map(tuple, vector.aggregated(rows, queries, how, "label").select(columns).collect()), key=repr)
+    assert got() == wanted and any(r[2] is None for r in wanted)
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    monkeypatch.setattr(vector, "PIECE", 50)
+    assert got() == wanted
+
+
 def test_few_or_no_vectors(spark):
     schema = "id long, embedding array<float>"
     for rows in ([], [(1, None)], [(1, [0.0, 1.0])]):

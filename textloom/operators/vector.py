@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +154,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     return ranked_lists(by_block(queries, BLOCK, run, schema, "nearest"), k, id_col)
 
 
+#: Scores of one product of ``at_least`` and ``aggregated``, of which all may be kept.
+PIECE = 1 << 20
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def unit_array(column: pa.Array) -> np.ndarray:
+    """``unit_rows`` of an Arrow column of arrays."""
+    lengths = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0)
+    if column.null_count or not len(column) or column.values.null_count or not lengths[0] or (lengths != lengths[0]).any():
+        return unit_rows(column.to_pandas())
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype("float64")
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def products(batches: Iterator[pa.RecordBatch], units: np.ndarray, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of batches, which of their vectors have a direction, and their scores in millionths with all queries."""
+    step = max(1, PIECE // len(units))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            rows = unit_array(part.column(part.schema.get_field_index(column)))
+            there = rows.any(axis=1)
+            if not there.any():
+                rows = np.zeros((len(rows), units.shape[1]))
+            yield part, there, np.rint((units @ rows.T) * 1e6) + 0.0
+
+
+def dealt(vectors: DataFrame) -> DataFrame:
+    """Vectors in several tasks for each core, however few files they lie in: a product costs far more than a shuffle."""
+    return vectors.repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism)
+
+
+def at_least(vectors: DataFrame, queries: DataFrame, threshold: float, id_col: str = "id", column: str = "embedding") -> DataFrame:
+    """query_no, id and score of all pairs of queries (query_no, query_vector) and vectors that reach a threshold, by
+    one matrix product for each piece of a batch. Only pairs that reach it leave the task. Vectors and queries
+    without direction are similar to nothing."""
+    id_type, no_type = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_no"]
+    schema = f"query_no {no_type}, {id_col} {id_type}, score double"
+
+    def run(numbers: list, units: np.ndarray) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = pa.array(numbers, _ARROW.get(no_type))
+            for part, there, scores in products(batches, units, column):
+                scores = scores / 1e6
+                q, r = np.nonzero(~(scores < threshold) & there)  # NaN is above all numbers, as in Spark
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), part.column(0).take(pa.array(r)), pa.array(scores[q, r])], ["query_no", id_col, "score"])
+
+        return dealt(vectors.select(id_col, column)).mapInArrow(scan, schema)
+
+    return by_block(queries, BLOCK, run, schema, "at-least")
+
+
 def top_k(scored: DataFrame, limit: int | None = DEFAULT_LIMIT, id_col: str = "id", threshold: float | None = None) -> DataFrame:
     """The best rows with their rank; a threshold drops rows afterwards, and ranks keep their gaps. A limit of
     0 means the default. Without a limit all rows that reach the threshold."""
@@ -165,6 +219,71 @@ def top_k(scored: DataFrame, limit: int | None = DEFAULT_LIMIT, id_col: str = "i
     return out.where(reached) if threshold else out
 
 
+def aggregated(vectors: DataFrame, queries: DataFrame, how: str, doc_col: str, column: str = "embedding") -> DataFrame:
+    """query_no, doc, score and matching_chunks of all vectors for each query (query_no, query_vector), aggregated as
+    by ``aggregate_chunks``: no pair of a query and a vector leaves the task that multiplies them, only what it has
+    found for each query and document. Vectors and queries without direction count, and have no score."""
+    if how not in ("best", "max", "sum", "avg_top3"):
+        raise ValueError(f"unknown aggregation: {how}")
+    doc_type, no_type = dict(vectors.dtypes)[doc_col], dict(queries.dtypes)["query_no"]
+    depth = 0 if how == "sum" else 3 if how == "avg_top3" else 1
+    schema = f"query_no {no_type}, {doc_col} {doc_type}, total double, top array<double>"
+
+    def run(numbers: list, units: np.ndarray) -> DataFrame:
+        n = len(numbers)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, kept, docs_type = pa.array(numbers, _ARROW.get(no_type)), {}, None
+
+            def found() -> pa.RecordBatch:
+                names = pa.array(list(kept), docs_type)
+                total, top = np.stack([t for t, _ in kept.values()]), np.stack([b for _, b in kept.values()])
+                columns = [asked.take(pa.array(np.tile(np.arange(n), len(kept)))), names.take(pa.array(np.repeat(np.arange(len(kept)), n))), pa.array(total.ravel())]
+                ends = np.arange(0, depth * total.size + 1, depth or 1)[: total.size + 1] if depth else np.zeros(total.size + 1)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(top.ravel())))
+                return pa.RecordBatch.from_arrays(columns, ["query_no", doc_col, "total", "top"])
+
+            for part, there, scores in products(batches, units, column):
+                each = part.column(part.schema.get_field_index(doc_col)).filter(pa.array(there)).dictionary_encode("encode")
+                if not len(each):
+                    continue
+                scores, docs_type = scores[:, there], each.type.value_type
+                codes = each.indices.to_numpy()
+                order = np.argsort(codes, kind="stable")
+                scores, ends = scores[:, order], np.cumsum(np.bincount(codes))
+                for doc, start, end in zip(each.dictionary.to_pylist(), [0, *ends], ends, strict=False):
+                    own = scores[:, start:end]
+                    total, top = kept.get(doc, (0.0, np.full((n, depth), -np.inf)))
+                    if depth == 1:
+                        top = np.maximum(top, own.max(axis=1, keepdims=True))
+                    elif depth:
+                        top = np.concatenate([top, own], axis=1)
+                        top = np.partition(top, -depth, axis=1)[:, -depth:]
+                    # whole numbers of millionths, so sums do not depend on the order
+                    kept[doc] = (total + own.sum(axis=1), top)
+                if len(kept) * n > PIECE:
+                    yield found()
+                    kept.clear()
+            if kept:
+                yield found()
+
+        return dealt(vectors.select(column, doc_col)).mapInArrow(scan, schema)
+
+    rows = by_block(queries, BLOCK, run, schema, "aggregated")
+    scores = {"sum": F.sum("total"), "avg_top3": F.collect_list("top")}.get(how, F.max(F.get("top", F.lit(0))))
+    found = rows.groupBy("query_no", doc_col).agg(scores.alias("score"))
+    if how == "avg_top3":
+        best = F.slice(F.sort_array(F.filter(F.flatten("score"), lambda x: x > float("-inf")), asc=False), 1, 3)
+        found = found.withColumn("score", F.aggregate(best, F.lit(0.0), lambda s, x: s + x / 1e6) / F.size(best))
+    else:
+        found = found.withColumn("score", F.col("score") / 1e6)
+    # all queries have all documents, also those of which no vector has a direction
+    sizes = vectors.groupBy(doc_col).agg(F.count("*").alias("matching_chunks")).withColumnRenamed(doc_col, "__doc")
+    every = queries.groupBy(F.col("query_no").alias("__no")).agg(F.count("*").alias("__times")).crossJoin(sizes)
+    out = every.join(found, F.col("__no").eqNullSafe(F.col("query_no")) & F.col("__doc").eqNullSafe(F.col(doc_col)), "left")
+    return out.select(F.col("__no").alias("query_no"), F.col("__doc").alias(doc_col), F.round("score", 6).alias("score"), (F.col("matching_chunks") * F.col("__times")).alias("matching_chunks"))
+
+
 #: Rows of one query are ranked in ranges of scores of this width.
 SCORE_STEP = 0.001
 

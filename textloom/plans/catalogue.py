@@ -258,7 +258,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.ranked_lists(searches(spark, sf_dir).where("score >= 0.2"), None).select("query_no", "id", "score", "rank")
+    rows = vectors(spark, sf_dir)
+    return vector.ranked_lists(vector.at_least(rows, query_vectors(rows), 0.2), None).select("query_no", "id", "score", "rank")
 
 
 @query
