@@ -54,12 +54,6 @@ def query_vectors(rows: DataFrame) -> DataFrame:
     return rows.where("id % 50 = 0").select(F.col("id").alias("query_no"), F.col("embedding").alias("query_vector"))
 
 
-def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors with their score (and query_no) for each query vector."""
-    rows = vectors(spark, sf_dir)
-    return vector.in_blocks(rows, query_vectors(rows))
-
-
 def nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return vector.nearest(rows, query_vectors(rows), k)
@@ -269,7 +263,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aggregated(how: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vector.aggregate_chunks(searches(spark, sf_dir), how, "label", by=("query_no",)).select("query_no", "label", "score", "matching_chunks")
+        rows = vectors(spark, sf_dir)
+        return vector.aggregated(rows, query_vectors(rows), how, "label")
 
     return run
 
