@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.operators import hybrid
 from textloom.plans import catalogue
 
 
@@ -35,6 +36,20 @@ def test_every_chunk_gets_its_full_text(spark, tmp_path):
     assert got == {f"{d}_chunk_{k}": len(texts[d]) for d, n in ((1, 1), (2, 3), (3, 1)) for k in range(n)}
 
 
+def test_full_texts_are_joined_after_the_last_shuffle_of_hits(spark):
+    docs = spark.createDataFrame([("1", "a b", "x"), ("2", None, "y"), ("3", "c", "y"), ("0", "d", "z")], "doc_id string, text string, participant string")
+    hits = spark.createDataFrame([("h1", "1", "z"), ("h2", "2", "z"), ("h3", "?", "y"), ("3", None, "x"), ("h5", "?", None), ("h6", "1", "q")], "id string, doc_id string, participant string")
+    found = hybrid.with_full_text(hits, docs, ["participant"])
+    # a document without a text counts as none; that of the smallest id speaks for a participant
+    assert {r.id: r.full_text for r in found.collect()} == {"h1": "a b", "h2": "d", "h3": None, "3": "c", "h5": None, "h6": "a b"}
+    joins, node = [], found._jdf.queryExecution().optimizedPlan()
+    while node.children().size():
+        if node.nodeName() == "Join":
+            joins.append("full_text" in node.left().output().toString())
+        node = node.children().apply(0)
+    assert len(joins) == 3 and not any(joins)
+
+
 def test_chunks_and_bullets_cover_long_documents(spark, tmp_path):
     text = " ".join(f"This is sentence {k}." for k in range(201))
     path = tables(spark, tmp_path, documents=([(1, text)], "doc_id long, text string"))

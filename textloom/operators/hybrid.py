@@ -42,11 +42,15 @@ def order_of_hybrid() -> list[Column]:
 
 def with_full_text(hits: DataFrame, docs: DataFrame, aliases: list[str] | None = None) -> DataFrame:
     """Hits with ``full_text`` of their document: by doc_id, else by the first participant alias that fits.
-    Hits are at most a result list, so they are the side to send to where documents lie."""
-    by_id = docs.select(F.col("doc_id").alias("__d"), F.col("text").alias("__t"))
-    out = hits.join(by_id, F.coalesce(F.col("doc_id"), F.col("id")) == F.col("__d"), "left").drop("__d")
-    for k, alias in enumerate([a for a in (aliases or []) if a in docs.columns and a in hits.columns]):
-        other = docs.groupBy(F.col(alias).cast("string").alias(f"__a{k}")).agg(F.min_by("text", "doc_id").alias(f"__t{k}"))
-        out = out.join(other, F.col("__t").isNull() & (F.col(alias).cast("string") == F.col(f"__a{k}")), "left")
-        out = out.withColumn("__t", F.coalesce("__t", f"__t{k}")).drop(f"__a{k}", f"__t{k}")
-    return out.withColumnRenamed("__t", "full_text")
+    Which document that is, is found by ids alone; texts are joined last, so that none is shuffled for each hit.
+    A document without a text is like one that is not there."""
+    has, text_of = F.col("text").isNotNull(), lambda c: F.col(c).cast("string")
+    there = docs.where(has & F.col("doc_id").isNotNull()).select(text_of("doc_id").alias("__doc")).distinct()
+    out = hits.join(there, F.coalesce(text_of("doc_id"), text_of("id")) == F.col("__doc"), "left")
+    for alias in [a for a in (aliases or []) if a in docs.columns and a in hits.columns]:
+        first = F.min_by(F.struct(text_of("doc_id").alias("d"), has.alias("has")), "doc_id").alias("__first")
+        other = docs.groupBy(text_of(alias).alias("__alias")).agg(first).where("__first.has").select("__alias", F.col("__first.d").alias("__other"))
+        out = out.join(other, F.col("__doc").isNull() & (text_of(alias) == F.col("__alias")), "left")
+        out = out.withColumn("__doc", F.coalesce("__doc", "__other")).drop("__alias", "__other")
+    texts = docs.where(has).select(text_of("doc_id").alias("__of"), F.col("text").alias("full_text"))
+    return out.join(texts, F.col("__doc") == F.col("__of"), "left").drop("__doc", "__of")
