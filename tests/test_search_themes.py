@@ -165,3 +165,16 @@ def test_stream_matches_batch(spark, tmp_path):
     whole = build_index(docs)
     assert {tuple(r) for r in got.postings.select("term", "doc_id", "tf").collect()} == {tuple(r) for r in whole.postings.select("term", "doc_id", "tf").collect()}
     assert {tuple(r) for r in got.term_stats.collect()} == {tuple(r) for r in whole.term_stats.collect()}
+
+
+def test_requests_keep_postings_of_their_terms_and_no_documents(spark):
+    docs = spark.createDataFrame([(k, f"The cat {k} sat there. It saw {k} dogs. The cat left.") for k in range(6)], "doc_id long, text string")
+    engine = TextEngine(spark, docs)
+    hits, _ = engine.search_api("cat", "hybrid", 0.01)
+    texts = {str(r.doc_id): r.text for r in docs.collect()}
+    rows = hits.collect()
+    assert len(rows) > 6 and all(r.full_text == texts[r.doc_id] for r in rows)
+    assert not any("full_text" in k.columns for k in engine._kept)
+    postings = [k for k in engine._kept if "tf" in k.columns]
+    assert len(postings) == 1 and {r.term for r in postings[0].select("term").distinct().collect()} == {"cat"}
+    engine.release()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -253,6 +254,20 @@ def search_phrase(index: Index, text: str) -> DataFrame:
     return search_where(index, phrase(text))
 
 
+def narrowed(index: Index, query: str | Condition, keep: Callable[[DataFrame], DataFrame], distance: int = 2) -> Index:
+    """The part of an index that ``search`` reads for a query: postings of terms that can match, and the documents'
+    lengths. An index that is a plan over documents reads them for each use of a table, so ``keep`` keeps both."""
+    condition = _analysed(typed(query) if isinstance(query, str) else query, index.analyzer)
+    if condition is None:
+        return index
+    t = F.col("term")
+    wanted = [leaf.terms(t) for leaf in _leaves(condition)]
+    if isinstance(query, str):
+        wanted += [_near(t, w, fuzzy_distance(w, distance)) for w in query_terms(query, index.analyzer)]
+    postings = keep(index.postings.where(_any(wanted)))
+    return replace(index, postings=postings, doc_stats=keep(index.doc_stats), term_stats=postings.groupBy("term").agg(F.count("*").alias("df")))
+
+
 def search(index: Index, query: str | Condition, limit: int | None = None, fallback: bool = True, distance: int = 2, least: int = 1, within: DataFrame | None = None) -> DataFrame:
     """doc_id, score, matched, match_type, rank. ``within``: documents (doc_id) that hits are taken from; scores
     are those of the whole index. Fuzzy hits are added where there are fewer than ``least``

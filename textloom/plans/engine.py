@@ -77,6 +77,7 @@ class TextEngine:
         self.expander = expander or NoExpansion()
         self._index, self._vectors, self.probes = index, vectors, probes
         self._kept: list[DataFrame] = []
+        self._planned = index is None
         self._chunks = vectors.vectors.drop("list", "code") if vectors is not None and chunks is None else chunks
 
     def _keep(self, rows: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ class TextEngine:
     def keep_index(self) -> TextEngine:
         """Keeps the whole index in the executors' memory and disks, for many searches over documents that are
         not saved. A single search needs the postings of its terms only."""
-        self._index = self.index.cache()
+        self._index, self._planned = self.index.cache(), False
         return self
 
     @property
@@ -141,7 +142,8 @@ class TextEngine:
     def search_fulltext(self, query: str | fulltext.Condition, limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
         """``query``: typed words and quoted phrases, or a condition. ``within``: documents (doc_id) that hits are
         taken from."""
-        hits = fulltext.search(self.index, query, limit, within=within)
+        index = fulltext.narrowed(self.index, query, self._keep) if self._planned else self.index
+        hits = fulltext.search(index, query, limit, within=within)
         rows = hits.join(self.docs.select("doc_id", "text"), "doc_id")
         return rows.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "text", "score", "match_type", F.col("rank").alias("ordinal"))
 
@@ -211,14 +213,15 @@ class TextEngine:
             hits, order = (semantic if semantic is not None else empty).withColumn("search_type", F.lit("semantic")), [F.col("ordinal")]
         if limit is None:
             hits = P.semantic_threshold(hits, threshold)  # no hit takes another's place, so before the documents
-        hits = P.best(hits, *order, limit=limit)
+        # hits are kept without their documents: joined to them, a text would be kept for each of its chunks
+        hits = self._keep(P.best(hits, *order, limit=limit))
         meta = self.docs.withColumn("doc_id", F.col("doc_id").cast("string")).withColumnRenamed("text", "full_text")
         hits = hits.join(meta.drop(*[c for c in hits.columns if c != "doc_id"]), "doc_id", "left")
         if filter_stage == "post":
             hits = apply_filters(hits, filters)
         hits = hits.where(~P.has_metadata_prefix(F.col("text")))
         if threshold and threshold > 0:
-            hits = P.score_threshold(self._keep(hits), threshold)  # the largest score needs the list once more
+            hits = P.score_threshold(hits, threshold)  # the largest score needs the list once more
         return SearchResult(hits, status, full, semantic)
 
     def search_api(self, query: str, search_type: str = "hybrid", threshold: float | None = None, filters: dict[str, Any] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -226,14 +229,13 @@ class TextEngine:
         of participants."""
         found = self.search(query, search_type, None, threshold if threshold and threshold > 0 else None, filters).results
         terms = T.query_words(query)
-        hits = P.with_normalized_scores(self._keep(found), query)
-        body = F.coalesce("full_text", "text")
+        hits = P.with_normalized_scores(found, query)
+        body = F.col("text")  # of a full-text hit, the document's
         responses = [F.col(c) for c in self.docs.columns if c.lower() in {f"q{k}_response" for k in range(1, 6)}]
         quote = F.when(F.col("search_type") == "fulltext", P.snippet(body, terms)).otherwise(F.col("text"))
         hits = hits.withColumns({"snippet": quote, "highlight": P.highlighted(quote, terms)})
         sentences = F.when(F.col("search_type") == "fulltext", P.matching_sentences(body, terms)).otherwise(F.array().cast("array<string>"))
         hits = hits.withColumn("response", P.inferred_response(F.col("snippet"), responses, sentences) if responses else F.lit(None).cast("int"))
-        hits = self._keep(hits)
         return hits.orderBy(F.desc("normalized_score"), "rank"), P.prevalence_histogram(hits, self._participant(hits))
 
     def _participant(self, hits: DataFrame) -> Column:
