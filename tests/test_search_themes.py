@@ -178,3 +178,18 @@ def test_requests_keep_postings_of_their_terms_and_no_documents(spark):
     postings = [k for k in engine._kept if "tf" in k.columns]
     assert len(postings) == 1 and {r.term for r in postings[0].select("term").distinct().collect()} == {"cat"}
     engine.release()
+
+
+def test_saving_an_index_tokenises_documents_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([(1, "a cat and a dog"), (2, "the cat"), (3, ""), (4, None)], "doc_id long, text string")
+    save_index(build_index(docs.withColumn("text", F.udf(counted)("text")), positions=False), f"{tmp_path}/index")
+    assert read.value == 4
+    saved, plain = load_index(spark, f"{tmp_path}/index"), build_index(docs, positions=False)
+    for name in ("postings", "doc_stats", "term_stats"):
+        assert sorted(map(tuple, getattr(saved, name).collect())) == sorted(map(tuple, getattr(plain, name).collect()))

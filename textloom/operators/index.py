@@ -66,15 +66,18 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def write_terms(rows: DataFrame, path: str, *then: str) -> None:
-    """A table in ranges of terms, so a query reads the row groups of its terms only."""
-    rows.repartitionByRange("term").sortWithinPartitions("term", *then).write.mode("overwrite").parquet(path)
+    """A table in ranges of terms, so a query reads the row groups of its terms only. A frequent term's rows lie in
+    several ranges, cut by ``then``."""
+    rows.repartitionByRange("term", *then).sortWithinPartitions("term", *then).write.mode("overwrite").parquet(path)
 
 
 def save_index(index: Index, path: str, dictionary: bool = False) -> None:
-    """The index's tables; with ``dictionary`` also those that find terms by edits and by masks."""
+    """The index's tables; with ``dictionary`` also those that find terms by edits and by masks. Both statistics
+    come from the written postings, so that documents are tokenised once, not once for each table."""
     write_terms(index.postings, f"{path}/postings", "doc_id")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    write_terms(index.term_stats, f"{path}/term_stats")
+    postings = index.postings.sparkSession.read.schema(index.postings.schema).parquet(f"{path}/postings")
+    postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    write_terms(postings.groupBy("term").agg(F.count("*").alias("df")), f"{path}/term_stats")
     if dictionary:
         save_dictionary(index.postings.sparkSession.read.parquet(f"{path}/term_stats"), path)
 
