@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_search_themes import CONDITIONS, DOCS
 
 from textloom.operators import dictionary, fulltext
@@ -128,3 +129,26 @@ def test_empty_batches(spark, tmp_path):
     assert grown.index().postings.count() == 0
     grown.append(spark.createDataFrame([(1, None), (2, "a cat"), (2, "a dog")], SCHEMA))
     assert {tuple(r) for r in grown.index().term_stats.collect()} == {("a", 1), ("cat", 1), ("dog", 1)}
+
+
+@pytest.mark.parametrize("analyzer", ["plain", "porter"])
+def test_postings_are_grouped_where_texts_are_read(spark, analyzer, monkeypatch):
+    from textloom.operators import index
+
+    monkeypatch.setattr(index, "GROUPED_DOCS", 2)
+    rows = [*DOCS, (50, None), (51, ""), (52, "of the a"), (53, "Cats running, cats ran of cats; ÄÖ äö"), (None, "lost")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = index.document_postings(docs, analyzer=analyzer)
+    row = lambda r: (r.term, r.doc_id, r.tf, tuple(r.positions))
+    assert sorted(map(row, got.collect())) == sorted(map(row, index.build_postings(index.term_rows(docs, analyzer=analyzer), True).collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_are_those_of_all_deletions(spark):
+    one = lambda s: {s[:i] + s[i + 1 :] for i in range(max(len(s), 1))}
+    terms = ["", "a", "ab", "aab", "äöü", "äöüßxyz", "aaaaaaaaa", "abcdefg", "abcdefgh"]
+    for r in spark.createDataFrame([(t,) for t in terms], "term string").select("term", dictionary.variant_keys(F.col("term")).alias("keys")).collect():
+        some = one(r.term[:7])
+        assert sorted(r.keys) == sorted({r.term[:7], *some, *(y for x in some for y in one(x))})
+    plan = spark.range(1).select(dictionary.variant_keys(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan  # compiled

@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +19,16 @@ PREFIX = 7
 MAX_TERMS = 1_000
 
 
-def _without_one(x: Column) -> Column:
-    each = F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
-    return F.transform(each, lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.lit(PREFIX))))
-
-
 def variant_keys(term: Column) -> Column:
-    """The start of a term and what is left of it without one or two characters."""
+    """The start of a term and what is left of it without one or two characters. Each is an expression of its own, as
+    functions of lambdas are not compiled; places behind a term's end leave what others leave."""
     start = F.substring(term, 1, PREFIX)
-    one = _without_one(start)
-    return F.array_distinct(F.concat(F.array(start), one, F.flatten(F.transform(one, _without_one))))
+
+    def without(*gone: int) -> Column:
+        cuts = [-1, *gone, PREFIX]
+        return F.concat(*[F.substring(start, a + 2, b - a - 1) for a, b in pairwise(cuts) if b - a > 1])
+
+    return F.array_distinct(F.array(*[without(*gone) for d in range(EDITS + 1) for gone in combinations(range(PREFIX), d)]))
 
 
 def _keys_of(word: str, distance: int) -> list[str]:
@@ -71,6 +71,8 @@ class Dictionary:
 
 def save_dictionary(terms: DataFrame, path: str, part: str = "") -> None:
     """``terms``: each term once. Tables lie in ranges of their keys; ``part``: a folder within each."""
+    # a term is some 26 rows, so tasks are for them, not for the terms' few bytes
+    terms = terms.select("term").repartition(4 * terms.sparkSession.sparkContext.defaultParallelism)
     for name, keys in (("variants", variant_keys), ("grams", gram_keys)):
         rows = terms.select(F.explode(keys(F.col("term"))).alias("key"), "term")
         rows.repartitionByRange("key", "term").sortWithinPartitions("key", "term").write.mode("overwrite").parquet(f"{path}/{name}{part}")

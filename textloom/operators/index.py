@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from textloom.functions import text as T
-from textloom.functions.stem import stem_table
+from textloom.functions.stem import stem_table, stemmed
 from textloom.operators.dictionary import Dictionary, load_dictionary, save_dictionary
 
 MIN_TOKEN = 2
@@ -52,6 +55,42 @@ def build_postings(rows: DataFrame, positions: bool = False) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), *extra)
 
 
+#: Documents whose words a task groups at a time.
+GROUPED_DOCS = 512
+
+
+def _grouped(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of some texts (doc_id, words); words that are null keep their place and have none."""
+    lengths = np.diff(part.column(1).offsets.to_numpy())
+    flat = part.column(1).flatten()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    row, pos, terms = row[there], pos[there], flat.drop_null().dictionary_encode()
+    key = row * (len(terms.dictionary) + 1) + terms.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    ends = np.append(first, len(order))
+    places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order]))
+    return pa.RecordBatch.from_arrays([terms.dictionary.take(terms.indices.take(pa.array(order[first]))), part.column(0).take(pa.array(row[order[first]])), pa.array(np.diff(ends)), places], ["term", "doc_id", "tf", "positions"])
+
+
+def document_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain") -> DataFrame:
+    """``build_postings`` of each row of a table by itself: the task that reads a text groups its words, so no row for
+    each word is sorted or shuffled. Rows with equal ids have postings of their own."""
+    words = T.tokens(F.col(text_col))
+    if analyzer == "porter":
+        words = stemmed(words, MIN_TOKEN, T.STOP_WORDS)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words.alias("words"))
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUPED_DOCS):
+                yield _grouped(batch.slice(at, GROUPED_DOCS))
+
+    return rows.mapInArrow(group, schemas(dict(rows.dtypes)["doc_id"])["postings"])
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain", positions: bool = True) -> Index:
     """An index as plans over the documents. A query's condition on terms reaches the rows before they are
     shuffled, lengths of documents need no postings, and each table is one shuffle that all its uses share."""

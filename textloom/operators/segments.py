@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.dictionary import Dictionary, save_dictionary
-from textloom.operators.index import Index, build_postings, term_rows, write_terms
+from textloom.operators.index import Index, document_postings, schemas, write_terms
 from textloom.sources.shared import delete, exists
 
 #: Ids of documents that are gone, up to which they are broadcast; beyond it they are shuffled.
@@ -71,8 +71,17 @@ class GrowingIndex:
         commits = self._commits()
         if batch is not None and any(r.batch is not None and r.batch >= batch for r in commits):
             return
-        ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-        self._write(commits, build_postings(term_rows(docs, id_col, text_col, self.analyzer), positions=True), ids, batch)
+        ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").groupBy("doc_id").count()
+        path = f"{self.path}/grouped"
+        rows = document_postings(docs, id_col, text_col, self.analyzer)
+        rows.write.mode("overwrite").parquet(path)
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+        repeated = ids.where("count > 1").select("doc_id")
+        if not repeated.isEmpty():
+            again = rows.join(repeated, "doc_id", "left_semi").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+            rows = rows.join(repeated, "doc_id", "left_anti").select("term", "doc_id", "tf", "positions").unionByName(again)
+        self._write(commits, rows, ids.select("doc_id"), batch)
+        delete(self.spark, path)
 
     def delete(self, ids: DataFrame) -> None:
         """Deletes the documents in ``ids`` (doc_id); ids that are not there do nothing."""
@@ -103,8 +112,9 @@ class GrowingIndex:
         n = commits[-1].n + 1 if commits else 1
         at = lambda name: f"{self.path}/{name}/segment={n}"
         write_terms(postings, at("postings"), "doc_id")
-        own = self.spark.read.parquet(at("postings"))
-        own.groupBy("doc_id").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(at("doc_stats"))
+        own = self.spark.read.schema(postings.schema).parquet(at("postings"))
+        # a document's postings lie together in a batch, not in the ranges of terms
+        postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(at("doc_stats"))
         counted, gone = own.groupBy("term").agg(F.count("*").alias("df")), 0
         if ids is not None and commits:
             known = self._live("doc_stats", commits).select("doc_id").join(ids, "doc_id", "left_semi")
@@ -114,7 +124,8 @@ class GrowingIndex:
                 lost = self._live("postings", commits).join(F.broadcast(known) if gone <= BROADCAST_IDS else known, "doc_id", "left_semi")
                 counted = counted.unionByName(lost.groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         write_terms(counted, at("term_stats"))
-        save_dictionary(own.select("term").distinct(), self.path, f"/segment={n}")
+        # what has no more documents here than were lost was in an earlier segment, whose dictionary names it
+        save_dictionary(self.spark.read.schema(schemas()["term_stats"]).parquet(at("term_stats")).where("df > 0"), self.path, f"/segment={n}")
         base = n if ids is None else commits[0].base if commits else n
         row = self.spark.createDataFrame([(n, base, gone, batch)], COMMIT)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{n}")
