@@ -141,3 +141,30 @@ def test_map_keeps_neighbours_better_than_principal_components(blobs):
     ours = kept(place(drawn), true)
     print("kept", flat, ours)
     assert len(found) == 2001 and found[5000] == (0.0, 0.0) and ours > 1.3 * flat
+
+
+def test_neighbours_cost_rows_by_vectors_not_by_tasks(blobs, monkeypatch):
+    """Also in pieces smaller than a list, with copies, and with vectors that ask for some lists only."""
+    x, index = blobs
+    spark, ranked, given = index.vectors.sparkSession, ann.vector.ranked_lists, []
+    monkeypatch.setattr(ann.vector, "ranked_lists", lambda rows, *more: given.append(rows.count()) or ranked(rows, *more))
+    rows = {(r.id, r.other, round(r.distance, 6), r["rank"]) for r in ann.neighbours(index, 20, len(index.centroids)).collect()}
+    wanted = {(i, j, round(d, 6), r) for i, j, d, r in plain_near(x, 20)}
+    assert rows == wanted and given == [2000 * 20]  # a row for each task's best before
+    monkeypatch.setattr(ann, "PIECE", 12 * 150)
+    monkeypatch.setattr(ann, "ASKING", 100)
+    monkeypatch.setattr(ann, "COMPARED", 64)
+    assert rows == {(r.id, r.other, round(r.distance, 6), r["rank"]) for r in ann.neighbours(index, 20, len(index.centroids)).collect()}
+    few = {(r.id, r.other): round(r.distance, 6) for r in ann.neighbours(index, 5, 2).collect()}
+    listed = {r.id: r.list for r in index.vectors.where("list >= 0").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.argsort(-(unit @ index.centroids.T), axis=1, kind="stable")[:, :2]
+    of = np.array([listed[i] for i in range(len(x))])
+    d = np.sqrt(np.maximum(2 - 2 * np.round(unit @ unit.T, 9), 0))
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, len(x), 50):
+        there = [j for j in np.argsort(d[i], kind="stable") if of[j] in order[i] and j != i][:5]
+        assert {j for a, j in few if a == i} == set(there), i
+    copies = spark.createDataFrame([(i, [1.0, 2.0] if i % 2 else [2.0, -1.0]) for i in range(200)], "id long, embedding array<double>")
+    same = {(r.id, r.other) for r in ann.neighbours(ann.create(copies, density.shared_folder(spark, "copies")), 3, 9).collect()}
+    assert same == {(i, j) for i in range(200) for j in [j for j in range(i % 2, 8, 2) if j != i][:3]}

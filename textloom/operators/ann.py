@@ -19,6 +19,9 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,58 +248,106 @@ def candidates(index: VectorIndex, queries: DataFrame, n: int, probes: int) -> D
     return vector.ranked_lists(vector.by_block(queries, BLOCK, run, schema, "candidates"), n, id_col).drop("rank")
 
 
-#: Vectors whose neighbours are looked for at a time.
-NEIGHBOUR_BLOCK = 4096
+#: Numbers of the vectors that are broadcast at a time, 64 MB: 131,072 vectors of 64.
+PIECE = 1 << 23
+#: Vectors whose neighbours a task looks for at a time, others that one product compares them with, and pairs of which
+#: exact products are taken at once.
+ASKING, COMPARED, EXACT = 1024, 4096, 1 << 16
 
 
 def neighbours(index: VectorIndex, k: int, probes: int | None = None) -> DataFrame:
     """id, other and distance (between unit vectors) of the ``k`` nearest others of each vector that has a direction,
-    in the lists nearest to it (``probes``: as many as the index has found to be needed). Vectors of one or a few
-    lists are one block, so a block reads the lists around it; their similarities are matrix products. The blocks'
-    results are written as they are found. ``index`` is to be a saved one."""
+    in the lists nearest to it (``probes``: as many as the index has found to be needed). Lists are broadcast in
+    pieces of PIECE numbers, and every task looks there for its own vectors' neighbours, so a piece costs ``k`` rows for each
+    vector, however many tasks there are. The pieces' results are written as they are found. ``index`` is to
+    be a saved one."""
     id_col, spark = index.id_col, index.vectors.sparkSession
     id_type, probes = dict(index.vectors.dtypes)[id_col], min(probes or index.probes, len(index.centroids))
-    path = shared_folder(spark, "neighbours")
+    schema = f"id {id_type}, other {id_type}, score double"
+    path, most = shared_folder(spark, "neighbours"), max(1, PIECE // index.centroids.shape[1])
     counts = {r.list: r["count"] for r in index.vectors.where("list >= 0").groupBy("list").count().collect()}  # MAX_LISTS at most
-    blocks: list[tuple[list[int], int, int]] = []
+    pieces: list[tuple[list[int], int, int]] = []
     for x in sorted(counts):
-        pieces = -(-counts[x] // NEIGHBOUR_BLOCK)
-        if pieces == 1 and blocks and blocks[-1][2] == 1 and sum(counts[y] for y in blocks[-1][0]) + counts[x] <= NEIGHBOUR_BLOCK:
-            blocks[-1][0].append(x)
+        parts = -(-counts[x] // most)
+        if parts == 1 and pieces and pieces[-1][2] == 1 and sum(counts[y] for y in pieces[-1][0]) + counts[x] <= most:
+            pieces[-1][0].append(x)
         else:
-            blocks += [([x], p, pieces) for p in range(pieces)]
-    for lists, piece, pieces in blocks:
-        own = index.vectors.where(F.col("list").isin(lists) & (F.pmod(F.xxhash64(id_col), F.lit(pieces)) == piece)).select(id_col, index.column).collect()
-        if own:
-            _near(index, [r[0] for r in own], vector.unit_rows(pd.Series([r[1] for r in own])), k, probes).write.mode("append").parquet(path)
-    found = spark.read.schema(f"id {id_type}, other {id_type}, score double").parquet(path) if blocks else spark.createDataFrame([], f"id {id_type}, other {id_type}, score double")
+            pieces += [([x], p, parts) for p in range(parts)]
+    if not pieces:
+        found = spark.createDataFrame([], schema)
+    else:
+        # near vectors are asked for together, and read again for each piece
+        own = index.vectors.where("list >= 0").select(id_col, "list", index.column)
+        own = written(own.repartitionByRange(4 * spark.sparkContext.defaultParallelism, "list", F.xxhash64(id_col)), "asking")
+        for lists, part, parts in pieces:
+            piece = own.where(F.col("list").isin(lists) & (F.pmod(F.xxhash64(id_col), F.lit(parts)) == part)).toArrow()
+            if len(piece):
+                piece = piece.sort_by([("list", "ascending"), (id_col, "ascending")]).combine_chunks()
+                units = vector.unit_array(piece.column(index.column).chunk(0))
+                shared = spark.sparkContext.broadcast((piece.column(id_col).chunk(0), piece.column("list").to_numpy(), units))
+                _near(index, own, shared, k, probes, schema).write.mode("append").parquet(path)
+                shared.destroy()
+        found = spark.read.schema(schema).parquet(path)
     ranked = vector.ranked_lists(found.withColumnRenamed("id", "query_no"), k, "other")
     return ranked.select(F.col("query_no").alias("id"), "other", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
-def _near(index: VectorIndex, numbers: list, units: np.ndarray, k: int, probes: int) -> DataFrame:
-    nearest = np.argsort(-(units @ index.centroids.T), axis=1, kind="stable")[:, :probes]
-    asked_by = {int(x): np.flatnonzero((nearest == x).any(axis=1)) for x in np.unique(nearest)}
-    id_col, column, id_type = index.id_col, index.column, dict(index.vectors.dtypes)[index.id_col]
-    place = {i: q for q, i in enumerate(numbers)}
+def _near(index: VectorIndex, own: DataFrame, shared: Broadcast, k: int, probes: int, schema: str) -> DataFrame:
+    """The ``k`` nearest in a piece (ids, lists, unit vectors; by list and id) of each vector of ``own``."""
+    column, centroids = index.column, index.centroids
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = vector.Best(k, len(numbers))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lists, others = shared.value
+        narrow, place = others.astype(np.float32), ids.to_numpy(zero_copy_only=False).argsort(kind="stable").argsort(kind="stable")
         for batch in batches:
-            for x, rows in batch.groupby("list"):
-                asking = asked_by[int(x)]
-                for at in range(0, len(rows), step := max(1, vector.CELLS // len(asking))):
-                    part = rows.iloc[at : at + step]
-                    ids, score = part[id_col].to_numpy(), np.round(units[asking] @ vector.unit_rows(part[column]).T, 9)
-                    own = {q: a for a, q in enumerate(asking)}
-                    for c, i in enumerate(ids):  # not its own neighbour
-                        if (row := own.get(place.get(i))) is not None:
-                            score[row, c] = -np.inf
-                    best.add(asking, ids, score)
-        found = best.rows[best.rows["score"] > -np.inf]
-        yield pd.DataFrame({"id": [numbers[q] for q in found["query"]], "other": found["id"].to_numpy(), "score": found["score"].to_numpy()})
-
-    return index.vectors.where(F.col("list").isin(sorted(asked_by))).select(id_col, "list", column).mapInPandas(scan, f"id {id_type}, other {id_type}, score double")
+            for at in range(0, batch.num_rows, ASKING):
+                part = batch.slice(at, ASKING)
+                units = vector.unit_array(part.column(2))
+                nearest = np.argsort(-(units @ centroids.T), axis=1, kind="stable")[:, :probes]
+                asked = np.zeros((len(units), len(centroids)), bool)
+                np.put_along_axis(asked, nearest, True, axis=1)
+                itself = pc.index_in(part.column(0), ids).fill_null(-1).to_numpy(zero_copy_only=False)
+                q, r, score = _best(units, others, narrow, asked, lists, itself, place, k)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), ids.take(pa.array(r)), pa.array(score)], ["id", "other", "score"])
+
+    return own.select(index.id_col, "list", column).mapInArrow(scan, schema)
+
+
+def _best(units: np.ndarray, others: np.ndarray, narrow: np.ndarray, asked: np.ndarray, lists: np.ndarray, itself: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``units``, rows of ``others`` and scores (9 decimals) of each one's ``k`` best in the lists that it has asked for,
+    ties by ``place``. Products in single precision rule out what cannot be among them, by the most that they are off."""
+    off = (units.shape[1] + 16) * 6e-8 + 1e-9
+    q, r, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(len(units), -np.inf)
+    for at in range(0, len(others), COMPARED):
+        of = lists[at : at + COMPARED]
+        some = np.flatnonzero(asked[:, np.unique(of)].any(axis=1))
+        if not len(some):
+            continue
+        rough = units[some].astype(np.float32) @ narrow[at : at + COMPARED].T
+        inside = (itself[some] >= at) & (itself[some] < at + len(of))
+        rough[np.flatnonzero(inside), itself[some][inside] - at] = -np.inf
+        cut = least[some]
+        if rough.shape[1] > k and not np.isfinite(cut).all():
+            if not asked.all():
+                rough[~asked[np.ix_(some, of)]] = -np.inf
+            cut = np.maximum(cut, np.partition(rough, -k, axis=1)[:, -k] - off)
+        x, y = np.nonzero(rough >= np.maximum(cut - off, -2)[:, None].astype(np.float32))
+        there = asked[some[x], of[y]]
+        x, y = some[x[there]], at + y[there]
+        if not len(x):
+            continue
+        exact = np.concatenate([np.einsum("ij,ij->i", units[x[i : i + EXACT]], others[y[i : i + EXACT]]) for i in range(0, len(x), EXACT)])
+        q, r, score = np.append(q, x), np.append(r, y), np.append(score, np.round(exact, 9))
+        order = np.lexsort((place[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
+        first = np.searchsorted(q, np.arange(len(units)))
+        kept = np.arange(len(q)) - first[q] < k
+        q, r, score = q[kept], r[kept], score[kept]
+        count = np.bincount(q, minlength=len(units))
+        last = np.cumsum(count) - 1
+        least[count == k] = score[last[count == k]]
+    return q, r, score
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int = TOP, probes: int | None = None, scored: int | None = None) -> DataFrame:
