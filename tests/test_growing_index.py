@@ -152,3 +152,19 @@ def test_variants_are_those_of_all_deletions(spark):
         assert sorted(r.keys) == sorted({r.term[:7], *some, *(y for x in some for y in one(x))})
     plan = spark.range(1).select(dictionary.variant_keys(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan  # compiled
+
+
+@pytest.mark.parametrize("analyzer", ["plain", "porter"])
+def test_vocabulary_is_counted_without_postings(spark, analyzer):
+    from textloom.operators.index import term_rows, vocabulary
+
+    docs = spark.createDataFrame([*DOCS, (50, None), (51, "of the a"), (53, "Cats running, cats ran"), (None, "lost")], SCHEMA)
+    plan = vocabulary(docs, analyzer=analyzer)._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" not in plan.split("Exchange")[0] and "Join" not in plan
+    assert "Join" not in term_rows(docs, analyzer=analyzer)._jdf.queryExecution().executedPlan().toString()
+    for some in (docs, docs.union(spark.createDataFrame([(53, "cats and dogs"), (53, "dogs")], SCHEMA)), docs.limit(0)):
+        wanted = {}
+        for r in some.where("doc_id is not null").collect():
+            for w in fulltext.query_terms(r.text or "", analyzer):
+                wanted.setdefault(w, set()).add(r.doc_id)
+        assert {tuple(r) for r in vocabulary(some, analyzer=analyzer).collect()} == {(w, len(ids)) for w, ids in wanted.items()}

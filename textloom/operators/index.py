@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from textloom.functions import text as T
-from textloom.functions.stem import stem_table, stemmed
+from textloom.functions.stem import stemmed
 from textloom.operators.dictionary import Dictionary, load_dictionary, save_dictionary
 
 MIN_TOKEN = 2
@@ -39,14 +39,16 @@ def schemas(id_type: str = "bigint", positions: bool = True) -> dict[str, S.Stru
     return {name: S.StructType.fromDDL(ddl) for name, ddl in tables.items()}
 
 
+def _words(text: Column, analyzer: str) -> Column:
+    """A text's analysed words in their places, those that are dropped as nulls."""
+    return T.tokens(text) if analyzer == "plain" else stemmed(T.tokens(text), MIN_TOKEN, T.STOP_WORDS)
+
+
 def term_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain") -> DataFrame:
     """term, doc_id, pos: analysed words. ``plain`` keeps every word; ``porter`` drops stop words and single
-    letters and stems the rest, each distinct term once. Documents without an id are left out."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(T.tokens(F.col(text_col))).alias("pos", "term"))
-    if analyzer == "plain":
-        return rows.select("term", "doc_id", "pos")
-    rows = rows.where((F.length("term") >= MIN_TOKEN) & ~F.col("term").isin(T.STOP_WORDS))
-    return rows.join(stem_table(rows), "term").select(F.col("stem").alias("term"), "doc_id", "pos")
+    letters and stems the rest, where texts are read. Documents without an id are left out."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(_words(F.col(text_col), analyzer)).alias("pos", "term"))
+    return rows.where("term is not null").select("term", "doc_id", "pos")
 
 
 def build_postings(rows: DataFrame, positions: bool = False) -> DataFrame:
@@ -78,10 +80,7 @@ def _grouped(part: pa.RecordBatch) -> pa.RecordBatch:
 def document_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain") -> DataFrame:
     """``build_postings`` of each row of a table by itself: the task that reads a text groups its words, so no row for
     each word is sorted or shuffled. Rows with equal ids have postings of their own."""
-    words = T.tokens(F.col(text_col))
-    if analyzer == "porter":
-        words = stemmed(words, MIN_TOKEN, T.STOP_WORDS)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col), analyzer).alias("words"))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,6 +103,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Index(postings, lengths, postings.groupBy("term").agg(F.sum(F.least("tf", F.lit(1).cast("long"))).alias("df")), analyzer)
 
 
+def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain") -> DataFrame:
+    """term, df of all terms: ``term_stats`` of ``build_index`` without its postings. Where each id is there once, a row's
+    different terms are counted where it is read, so tasks hold terms, not postings; else equal ids meet first."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.array_distinct(F.array_compact(_words(F.col(text_col), analyzer))).alias("words"))
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    return rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def write_terms(rows: DataFrame, path: str, *then: str) -> None:
     """A table in ranges of terms, so a query reads the row groups of its terms only. A frequent term's rows lie in
     several ranges, cut by ``then``."""
