@@ -168,3 +168,12 @@ def test_neighbours_cost_rows_by_vectors_not_by_tasks(blobs, monkeypatch):
     copies = spark.createDataFrame([(i, [1.0, 2.0] if i % 2 else [2.0, -1.0]) for i in range(200)], "id long, embedding array<double>")
     same = {(r.id, r.other) for r in ann.neighbours(ann.create(copies, density.shared_folder(spark, "copies")), 3, 9).collect()}
     assert same == {(i, j) for i in range(200) for j in [j for j in range(i % 2, 8, 2) if j != i][:3]}
+
+
+def test_a_length_is_taken_once_for_a_vector(spark):
+    from textloom.operators import vector
+
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([-2.0],)], "v array<float>")
+    assert [r[0] for r in rows.select(vector.unit(rows.v)).collect()] == [[0.6, 0.8], None, None, [-1.0]]
+    plan = rows.select(vector.unit(rows.v))._jdf.queryExecution().analyzed().toString().lower()
+    assert "/ sqrt(aggregate(" not in plan  # for each number before

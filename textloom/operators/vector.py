@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.sources.shared import shared_folder
 
 OVER_FETCH, DEFAULT_LIMIT = 5, 10
@@ -33,8 +34,8 @@ def similarities(vectors: DataFrame, query: list[float], column: str = "embeddin
 
 
 def unit(c: Column) -> Column:
-    """The vector divided by its length; null for one of length zero."""
-    return F.when(dot(c, c) > 0, F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c))))
+    """The vector divided by its length, which is taken once, not for each number; null for one of length zero."""
+    return F.when(dot(c, c) > 0, T.let(F.sqrt(dot(c, c)), lambda length: F.transform(c, lambda x: x.cast("double") / length)))
 
 
 def query_similarities(vectors: DataFrame, queries: DataFrame, column: str = "embedding") -> DataFrame:
