@@ -274,6 +274,77 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == wanted
 
 
+def test_shingle_sets_equal_plain_ones():
+    rnd = random.Random(1)
+    odd = [None, b"", b" ", b"a", b"A a a a a a a", b"x" * 8, b"x" * 9, b"x" * 64, b"x" * 65 + b" " + b"x" * 66, b"\x00", b"\x00\x00", b"a\x1cb c", b" a\tb\x0bc\x0cd\re\nf "]
+    odd += [b" ".join(bytes(rnd.choice(b"abAB\x00\xc3\xa9") for _ in range(rnd.choice([1, 3, 8, 9, 16, 17, 70]))) for _ in range(rnd.randrange(12))) for _ in range(300)]
+    odd += [b" ".join(b"w%d" % rnd.randrange(30) for _ in range(200_000))]
+    plain = []
+    for t in odd:
+        w = (t or b"").lower().split()
+        plain.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    sets = list(ngram_join.shingle_sets(odd))
+    assert [len(s) for s in sets] == [len(p) for p in plain]
+    assert len(np.unique(np.concatenate(sets))) == len(set().union(*plain))
+    for (s, p), (t, q) in zip(zip(sets, plain), list(zip(sets, plain))[1:]):
+        assert len(np.intersect1d(s, t)) == len(p & q)
+    for t, s in zip(odd, sets, strict=True):  # whatever stands beside it
+        assert (next(ngram_join.shingle_sets([t])) == s).all()
+
+
+def test_small_and_large_blocks_give_the_same_links(spark, monkeypatch):
+    """Passages that many unlike documents share, and copies: by pivots, by trees, and many cells at once. Small
+    blocks get no rounds of pivots, and few links no rounds of joins."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(9000)}"
+    passages = [[word() for _ in range(40)] for _ in range(4)]
+    rows = []
+    for base in range(40):
+        text = [word() for _ in range(rnd.choice([20, 30, 60]))] + passages[base % 4]
+        for _ in range(rnd.choice([1, 1, 4])):
+            copy = list(text)
+            for _ in range(rnd.choice([0, 1, 2, 3])):
+                copy[rnd.randrange(len(copy))] = word()
+            rows.append((len(rows) + 1, " ".join(copy)))
+    wanted = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for pivots, pairs, links in ((64, 4096, 20_000), (2, 0, 0)):
+        monkeypatch.setattr(ngram_join, "PIVOT_ROWS", pivots)
+        monkeypatch.setattr(ngram_join, "FEW_PAIRS", pairs)
+        monkeypatch.setattr("textloom.llm.components.DRIVER_LINKS", links)
+        spark.sparkContext.setJobGroup(group := f"near-{pivots}", group)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == wanted
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert pivots == 2 or jobs <= 120
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_links_are_joined_at_once(spark, monkeypatch):
+    links = spark.createDataFrame([(k, k + 1) for k in range(500) if k % 50] + [(None, 3), (900, 900)], "a long, b long")
+    wanted = {k: max(1, k // 50 * 50 + 1) if k % 50 else (k - 50) + 1 for k in range(1, 501)} | {900: 900}
+    for most in (20_000, 0):
+        monkeypatch.setattr("textloom.llm.components.DRIVER_LINKS", most)
+        spark.sparkContext.setJobGroup(group := f"links-{most}", group)
+        assert {r.node: r.label for r in components(links).collect()} == wanted
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert jobs <= 4 if most else jobs > 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_the_fit_holds_a_block_of_rows():
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    x, marks = rnd.normal(size=(10_000, 14)), (rnd.random((10_000, 512)) < 0.02).astype(np.uint8)
+    y = (x[:, 0] + marks[:, :40].sum(1) - marks[:, 40:80].sum(1) + rnd.normal(size=10_000) > 0).astype(float)
+    tracemalloc.start()
+    w = quality_bayes.fit_logistic(x, y, marks=marks)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6  # the whole sample as real numbers: 42 MB, and three copies
+    assert np.allclose(w, quality_bayes.fit_logistic(np.concatenate([x, marks], 1), y), atol=1e-9)
+
+
 def test_tree_bound_loses_nothing():
     rnd = np.random.default_rng(3)
     points = rnd.integers(0, 6, (500, 128)).astype(np.int64)

@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import join_copies, materialize, scratch
 
+#: Links that the driver joins at most: a MB or two. More are joined by rounds of joins.
+DRIVER_LINKS = 20_000
+
+
+def _joined(us: list, vs: list) -> list[tuple]:
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for u, v in zip(us, vs, strict=True):
+        u, v = find(u), find(v)
+        root[max(u, v)] = min(u, v)
+    return [(x, find(x)) for x in list(root)]
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label: for each node of ``links`` the smallest node that it reaches.
@@ -15,10 +32,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     long chains shrink fast. Labels are written after each round. A node with very many links, and a label of
     very many nodes, is joined by ``join_copies``: neither's rows gather in one task, and minima are
     pre-aggregated before the shuffle. Links with a null end are left out; a link of a node with itself gives
-    its component of one; no links give no rows."""
+    its component of one; no links give no rows. At most DRIVER_LINKS links are joined on the driver instead."""
     spark = links.sparkSession
     with scratch(spark) as keep:
         both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+        few = both.limit(DRIVER_LINKS + 1).toArrow()
+        if few.num_rows <= DRIVER_LINKS:
+            return spark.createDataFrame(_joined(few.column(0).to_pylist(), few.column(1).to_pylist()), f"node {both.dtypes[0][1]}, label {both.dtypes[0][1]}")
         both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
         # a node's links are as many in one direction as in the other
         state = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"), F.count("*").alias("degree")), "labels")

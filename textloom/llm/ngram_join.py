@@ -4,7 +4,7 @@ Documents with equal sets are one node. A pair of linked nodes shares one of the
 of either set, in any order of shingles that holds for all; the order here is by a count sketch of the whole
 corpus, so passages that many documents share come last and make no candidates by themselves. Nodes that
 share such a key form a block. Each block first links its nodes to a pivot (within a task, across tasks,
-then to other pivots where components are left), which settles groups of copies in linear work. Only where a
+then, large ones, to other pivots where components are left), which settles groups of copies in linear work. Only where a
 block is left with nodes of different components are pairs compared: shingles hash into groups, a node's
 group counts are a point, and an R-tree over the points gives the pairs whose summed coordinate minima allow
 the overlap; nodes of the block's largest component are compared with the others only. Surviving pairs are
@@ -14,7 +14,7 @@ verified on whole sets.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, small_or_shuffled
+from textloom.llm.common import BROADCAST_ROWS, materialize, small_or_shuffled
 from textloom.llm.components import components
 
 SHINGLE = 5
@@ -31,6 +31,8 @@ SHINGLE = 5
 #: Buckets of the count sketch, 2 ** SKETCH_BITS: 16 MB whatever the corpus holds.
 SKETCH_BITS = 22
 _SKETCH_BLOCK = 1 << 16
+#: Shingles that a task gathers before it counts them: 8 MB.
+_SEEN = 1 << 20
 #: Groups that shingles are hashed into, the coordinates of a point: a power of two, the set's size or up to
 #: twice that, as chance overlap of group counts is told from real overlap only by a few a group. A point with
 #: twice the groups folds onto one with fewer by adding its halves; the tree holds points folded by COARSE.
@@ -42,28 +44,48 @@ LOCAL_KEYS = 1_000_000
 PIECE = 4_096
 #: Rounds in which unresolved blocks are linked to other pivots before pairs are compared.
 PIVOT_TURNS = 2
-_WORDS_KEPT = 200_000
+#: Blocks of more nodes get these rounds; those up to here are compared at once.
+PIVOT_ROWS = 64
+#: Cells of at most so many pairs are compared many at a time, without a tree.
+FEW_PAIRS = 4_096
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; with fewer words, of the whole sequence."""
-    words = (text or b"").lower().split()  # for bytes: A-Z, and white space 09-0D and 20
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_hashes) > _WORDS_KEPT:
-        _hashes.clear()
-    h = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
-    k = min(SHINGLE, len(h))
+#: Bytes of texts whose words are hashed at once (a longer text by itself): arrays of some 15 MB.
+_WINDOW = 1 << 20
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
+_SPACE = np.zeros(256, np.int8)
+_SPACE[[9, 10, 11, 12, 13, 32]] = 1
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and a 64-bit hash of each: of its bytes, eight at a time, and their number. ``data``
+    begins with a space and ends with eight."""
+    edges = np.flatnonzero(np.diff(_SPACE[np.frombuffer(data, np.uint8)])) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # at each byte
+    h = _mixed((sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[starts] & _MASKS[np.minimum(sizes, 8)]))
+    more, at = np.flatnonzero(sizes > 8), 8
+    while len(more) and at < _LONG_WORD:
+        h[more] = _mixed(h[more] ^ (eight[starts[more] + at] & _MASKS[np.minimum(sizes[more] - at, 8)]))
+        at += 8
+        more = more[sizes[more] > at]
+    for k in more:
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + sizes[k]])
+    return starts, h
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive words."""
     n = len(h) - k + 1
     s = np.full(n, k, np.uint64)
     for i in range(k):
@@ -71,7 +93,35 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     s ^= s >> np.uint64(32)
     s *= np.uint64(0xD6E8FEB86659FD93)
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    return s
+
+
+def shingle_sets(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles; with fewer words, of the whole sequence."""
+
+    def sets(some: list[bytes]) -> Iterator[np.ndarray]:
+        # for bytes: A-Z, and white space 09-0D and 20
+        starts, h = _word_hashes(b" %b%b" % (b" ".join(some).lower(), b" " * 8))
+        every = _shingles(h, SHINGLE) if len(h) >= SHINGLE else h
+        cuts = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in some)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a < SHINGLE:
+                yield _shingles(h[a:b], b - a) if b > a else np.empty(0, np.uint64)
+                continue
+            s = np.sort(every[a : b - SHINGLE + 1])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s[new]
+
+    held, size = [], 0
+    for text in texts:
+        held.append(text or b"")
+        size += len(held[-1])
+        if size >= _WINDOW:
+            yield from sets(held)
+            held, size = [], 0
+    if held:
+        yield from sets(held)
 
 
 def _node(s: np.ndarray) -> int:
@@ -166,19 +216,24 @@ def _profiles(texts: DataFrame) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        seen, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                n, node, point, seen = [], [], [], []
-                for text in some.column(1).to_pylist():
-                    s = shingle_set(text)
+                n, node, point = [], [], []
+                for s in shingle_sets(some.column(1).to_pylist()):
                     n.append(len(s))
                     node.append(_node(s) if len(s) else None)
                     point.append(_point(s) if len(s) else None)
                     seen.append(_bucket(s))
-                np.add.at(sketch, np.concatenate(seen), 1)
+                    size += len(s)
+                    if size >= _SEEN:
+                        sketch += np.bincount(np.concatenate(seen), minlength=len(sketch)).astype(np.uint32)
+                        seen, size = [], 0
                 none = pa.nulls(len(n), pa.int32())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()), none, pa.nulls(len(n), pa.binary())], ["id", "n", "node", "point", "block", "counts"])
+        if size:
+            np.add.at(sketch, np.concatenate(seen), 1)
         if sketch.any():
             blobs = [zlib.compress(sketch[i : i + _SKETCH_BLOCK].astype("<u4", copy=False).tobytes(), 1) for i in range(0, len(sketch), _SKETCH_BLOCK)]
             k = len(blobs)
@@ -236,8 +291,7 @@ def _keys(texts: DataFrame, sketch) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                for text in batch.column(1).slice(at, 1024).to_pylist():
-                    s = shingle_set(text)
+                for s in shingle_sets(batch.column(1).slice(at, 1024).to_pylist()):
                     if len(s):
                         rare = s[np.argsort(counts[_bucket(s)], kind="stable")[: len(s) // 4 + 1]]
                         held_k.append(rare)
@@ -257,7 +311,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found = [s for text in batch.column(1).slice(at, 256).to_pylist() if len(s := shingle_set(text))]
+                found = [s for s in shingle_sets(batch.column(1).slice(at, 256).to_pylist()) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], ["node", "elements"])
 
     return texts.mapInArrow(sets, "node long, elements binary")
@@ -285,12 +339,16 @@ def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
     p = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("p"))
     q = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("q"))
     near = materialize(pairs.join(p, "a").join(q, "b").where(allowed("na", "p", "nb", "q")).select("a", "b"), "near-pairs")
-    nodes = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
-    ids = materialize(points.join(nodes, "node").select(F.col("rep").alias("id")), "near-ids")
-    source = texts.join(small_or_shuffled(ids.where("id is not null").distinct()), "id", "left_semi")
-    if not ids.where("id is null").isEmpty():
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = materialize(points.select("node", F.col("rep").alias("id")).join(nodes, "node"), "near-nodes")
+    found = nodes.agg(F.count("*").alias("nodes"), F.count("id").alias("ids")).first()
+    if not found.nodes:
+        return near
+    small = F.broadcast if found.nodes <= BROADCAST_ROWS else lambda df: df
+    source = texts.join(small(nodes.select("id").where("id is not null").distinct()), "id", "left_semi")
+    if found.ids < found.nodes:
         source = source.unionByName(texts.where("id is null"))
-    sets = materialize(_sets(source).join(small_or_shuffled(nodes), "node", "left_semi"), "sets")
+    sets = materialize(_sets(source).join(small(nodes.select("node")), "node", "left_semi"), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     return near.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b").distinct()
 
@@ -305,17 +363,24 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(out.select("node", F.coalesce("new", "label").alias("label")), "node-labels")
 
 
-def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _unresolved(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
     """key, node, label of blocks that hold nodes of different components, and more than two: both of a
-    block of two have been compared. ``members``: key, node, in which a row may come twice."""
+    block of two have been compared. With them the rows of the largest block (0: there is none). ``members``:
+    key, node, in which a row may come twice."""
     rows = members.select("key", "node").join(small_or_shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high and c > 2")
-    keys = small_or_shuffled(materialize(keys.select("key"), "unresolved"))
-    return materialize(rows.join(keys, "key", "left_semi").distinct(), "unresolved-blocks")
+    keys = materialize(keys.select("key", "c"), "unresolved")
+    found = keys.agg(F.count("*").alias("keys"), F.max("c").alias("most")).first()
+    if not found.keys:
+        return keys, 0
+    keys = F.broadcast(keys) if found.keys <= BROADCAST_ROWS else keys
+    return materialize(rows.join(keys, "key").distinct(), "unresolved-blocks"), found.most
 
 
 def _pivot_pairs(blocks: DataFrame, turn: int) -> DataFrame:
-    """Each node of a block with a pivot that differs by block and turn, if it is of another component."""
+    """Each node of a block of more than PIVOT_ROWS with a pivot that differs by block and turn, if it is of
+    another component."""
+    blocks = blocks.where(F.col("c") > PIVOT_ROWS)
     pivots = blocks.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
     pivots = small_or_shuffled(materialize(pivots, "pivots"))
     pairs = blocks.join(pivots, "key").where(F.col("label") != F.col("p.label"))
@@ -340,8 +405,7 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
     cells = left.unionByName(right)
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(cell: list[pd.DataFrame]) -> pa.RecordBatch:
-        pdf = pd.concat(cell) if len(cell) > 1 else cell[0]
+    def compare(pdf: pd.DataFrame) -> pa.RecordBatch:
         l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         a, b = [], []
         # Sides by their number of groups; sizes a third apart differ by one halving at most. Points with a full
@@ -367,18 +431,41 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
         pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())], ["a", "b"])
 
+    def compare_few(pdf: pd.DataFrame, cell: np.ndarray, cells: int) -> pa.RecordBatch:
+        """All sides of many cells at once. ``cell``: each row's, in order."""
+        side, node, label, n = (pdf[c].to_numpy() for c in ("side", "node", "label", "n"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        begin = np.searchsorted(cell[left], np.arange(cells + 1))
+        each = np.diff(begin)[cell[right]]
+        y = np.repeat(right, each)
+        x = left[np.repeat(begin[cell[right]] - (np.cumsum(each) - each), each) + np.arange(len(y))]
+        fits = (label[x] != label[y]) & (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+        x, y = x[fits], y[fits]
+        # a pair is in a cell for each key that it shares
+        pair, at = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0, return_index=True)
+        x, y = x[at], y[at]
+        pair = pair[linked(n[x], n[y], _bounds(pdf["point"].iloc[x], pdf["point"].iloc[y]))] if len(x) else pair
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())], ["a", "b"])
+
+    def compare_all(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cell = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+        side = pdf["side"].to_numpy()
+        few = np.bincount(cell[side == 0], minlength=len(starts)) * np.bincount(cell[side == 1], minlength=len(starts)) <= FEW_PAIRS
+        yield compare_few(pdf[few[cell]], (np.cumsum(few) - 1)[cell[few[cell]]], int(few.sum()))
+        for k in np.flatnonzero(~few):
+            yield compare(pdf[cell == k])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, at = [], None
+        rest = None  # the last cell, which may go on in the next batch
         for batch in batches:
-            pdf = batch.to_pandas()
-            for k, part in pdf.groupby(["key", "i", "j"], sort=False):
-                if cell and k != at:
-                    yield compare(cell)
-                    cell = []
-                at = k
-                cell.append(part)
-        if cell:
-            yield compare(cell)
+            pdf = batch.to_pandas() if rest is None else pd.concat([rest, batch.to_pandas()])
+            at = pdf[["key", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1))) if len(at) else np.zeros(1, int)
+            if starts[-1]:
+                yield from compare_all(pdf.iloc[: starts[-1]], starts[:-1])
+            rest = pdf.iloc[starts[-1] :]
+        if rest is not None and len(rest):
+            yield from compare_all(rest, np.zeros(1, int))
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -411,14 +498,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = materialize(components(links), "node-labels")
     blocks = shared
     for turn in range(PIVOT_TURNS + 1):
-        blocks = _unresolved(blocks, labels)
-        if blocks.isEmpty():
+        blocks, most = _unresolved(blocks, labels)
+        if not most:
             break
-        pairs = _pivot_pairs(blocks, turn) if turn < PIVOT_TURNS else _block_pairs(blocks, points)
+        by_pivots = turn < PIVOT_TURNS and most > PIVOT_ROWS
+        pairs = _pivot_pairs(blocks, turn) if by_pivots else _block_pairs(blocks, points)
         more = materialize(_verified(pairs, points, texts), "more-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _relabelled(labels, more)
+        if not by_pivots:
+            break
     links = links.distinct()
 
     named = points.select("node", "rep").join(labels, "node")

@@ -33,6 +33,8 @@ STARTS = range(3, 9)
 RIDGE = 1.0
 THRESHOLD = 0.5
 _SHAPES = 14
+#: Rows that the fit holds as real numbers: 4 MB.
+FIT_ROWS = 1_024
 
 
 def shape(text: bytes, words: list[bytes]) -> list[float]:
@@ -94,15 +96,22 @@ class Model:
         return float(np.log(-np.expm1(fine)) - fine)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> np.ndarray:
-    """Weights (the last one is the constant, which is not shrunk) by Newton's method."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25, marks: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last one is the constant, which is not shrunk) by Newton's method. ``marks``: more columns, as
+    bytes. Sums are taken over blocks of rows, so only a block of marks is held as real numbers."""
+    marks = np.zeros((len(x), 0), np.uint8) if marks is None else marks
+    m = x.shape[1] + marks.shape[1] + 1
+    w, penalty = np.zeros(m), np.full(m, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), slope)
+        slope, curve = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), FIT_ROWS):
+            cut = slice(at, at + FIT_ROWS)
+            rows = np.concatenate([x[cut], marks[cut], np.ones((len(x[cut]), 1))], 1)
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+            slope += rows.T @ (p - y[cut])
+            curve += (rows * (p * (1 - p) + 1e-9)[:, None]).T @ rows
+        step = np.linalg.solve(curve, slope)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -176,12 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     heads = []
     for w, vocabulary in zip(ways, vocabularies, strict=True):
         y = sample.column(w).to_numpy(zero_copy_only=False).astype(float)
-        x = np.zeros((len(y), _SHAPES + len(vocabulary)))
-        x[:, :_SHAPES] = (s - mean) / scale
+        marks = np.zeros((len(y), len(vocabulary)), np.uint8)
         for i, found in enumerate(sample.column(f"words_{w}").to_pylist()):
-            x[i, [_SHAPES + k for k in found]] = 1
+            marks[i, found] = 1
         known = ~np.isnan(y)
-        heads.append((vocabulary, fit_logistic(x[known], y[known])))
+        heads.append((vocabulary, fit_logistic(((s - mean) / scale)[known], y[known], marks=marks[known])))
     return Model(mean, scale, heads)
 
 
