@@ -319,6 +319,27 @@ def test_small_and_large_blocks_give_the_same_links(spark, monkeypatch):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_small_blocks_stay_out_of_the_rounds_of_pivots(spark, monkeypatch):
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(9000)}"
+    rows = []
+    for members in [3] * 12 + [20]:  # unlike documents that share a passage
+        passage = [word() for _ in range(40)]
+        rows += [(len(rows) + k + 1, " ".join([word() for _ in range(12)] + passage)) for k in range(members)]
+    looked, unresolved = [], ngram_join._unresolved
+
+    def noted(members, labels):
+        looked.append([r.c for r in members.groupBy("key").count().select(F.col("count").alias("c")).collect()])
+        return unresolved(members, labels)
+
+    monkeypatch.setattr(ngram_join, "PIVOT_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "_unresolved", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()} == brute_components(rows)
+    assert len(looked) == 1 + ngram_join.PIVOT_TURNS and min(looked[0]) < 8
+    assert all(min(counts) > 8 for counts in looked[1:])
+
+
 def test_few_links_are_joined_at_once(spark, monkeypatch):
     links = spark.createDataFrame([(k, k + 1) for k in range(500) if k % 50] + [(None, 3), (900, 900)], "a long, b long")
     wanted = {k: max(1, k // 50 * 50 + 1) if k % 50 else (k - 50) + 1 for k in range(1, 501)} | {900: 900}

@@ -44,7 +44,7 @@ LOCAL_KEYS = 1_000_000
 PIECE = 4_096
 #: Rounds in which unresolved blocks are linked to other pivots before pairs are compared.
 PIVOT_TURNS = 2
-#: Blocks of more nodes get these rounds; those up to here are compared at once.
+#: Blocks of more nodes get these rounds; those up to here stay out of them and are compared at once.
 PIVOT_ROWS = 64
 #: Cells of at most so many pairs are compared many at a time, without a tree.
 FEW_PAIRS = 4_096
@@ -363,24 +363,27 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(out.select("node", F.coalesce("new", "label").alias("label")), "node-labels")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = members.select("key", "node").join(small_or_shuffled(labels), "node", "left")
+    return rows.select("key", "node", F.coalesce("label", "node").alias("label"))
+
+
 def _unresolved(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
     """key, node, label of blocks that hold nodes of different components, and more than two: both of a
     block of two have been compared. With them the rows of the largest block (0: there is none). ``members``:
     key, node, in which a row may come twice."""
-    rows = members.select("key", "node").join(small_or_shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = _labelled(members, labels)
     keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high and c > 2")
     keys = materialize(keys.select("key", "c"), "unresolved")
     found = keys.agg(F.count("*").alias("keys"), F.max("c").alias("most")).first()
     if not found.keys:
-        return keys, 0
+        return keys.select("key", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("label"), "c"), 0
     keys = F.broadcast(keys) if found.keys <= BROADCAST_ROWS else keys
     return materialize(rows.join(keys, "key").distinct(), "unresolved-blocks"), found.most
 
 
 def _pivot_pairs(blocks: DataFrame, turn: int) -> DataFrame:
-    """Each node of a block of more than PIVOT_ROWS with a pivot that differs by block and turn, if it is of
-    another component."""
-    blocks = blocks.where(F.col("c") > PIVOT_ROWS)
+    """Each node of a block with a pivot that differs by block and turn, if it is of another component."""
     pivots = blocks.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
     pivots = small_or_shuffled(materialize(pivots, "pivots"))
     pairs = blocks.join(pivots, "key").where(F.col("label") != F.col("p.label"))
@@ -496,19 +499,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = materialize(_verified(star, points, texts), "star-links")
     labels = materialize(components(links), "node-labels")
-    blocks = shared
-    for turn in range(PIVOT_TURNS + 1):
-        blocks, most = _unresolved(blocks, labels)
-        if not most:
-            break
-        by_pivots = turn < PIVOT_TURNS and most > PIVOT_ROWS
-        pairs = _pivot_pairs(blocks, turn) if by_pivots else _block_pairs(blocks, points)
-        more = materialize(_verified(pairs, points, texts), "more-links")
+    blocks, most = _unresolved(shared, labels)
+    if most:
+        small, large = blocks.where(F.col("c") <= PIVOT_ROWS), blocks.where(F.col("c") > PIVOT_ROWS)
+        for turn in range(PIVOT_TURNS):
+            if most <= PIVOT_ROWS:
+                break
+            more = materialize(_verified(_pivot_pairs(large, turn), points, texts), "more-links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = _relabelled(labels, more)
+            large, most = _unresolved(large, labels)
+        # small blocks stay out of the rounds, but their nodes may be joined by them
+        blocks = _labelled(small, labels).unionByName(large.select("key", "node", "label"))
+        more = materialize(_verified(_block_pairs(blocks, points), points, texts), "more-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _relabelled(labels, more)
-        if not by_pivots:
-            break
     links = links.distinct()
 
     named = points.select("node", "rep").join(labels, "node")
