@@ -340,6 +340,35 @@ def test_small_blocks_stay_out_of_the_rounds_of_pivots(spark, monkeypatch):
     assert all(min(counts) > 8 for counts in looked[1:])
 
 
+def test_pairs_of_a_large_block_stay_in_their_task(spark, monkeypatch):
+    """Copies with two changed words link with each other, and just not with those with three: each such pair is in
+    question, but what leaves the tasks grows with the copies only."""
+    rnd = random.Random(9)
+    text = [f"w{k}" for k in range(174)]
+    rows = []
+    for changes in [2] * 40 + [3] * 40 + [1] * 3:
+        copy = list(text)
+        for at in rnd.sample(range(5, 168, 6), changes):
+            copy[at] = f"x{len(rows)}-{at}"
+        rows.append((len(rows) + 1, " ".join(copy)))
+    rnd.shuffle(rows)
+    wanted = brute_components(rows)
+    sizes, verified = [], ngram_join._verified
+
+    def noted(pairs, *more):
+        sizes.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verified", noted)
+    monkeypatch.setattr(ngram_join, "PIVOT_TURNS", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for elements in (1 << 20, 1_000):
+        monkeypatch.setattr(ngram_join, "ELEMENTS", elements, raising=False)
+        found = ngram_join.near_duplicates(df).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
+    assert len(sizes) == 2  # the pairs with pivots; no list of pairs of a block is made
+
+
 def test_few_links_are_joined_at_once(spark, monkeypatch):
     links = spark.createDataFrame([(k, k + 1) for k in range(500) if k % 50] + [(None, 3), (900, 900)], "a long, b long")
     wanted = {k: max(1, k // 50 * 50 + 1) if k % 50 else (k - 50) + 1 for k in range(1, 501)} | {900: 900}

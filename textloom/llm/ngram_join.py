@@ -7,8 +7,9 @@ share such a key form a block. Each block first links its nodes to a pivot (with
 then, large ones, to other pivots where components are left), which settles groups of copies in linear work. Only where a
 block is left with nodes of different components are pairs compared: shingles hash into groups, a node's
 group counts are a point, and an R-tree over the points gives the pairs whose summed coordinate minima allow
-the overlap; nodes of the block's largest component are compared with the others only. Surviving pairs are
-verified on whole sets.
+the overlap; nodes of the block's largest component are compared with the others only. Nodes in such pairs, not
+the pairs, leave the task; their whole sets are then compared block by block, and of the links found as many are
+kept as join the block's components.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ PIVOT_TURNS = 2
 PIVOT_ROWS = 64
 #: Cells of at most so many pairs are compared many at a time, without a tree.
 FEW_PAIRS = 4_096
+#: Elements of the sets on a side that are compared in one go: 8 MB. A larger set is compared by itself.
+ELEMENTS = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -317,6 +320,19 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node long, elements binary")
 
 
+def _sets_of(nodes: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """node, elements: whole sets, made anew for documents of these nodes only. Without nodes, None."""
+    nodes = materialize(points.select("node", F.col("rep").alias("id")).join(nodes.distinct(), "node"), "near-nodes")
+    found = nodes.agg(F.count("*").alias("nodes"), F.count("id").alias("ids")).first()
+    if not found.nodes:
+        return None
+    small = F.broadcast if found.nodes <= BROADCAST_ROWS else lambda df: df
+    source = texts.join(small(nodes.select("id").where("id is not null").distinct()), "id", "left_semi")
+    if found.ids < found.nodes:
+        source = source.unionByName(texts.where("id is null"))
+    return materialize(_sets(source).join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
 def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are linked: first by the bound on points, then on whole sets, which are
     made anew for documents that are still in question only."""
@@ -339,16 +355,9 @@ def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
     p = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("p"))
     q = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("q"))
     near = materialize(pairs.join(p, "a").join(q, "b").where(allowed("na", "p", "nb", "q")).select("a", "b"), "near-pairs")
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = materialize(points.select("node", F.col("rep").alias("id")).join(nodes, "node"), "near-nodes")
-    found = nodes.agg(F.count("*").alias("nodes"), F.count("id").alias("ids")).first()
-    if not found.nodes:
+    sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("node")), points, texts)
+    if sets is None:
         return near
-    small = F.broadcast if found.nodes <= BROADCAST_ROWS else lambda df: df
-    source = texts.join(small(nodes.select("id").where("id is not null").distinct()), "id", "left_semi")
-    if found.ids < found.nodes:
-        source = source.unionByName(texts.where("id is null"))
-    sets = materialize(_sets(source).join(small(nodes.select("node")), "node", "left_semi"), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     return near.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b").distinct()
 
@@ -390,11 +399,49 @@ def _pivot_pairs(blocks: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a < b) of different components within a block that the bound on points allows.
+def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole cells, sorted by ``cell``, and where each begins."""
+    rest = None  # the last cell, which may go on in the next batch
+    for batch in batches:
+        pdf = batch.to_pandas() if rest is None else pd.concat([rest, batch.to_pandas()])
+        at = pdf[cell].to_numpy()
+        starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1))) if len(at) else np.zeros(1, int)
+        if starts[-1]:
+            yield pdf.iloc[: starts[-1]], starts[:-1]
+        rest = pdf.iloc[starts[-1] :]
+    if rest is not None and len(rest):
+        yield rest, np.zeros(1, int)
+
+
+def _forest(label: np.ndarray, elements: list[bytes], lefts: int) -> Iterator[tuple[int, int]]:
+    """Positions of linked sets, the first ``lefts`` against the others: as many links as join the labels."""
+    n = np.array([len(e) // 8 for e in elements])
+    found, code = np.unique(np.frombuffer(b"".join(elements), "<u8"), return_inverse=True)
+    ends = np.cumsum(n)
+    starts, ours, has = (ends - n)[:lefts], code[: ends[lefts - 1]], np.zeros(len(found), bool)
+    root = np.unique(label, return_inverse=True)[1]
+    for y in range(lefts, len(n)):
+        others = np.flatnonzero(root[:lefts] != root[y])
+        if not len(others):
+            continue
+        own = code[ends[y] - n[y] : ends[y]]
+        has[own] = True
+        both = np.add.reduceat(has[ours], starts, dtype=np.int64)
+        has[own] = False
+        hits = others[linked(n[others], n[y], both[others])]
+        roots, first = np.unique(root[hits], return_index=True)
+        for x in hits[first]:
+            yield int(x), y
+        root[np.isin(root, roots)] = root[y]
+
+
+def _block_links(blocks: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a < b) within blocks, as many as join the components that any link of a block joins.
 
     ``blocks``: key, node, label. Blocks with the same nodes count once. A block's rows are cut into pieces,
-    and those outside its largest component also into chunks; each (piece, chunk) is compared by itself."""
+    and those outside its largest component also into chunks; each (piece, chunk) is compared by itself, first by
+    the bound on points. Only nodes that it leaves in question go on, a row for each and cell at most; a node
+    that several cells would compare with the same others stays in one of them. Then whole sets are compared."""
     same = blocks.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor("node").alias("x")).where("c > 2")
     keys = materialize(same.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "block-keys")
     rows = blocks.join(small_or_shuffled(keys), "key", "left_semi")
@@ -408,9 +455,11 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
     cells = left.unionByName(right)
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(pdf: pd.DataFrame) -> pa.RecordBatch:
+    def compare(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of sides 0 and 1."""
+        pdf = pdf.assign(at=np.arange(len(pdf)))
         l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        a, b = [], []
+        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
         # Sides by their number of groups; sizes a third apart differ by one halving at most. Points with a full
         # coordinate are compared with all.
         left = {g: some for g, some in l.groupby(l["point"].map(len))}
@@ -420,21 +469,20 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
                     continue
                 against, groups = left[other], min(own, other)
                 fine, mine = _folded(_coordinates(against["point"]), groups), _folded(_coordinates(some["point"]), groups)
-                sizes, nodes, marks = against["n"].to_numpy(), against["node"].to_numpy(), against["label"].to_numpy()
+                sizes, at, marks = against["n"].to_numpy(), against["at"].to_numpy(), against["label"].to_numpy()
                 full = (_coordinates(against["point"]) == _FULL).any(1)
                 coarse = max(LEAST_GROUPS, groups // COARSE)
                 tree, views = CountTree(sizes, _folded(fine, coarse)), _folded(mine, coarse)
-                for node, label, n, point, view, raw in zip(some["node"], some["label"], some["n"], mine, views, some["point"], strict=True):
+                for y, label, n, point, view, raw in zip(some["at"], some["label"], some["n"], mine, views, some["point"], strict=True):
                     hit = np.arange(len(sizes)) if _FULL in raw else np.union1d(tree.query(n, view), np.flatnonzero(full))
                     hit = hit[marks[hit] != label]
                     if _FULL not in raw:
                         hit = hit[full[hit] | linked(n, sizes[hit], _overlap(point, fine[hit]))]
-                    a.append(np.minimum(nodes[hit], node))
-                    b.append(np.maximum(nodes[hit], node))
-        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())], ["a", "b"])
+                    a.append(at[hit])
+                    b.append(np.full(len(hit), y))
+        return np.concatenate(a), np.concatenate(b)
 
-    def compare_few(pdf: pd.DataFrame, cell: np.ndarray, cells: int) -> pa.RecordBatch:
+    def compare_few(pdf: pd.DataFrame, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
         """All sides of many cells at once. ``cell``: each row's, in order."""
         side, node, label, n = (pdf[c].to_numpy() for c in ("side", "node", "label", "n"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -444,33 +492,67 @@ def _block_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
         x = left[np.repeat(begin[cell[right]] - (np.cumsum(each) - each), each) + np.arange(len(y))]
         fits = (label[x] != label[y]) & (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
         x, y = x[fits], y[fits]
+        if not len(x):
+            return x, y
         # a pair is in a cell for each key that it shares
-        pair, at = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0, return_index=True)
-        x, y = x[at], y[at]
-        pair = pair[linked(n[x], n[y], _bounds(pdf["point"].iloc[x], pdf["point"].iloc[y]))] if len(x) else pair
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(pair[:, 1]), pa.int64())], ["a", "b"])
-
-    def compare_all(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cell = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
-        side = pdf["side"].to_numpy()
-        few = np.bincount(cell[side == 0], minlength=len(starts)) * np.bincount(cell[side == 1], minlength=len(starts)) <= FEW_PAIRS
-        yield compare_few(pdf[few[cell]], (np.cumsum(few) - 1)[cell[few[cell]]], int(few.sum()))
-        for k in np.flatnonzero(~few):
-            yield compare(pdf[cell == k])
+        _, at, pair = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0, return_index=True, return_inverse=True)
+        u, v = x[at], y[at]
+        may = linked(n[u], n[v], _bounds(pdf["point"].iloc[u], pdf["point"].iloc[v]))[pair.ravel()]
+        return x[may], y[may]
+
+    def asked(pdf: pd.DataFrame, cell: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        """The rows in question, their pieces of at most ELEMENTS, and for side 1 a hash of the other side's nodes."""
+        by = np.argsort(y, kind="stable")
+        right, starts = np.unique(y[by], return_index=True)
+        hashes = np.add.reduceat(_mixed(pdf["node"].to_numpy()[x[by]].astype(np.uint64)), starts).astype(np.int64) if len(y) else np.zeros(0, np.int64)
+        left = np.unique(x)
+        at, others = np.append(left, right), np.append(np.zeros(len(left), np.int64), hashes)
+        group = 2 * cell[at] + np.repeat([0, 1], [len(left), len(right)])
+        by = np.argsort(group, kind="stable")
+        at, others, group = at[by], others[by], group[by]
+        before = np.cumsum(n := pdf["n"].to_numpy()[at]) - n
+        own = (before - before[np.searchsorted(group, group)]) // ELEMENTS
+        pieces = np.zeros(2 * int(cell[-1]) + 2 if len(cell) else 0, np.int64)
+        np.maximum.at(pieces, group, own + 1)
+        some = pdf.iloc[at]
+        columns = {c: pa.array(some[c].to_numpy(), pa.int64()) for c in ("key", "i", "j", "node", "label")}
+        columns |= {"side": pa.array(group % 2, pa.int64()), "own": pa.array(own, pa.int64()), "pieces": pa.array(pieces[group ^ 1], pa.int64()), "others": pa.array(others, pa.int64())}
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the last cell, which may go on in the next batch
-        for batch in batches:
-            pdf = batch.to_pandas() if rest is None else pd.concat([rest, batch.to_pandas()])
-            at = pdf[["key", "i", "j"]].to_numpy()
-            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1))) if len(at) else np.zeros(1, int)
-            if starts[-1]:
-                yield from compare_all(pdf.iloc[: starts[-1]], starts[:-1])
-            rest = pdf.iloc[starts[-1] :]
-        if rest is not None and len(rest):
-            yield from compare_all(rest, np.zeros(1, int))
-
-    return cells.mapInArrow(run, "a long, b long").distinct()
+        for pdf, starts in _by_cell(batches, ["key", "i", "j"]):
+            cell = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+            side = pdf["side"].to_numpy()
+            few = np.bincount(cell[side == 0], minlength=len(starts)) * np.bincount(cell[side == 1], minlength=len(starts)) <= FEW_PAIRS
+            some, own = pdf[few[cell]], (np.cumsum(few) - 1)[cell[few[cell]]]
+            yield asked(some, own, *compare_few(some, own, int(few.sum())))
+            for k in np.flatnonzero(~few):
+                yield asked(some := pdf[cell == k], np.zeros(len(some), int), *compare(some))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf, starts in _by_cell(batches, ["key", "i", "j", "u", "v"]):
+            a, b = [], []
+            for k, end in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+                some = pdf.iloc[k:end]
+                node, lefts = some["node"].to_numpy(), int((some["side"] == 0).sum())
+                for x, y in _forest(some["label"].to_numpy(), some["elements"].tolist(), lefts) if 0 < lefts < len(some) else ():
+                    a.append(min(node[x], node[y]))
+                    b.append(max(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    found = materialize(cells.mapInArrow(run, "key long, i long, j long, node long, label long, side long, own long, pieces long, others long"), "asked")
+    once = found.where("side = 1").groupBy("node", "others").agg(F.min(F.struct("key", "i", "j")).alias("cell")).select("node", "cell.*")
+    once = small_or_shuffled(materialize(once, "asked-once"))
+    right = found.where("side = 1").join(once, ["key", "i", "j", "node"], "left_semi")
+    left = found.where("side = 0").join(once.select("key", "i", "j").distinct(), ["key", "i", "j"], "left_semi")
+    kept = materialize(right.unionByName(left).drop("others"), "in-question")
+    sets = _sets_of(kept.select("node"), points, texts)
+    if sets is None:
+        return kept.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    held = kept.withColumn("other", F.explode(F.sequence(zero, F.col("pieces") - 1)))
+    held = held.select("key", "i", "j", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("u"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("v"), "side", "node", "label")
+    held = held.join(sets, "node").repartition("key", "i", "j", "u", "v").sortWithinPartitions("key", "i", "j", "u", "v", "side")
+    return held.mapInArrow(settle, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -512,7 +594,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             large, most = _unresolved(large, labels)
         # small blocks stay out of the rounds, but their nodes may be joined by them
         blocks = _labelled(small, labels).unionByName(large.select("key", "node", "label"))
-        more = materialize(_verified(_block_pairs(blocks, points), points, texts), "more-links")
+        more = materialize(_block_links(blocks, points, texts), "more-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _relabelled(labels, more)
